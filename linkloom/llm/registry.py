@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe_roundtrip
+from .decontaminate import op2_decontamination
+from .quality_rules import op5_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
 }
 
