@@ -12,10 +12,12 @@ from .language_id import op7_language_id
 from .near_dedup import op3_near_dedup
 from .quality_model import op8_quality_model
 from .quality_rules import op5_quality_rules
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_language_id": op7_language_id,
