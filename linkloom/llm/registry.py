@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .block_dedup import op10_block_dedup
 from .bpe import op6_bpe_roundtrip
 from .decontaminate import op2_decontamination
 from .language_id import op7_language_id
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_language_id": op7_language_id,
     "op8_quality_model": op8_quality_model,
+    "op10_block_dedup": op10_block_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
