@@ -14,6 +14,7 @@ from .near_dedup import op3_near_dedup
 from .quality_model import op8_quality_model
 from .quality_rules import op5_quality_rules
 from .suffix_dedup import op4_suffix_dedup
+from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_language_id": op7_language_id,
     "op8_quality_model": op8_quality_model,
+    "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
 }
 
