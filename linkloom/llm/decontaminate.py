@@ -234,11 +234,22 @@ def _longest(at: np.ndarray, size: np.ndarray, item: np.ndarray, first: np.ndarr
     return who, where, most
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that hold no window of any item, with all their columns. Rows without an id are kept."""
-    id_col = options.get("id_col", "doc_id")
-    bad = find_matches(docs, benchmark, **options).filter(F.size("items") > 0).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def _clean(items: Items, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in C.chunks(batches, text_col):
+        spans = W.words(*C.text_of(batch[text_col]), W.ALNUM, W.FOLDED)
+        clean = np.ones(batch.num_rows, bool)
+        if items.windows:
+            at, _, _ = matches(items, spans.hash, spans.first)
+            clean[np.searchsorted(spans.first, at, "right") - 1] = False
+        yield batch.filter(pa.array(clean))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows that hold no window of any item, unchanged, with all their columns: one filter for each block of items."""
+    C.prepare(docs.sparkSession)
+    for part in blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(partial(_clean, Items([tuple(r) for r in part.collect()], window), text_col), docs.schema)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

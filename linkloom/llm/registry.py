@@ -13,10 +13,12 @@ from .language_id import op7_language_id
 from .near_dedup import op3_near_dedup
 from .quality_model import op8_quality_model
 from .quality_rules import op5_quality_rules
+from .sharding import op1_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
