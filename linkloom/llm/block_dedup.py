@@ -145,7 +145,7 @@ def block_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     texts = X.keyed(docs, id_col, text_col)
     found = repeats(texts, window, core)
-    return texts.join(found, ["id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, f"doc_id {kind}, n_words long, spans {X.unit_runs()}, kept string")
+    return X.with_spans(texts, found, kind).mapInArrow(_cut, f"doc_id {kind}, n_words long, spans {X.unit_runs()}, kept string")
 
 
 def op10_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,16 +80,27 @@ def _rows(batch: pa.RecordBatch, edges: np.ndarray, head: np.ndarray, size: np.n
     return pa.RecordBatch.from_arrays([*map(pa.array, of), pa.array((head - edges[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(core.astype(np.int64)), pa.array(whole.astype(np.int64)), pa.array(loops)], ["id", "mark", "first", "size", "core", "whole", "loops"])
 
 
+#: Stands for a missing id.
+NO_ID = -(1 << 63)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, mark, text): id and mark, a hash of the text, stand for a row; rows equal in both are copies."""
+    """(id, mark, text): id and mark, a hash of the text, stand for a row; rows equal in both are copies. All joins with
+    texts take just these columns by both keys, so that Spark shuffles the texts once and reuses that."""
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+
+
+def with_spans(texts: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, text, spans) of every row; the id has its own type again."""
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id")
+    return texts.join(spans, ["id", "mark"], "left").select(doc_id, "text", "spans")
 
 
 def shared(texts: DataFrame, window: int, core: int, *, by_word: bool) -> DataFrame:
     """Stretches whose core occurs again, anywhere."""
     run = partial(_words if by_word else _bytes, window, core)
-    every = texts.select("id", "mark", "text").mapInArrow(run, SCHEMA)
+    every = texts.mapInArrow(run, SCHEMA)
     again = every.groupBy("core").agg(F.count("*").alias("n"), F.max("loops").alias("l")).filter("n > 1 OR l").select("core")
     return C.durable(every.join(again, "core", "left_semi"))
 
@@ -98,7 +109,7 @@ def pieces_of(texts: DataFrame, wanted: DataFrame, window: int, *, by_word: bool
     """The text that each wanted stretch (core, whole, n, id, mark, first, size, ...) covers, as `piece`."""
     fields = ["core", "whole", "n", "first", "size"]
     per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
-    return texts.select("id", "mark", "text").join(per_row, ["id", "mark"]).mapInArrow(partial(_pieces, window, by_word), "core long, whole long, n long, id long, first int, size int, piece binary")
+    return texts.join(per_row, ["id", "mark"]).mapInArrow(partial(_pieces, window, by_word), "core long, whole long, n long, id long, first int, size int, piece binary")
 
 
 def _pieces(window: int, by_word: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,7 +140,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     texts = X.keyed(docs, id_col, text_col)
     found = repeats(texts, window, core)
-    return texts.join(found, ["id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans {X.unit_runs()}, kept binary")
+    return X.with_spans(texts, found, kind).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans {X.unit_runs()}, kept binary")
 
 
 def _replace(text_col: str, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """All rows with all their columns; repeated strings are gone from the text, and n_chars, if there, follows it."""
     C.prepare(docs.sparkSession)
     found = repeats(X.keyed(docs, id_col, text_col), window, core).withColumnsRenamed({"id": "__id", "mark": "__mark", "spans": "__spans"})
-    named = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__mark": F.hash(text_col)})
+    named = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)), "__mark": F.hash(text_col)})
     return named.join(found, ["__id", "__mark"], "left").drop("__id", "__mark").mapInArrow(partial(_replace, text_col, docs.columns), docs.schema)
 
 
