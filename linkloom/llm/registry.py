@@ -11,6 +11,7 @@ from .bpe import op6_bpe_roundtrip
 from .decontaminate import op2_decontamination
 from .language_id import op7_language_id
 from .near_dedup import op3_near_dedup
+from .oracle import ORACLE_SQL
 from .quality_model import op8_quality_model
 from .quality_rules import op5_quality_rules
 from .sharding import op1_sharding
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_block_dedup": op10_block_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
