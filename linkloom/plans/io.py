@@ -58,16 +58,16 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
     return sinks.paged(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 10, "source")
 
 
-@query("s17_image_rows", "SELECT vec_id AS image, vec_id % 25 AS owner FROM embeddings")
+@query("s17_image_rows", "SELECT vec_id AS image, vec_id // 20 AS owner FROM embeddings")
 def s17(spark: SparkSession, d: str) -> DataFrame:
     """One row for each image of nested entities."""
-    nested = table(spark, d, "embeddings").groupBy((F.col("vec_id") % 25).alias("owner")).agg(F.collect_list("vec_id").alias("images"))
+    nested = table(spark, d, "embeddings").groupBy(F.expr("vec_id DIV 20").alias("owner")).agg(F.collect_list("vec_id").alias("images"))
     return nested.select(F.explode("images").alias("image"), "owner")
 
 
-@query("s16_first_image", "SELECT vec_id % 25 AS owner, min(vec_id) AS image FROM embeddings GROUP BY 1")
+@query("s16_first_image", "SELECT vec_id // 20 AS owner, min(vec_id) AS image FROM embeddings GROUP BY 1")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    nested = table(spark, d, "embeddings").groupBy((F.col("vec_id") % 25).alias("owner")).agg(F.array_sort(F.collect_list("vec_id")).alias("images"))
+    nested = table(spark, d, "embeddings").groupBy(F.expr("vec_id DIV 20").alias("owner")).agg(F.array_sort(F.collect_list("vec_id")).alias("images"))
     return nested.select("owner", F.element_at("images", 1).alias("image"))
 
 
