@@ -17,7 +17,7 @@ REPO = str(Path(__file__).resolve().parents[2])
 #: Rows per Arrow batch. Very long texts may sit side by side, so a batch has few rows.
 BATCH_ROWS = 512
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:

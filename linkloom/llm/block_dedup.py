@@ -34,7 +34,7 @@ WINDOW = 20
 #: Words of an anchor. Any window holds a whole anchor if it has at least 2 * BLOCK - 1 words.
 BLOCK = 10
 CORE = 4
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 HOT = 16_384
 
 

@@ -31,7 +31,7 @@ from . import words as W
 
 WINDOW = 200
 CORE = 48
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 HOT = 16_384
 
 

@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of an odd base and of its inverse, modulo 2**64."""
-    return _powers(base, 1 << max(21, int(n).bit_length()))
+    return _powers(base, 1 << max(20, int(n).bit_length()))
 
 
 #: A random 64-bit value for each byte, and the same with A-Z taken as a-z.
