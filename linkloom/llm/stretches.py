@@ -106,19 +106,24 @@ def shared(texts: DataFrame, window: int, core: int, *, by_word: bool) -> DataFr
 
 
 def pieces_of(texts: DataFrame, wanted: DataFrame, window: int, *, by_word: bool) -> DataFrame:
-    """The text that each wanted stretch (core, whole, n, id, mark, first, size, ...) covers, as `piece`."""
+    """The text that each wanted stretch (core, whole, n, id, mark, first, size, ...) covers, as `piece`. Repeated rows come
+    one after the other out of the join; each run of them gives its pieces once."""
     fields = ["core", "whole", "n", "first", "size"]
     per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     return texts.join(per_row, ["id", "mark"]).mapInArrow(partial(_pieces, window, by_word), "core long, whole long, n long, id long, first int, size int, piece binary")
 
 
 def _pieces(window: int, by_word: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = None
     for batch in C.chunks(batches):
         data, edges = C.text_of(batch["text"])
         raw = data.tobytes()
         spans = W.words(data, edges) if by_word else None
         rows = []
-        for k, (i, wanted) in enumerate(zip(batch["id"].to_pylist(), batch["wanted"].to_pylist())):
+        for k, (i, mark, wanted) in enumerate(zip(*(batch[c].to_pylist() for c in ("id", "mark", "wanted")))):
+            if (i, mark) == before:
+                continue
+            before = (i, mark)
             for w in wanted:
                 a, b = w["first"], w["first"] + w["size"] + window - 1
                 if spans is not None:
@@ -147,9 +152,9 @@ def runs(flags: np.ndarray, edges: np.ndarray) -> list[list[tuple[int, int]]]:
 
 def covered_by(hits: DataFrame, window: int) -> DataFrame:
     """(id, mark, spans): all units that windows of rows (id, mark, first, runs of windows) cover, in order of their starts
-    and possibly overlapping."""
+    and possibly overlapping. A set, as rows may be repeated any number of times."""
     at = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] + F.lit(window - 1)).alias("b")))
-    return hits.select("id", "mark", at.alias("spans")).groupBy("id", "mark").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return hits.select("id", "mark", at.alias("spans")).groupBy("id", "mark").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
 
 
 def sorted_by_core(pieces: DataFrame) -> DataFrame:
