@@ -52,6 +52,27 @@ def test_a_hot_key_fills_as_few_shards_as_it_can(spark):
     assert got.filter(F.col("text_crc32") == hot).select("shard").distinct().count() == 3
 
 
+@pytest.mark.parametrize("rows, linked, size", [(4000, 3800, 2), (4000, 4000, 2), (2001, 2001, 3)])
+def test_no_group_is_cut_where_most_rows_are_copies(spark, rows, linked, size):
+    i = F.col("id")
+    text = F.when(i < linked, F.concat(F.lit("g"), F.floor(i / size).cast("string"))).otherwise(F.concat(F.lit("u"), i.cast("string")))
+    df = spark.range(rows).select(i.alias("doc_id"), text.alias("text"))
+    got = sharding.shard(df, shards=20 if size == 2 else 29)
+    n = got.groupBy("shard").count().agg(F.min("count"), F.max("count")).first()
+    assert n[1] - n[0] <= 1
+    assert got.join(df, "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("k")).filter("k > 1").count() == 0
+
+
+def test_full_shards_exchange_whole_keys():
+    # a key of 4 lies in two full shards; 3 + 3 of one go for a 4 of the other, as neither has a key of 2
+    cut = {(1, 1): {0: 2, 1: 2}}
+    moves, swaps = sharding.exchanges(cut, {0: {4: 2}, 1: {3: 2, 4: 1}}, [0, 0], [10, 12])
+    assert moves == [(1, 1, 0, 1, 2)]
+    assert sum(size * n for k, size, n, _ in swaps if k == 1) - sum(size * n for k, size, n, _ in swaps if k == 0) == 2
+    assert sharding.exchanges(cut, {0: {4: 2}, 1: {4: 2}}, [0, 0], [10, 10]) == ([], [])
+    assert sharding.swap(9001, 9001, {3: 2900, 1000: 1}, {}) is not None and sharding.swap(9000, 9000, {2: 100}, {}) is None
+
+
 def test_shards_of_nothing_and_of_one(spark, empty):
     assert sharding.shard(empty).count() == 0
     one = sharding.shard(spark.createDataFrame([(5, "x")], "doc_id long, text string")).collect()
