@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -33,14 +34,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(columns: list[str], n: int) -> list[str]:
+    """Names for n columns more, none of which is among the columns."""
+    taken = {c.lower() for c in columns}
+    names = (f"_{k}" for k in itertools.count())
+    return list(itertools.islice((x for x in names if x not in taken), n))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a folder of its own where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a folder of this machine in local mode,
+    as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='linkloom-checkpoint-')}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='linkloom-checkpoint-')}")
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -1,18 +1,19 @@
 """Removal of repeated word windows by fixed-block anchors (operator 10).
 
-1. Texts are cut into stretches of windows of `window` words and dealt out by content (see stretches.py). Of stretches equal
-   as wholes the first by (id, start) is the reference; all windows of the others also start earlier and are removed.
-2. The references that share a core are gathered in shards. A shard indexes every BLOCK-th block of BLOCK words of each
-   piece, and probes the index with every rolling block. Two equal windows hold an indexed block at the same offset, so only
-   windows with a hit go on. Hits are extended to the window and compared word by word with the earliest of their kind;
-   neighbouring windows that match make maximal repeats.
-3. A core with over HOT different stretches is not gathered: its windows are counted by their hashes, which Spark sums
-   before it shuffles.
+1. Texts are cut into stretches of windows of `window` words and dealt out by content (see stretches.py), so that equal
+   windows meet in one group. Stretches that are equal as wholes are a class; its first place by (document, start) and its
+   last one stand for it.
+2. The words of a group's classes are gathered in one task. It indexes the non-overlapping blocks of BLOCK words of every
+   piece, and probes the index with every rolling block. A hit on a block that stands earlier is extended word by word to both
+   sides, to the maximal exact repeat; only the leftmost of the hits in one repeat is extended. All windows within a repeat
+   start earlier, so their words go. Two equal windows hold an indexed block at the same offset, so none is missed.
+3. A group of more than GROUP_WORDS is dealt out anew by longer runs of words, so hits stay few for each word.
 4. Spans are brought back to the texts, which lose those words.
 
 Defined results: words are runs of anything but ASCII white space. Null texts and texts of fewer words than a window lose
 nothing. Rows with equal ids count as one document, so of equal rows none removes another. A row without an id comes before
-all others. Stretches are compared as wholes by 64-bit hashes, and words by theirs. Other columns are ignored by the query.
+all others. Words are compared by 64-bit hashes; so are the copies of a stretch between its first and its last place. Other
+columns are ignored by the query.
 """
 
 from __future__ import annotations
@@ -28,123 +29,121 @@ from pyspark.sql import functions as F
 from . import _common as C
 from . import stretches as X
 from . import words as W
-from .suffix_dedup import merged
 
 WINDOW = 20
 #: Words of an anchor. Any window holds a whole anchor if it has at least 2 * BLOCK - 1 words.
 BLOCK = 10
-CORE = 4
+#: Words of the runs by which stretches are dealt out; each but the first is for groups that are still too large.
+CORES = (6, 14, 18)
 SHARD_BYTES = 1 << 20
-HOT = 16_384
-
-
-def words_of(pieces: list[bytes]) -> W.Spans:
-    edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-    return W.words(np.frombuffer(b"".join(pieces), np.uint8), edges)
-
-
-def earlier_windows(spans: W.Spans, at: np.ndarray, window: int, block: int = BLOCK) -> np.ndarray:
-    """Which windows of pieces have their words in an earlier window. The pieces' words lie end to end; `at` gives each
-    piece's place in the order of (id, start), and within a piece windows are in order."""
-    first, windows = spans.first, W.windows(spans, window)
-    starts, key = windows
-    flags = np.zeros(len(spans.hash), bool)
-    if not len(starts):
-        return flags
-    places, probes = W.windows(spans, block)
-    owner = np.searchsorted(first, places, "right") - 1
-    anchor = (places - first[owner]) % block == 0
-    index = np.unique(probes[anchor])
-    hit = W.repeated(probes)
-    hit[hit] = index[np.minimum(np.searchsorted(index, probes[hit]), len(index) - 1)] == probes[hit]
-    total = np.zeros(len(spans.hash) + 1, np.int64)
-    np.add.at(total, places[hit] + 1, 1)
-    total = np.cumsum(total)
-    near = total[np.minimum(starts + window - block + 1, len(spans.hash))] > total[starts]
-    starts, key = starts[near], key[near]
-    if not len(starts):
-        return flags
-    rank = at[np.searchsorted(first, starts, "right") - 1]
-    order = np.lexsort((starts, rank, key))
-    starts, key = starts[order], key[order]
-    head = np.append(True, key[1:] != key[:-1])
-    source = starts[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    same = ~head
-    for k in range(window):  # word by word
-        same &= spans.hash[starts + k] == spans.hash[source + k]
-    flags[starts[same]] = True
+#: Words of a group; a larger one is dealt out anew.
+GROUP_WORDS = 1 << 13
+#: Hits looked at in one go.
+HITS = 1 << 20
+
+
+def hits(key: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(probe, anchor) pairs with equal keys, as indices into `key`, about HITS at a time."""
+    index = np.flatnonzero(anchor)
+    index = index[np.argsort(key[index], kind="stable")]
+    low, high = np.searchsorted(key[index], key, "left"), np.searchsorted(key[index], key, "right")
+    probe = np.flatnonzero(high > low)
+    low, n = low[probe], (high - low)[probe]
+    ends = np.cumsum(n)
+    first = 0
+    while first < len(probe):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+        s = slice(first, last)
+        yield np.repeat(probe[s], n[s]), index[X.ranges(low[s], n[s])]
+        first = last
+
+
+def reach(word: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
+    """How many words are equal from a and b on in direction `step`, up to `most`."""
+    out = np.zeros(len(a), np.int64)
+    live = np.flatnonzero(most > 0)
+    k = 0
+    while len(live):
+        live = live[word[a[live] + step * k] == word[b[live] + step * k]]
+        k += 1
+        out[live] = k
+        live = live[most[live] > k]
+    return out
+
+
+def earlier_windows(spans: W.Spans, group: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, block: int = BLOCK) -> np.ndarray:
+    """At which words of pieces a window begins that also begins earlier in the pieces of its group. The pieces' words lie end
+    to end; group, document and first word are given for each piece."""
+    first, n = spans.first, len(spans.hash)
+    flags = np.zeros(n, bool)
+    place, key = W.windows(spans, block)
+    piece = np.searchsorted(first, place, "right") - 1
+    key = W.mixed(key ^ W.mixed(group[piece].astype(np.uint64)))
+    inner = place - first[piece]
+    at = start[piece] + inner
+    index_of = np.full(n + 1, -1)  # of the block that starts at a word
+    index_of[place] = np.arange(len(place))
+    step = np.zeros(n + 1, np.int64)
+    for q, p in hits(key, inner % block == 0):
+        before = (doc[piece[p]] < doc[piece[q]]) | ((doc[piece[p]] == doc[piece[q]]) & (at[p] < at[q]))
+        q, p = q[before], p[before]
+        left = np.where((inner[p] >= block) & (inner[q] >= block), index_of[np.maximum(place[q] - block, 0)], -1)
+        there = index_of[np.maximum(place[p] - block, 0)]
+        leftmost = (left < 0) | (key[left] != key[there])
+        q, p = q[leftmost], p[leftmost]
+        back = reach(spans.hash, place[q] - 1, place[p] - 1, -1, np.minimum(inner[q], inner[p]))
+        ends = first[piece + 1]
+        room = np.minimum(ends[q] - place[q], ends[p] - place[p])
+        on = reach(spans.hash, place[q], place[p], 1, room)
+        long = back + on >= window
+        a = (place[q] - back)[long]
+        np.add.at(step, a, 1)
+        np.add.at(step, a + (back + on)[long] - window + 1, -1)
+    flags |= np.cumsum(step[:-1]) > 0
     return flags
 
 
 def _shards(window: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, _ in X.blocks(batches, limit, split=False):
-        rows.sort(key=lambda r: (r["core"], r["id"], r["first"]))
-        spans = words_of([r["piece"] for r in rows])
-        flags = earlier_windows(spans, np.arange(len(rows)), window)
-        found = X.runs(flags, spans.first)
-        keep = [k for k in range(len(rows)) if found[k]]
-        values = [[rows[k]["core"] for k in keep], [rows[k]["whole"] for k in keep], [[{"a": a, "b": b} for a, b in found[k]] for k in keep]]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["core", "whole", "runs"])
-
-
-def _prints(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for core, whole, i, first, size, piece in zip(*(batch[c].to_pylist() for c in ("core", "whole", "id", "first", "size", "piece"))):
-            at = np.arange(size)
-            key = W.Prefix(words_of([piece]).hash, W.CHAIN).of(at, at + window).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, core)), pa.array(np.full(size, whole)), pa.array(np.full(size, i)), pa.array((first + at).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(key)], ["core", "whole", "id", "at", "a", "key"])
-
-
-def by_prints(pieces: DataFrame, window: int) -> DataFrame:
-    """What the shards find, for cores with too many stretches for a shard: the first of each window by its hash."""
-    prints = pieces.mapInArrow(partial(_prints, window), "core long, whole long, id long, at int, a int, key long")
-    firsts = prints.groupBy("core", "key").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("least")).filter("m > 1").select("core", "key", "least")
-    hit = prints.join(firsts, ["core", "key"]).filter(F.struct("id", "at") > F.col("least"))
-    one = F.transform(F.array_sort(F.collect_list("a")), lambda a: F.struct(a.alias("a"), (a + 1).alias("b")))
-    return hit.groupBy("core", "whole").agg(one.cast(X.unit_runs()).alias("runs"))
-
-
-def repeats(texts: DataFrame, window: int, core: int, *, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        spans = W.words(*C.text_of(rows["piece"]))
+        doc = np.maximum(rows["id"].to_numpy(), X.NAMED - 1)
+        yield X.verdict(rows, earlier_windows(spans, rows["core"].to_numpy(), doc, rows["first"].to_numpy().astype(np.int64), window), spans.first)
+
+
+def repeats(texts: DataFrame, window: int, cores: tuple[int, ...], *, group_words: int = GROUP_WORDS) -> DataFrame:
     """(id, mark, spans): words to remove from each row of `texts` (see stretches.keyed)."""
-    rows = X.shared(texts, window, core, by_word=True)
-    wholes = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("loops").alias("loops"), F.min(F.struct("id", "first", "mark", "size")).alias("s")).select("core", "whole", "n", "loops", "s.*")
-    cores = wholes.groupBy("core").agg(F.count("*").alias("kinds"))
-    known = C.durable(wholes.join(cores, "core"))
-    wanted = known.filter("kinds > 1 OR loops")
-    ordinary, crowded = wanted.filter(F.col("kinds") <= hot), wanted.filter(F.col("kinds") > hot)
-    found = X.sorted_by_core(X.pieces_of(texts, ordinary, window, by_word=True)).mapInArrow(partial(_shards, window, shard_bytes), f"core long, whole long, runs {X.unit_runs()}")
-    if not crowded.isEmpty():
-        found = found.unionByName(by_prints(X.pieces_of(texts, crowded, window, by_word=True), window))
-    least = known.select("core", "whole", F.struct("id", "first").alias("least"), "n").join(found, ["core", "whole"], "left").filter("n > 1 OR runs IS NOT NULL")
-    mine = F.when(F.struct("id", "first") > F.col("least"), X.whole_run(F.col("size"))).otherwise(F.col("runs"))
-    hits = rows.join(least, ["core", "whole"]).withColumn("runs", mine).filter("runs IS NOT NULL")
-    return X.covered_by(hits, window)
+    rows, classes = X.dealt(texts, window, cores, group_words, by_word=True)
+    found = X.sorted_by_core(X.pieces_of(texts, classes, window, by_word=True)).mapInArrow(partial(_shards, window, SHARD_BYTES), X.VERDICT)
+    both = found.groupBy("core", "whole").agg(F.max(F.when(F.col("part") == 0, F.col("runs"))).alias("of_first"), F.max(F.when(F.col("part") == 1, F.col("runs"))).alias("of_last"))
+    first = F.struct(F.col("least.doc").alias("doc"), F.col("least.first").alias("first"))
+    known = both.join(classes.select("core", "whole", first.alias("least")), ["core", "whole"])
+    mine = F.when(F.struct(X.doc(F.col("id")).alias("doc"), "first") > F.col("least"), F.col("of_last")).otherwise(F.col("of_first"))
+    return X.covered_by(rows.join(known, ["core", "whole"]).withColumn("runs", mine).filter("runs IS NOT NULL"), window)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches):
         data, edges = C.text_of(batch["text"])
-        raw, spans = data.tobytes(), W.words(data, edges)
-        start, end, first = spans.start.tolist(), spans.end.tolist(), spans.first.tolist()
-        kept, gone = [], []
-        for k, s in enumerate(batch["spans"].to_pylist()):
-            mine, at, parts = merged(s), first[k], []
-            for x, y in [*mine, (first[k + 1] - first[k], 0)]:
-                parts += [raw[a:b] for a, b in zip(start[at : first[k] + x], end[at : first[k] + x])]
-                at = first[k] + y
-            kept.append(b" ".join(parts))
-            gone.append([{"a": x, "b": y} for x, y in mine])
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(spans.counts().astype(np.int64)), pa.array(gone, kind), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
-
-
-def block_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE) -> DataFrame:
+        spans = W.words(data, edges)
+        own, a, b = X.merged(batch["spans"])
+        left = np.flatnonzero(~W.covered(len(spans.hash), spans.first[own] + a, b - a))
+        text = np.searchsorted(spans.first, left, "right") - 1
+        n = spans.end[left] - spans.start[left]
+        last = np.append(text[1:] != text[:-1], True) if len(left) else np.empty(0, bool)
+        room = n + ~last  # a space behind each word but a text's last
+        out = np.full(room.sum(), 0x20, np.uint8)
+        out[X.ranges(np.cumsum(room) - room, n)] = data[X.ranges(spans.start[left], n)]
+        size = np.bincount(text, room, batch.num_rows).astype(np.int64)
+        kept = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(spans.counts().astype(np.int64)), X.span_lists(own, a, b, batch.num_rows), kept], ["doc_id", "n_words", "spans", "kept"])
+
+
+def block_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cores: tuple[int, ...] = CORES) -> DataFrame:
     """(doc_id, n_words, spans, kept): for each row the maximal spans of words removed, and the words left, one space apart."""
     C.prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = X.keyed(docs, id_col, text_col)
-    found = repeats(texts, window, core)
+    found = repeats(texts, window, cores)
     return X.with_spans(texts, found, kind).mapInArrow(_cut, f"doc_id {kind}, n_words long, spans {X.unit_runs()}, kept string")
 
 

@@ -11,10 +11,12 @@ import numpy as np
 GAP = 0xFF
 
 
-def joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces with a GAP behind each, and the n + 1 places where pieces begin."""
-    size = np.array([len(p) + 1 for p in pieces], np.int64)
-    return np.frombuffer(bytes([GAP]).join([*pieces, b""]), np.uint8), np.concatenate([[0], np.cumsum(size)])
+def joined(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces that lie end to end between edges with a GAP behind each, and the n + 1 places where pieces begin."""
+    n = len(edges) - 1
+    text = np.full(len(data) + n, GAP, np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(edges))] = data
+    return text, edges + np.arange(n + 1)
 
 
 def octets(text: np.ndarray) -> np.ndarray:
@@ -35,7 +37,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     """
     n = len(text)
     key = octets(text)[:n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     head = np.append(True, ranked[1:] != ranked[:-1])
     group = np.empty(n + 1, np.int64)  # of each suffix: the place of its group's first member
@@ -52,7 +54,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         own = group[who]
         ahead = group[np.minimum(who + h, n)] + 1
         key = (own << 32) | ahead
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         who, key = who[by], key[by]
         order[tied] = who
         fresh = np.append(True, key[1:] != key[:-1])

@@ -1,26 +1,29 @@
 """Removal of repeated byte strings by suffix arrays (operator 4).
 
 1. Texts are cut into stretches of windows of `window` bytes and dealt out by content (see stretches.py), so that equal
-   strings meet in one shard. A stretch that occurs twice as a whole is repeated throughout.
-2. The other stretches that share a core are gathered, once each, in shards of bounded bytes. Each shard sorts its suffixes
-   (Larsson-Sadakane) and finds neighbours with `window` bytes in common (Kasai).
-3. A core with more text than a shard goes on over several shards; they are merged by binary search of the strings of one in
-   the suffix arrays of the others. A core with over HOT different stretches is not gathered: its strings are counted by
-   their hashes, which Spark sums before it shuffles.
+   strings meet in one group. Stretches that are equal as wholes are a class, which two of its places stand for.
+2. The pieces of text that the classes cover are gathered in shards of bounded bytes. Each shard sorts its suffixes
+   (Larsson-Sadakane) and finds neighbours with `window` bytes in common (Kasai). So every repeated string, copies of whole
+   texts too, is found by a suffix array.
+3. A group with more text than a shard goes on over several; they are merged by binary search of the strings of one in the
+   suffix arrays of the others. A group is a few shards at most: a larger one is dealt out anew by longer sub-strings.
 4. Spans are brought back to the texts, which are cut as bytes.
 
 Defined results: null and short texts lose nothing. Copies of a row remove each other, the first one too. Strings never
-cross texts. Stretches are compared as wholes by 64-bit hashes, and byte by byte in the shards. Other columns are ignored by
-the query and kept by `remove_repeats`, which drops what is left of a character that was cut.
+cross texts. Bytes are compared as such, but for the third and further copies of a stretch of at most 2,247 bytes, which a
+64-bit hash tells. Other columns are ignored by the query and kept by `remove_repeats`, which drops what is left of a
+character that was cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,137 +33,108 @@ from . import suffix as S
 from . import words as W
 
 WINDOW = 200
-CORE = 48
+#: Bytes of the sub-strings by which stretches are dealt out; each but the first is for groups that are still too large.
+CORES = (48, 144, 184)
 SHARD_BYTES = 1 << 20
-HOT = 16_384
+#: Shards of a group; a group of more is dealt out anew.
+SHARDS = 4
 
 
-def _shards(window: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows of each stretch in the partition that occurs once (or may repeat itself)."""
-    earlier: list[tuple[np.ndarray, np.ndarray, list[dict], np.ndarray, np.ndarray]] = []
-    for rows, goes_on in X.blocks(batches, limit, split=True):
-        text, edges = S.joined([r["piece"] for r in rows])
+@dataclass
+class Shard:
+    """Pieces end to end with gaps between, their suffix array, and the places where a repeated window starts."""
+
+    rows: pa.RecordBatch
+    text: np.ndarray
+    edges: np.ndarray
+    order: np.ndarray
+    flags: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.RecordBatch, window: int) -> Shard:
+        text, edges = S.joined(*C.text_of(rows["piece"]))
         order, place, head = S.suffix_array(text, window)
         flags = S.repeated_starts(text, order, place, head, window)
         flags &= ~W.covered(len(text), edges[1:] - window, window)  # windows with a gap in them are none
-        if not goes_on:
-            yield from map(_verdict, earlier)
+        return Shard(rows, text, edges, order, flags)
+
+    def verdict(self) -> pa.RecordBatch:
+        return X.verdict(self.rows, self.flags, self.edges)
+
+    def merge(self, core: int, window: int, other: Shard) -> None:
+        """Mark the windows of a group that another shard has too."""
+        mine = np.flatnonzero(self.rows["core"].to_numpy() == core)
+        starts = X.ranges(self.edges[mine], self.rows["size"].to_numpy()[mine].astype(np.int64))
+        starts = starts[~self.flags[starts]]
+        self.flags[starts[S.found_in(self.text, starts, other.text, other.order, window)]] = True
+
+
+def _shards(window: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows of each piece in the partition."""
+    earlier: list[Shard] = []  # those before that hold the group at hand
+    for rows, goes_on in X.blocks(batches, limit, split=True):
+        shard = Shard.of(rows, window)
+        core = rows["core"]
+        if goes_on:
+            for other in earlier:
+                for one, two in ((shard, other), (other, shard)):
+                    one.merge(core[0].as_py(), window, two)
+        if not goes_on or core[0] != core[-1]:
+            yield from (x.verdict() for x in earlier)
             earlier = []
-        else:  # the first core goes on: merge with the shards before that hold it
-            for shard in earlier:
-                _merge(rows[0]["core"], window, (text, edges, rows, flags, order), shard)
-        earlier.append((text, edges, rows, flags, order))
-        if len(earlier) > 1 and rows[-1]["core"] != rows[0]["core"]:
-            yield from map(_verdict, earlier[:-1])
-            earlier = earlier[-1:]
-    yield from map(_verdict, earlier)
-
-
-def _merge(core: int, window: int, one: tuple, other: tuple) -> None:
-    """Mark the windows of a core that two shards share."""
-    for (text, edges, rows, flags, _), (there, _, _, _, order) in ((one, other), (other, one)):
-        mine = [k for k, r in enumerate(rows) if r["core"] == core]
-        starts = np.concatenate([np.arange(edges[k], edges[k] + rows[k]["size"]) for k in mine])
-        flags[starts[S.found_in(text, starts, there, order, window)]] = True
-
-
-def _verdict(shard: tuple) -> pa.RecordBatch:
-    _, edges, rows, flags, _ = shard
-    found = X.runs(flags, edges)
-    keep = [k for k, r in enumerate(rows) if r["n"] == 1 and found[k]]
-    values = [[rows[k]["core"] for k in keep], [rows[k]["whole"] for k in keep], [[{"a": a, "b": b} for a, b in found[k]] for k in keep]]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["core", "whole", "runs"])
-
-
-def _prints(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for core, whole, n, size, piece in zip(*(batch[c].to_pylist() for c in ("core", "whole", "n", "size", "piece"))):
-            at = np.arange(size)
-            key = W.Prefix(W.EXACT[np.frombuffer(piece, np.uint8)], W.BASE).of(at, at + window).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, core)), pa.array(np.full(size, whole)), pa.array(np.full(size, n)), pa.array(at.astype(np.int32)), pa.array(key)], ["core", "whole", "n", "a", "key"])
-
-
-def by_prints(pieces: DataFrame, window: int) -> DataFrame:
-    """What the shards find, for cores with too many stretches for a shard: windows counted by their hashes."""
-    prints = pieces.mapInArrow(partial(_prints, window), "core long, whole long, n long, a int, key long")
-    twice = prints.groupBy("core", "key").agg(F.sum("n").alias("m")).filter("m > 1").select("core", "key")
-    hit = prints.filter("n = 1").join(twice, ["core", "key"], "left_semi")
-    one = F.transform(F.array_sort(F.collect_list("a")), lambda a: F.struct(a.alias("a"), (a + 1).alias("b")))
-    return hit.groupBy("core", "whole").agg(one.cast(X.unit_runs()).alias("runs"))
-
-
-def repeats(texts: DataFrame, window: int, core: int, *, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        earlier.append(shard)
+    yield from (x.verdict() for x in earlier)
+
+
+def repeats(texts: DataFrame, window: int, cores: tuple[int, ...], *, shard_bytes: int = SHARD_BYTES, shards: int = SHARDS) -> DataFrame:
     """(id, mark, spans) of all rows of `texts` (see stretches.keyed) with a repeated window."""
-    rows = X.shared(texts, window, core, by_word=False)
-    sample = F.min(F.struct("id", "mark", "first", "size")).alias("s")
-    wholes = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("loops").alias("loops"), sample).select("core", "whole", "n", "loops", "s.*")
-    cores = wholes.groupBy("core").agg(F.count("*").alias("kinds"))
-    wanted = C.durable(wholes.join(cores, "core").filter("kinds > 1 OR (loops AND n = 1)"))
-    ordinary, crowded = wanted.filter(F.col("kinds") <= hot), wanted.filter(F.col("kinds") > hot)
-    shards = X.sorted_by_core(X.pieces_of(texts, ordinary, window, by_word=False)).mapInArrow(partial(_shards, window, shard_bytes), f"core long, whole long, runs {X.unit_runs()}")
-    found = shards
-    if not crowded.isEmpty():
-        found = found.unionByName(by_prints(X.pieces_of(texts, crowded, window, by_word=False), window))
-    copies = wholes.filter("n > 1").select("core", "whole", X.whole_run(F.col("size")).alias("runs"))
-    return X.covered_by(rows.join(found.unionByName(copies), ["core", "whole"]), window)
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Spans in order of their starts, made into maximal ones."""
-    out: list[tuple[int, int]] = []
-    for s in spans or []:
-        if out and s["a"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s["b"]))
-        else:
-            out.append((s["a"], s["b"]))
-    return out
+    rows, classes = X.dealt(texts, window, cores, shards * shard_bytes, by_word=False)
+    found = X.sorted_by_core(X.pieces_of(texts, classes, window, by_word=False)).mapInArrow(partial(_shards, window, shard_bytes), X.VERDICT)
+    found = found.filter("part = 0")  # the other places of a class have the same bytes
+    return X.covered_by(rows.join(found, ["core", "whole"]), window)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches):
         data, edges = C.text_of(batch["text"])
-        raw = data.tobytes()
-        kept, spans = [], []
-        for a, b, s in zip(edges.tolist(), edges[1:].tolist(), batch["spans"].to_pylist()):
-            mine = merged(s)
-            at, parts = a, []
-            for x, y in mine:
-                parts.append(raw[at : a + x])
-                at = a + y
-            kept.append(b"".join([*parts, raw[at:b]]))
-            spans.append([{"a": x, "b": y} for x, y in mine])
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(edges)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE) -> DataFrame:
+        own, a, b = X.merged(batch["spans"])
+        gone = W.covered(len(data), edges[own] + a, b - a)
+        left = W.per_text(~gone, edges)
+        kept = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(edges)), X.span_lists(own, a, b, batch.num_rows), kept], ["doc_id", "n_bytes", "spans", "kept"])
+
+
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cores: tuple[int, ...] = CORES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): for each row the maximal spans of bytes removed, and the bytes that are left."""
     C.prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = X.keyed(docs, id_col, text_col)
-    found = repeats(texts, window, core)
+    found = repeats(texts, window, cores)
     return X.with_spans(texts, found, kind).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans {X.unit_runs()}, kept binary")
 
 
 def _replace(text_col: str, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches, text_col):
-        cut = next(_cut(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch[text_col], batch["__spans"]], ["doc_id", "text", "spans"])])))
-        hit = [bool(s) for s in cut["spans"].to_pylist()]
-        old = batch[text_col].to_pylist()
-        new = [k.decode("utf-8", "ignore") if h else o for k, h, o in zip(cut["kept"].to_pylist(), hit, old)]
-        columns = {c: batch[c] for c in names} | {text_col: pa.array(new, pa.string())}
+        columns = dict(zip(names, batch.columns))  # by place: the input may have any names
+        old, spans = columns[text_col], batch.column(len(names))
+        cut = next(_cut(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), old, spans], ["doc_id", "text", "spans"])])))
+        new = [o if not s else k.decode("utf-8", "ignore") for k, s, o in zip(cut["kept"].to_pylist(), pc.list_value_length(cut["spans"]).to_pylist(), old.to_pylist())]
+        hit = pc.greater(pc.list_value_length(cut["spans"]), 0)
+        columns[text_col] = pa.array(new, pa.string())
         if "n_chars" in columns:
-            columns["n_chars"] = pa.array([len(n) if h else c for n, h, c in zip(new, hit, batch["n_chars"].to_pylist())], batch["n_chars"].type)
-        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+            kind = columns["n_chars"].type
+            columns["n_chars"] = pc.if_else(hit, pc.utf8_length(columns[text_col]).cast(kind), columns["n_chars"])
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cores: tuple[int, ...] = CORES) -> DataFrame:
     """All rows with all their columns; repeated strings are gone from the text, and n_chars, if there, follows it."""
     C.prepare(docs.sparkSession)
-    found = repeats(X.keyed(docs, id_col, text_col), window, core).withColumnsRenamed({"id": "__id", "mark": "__mark", "spans": "__spans"})
-    named = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID)), "__mark": F.hash(text_col)})
-    return named.join(found, ["__id", "__mark"], "left").drop("__id", "__mark").mapInArrow(partial(_replace, text_col, docs.columns), docs.schema)
+    found = repeats(X.keyed(docs, id_col, text_col), window, cores)
+    i, mark, spans = C.unused(docs.columns, 3)
+    named = docs.withColumns(dict(zip((i, mark), X.key(id_col, text_col))))
+    joined = named.join(found.toDF(i, mark, spans), [i, mark], "left").drop(i, mark)
+    return joined.mapInArrow(partial(_replace, text_col, docs.columns), docs.schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

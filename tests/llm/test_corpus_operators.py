@@ -225,27 +225,65 @@ def byte_rows(df):
     return collections.Counter(tuple(r) for r in df.select("doc_id", "n_bytes", gone, F.size("spans"), F.sha2("kept", 256)).collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"window": 60, "core": 20}])
+@pytest.mark.parametrize("options", [{}, {"window": 60, "cores": (20, 40, 52)}])
 def test_suffix_dedup_equals_brute_force(docs, texts, options):
     assert byte_rows(suffix_dedup.suffix_dedup(docs, **options)) == brute_bytes(texts, options.get("window", 200))
 
 
-@pytest.mark.parametrize("how", ["shards", "prints"])
-def test_crowded_cores_and_many_shards_give_the_same(docs, texts, monkeypatch, how):
-    if how == "prints":
-        monkeypatch.setattr(suffix_dedup.repeats, "__kwdefaults__", {"hot": 1, "shard_bytes": 1 << 20})
-    else:
-        monkeypatch.setattr(suffix_dedup.repeats, "__kwdefaults__", {"hot": 10**6, "shard_bytes": 150})
-    assert byte_rows(suffix_dedup.suffix_dedup(docs, window=60, core=20)) == brute_bytes(texts, 60)
+@pytest.mark.parametrize("options", [{"shard_bytes": 150, "shards": 10**6}, {"shard_bytes": 150, "shards": 2}, {"shard_bytes": 1, "shards": 1}])
+def test_large_groups_and_many_shards_give_the_same(docs, texts, monkeypatch, options):
+    monkeypatch.setattr(suffix_dedup.repeats, "__kwdefaults__", options)
+    assert byte_rows(suffix_dedup.suffix_dedup(docs, window=60, cores=(20, 40, 52))) == brute_bytes(texts, 60)
+
+
+def template(n, share=6):
+    """Texts that differ but for a passage in the middle, in pairs that share more around it; and periodic texts."""
+    rnd = random.Random(5)
+    passage = "this passage stands in the middle of every text and is a hot key for all"
+    around = [" ".join(f"w{rnd.randint(0, 10**5)}" for _ in range(40)) for _ in range(n)]
+    rows = [(k, f"{around[k // 2 if k % share == 0 else k]} {passage} {around[k]}") for k in range(n)]
+    return rows + [(n + k, "ab " * (60 + 7 * k)) for k in range(20)] + [(n + 50 + k, "z" * (300 + 11 * k)) for k in range(20)]
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 4000, "shards": 2}])
+def test_a_passage_that_many_texts_share(spark, monkeypatch, options):
+    rows = template(300)
+    monkeypatch.setattr(suffix_dedup.repeats, "__kwdefaults__", {**suffix_dedup.repeats.__kwdefaults__, **options})
+    assert byte_rows(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=100, cores=(30, 70, 90))) == brute_bytes(rows, 100)
+
+
+@pytest.mark.parametrize("limit", [1 << 13, 400])
+def test_words_that_many_texts_share(spark, monkeypatch, limit):
+    rows = template(300)
+    monkeypatch.setattr(block_dedup.repeats, "__kwdefaults__", {"group_words": limit})
+    assert word_rows(block_dedup.block_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_words(rows, 20)
+
+
+def test_very_long_and_periodic_texts(spark):
+    rnd = random.Random(6)
+    long = " ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(200_000))
+    rows = [(1, long), (2, long[:700_000]), (3, "aé" * 600_000), (4, "xy " * 400_000), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], sum(x["b"] - x["a"] for x in r["spans"])) for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == {1: (len(long), 700_000), 2: (700_000, 700_000), 3: (1_800_000, 1_800_000), 4: (1_200_000, 1_200_000), 5: (0, 0)}
+    words_of = {i: len(split(t)) for i, t in rows}
+    got = {r["doc_id"]: (r["n_words"], sum(x["b"] - x["a"] for x in r["spans"])) for r in block_dedup.block_dedup(df).collect()}
+    cut = words_of[2] - (split(long)[words_of[2] - 1] != split(long[:700_000])[-1])
+    assert got == {1: (words_of[1], 0), 2: (words_of[2], cut), 3: (1, 0), 4: (400_000, 399_999), 5: (0, 0)}
 
 
 def test_remove_repeats_keeps_columns(docs, empty):
+    docs = docs.withColumns({"_0": F.lit(1), "spans": F.lit(2), "runs": F.lit(3)})
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.filter("n_chars <> length(text)").count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def joined(pieces):
+    return suffix.joined(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64))
+
+
 def test_suffix_kernels_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(60):
@@ -253,14 +291,14 @@ def test_suffix_kernels_equal_brute_force():
         alphabet = rnd.choice([b"ab", b"abcdefgh", b"a"])
         pieces = [bytes(rnd.choice(alphabet) for _ in range(rnd.randint(0, 200))) for _ in range(rnd.randint(1, 4))]
         pieces.append(pieces[0][:150] + b"zz" + pieces[0][10:])
-        text, _ = suffix.joined(pieces)
+        text, _ = joined(pieces)
         order, place, head = suffix.suffix_array(text, k)
         raw = text.tobytes()
         assert all(raw[a : a + k] <= raw[b : b + k] for a, b in zip(order, order[1:]))
         n = collections.Counter(raw[i : i + k] for i in range(len(raw) - k + 1))
         got = suffix.repeated_starts(text, order, place, head, k)
         assert all(got[i] == (n[raw[i : i + k]] > 1) for i in range(len(raw) - k + 1))
-        other, _ = suffix.joined([bytes(rnd.choice(alphabet) for _ in range(100)), pieces[0][5:]])
+        other, _ = joined([bytes(rnd.choice(alphabet) for _ in range(100)), pieces[0][5:]])
         at = np.arange(max(0, len(text) - k + 1))
         found = suffix.found_in(text, at, other, suffix.suffix_array(other, k)[0], k)
         assert found.tolist() == [raw[i : i + k] in other.tobytes() for i in at]
@@ -292,9 +330,9 @@ def word_rows(df):
     return collections.Counter(tuple(r) for r in df.select("doc_id", "n_words", gone, F.sha2(F.col("kept").cast("binary"), 256)).collect())
 
 
-@pytest.mark.parametrize("hot", [10**6, 1])
-def test_block_dedup_equals_brute_force(docs, texts, monkeypatch, hot):
-    monkeypatch.setattr(block_dedup.repeats, "__kwdefaults__", {"hot": hot, "shard_bytes": 1 << 20})
+@pytest.mark.parametrize("limit", [1 << 13, 1])
+def test_block_dedup_equals_brute_force(docs, texts, monkeypatch, limit):
+    monkeypatch.setattr(block_dedup.repeats, "__kwdefaults__", {"group_words": limit})
     assert word_rows(block_dedup.block_dedup(docs)) == brute_words(texts, 20)
 
 
