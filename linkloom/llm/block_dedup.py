@@ -4,10 +4,12 @@
    windows meet in one group. Stretches that are equal as wholes are a class; its first place by (document, start) and its
    last one stand for it.
 2. The words of a group's classes are gathered in one task. It indexes the non-overlapping blocks of BLOCK words of every
-   piece, and probes the index with every rolling block. A hit on a block that stands earlier is extended word by word to both
-   sides, to the maximal exact repeat; only the leftmost of the hits in one repeat is extended. All windows within a repeat
-   start earlier, so their words go. Two equal windows hold an indexed block at the same offset, so none is missed.
-3. A group of more than GROUP_WORDS is dealt out anew by longer runs of words, so hits stay few for each word.
+   piece, and probes the index with every rolling block. Of the indexed places of a block, a hit takes the earliest around
+   which the window's words stand, and is extended from the block word by word to both sides, to the maximal exact repeat;
+   only the leftmost of the hits in one repeat is extended. All windows within a repeat start earlier, so their words go. Two
+   equal windows hold an indexed block at the same offset, so none is missed; and each window takes one place, so the work
+   does not grow with the number of places of a block.
+3. A group of more than GROUP_WORDS is dealt out anew by longer runs of words.
 4. Spans are brought back to the texts, which lose those words.
 
 Defined results: words are runs of anything but ASCII white space. Null texts and texts of fewer words than a window lose
@@ -37,25 +39,7 @@ BLOCK = 10
 CORES = (6, 14, 18)
 SHARD_BYTES = 1 << 20
 #: Words of a group; a larger one is dealt out anew.
-GROUP_WORDS = 1 << 13
-#: Hits looked at in one go.
-HITS = 1 << 20
-
-
-def hits(key: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(probe, anchor) pairs with equal keys, as indices into `key`, about HITS at a time."""
-    index = np.flatnonzero(anchor)
-    index = index[np.argsort(key[index], kind="stable")]
-    low, high = np.searchsorted(key[index], key, "left"), np.searchsorted(key[index], key, "right")
-    probe = np.flatnonzero(high > low)
-    low, n = low[probe], (high - low)[probe]
-    ends = np.cumsum(n)
-    first = 0
-    while first < len(probe):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
-        s = slice(first, last)
-        yield np.repeat(probe[s], n[s]), index[X.ranges(low[s], n[s])]
-        first = last
+GROUP_WORDS = 1 << 18
 
 
 def reach(word: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
@@ -75,32 +59,49 @@ def earlier_windows(spans: W.Spans, group: np.ndarray, doc: np.ndarray, start: n
     """At which words of pieces a window begins that also begins earlier in the pieces of its group. The pieces' words lie end
     to end; group, document and first word are given for each piece."""
     first, n = spans.first, len(spans.hash)
-    flags = np.zeros(n, bool)
+    step = np.zeros(n + 1, np.int64)
     place, key = W.windows(spans, block)
     piece = np.searchsorted(first, place, "right") - 1
-    key = W.mixed(key ^ W.mixed(group[piece].astype(np.uint64)))
-    inner = place - first[piece]
-    at = start[piece] + inner
-    index_of = np.full(n + 1, -1)  # of the block that starts at a word
-    index_of[place] = np.arange(len(place))
-    step = np.zeros(n + 1, np.int64)
-    for q, p in hits(key, inner % block == 0):
-        before = (doc[piece[p]] < doc[piece[q]]) | ((doc[piece[p]] == doc[piece[q]]) & (at[p] < at[q]))
-        q, p = q[before], p[before]
-        left = np.where((inner[p] >= block) & (inner[q] >= block), index_of[np.maximum(place[q] - block, 0)], -1)
-        there = index_of[np.maximum(place[p] - block, 0)]
-        leftmost = (left < 0) | (key[left] != key[there])
-        q, p = q[leftmost], p[leftmost]
-        back = reach(spans.hash, place[q] - 1, place[p] - 1, -1, np.minimum(inner[q], inner[p]))
-        ends = first[piece + 1]
-        room = np.minimum(ends[q] - place[q], ends[p] - place[p])
-        on = reach(spans.hash, place[q], place[p], 1, room)
+    tag = W.mixed(group.astype(np.uint64))
+    key = key ^ tag[piece]
+    index = np.unique(key[(place - first[piece]) % block == 0])
+    hit = W.repeated(key)  # else an anchor hits itself
+    hit[hit] = index[np.minimum(np.searchsorted(index, key[hit]), len(index) - 1)] == key[hit]
+    total = np.zeros(n + 1, np.int64)
+    total[place[hit] + 1] = 1
+    total = np.cumsum(total)
+    # windows around a hit, and the earliest place of the index around which the same words stand
+    at, key = W.windows(spans, window)
+    near = total[np.minimum(at + window - block + 1, n)] > total[at]
+    at, key = at[near], key[near]
+    piece = np.searchsorted(first, at, "right") - 1
+    key = key ^ tag[piece]
+    where = start[piece] + at - first[piece]
+    order = np.lexsort((where, doc[piece], key))
+    at, key, piece, where = at[order], key[order], piece[order], where[order]
+    head = np.append(True, key[1:] != key[:-1])[: len(key)]
+    least = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else order
+    later = (doc[piece[least]] < doc[piece]) | (where[least] < where)
+    p, q = at[least][later], at[later]
+    order = np.argsort(q)
+    p, q = p[order], q[order]
+    done = np.zeros(n, bool)
+    while len(q):
+        # the leftmost of the hits in one repeat is extended from its anchor, the first block of the index in its window
+        leftmost = np.append(True, (q[1:] != q[:-1] + 1) | (p[1:] != p[:-1] + 1) | (np.searchsorted(first, q[1:], "right") != np.searchsorted(first, q[:-1], "right")))
+        a, b = q[leftmost], p[leftmost]
+        mine, other = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "right") - 1
+        ahead = -(b - first[other]) % block
+        x, y = a + ahead, b + ahead
+        back = reach(spans.hash, x - 1, y - 1, -1, np.minimum(x - first[mine], y - first[other]))
+        on = reach(spans.hash, x, y, 1, np.minimum(first[mine + 1] - x, first[other + 1] - y))
         long = back + on >= window
-        a = (place[q] - back)[long]
-        np.add.at(step, a, 1)
-        np.add.at(step, a + (back + on)[long] - window + 1, -1)
-    flags |= np.cumsum(step[:-1]) > 0
-    return flags
+        np.add.at(step, (x - back)[long], 1)
+        np.add.at(step, (x + on)[long] - window + 1, -1)
+        done[a] = True
+        rest = ~done[q] & ~(np.cumsum(step[:-1]) > 0)[q]  # after two windows with one hash, if any
+        p, q = p[rest], q[rest]
+    return np.cumsum(step[:-1]) > 0
 
 
 def _shards(window: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,96 +28,107 @@ def octets(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `depth` bytes (or more), each suffix's place among them, and which suffixes of the
-    array differ from the one before in those bytes.
+def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The suffixes at `starts` sorted by their first `depth` bytes or more (`depth` bytes follow each start); which of them
+    differ from the one before in those bytes; which differ already in the bytes before the last refinement; their number.
 
-    The first sort takes eight bytes. Each refinement then sorts only the groups that are still tied, by the group of the
-    suffix that lies as far ahead as the text is sorted so far, which doubles that length.
+    The first sort takes eight bytes. Each refinement then sorts only the groups that are still tied, by the groups of the
+    suffixes that lie one and two times as far ahead as the text is sorted so far, which makes three times that length (of a
+    text of 2**21 bytes or more, by one, which makes two times). It drops the suffixes that no later one looks at.
     """
     n = len(text)
+    times = 3 if n < (1 << 21) - 1 else 2
+    bits = np.uint64(64 // times)
+    steps = [8]
+    while steps[-1] < depth:
+        steps.append(steps[-1] * times)
+    asked = [np.zeros(1, np.int64)]  # by refinement: how far from a start its suffixes lie
+    for h in reversed(steps[1:-1]):
+        ahead = (asked[0][:, None] + h * np.arange(times)).reshape(-1)
+        asked.insert(0, np.unique(ahead[ahead < depth]))
     key = octets(text)[:n]
     order = np.argsort(key)
     ranked = key[order]
     head = np.append(True, ranked[1:] != ranked[:-1])
-    group = np.empty(n + 1, np.int64)  # of each suffix: the place of its group's first member
-    group[n] = -1
-    heads = np.flatnonzero(head)
-    group[order] = heads[np.cumsum(head) - 1]
-    h = 8
-    while h < depth:
-        alone = head & np.append(head[1:], True)
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
-            break
-        who = order[tied]
-        own = group[who]
-        ahead = group[np.minimum(who + h, n)] + 1
-        key = (own << 32) | ahead
-        by = np.argsort(key)
-        who, key = who[by], key[by]
-        order[tied] = who
-        fresh = np.append(True, key[1:] != key[:-1])
-        head[tied] = fresh
-        start = np.flatnonzero(fresh)
-        group[who] = tied[start][np.cumsum(fresh) - 1]
-        h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place, head
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, place: np.ndarray, head: np.ndarray, depth: int, strips: int = 4096) -> np.ndarray:
-    """For each suffix (by its place in the text), the bytes that it has in common with the one before it in the array, up
-    to `depth`.
-
-    Kasai's rule: a suffix has at least one byte less in common than the suffix one place to its left in the text. It holds
-    where that one's order is strict; suffixes that are tied have `depth` bytes in common. The text is taken in strips that
-    move ahead in step.
+    group = np.zeros(n + 1, np.uint64)  # of each suffix: its group's number, in order; 0 behind the end
+    group[order] = np.cumsum(head)
+    coarse = head
+    for h, lie in zip(steps[:-1], asked):
+        wanted = np.zeros(n, bool)
+        for x in lie:
+            wanted[starts + x] = True
+        order = order[wanted[order]]
+        own = group[order]
+        coarse = np.append(True, own[1:] != own[:-1])[: len(order)]
+        head = coarse.copy()
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if len(tied):
+            who = order[tied]
+            key = np.cumsum(head)[tied].astype(np.uint64)
+            for k in range(1, times):
+                key = (key << bits) | group[np.minimum(who + k * h, n)]
+            by = np.argsort(key)
+            order[tied], key = who[by], key[by]
+            head[tied] = np.append(True, key[1:] != key[:-1])
+        fresh = np.cumsum(head)
+        group[order] = fresh
+    if len(steps) == 1:
+        order = order[np.isin(order, starts)]
+        own = group[order]
+        head = np.append(True, own[1:] != own[:-1])[: len(order)]
+        coarse = np.arange(len(order)) == 0
+    return order, head, coarse, steps[-2] if len(steps) > 1 else 0
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, head: np.ndarray, coarse: np.ndarray, known: int, depth: int, strips: int = 4096) -> np.ndarray:
+    """For each suffix of the array, the bytes that it has in common with the one before it, up to `depth`, where it has at
+    least `known` (0 elsewhere).
+
+    Kasai's rule: a suffix has at most one byte less in common than the suffix one place to its left in the text. It holds
+    where that one's order is strict and the array has the suffix behind its neighbour. The text is taken in strips that move
+    ahead in step.
     """
     n = len(text)
+    out = np.where(head, 0, depth)
+    at = np.flatnonzero(head & ~coarse)  # places in the array of those that are to be compared
+    at = at[np.argsort(order[at])]
+    me, other = order[at], order[at - 1]
+    held = np.zeros(n + 1, bool)
+    held[order] = True
+    carry = np.append(False, (me[1:] == me[:-1] + 1) & held[other[:-1] + 1])[: len(me)]
     eight = octets(text)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    before = np.where(place > 0, order[place - 1], -1)
-    tied = ~head[place]
-    out = np.zeros(n, np.int32)
-    width = -(-n // strips)
-    at = np.arange(0, n, width)
-    have = np.zeros(len(at), np.int64)
+    found = np.zeros(len(me), np.int64)
+    width = max(1, -(-len(me) // strips))
+    strip = np.arange(0, len(me), width)
+    have = np.full(len(strip), known)
     for t in range(width):
-        i = at + t
-        if i[-1] >= n:
-            i, have = i[:-1], have[: len(i) - 1]
-            at = at[:-1]
-        j = before[i]
-        have = np.where(have >= depth, 0, np.maximum(have - 1, 0))
-        have[j < 0] = 0
-        have[tied[i]] = depth
-        live = np.flatnonzero((j >= 0) & (have < depth))
+        i = strip + t
+        if len(i) and i[-1] >= len(me):
+            i, have, strip = i[:-1], have[:-1], strip[:-1]
+        have = np.where(carry[i] & (t > 0), np.maximum(have - 1, known), known)
+        live = np.flatnonzero(have < depth)
         while len(live):
-            a, b = np.minimum(i[live] + have[live], n), np.minimum(j[live] + have[live], n)
-            same = (eight[a] == eight[b]) & (np.maximum(a, b) + 8 <= n)
+            differ = eight[np.minimum(me[i[live]] + have[live], n)] ^ eight[np.minimum(other[i[live]] + have[live], n)]
+            same = differ == 0
             have[live[same]] += 8
             rest = live[~same]
-            if len(rest):  # the last bytes one by one
-                x, y = i[rest] + have[rest], j[rest] + have[rest]
-                on = np.ones(len(rest), bool)
-                for k in range(8):
-                    on &= (np.maximum(x, y) + k < n) & (padded[np.minimum(x + k, n)] == padded[np.minimum(y + k, n)])
-                    have[rest] += on
+            if len(rest):  # the equal bytes before the first that differs
+                have[rest] += (differ[~same].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
             live = live[same]
             live = live[have[live] < depth]
         np.minimum(have, depth, out=have)
-        out[i] = have
+        found[i] = have
+    out[at] = found
     return out
 
 
-def repeated_starts(text: np.ndarray, order: np.ndarray, place: np.ndarray, head: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes begin with `depth` bytes that another suffix of the text begins with."""
-    lcp = common_prefixes(text, order, place, head, depth)[order] >= depth
+def repeated_starts(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the starts, and which places of the text are starts whose `depth` bytes another one has too."""
+    order, head, coarse, known = suffix_array(text, starts, depth)
+    lcp = common_prefixes(text, order, head, coarse, known, depth) >= depth
     out = np.zeros(len(text), bool)
-    out[order] = lcp | np.append(lcp[1:], False)
-    return out
+    out[order] = lcp | np.append(lcp[1:], False)[: len(lcp)]
+    return order, out
 
 
 def found_in(text: np.ndarray, starts: np.ndarray, other: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:

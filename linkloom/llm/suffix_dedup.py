@@ -42,7 +42,7 @@ SHARDS = 4
 
 @dataclass
 class Shard:
-    """Pieces end to end with gaps between, their suffix array, and the places where a repeated window starts."""
+    """Pieces end to end with gaps between, the suffix array of their windows, and the places where a repeated one starts."""
 
     rows: pa.RecordBatch
     text: np.ndarray
@@ -53,9 +53,7 @@ class Shard:
     @staticmethod
     def of(rows: pa.RecordBatch, window: int) -> Shard:
         text, edges = S.joined(*C.text_of(rows["piece"]))
-        order, place, head = S.suffix_array(text, window)
-        flags = S.repeated_starts(text, order, place, head, window)
-        flags &= ~W.covered(len(text), edges[1:] - window, window)  # windows with a gap in them are none
+        order, flags = S.repeated_starts(text, X.ranges(edges[:-1], rows["size"].to_numpy().astype(np.int64)), window)
         return Shard(rows, text, edges, order, flags)
 
     def verdict(self) -> pa.RecordBatch:

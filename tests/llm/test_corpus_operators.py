@@ -252,7 +252,7 @@ def test_a_passage_that_many_texts_share(spark, monkeypatch, options):
     assert byte_rows(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=100, cores=(30, 70, 90))) == brute_bytes(rows, 100)
 
 
-@pytest.mark.parametrize("limit", [1 << 13, 400])
+@pytest.mark.parametrize("limit", [1 << 18, 400])
 def test_words_that_many_texts_share(spark, monkeypatch, limit):
     rows = template(300)
     monkeypatch.setattr(block_dedup.repeats, "__kwdefaults__", {"group_words": limit})
@@ -287,20 +287,25 @@ def joined(pieces):
 def test_suffix_kernels_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(60):
-        k = rnd.choice([5, 8, 20, 31])
+        k = rnd.choice([5, 8, 20, 31, 100])
         alphabet = rnd.choice([b"ab", b"abcdefgh", b"a"])
         pieces = [bytes(rnd.choice(alphabet) for _ in range(rnd.randint(0, 200))) for _ in range(rnd.randint(1, 4))]
         pieces.append(pieces[0][:150] + b"zz" + pieces[0][10:])
         text, _ = joined(pieces)
-        order, place, head = suffix.suffix_array(text, k)
         raw = text.tobytes()
-        assert all(raw[a : a + k] <= raw[b : b + k] for a, b in zip(order, order[1:]))
-        n = collections.Counter(raw[i : i + k] for i in range(len(raw) - k + 1))
-        got = suffix.repeated_starts(text, order, place, head, k)
-        assert all(got[i] == (n[raw[i : i + k]] > 1) for i in range(len(raw) - k + 1))
+        starts = np.array([i for i in range(len(raw) - k + 1) if rnd.random() < 0.8], np.int64)
+        order, head, coarse, known = suffix.suffix_array(text, starts, k)
+        assert sorted(order.tolist()) == starts.tolist() and all(raw[a : a + k] <= raw[b : b + k] for a, b in zip(order, order[1:]))
+        lcp = suffix.common_prefixes(text, order, head, coarse, known, k, strips=rnd.choice([1, 3, 4096]))
+        for a, b, have in zip(order, order[1:], lcp[1:]):
+            real = next((x for x in range(k) if raw[a + x] != raw[b + x]), k)
+            assert have == real or (have == 0 and real < known), (have, real)
+        n = collections.Counter(raw[i : i + k] for i in starts)
+        got = suffix.repeated_starts(text, starts, k)[1]
+        assert all(got[i] == (n[raw[i : i + k]] > 1) for i in starts)
         other, _ = joined([bytes(rnd.choice(alphabet) for _ in range(100)), pieces[0][5:]])
         at = np.arange(max(0, len(text) - k + 1))
-        found = suffix.found_in(text, at, other, suffix.suffix_array(other, k)[0], k)
+        found = suffix.found_in(text, at, other, suffix.suffix_array(other, np.arange(len(other) - k + 1), k)[0], k)
         assert found.tolist() == [raw[i : i + k] in other.tobytes() for i in at]
 
 
@@ -330,7 +335,7 @@ def word_rows(df):
     return collections.Counter(tuple(r) for r in df.select("doc_id", "n_words", gone, F.sha2(F.col("kept").cast("binary"), 256)).collect())
 
 
-@pytest.mark.parametrize("limit", [1 << 13, 1])
+@pytest.mark.parametrize("limit", [1 << 18, 1])
 def test_block_dedup_equals_brute_force(docs, texts, monkeypatch, limit):
     monkeypatch.setattr(block_dedup.repeats, "__kwdefaults__", {"group_words": limit})
     assert word_rows(block_dedup.block_dedup(docs)) == brute_words(texts, 20)
