@@ -96,6 +96,27 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def brute_longest(text, items):
+    """The longest common run of words with an item, among places where one of its windows stands."""
+    find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    w, best, places = find(text), [], set()
+    every = [(str(name), find(t)) for name, t in items]
+    for _, i in every:
+        k = min(10, len(i))
+        windows = {tuple(i[a : a + k]) for a in range(len(i) - k + 1)} if k else set()
+        places |= {a for a in range(len(w) - k + 1) if k and tuple(w[a : a + k]) in windows}
+    for name, i in every:
+        for p in places:
+            for q in range(len(i)):
+                n = next((k for k in range(len(i) - q) if p + k == len(w) or w[p + k] != i[q + k]), len(i) - q)
+                if n:
+                    best.append((-n, p, name, q))
+    if not best:
+        return ()
+    n, p, name, q = min(best)
+    return name, q, p, -n
+
+
 ITEMS = [(1, "ba ban barel basti"), (2, "one"), (3, ""), (4, None), (5, "é中🙂 àé"), (6, "zz zz"), (7, "one")]
 
 
@@ -103,13 +124,11 @@ ITEMS = [(1, "ba ban barel basti"), (2, "one"), (3, ""), (4, None), (5, "é中
 def test_contamination_equals_brute_force(spark, docs, texts, block):
     items = ITEMS + [(8, texts[2][1][30:200]), (9, texts[6][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    source = docs if block > 100 else docs.filter("doc_id NOT IN (7, 100)")  # blocks are brought together by id
-    got = decontaminate.find_matches(source, bench, block_bytes=block).collect()
-    rows = [(r["doc_id"], r["text"]) for r in source.collect()]
-    want = collections.Counter((i, *[tuple(x) if isinstance(x, list) else x for x in brute_hits(t, items)]) for i, t in rows)
-    assert collections.Counter((r["doc_id"], r["n_words"], sum(s["last"] - s["first"] for s in r["spans"]), tuple(sorted(r["items"]))) for r in got) == want
-    clean = decontaminate.decontaminate(source, bench, block_bytes=block)
-    assert clean.columns == docs.columns and clean.count() == sum(not brute_hits(t, items)[2] for _, t in rows)
+    got = decontaminate.find_matches(docs, bench, block_bytes=block).collect()
+    want = collections.Counter((i, *[tuple(x) if isinstance(x, list) else x for x in brute_hits(t, items)], *brute_longest(t, items)) for i, t in texts)
+    assert collections.Counter((r["doc_id"], r["n_words"], sum(s["last"] - s["first"] for s in r["spans"]), tuple(r["items"]), *(tuple(r["longest"]) if r["longest"] else ())) for r in got) == want
+    clean = decontaminate.decontaminate(docs, bench, block_bytes=block)
+    assert clean.columns == docs.columns and clean.count() == sum(not brute_hits(t, items)[2] for _, t in texts)
 
 
 def test_contamination_without_items_or_texts(spark, docs, empty):
@@ -121,10 +140,12 @@ def test_contamination_without_items_or_texts(spark, docs, empty):
 
 def test_longest_match_and_place(spark, texts):
     t = texts[2][1]
-    item = " ".join(t.split()[5:40])
-    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
-    r = decontaminate.find_matches(df, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
-    assert (r["longest_item"], r["longest_at"], r["longest_words"]) == ("1", 5, 35)
+    rows = [(1, t), (2, "a b c d e f g h i j k"), (None, t), (None, t), (1, t)]
+    items = [(1, " ".join(t.split()[5:40])), (2, "a b c d e f g h i j Q b c d e f g h i j k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1 << 20, 20):
+        got = decontaminate.find_matches(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+        assert collections.Counter((r["doc_id"], *r["longest"]) for r in got) == {(1, "1", 0, 5, 35): 2, (None, "1", 0, 5, 35): 2, (2, "2", 0, 0, 10): 1}
 
 
 # near duplicates
