@@ -1,10 +1,11 @@
 """Near-duplicate detection by fast similarity sketches, banding and exact verification (operator 3).
 
 1. Every text becomes the set of its word shingles, and a sketch of SKETCH bins (see sketch.py), cut into bands.
-2. Texts with the same set are one class, whose least id stands for it; only classes go on.
+2. Texts with the same set are one class, whose least id and signature stand for it; only classes go on.
 3. Classes with an equal band share a bucket. Buckets with the same members count once.
 4. All pairs in a bucket are verified on their full sets, a block of members against a block, by a product of 0/1
-   matrices. Only a spanning star of each group of linked members leaves the task, so no list of pairs is ever made.
+   matrices. Blocks are bounded by members and by shingles. Only a spanning star of each group of linked members leaves the
+   task, so no list of pairs is ever made.
 5. Connected components of the stars give each class, and so each row, its component.
 
 Rows of the sketch per band are chosen so that a pair at the threshold is missed with a chance below MISS; above the
@@ -12,7 +13,8 @@ threshold it falls fast. A shingle is a 54-bit hash: two sets of 1,000 shingles
 
 Defined results: A-Z are lower-cased; words are split at ASCII white space. Null texts and texts without words have an
 empty set and are linked with nothing. A text with fewer words than a shingle is one shingle. Equal rows are linked.
-Rows without an id are linked with nothing and kept. Other columns are ignored (`dedup` keeps them).
+Rows of one id are each a text of their own; texts are linked by what they hold, never by a shared id. Rows without an id are
+linked with nothing and kept. Other columns are ignored (`dedup` keeps them).
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ SKETCH = 240
 MISS = 1e-8
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Members of a bucket in a block; a larger bucket is compared block by block in different tasks.
+#: Members, and shingles, of a block; a larger bucket is compared block by block in different tasks.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 #: Columns of a 0/1 matrix held at once.
 COLUMNS = 4096
 
@@ -60,8 +63,8 @@ def _sketch(k: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         signs = [_signature(sets[a:b]) for a, b in zip(first[:-1], first[1:])]
         of = pa.array(np.arange(len(bands) + 1) * bands.shape[1], pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(np.diff(first)), pa.array([x[0] for x in signs], pa.int64()), pa.array([x[1] for x in signs], pa.int64()), pa.ListArray.from_arrays(of, pa.array(bands.reshape(-1)))],
-            ["doc_id", "n_shingles", "sign_a", "sign_b", "bands"],
+            [batch["doc_id"], batch["mark"], pa.array(np.diff(first)), pa.array([x[0] for x in signs], pa.int64()), pa.array([x[1] for x in signs], pa.int64()), pa.ListArray.from_arrays(of, pa.array(bands.reshape(-1)))],
+            ["doc_id", "mark", "n_shingles", "sign_a", "sign_b", "bands"],
         )
 
 
@@ -113,9 +116,10 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars of linked members of each run of rows with the same (band, i, j)."""
     held: tuple | None = None
-    docs: list[int] = []
+    docs: list[tuple[int, int]] = []
     sets: list[np.ndarray] = []
-    out: set[tuple[int, int]] = set()
+    out: set[tuple[tuple[int, int], tuple[int, int]]] = set()
+    node = pa.struct([("doc", pa.int64()), ("sign", pa.int64())])
 
     def close() -> None:
         if len(docs) > 1:
@@ -126,10 +130,11 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     def flush() -> pa.RecordBatch:
         pairs = sorted(out)
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
+        ends = [pa.StructArray.from_arrays([pa.array([p[e][k] for p in pairs], pa.int64()) for k in (0, 1)], fields=list(node)) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["u", "v"])
 
     for batch in batches:
-        for key, doc, items in zip(zip(*(batch[c].to_pylist() for c in ("band", "i", "j"))), batch["doc"].to_pylist(), batch["items"].to_pylist()):
+        for key, doc, items in zip(zip(*(batch[c].to_pylist() for c in ("band", "i", "j"))), zip(batch["doc"].to_pylist(), batch["sign"].to_pylist()), batch["items"].to_pylist()):
             if key != held:
                 close()
                 held, docs, sets = key, [], []
@@ -141,41 +146,50 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield flush()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+def _linked_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) for every row; the mark is a hash of the text."""
     C.prepare(docs.sparkSession)
     rows = rows_per_band(percent)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = C.durable(slim.mapInArrow(partial(_sketch, shingle_words, rows), "doc_id long, n_shingles long, sign_a long, sign_b long, bands array<long>"))
+    marked = slim.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    drawn = C.durable(marked.mapInArrow(partial(_sketch, shingle_words, rows), "doc_id long, mark long, n_shingles long, sign_a long, sign_b long, bands array<long>"))
     named = drawn.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
-    raw = classes.select("doc", F.col("sign_a").alias("sign"), F.explode("bands").alias("band"))
-    buckets = raw.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.bit_xor(F.xxhash64("doc", "sign")).alias("all")).filter("n > 1")
-    buckets = buckets.groupBy("n", "least", "all").agg(F.min("band").alias("band")).select("band", "n")
-    members = C.durable(raw.join(buckets, "band"))
+    classes = named.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n_shingles"))
+    raw = classes.select("doc", F.col("sign_a").alias("sign"), "n_shingles", F.explode("bands").alias("band"))
+    buckets = raw.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("doc").alias("least"), F.bit_xor(F.xxhash64("doc", "sign")).alias("all")).filter("n > 1")
+    buckets = buckets.groupBy("n", "total", "least", "all").agg(F.min("band").alias("band")).select("band", "n", "total")
+    members = C.durable(raw.drop("n_shingles").join(buckets, "band"))
 
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = slim.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle_words), "doc long, sign long, items binary").dropDuplicates(["doc", "sign"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc", F.lit(3)), blocks).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("doc", "sign", F.lit(3)), blocks).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))).alias("pair")
     dealt = members.withColumn("blocks", blocks).withColumn("mine", mine).select("band", "doc", "sign", pair).select("band", "doc", "sign", "pair.i", "pair.j")
-    dealt = dealt.join(sets, ["doc", "sign"]).select("band", "i", "j", "doc", "items")
-    stars = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(partial(_verify, percent), "u long, v long")
+    dealt = dealt.join(sets, ["doc", "sign"]).select("band", "i", "j", "doc", "sign", "items")
+    node = "struct<doc:long,sign:long>"
+    stars = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(partial(_verify, percent), f"u {node}, v {node}")
     found = components(stars)
 
-    of_class = classes.select("sign_a", "sign_b", F.col("doc").alias("node")).join(found, "node").select("sign_a", "sign_b", "component")
+    of_class = classes.select("sign_a", "sign_b", F.struct("doc", F.col("sign_a").alias("sign")).alias("node")).join(found, "node").select("sign_a", "sign_b", F.col("component.doc").alias("component"))
     lone = named.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("least"))
     final = lone.join(of_class, ["sign_a", "sign_b"], "left").select("sign_a", "sign_b", F.coalesce("component", "least").alias("component"))
-    rest = drawn.filter(~((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.join(final, ["sign_a", "sign_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(rest)
+    rest = drawn.filter(~((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())).select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.join(final, ["sign_a", "sign_b"]).select("doc_id", "mark", "n_shingles", F.col("component").alias("component_id")).unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    return _linked_rows(docs, id_col, text_col, shingle_words, percent).drop("mark")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows with the least id of their component, with all their columns. Rows that repeat that id all stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    found = _linked_rows(docs, id_col, text_col, shingle_words, percent).filter(F.col("doc_id") != F.col("component_id"))
+    i, mark = C.unused(docs.columns, 2)
+    gone = found.select(F.col("doc_id").alias(i), F.col("mark").alias(mark)).distinct()
+    same = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(mark))
+    return docs.join(gone, same, "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
