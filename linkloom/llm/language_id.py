@@ -1,8 +1,8 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams (operator 7).
 
-Fitting: a bounded, repeatable sample of the labelled rows (SAMPLE rows with the smallest hash of their id) is counted
-by Spark into (language, bin) counts. Those make a matrix of log probabilities, languages x BINS, which is broadcast;
-its size is bounded by the number of languages. Scoring: each chunk of texts becomes sparse (text, bin, count) entries
+Fitting: a bounded, repeatable sample of the labelled rows (SAMPLE rows with the smallest hash of their id, of the LANGUAGES
+most frequent languages among them) is counted by Spark into (language, bin) counts. Those make a matrix of log probabilities,
+languages x BINS, which is broadcast; it has 64 MB at most. Scoring: each chunk of texts becomes sparse (text, bin, count) entries
 and each language's row of the matrix is summed over them. Every whole text is scored where it lies: no shuffle.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled row at all every text
@@ -27,13 +27,15 @@ from .words import mixed
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 20_000
+#: Languages that a model has at most: a row of the matrix takes 256 KB.
+LANGUAGES = 256
 SMOOTHING = 0.5
 
 
 @lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    """Whether each code point is a letter (or a mark that belongs to one)."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+def kinds() -> np.ndarray:
+    """2 for a letter, 1 for a mark, which goes with the letters around it, 0 for any other code point."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +44,9 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.array([len(t) for t in low])
     owner = np.repeat(np.arange(len(low)), size)
-    is_letter = letters()[points.astype(np.int64)]
-    count = np.bincount(owner[is_letter], minlength=len(low))
+    kind = kinds()[points.astype(np.int64)]
+    is_letter = kind > 0
+    count = np.bincount(owner[kind == 2], minlength=len(low))
     points = np.where(is_letter, points, np.uint64(0x20))
     bins, who = [], []
     for n in ORDERS:
@@ -101,8 +104,9 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the languages of the labelled rows, of which at most about `sample` are read."""
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """A model of the labelled rows' languages: of at most about `sample` rows, and their `languages` most frequent ones (of
+    equally frequent ones the first in order)."""
     C.prepare(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
@@ -110,7 +114,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if last is None:
         return Model([], np.empty(0), np.empty((0, BINS)))
     drawn = rows.filter(draw <= last).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = drawn.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    learned = drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    counts = drawn.join(F.broadcast(learned), "lang").mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     place = counts["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()
     full = np.zeros((len(langs), BINS + 1))
