@@ -1,14 +1,19 @@
 """Quality scores by a linear-chain conditional random field over lines (operator 8).
 
 Every line with a word is a node with the label good or bad; its features are its own measures and those of the lines
-next to it. A document's label in training is the label of all its lines. Scoring runs forward-backward over the lines
-of many documents in step and takes the mean of the lines' marginals, weighted by their length.
+next to it. Only documents have labels, so lines are labelled in turns: at first as their document, for a field without a
+link between lines; then as that field finds more likely, if the greater part of the document's text keeps its label. So the
+field learns from good lines in bad documents and the other way round, and its link from where one kind follows the other.
+Scoring runs forward-backward over the lines of many documents in step and takes the mean of the lines' marginals, weighted
+by their length.
 
-The field is fitted on the driver on a bounded sample: SAMPLE labelled documents, with the smallest hash of their id,
-of at most SAMPLE_LINES lines each. Every whole text is scored where it lies: no shuffle.
+The field is fitted on the driver on a bounded sample: of SAMPLE labelled documents with the smallest hash of their id, those
+that together have at most SAMPLE_LINES lines, whole documents in the order of their draw. Every whole text is scored where it
+lies: no shuffle.
 
 Defined results: a text without words (or null) has score 0; with no labelled document every other text has score 0.5.
-A document with several labels counts as good if any of them says so.
+A document with several labels counts as good if any of them says so. A labelled document that alone has more lines than the
+sample is not learned from.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ from .language_id import fold
 from .quality_rules import IS_LETTER, IS_SEPARATOR, IS_SYMBOL, IS_UPPER, table, total
 
 SAMPLE = 4_000
-SAMPLE_LINES = 400
-ROUNDS = 120
+SAMPLE_LINES = 400_000
+#: Steps of gradient ascent at first, and after lines were labelled anew.
+ROUNDS, MORE = 80, 30
+#: Times that lines are labelled anew.
+TURNS = 2
 RATE = 0.15
 DECAY = 1e-3
 THRESHOLD = 0.7
@@ -121,11 +129,14 @@ class Field:
     def __init__(self, centre: np.ndarray, spread: np.ndarray, weight: np.ndarray, link: np.ndarray):
         self.centre, self.spread, self.weight, self.link = centre, spread, weight, link
 
+    def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The chance of each line to be good."""
+        s = with_neighbours((x - self.centre) / self.spread, first) @ self.weight
+        return odds(sum(messages(s, first, self.link)))
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x, size, first = features(data, offsets)
-        s = with_neighbours((x - self.centre) / self.spread, first) @ self.weight
-        forward, backward = messages(s, first, self.link)
-        good = odds(forward + backward)
+        good = self.marginals(x, first)
         length = sums(size, first)
         return np.where(length > 0, sums(size * good, first) / np.maximum(length, 1), 0.0)
 
@@ -134,19 +145,39 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[first])
 
 
-def train(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
-    """Conditional likelihood by gradient ascent (Adam) over all texts at once."""
+def relabelled(field: Field, x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels of lines: the likelier ones, if by them most of the document's text (by the lines' sizes) has the document's
+    label, which else is that of all its lines."""
+    own = np.repeat(label, np.diff(first))
+    new = field.marginals(x, first) > 0.5
+    kept = sums(size * (new == own), first) * 2 > sums(size, first)
+    return np.where(np.repeat(kept, np.diff(first)), new, own)
+
+
+def train(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
+    """A field for lines of which only the documents' labels are known."""
+    lines = np.repeat(label, np.diff(first))
+    field = ascend(x, first, lines, ROUNDS)
+    for _ in range(TURNS):
+        field = ascend(x, first, relabelled(field, x, size, first, label), MORE, field)
+    return field
+
+
+def ascend(x: np.ndarray, first: np.ndarray, lines: np.ndarray, rounds: int, field: Field | None = None) -> Field:
+    """Conditional likelihood of the lines' labels by gradient ascent (Adam) over all texts at once; from a field on, or from
+    nothing and then without a link."""
     centre, spread = x.mean(0), x.std(0) + 1e-3
     x = with_neighbours((x - centre) / spread, first)
     n = np.diff(first)
-    y = np.repeat(label, n).astype(float)
+    y = lines.astype(float)
+    texts = max(len(n), 1)
     share = np.repeat(1 / np.maximum(n, 1), n)[:, None]  # each text counts once, however long
     joined = np.ones(len(x), bool)
     joined[first[1:][n > 0] - 1] = False
     at = np.flatnonzero(joined)  # lines with a line behind them
-    theta = np.zeros(x.shape[1] + 4)
+    theta = np.zeros(x.shape[1] + 4) if field is None else np.concatenate([field.weight, field.link.reshape(-1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, ROUNDS + 1):
+    for k in range(1, rounds + 1):
         weight, link = theta[:-4], theta[-4:].reshape(2, 2)
         s = x @ weight
         forward, backward = messages(s, first, link)
@@ -156,8 +187,9 @@ def train(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
         cell = np.exp(cell - cell.max(1, keepdims=True))
         cell /= cell.sum(1, keepdims=True)
         seen = np.zeros_like(cell)
-        seen[np.arange(len(at)), (3 * y[at]).astype(int)] = 1  # all lines of a text have one label
-        grad = np.concatenate([grad_w, ((seen - cell) * share[at]).sum(0)]) / max(len(label), 1) - DECAY * theta
+        seen[np.arange(len(at)), (2 * y[at] + y[at + 1]).astype(int)] = 1
+        grad = np.concatenate([grad_w, ((seen - cell) * share[at]).sum(0)]) / texts - DECAY * theta
+        grad[-4:] *= field is not None
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Field(centre, spread, theta[:-4], theta[-4:].reshape(2, 2))
@@ -165,24 +197,36 @@ def train(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Field:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches):
-        x, _, first = features(*C.text_of(batch["text"]))
-        rows = [x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(first[:-1], first[1:])]
+        x, size, first = features(*C.text_of(batch["text"]))
+        x = np.column_stack([x, size])
+        rows = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         yield pa.RecordBatch.from_arrays([batch["quality"], pa.array(rows, pa.binary())], ["quality", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
-    """A field fitted to at most `sample` labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field:
+    """A field fitted to at most `sample` labelled documents, which have at most `sample_lines` lines."""
     C.prepare(docs.sparkSession)
+    spark = docs.sparkSession
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(8))
     drawn = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("quality")).orderBy(draw, id_col).limit(sample)
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col).select("quality", "text")
-    got = texts.mapInArrow(_measure, "quality int, x binary").toArrow()
+    drawn = drawn.select(F.col(id_col).alias("id"), "quality", draw.alias("draw"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "id")
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    lines = texts.groupBy("id", "draw").agg(F.sum(newlines).alias("n")).orderBy("draw", "id").collect()
+    chosen, room = [], sample_lines
+    for r in lines:
+        if r["n"] <= room:
+            chosen.append((r["id"],))
+            room -= r["n"]
+    mine = spark.createDataFrame(chosen, f"id {drawn.schema['id'].dataType.simpleString()}")
+    got = texts.join(F.broadcast(mine), "id").select("quality", "text").mapInArrow(_measure, "quality int, x binary").toArrow()
     width = features(np.frombuffer(b"a", np.uint8), np.array([0, 1]))[0].shape[1]
     pairs = sorted((x, q) for x, q in zip(got["x"].to_pylist(), got["quality"].to_pylist()) if x)
     if not pairs:
         return Field(np.zeros(width), np.ones(width), np.zeros(3 * width + 3), np.zeros((2, 2)))
-    each = [np.frombuffer(x).reshape(-1, width) for x, _ in pairs]
-    return train(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), np.array([q > 0 for _, q in pairs]))
+    each = [np.frombuffer(x).reshape(-1, width + 1) for x, _ in pairs]
+    every = np.concatenate(each)
+    return train(every[:, :width], every[:, width], np.concatenate([[0], np.cumsum([len(x) for x in each])]), np.array([q > 0 for _, q in pairs]))
 
 
 def _score(field: Field, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
