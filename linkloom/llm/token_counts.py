@@ -9,7 +9,8 @@ Sections of a document are its lines, each with the newline that ends it. For re
 joins the fields by a separator, encodes the whole, and gives each field's tokens; the separator belongs to the field before.
 
 Defined results: a null or empty text has one section without tokens; a token with only part of a character counts as having
-that character; an empty field has no tokens. Other columns are ignored.
+that character; an empty field has what the separator behind it takes, and nothing if it is the last. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -120,23 +121,16 @@ def count_sections(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id",
     return slim.mapInArrow(partial(_sections, vocab_path, rule), f"doc_id {kind}, section int, first_char long, end_char long, n_tokens long, n_crossing long")
 
 
-def _fields(path: str, rule: str, separator: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fields(path: str, rule: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
-    for batch in batches:
-        records = [[f or "" for f in r] for r in batch["fields"].to_pylist()]
-        texts = [separator.join(r) for r in records]
-        first, end, edges = token_spans(vocab, texts)
-        starts, owner = [], []
-        for k, r in enumerate(records):
-            at = int(edges[k])
-            for f in r:
-                starts.append(at)
-                owner.append(k)
-                at += len(f) + len(separator)
-        section, crosses = attribute(first, end, np.array(starts, np.int64), rule) if starts else (first, first > 0)
+    for batch in C.chunks(batches):
+        first, end, edges = token_spans(vocab, batch["text"].to_pylist())
+        size = np.array(batch["sizes"].to_pylist(), np.int64)  # records x fields
+        starts = (edges[:-1, None] + np.cumsum(size, 1) - size).reshape(-1)
+        section, crosses = attribute(first, end, starts, rule)
         count = np.bincount(section, minlength=len(starts))
         crossing = np.bincount(section[crosses], minlength=len(starts))
-        of = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in records])]), pa.int32())
+        of = pa.array(np.arange(len(size) + 1) * size.shape[1], pa.int32())
         yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(of, pa.array(count.astype(np.int64))), pa.ListArray.from_arrays(of, pa.array(crossing.astype(np.int64)))], ["id", "n_tokens", "n_crossing"])
 
 
@@ -146,8 +140,10 @@ def count_fields(rows: DataFrame, vocab_path: str, id_col: str, fields: list[str
         raise ValueError(f"rule must be one of {RULES}")
     C.prepare(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
-    slim = rows.select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("string") for f in fields]).alias("fields"))
-    return slim.mapInArrow(partial(_fields, vocab_path, rule, separator), f"id {kind}, n_tokens array<long>, n_crossing array<long>")
+    parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    size = [F.length(p) + (len(separator) if k < len(parts) - 1 else 0) for k, p in enumerate(parts)]
+    slim = rows.select(F.col(id_col).alias("id"), F.concat_ws(separator, *parts).alias("text"), F.array(*size).alias("sizes"))
+    return slim.mapInArrow(partial(_fields, vocab_path, rule), f"id {kind}, n_tokens array<long>, n_crossing array<long>")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
