@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from .words import BASE, mixed, powers
 
 #: Pieces up to this many bytes share one array of trees.
 SHORT = 64
@@ -55,32 +57,6 @@ def classes() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x))
-    return out[0], out[1]
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(1 << max(16, int(n).bit_length()))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Starts of the pieces of texts that lie end to end.
 
@@ -102,7 +78,7 @@ def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     lone = np.zeros(n, bool)  # white space right before a text's next sign
     lone[:-1] = white[:-1] & ~white[1:] & ~begin[1:n]
     joined = lone & blank
-    start = run & (~white | True)
+    start = run.copy()
     start[1:] &= ~(joined[:-1] & ~white[1:])
     start |= lone
     quotes = np.flatnonzero((points == 0x27) & start)
@@ -159,13 +135,13 @@ class Vocabulary:
 
     def encode_long(self, piece: bytes) -> np.ndarray:
         """Ids of one piece, by a segment tree of its own."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        ids = array("i", self.byte_id[np.frombuffer(piece, np.uint8)].astype(np.int32).tobytes())
         n = len(ids)
         leaves = 1 << max(0, (n - 1).bit_length())
         shift = leaves.bit_length()
         low = (1 << shift) - 1
         of_pair, none = self.of_pair, 1 << 62
-        tree = [none] * (2 * leaves)
+        tree = array("q", [none]) * (2 * leaves)
 
         def leaf(i: int, j: int) -> int:
             r = of_pair.get(ids[i] << 32 | ids[j])
@@ -175,7 +151,7 @@ class Vocabulary:
             tree[leaves + i] = leaf(i, i + 1)
         for node in range(leaves - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        after, before = array("i", range(1, n)) + array("i", [-1]), array("i", range(-1, n - 1))
 
         def put(i: int, value: int) -> None:
             node = leaves + i
@@ -310,7 +286,7 @@ class Vocabulary:
         if not len(start):
             return start, start, start
         end = np.append(start[1:], len(points))
-        up, down = power_tables(len(points) + 1)
+        up, down = powers(BASE, len(points) + 1)
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mixed(points.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(points)], out=total[1:])
         key = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
