@@ -8,7 +8,7 @@ Each chunk of texts is judged at once by numpy over the UTF-8 bytes; no step loo
 shuffle.
 
 Defined results: a null text counts as empty; a text without words fails the base rules; lines without words are
-dropped without being held against the document; other columns are ignored by the query and kept by `clean`.
+kept without being held against the document; other columns are ignored by the query and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import stretches as X
 from . import words as W
 
 #: Phrases of page furniture; a line of at most `boilerplate_words` words with one of them is boilerplate.
@@ -146,6 +147,14 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, chars_lost long"
 
 
+def _cleaned(data: np.ndarray, line: W.Spans, stays: np.ndarray) -> list[str]:
+    """Texts without the lines that failed."""
+    raw = data.tobytes()
+    pieces = [raw[a:b] for a, b in zip(line.start.tolist(), line.end.tolist())]
+    edge, ok = line.first.tolist(), stays.tolist()
+    return [b"\n".join(p for p, s in zip(pieces[a:b], ok[a:b]) if s).decode() for a, b in zip(edge, edge[1:])]
+
+
 def _scan(rules: Rules, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches):
         data, offsets = C.text_of(batch["text"])
@@ -153,11 +162,7 @@ def _scan(rules: Rules, with_text: bool, batches: Iterator[pa.RecordBatch]) -> I
         out = [batch["doc_id"], *map(pa.array, columns.values())]
         names = ["doc_id", *columns]
         if with_text:
-            raw = data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(line.start.tolist(), line.end.tolist())]
-            edge, ok = line.first.tolist(), stays.tolist()
-            texts = [b"\n".join(p for p, s in zip(pieces[a:b], ok[a:b]) if s).decode() for a, b in zip(edge, edge[1:])]
-            out.append(pa.array(texts, pa.string()))
+            out.append(pa.array(_cleaned(data, line, stays), pa.string()))
             names.append("cleaned")
         yield pa.RecordBatch.from_arrays(out, names)
 
@@ -170,16 +175,39 @@ def quality_rules(docs: DataFrame, *, rules: Rules = Rules(), id_col: str = "doc
     return slim.mapInArrow(partial(_scan, rules, with_text), f"doc_id {kind}, {SCHEMA}" + ", cleaned string" * with_text)
 
 
-def _keep(rules: Rules, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(rules: Rules, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.chunks(batches, text_col):
-        columns, _, _ = judge(*C.text_of(batch[text_col]), rules)
+        data, offsets = C.text_of(batch[text_col])
+        columns, line, stays = judge(data, offsets, rules)
+        cut = np.flatnonzero(columns["kept"] & (columns["n_lines_removed"] > 0))
+        if len(cut):  # the other texts stay as they are
+            text = batch[text_col].to_pylist()
+            for k, new in zip(cut.tolist(), _cleaned(data, _of(line, cut), stays[X.ranges(line.first[cut], line.counts()[cut])])):
+                text[k] = new
+            at = {c: k for k, c in enumerate(batch.schema.names)}
+            whole = list(batch.columns)
+            whole[at[text_col]] = pa.array(text, batch[text_col].type)
+            if "n_chars" in at:
+                touched = np.zeros(batch.num_rows, bool)
+                touched[cut] = True
+                kind = batch["n_chars"].type
+                whole[at["n_chars"]] = pc.if_else(pa.array(touched), pc.utf8_length(whole[at[text_col]]).cast(kind), batch["n_chars"])
+            batch = pa.RecordBatch.from_arrays(whole, batch.schema.names)
         yield batch.filter(pa.array(columns["kept"]))
 
 
-def keep_good(docs: DataFrame, *, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
-    """The rows whose text passes, unchanged, with all their columns."""
+def _of(line: W.Spans, texts: np.ndarray) -> W.Spans:
+    """The lines of some of the texts."""
+    n = line.counts()[texts]
+    at = X.ranges(line.first[texts], n)
+    return W.Spans(line.start[at], line.end[at], line.hash[at], np.concatenate([[0], np.cumsum(n)]))
+
+
+def clean(docs: DataFrame, *, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows whose text passes, with all their columns; lines that failed are gone from the text, and n_chars, if there,
+    follows it. A text without such a line stays as it is."""
     C.prepare(docs.sparkSession)
-    return docs.mapInArrow(partial(_keep, rules, text_col), docs.schema)
+    return docs.mapInArrow(partial(_clean, rules, text_col), docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,9 +177,16 @@ def brute_components(rows, k, percent):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_components_equal_brute_force(docs, texts, k, percent):
-    rows = [(i, t) for i, t in texts if i != 7]  # id 7 has two texts, which makes them one node
-    got = near_dedup.near_duplicates(docs.filter("doc_id <> 7 OR doc_id IS NULL"), shingle_words=k, percent=percent).collect()
-    assert collections.Counter(tuple(r) for r in got) == brute_components(rows, k, percent)
+    got = near_dedup.near_duplicates(docs, shingle_words=k, percent=percent).collect()
+    assert collections.Counter(tuple(r) for r in got) == brute_components(texts, k, percent)
+
+
+def test_an_id_of_two_texts_ties_nothing(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, b), (7, a), (7, b), (7, c)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, shingle_words=3).collect()
+    assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == {(1, 1): 1, (2, 2): 1, (7, 1): 1, (7, 2): 1, (7, 7): 1}
+    assert sorted(map(tuple, near_dedup.dedup(df, shingle_words=3).collect())) == [(1, a), (2, b), (7, c)]
 
 
 def test_near_copies_of_near_copies_are_one_component(spark):
@@ -201,6 +208,9 @@ def test_blocks_of_a_bucket_give_the_same(spark, monkeypatch, docs):
     want = {tuple(r) for r in near_dedup.near_duplicates(docs, shingle_words=3).collect()}
     monkeypatch.setattr(near_dedup, "BLOCK", 1)
     assert {tuple(r) for r in near_dedup.near_duplicates(docs, shingle_words=3).collect()} == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 512)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 50)
+    assert {tuple(r) for r in near_dedup.near_duplicates(docs, shingle_words=3).collect()} == want
 
 
 def test_near_duplicates_of_nothing(empty, docs):
@@ -209,6 +219,21 @@ def test_near_duplicates_of_nothing(empty, docs):
     assert kept.columns == docs.columns and kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_texts_of_over_a_chunk(spark):
+    """Near duplicates, matches and shards of texts of more bytes than a chunk."""
+    rnd = random.Random(8)
+    w = [f"q{rnd.randint(0, 10**6)}" for _ in range(200_000)]
+    other = [*w[:1000], "new", *w[1001:]]
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, "k" * 1_500_000), (4, "k" * 1_500_000), (5, "only this")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, shingle_words=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    items = spark.createDataFrame([(1, " ".join(w[990:1020])), (2, "only this")], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find_matches(df, items).collect()}
+    assert {k: tuple(r["longest"] or ()) for k, r in found.items()} == {1: ("1", 0, 990, 30), 2: ("1", 11, 1001, 19), 3: (), 4: (), 5: ("2", 0, 0, 2)}
+    assert sorted(r["shard"] for r in sharding.shard(df, shards=5).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_sketches_fill_and_estimate():
     rnd = np.random.default_rng(2)
     a = np.unique(rnd.integers(0, 1 << 54, 800, dtype=np.uint64))
@@ -378,6 +403,80 @@ def test_stretches_cover_every_window_once():
 # pipeline
 
 
+def brute_lines(t):
+    """The text without failed lines, or None if it goes: each rule on its own, in plain Python."""
+    lines, kept, lost, size = (t or "").split("\n"), [], 0, 0
+    phrases = "all rights reserved|privacy policy|terms of use|terms of service|cookie policy|use cookies|enable javascript|javascript is disabled|lorem ipsum|subscribe to our|sign up for|log in to|click here|read more|share this|skip to content|back to top|page not found"
+    for n, line in enumerate(lines):
+        w = split(line)
+        letters = [c for c in line if c.isascii() and c.isalpha()]
+        bars = sum(c in "|<>/\\" for c in line)
+        closed = re.search("[.!?:;,…。！？][\"')\\]}»”’*_]*[ \\t-\\r]*$", line)
+        bad = bool(w) and (
+            (not closed and 0 < n < len(lines) - 1 and len(w) < 4)
+            or (bars >= 2 and bars * 4 >= len(w))
+            or (re.search(phrases, line, re.I) and len(w) <= 30)
+            or 100 * sum(any(c in "#*$%&|<>" for c in x) for x in w) > 30 * len(w)
+            or (len(letters) >= 20 and 100 * sum(c.isupper() for c in letters) > 70 * len(letters))
+            or 100 * sum(a == b for a, b in zip(w, w[1:])) > 30 * len(w)
+        )
+        lost, size = lost + len(line) * bool(bad), size + len(line) * bool(w)
+        if not bad:
+            kept.append(line)
+    w = split(t)
+    seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    if len(w) < 20 or 100 * len(hit) > 30 * len(w) or 100 * lost > 30 * size:
+        return None
+    return "\n".join(kept)
+
+
+def brute_cut(rows, k):
+    raw = [t.encode() for _, t in rows]
+    seen = collections.Counter(b[i : i + k] for b in raw for i in range(len(b) - k + 1))
+    out = []
+    for (i, _), b in zip(rows, raw):
+        gone = bytearray(len(b))
+        for a in range(len(b) - k + 1):
+            if seen[b[a : a + k]] > 1:
+                gone[a : a + k] = b"\1" * k
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, docs, texts, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    items = [(1, texts[2][1][30:200]), (2, "one two"), (3, None)]
+    extra = [(200 + k, f"{texts[k][1]}\nclick here\nhome | about | us\n{texts[k + 1][1]}\n\nnavigation") for k in (20, 22, 24)]
+    rows = texts + extra
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = collections.Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in P.run(spark, str(tmp_path)).collect())
+
+    left = [(i, c) for i, t in rows if (c := brute_lines(t)) is not None]
+    assert [t for i, t in left if i == 220][0].count("\n") == 3
+    of = collections.defaultdict(set)  # components by id and set of shingles
+    for n, (i, t) in enumerate(left):
+        w = split(lower(t))
+        of[n] = {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+    least = {n: left[n][0] for n in of if left[n][0] is not None}
+    while True:
+        new = {a: min([least[a], *(least[b] for b in least if 100 * len(of[a] & of[b]) >= 80 * len(of[a] | of[b]))]) for a in least}
+        if new == least:
+            break
+        least = new
+    left = [x for n, x in enumerate(left) if x[0] is None or x[0] == least[n]]
+    left = brute_cut(left, 200)
+    left = [(i, t) for i, t in left if not brute_hits(t, items)[2]]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [(i, tokenizer.encode(t, add_special_tokens=False).ids) for i, t in left]
+    assert got == collections.Counter((i, len(x), tuple(x), tokenizer.decode(x, skip_special_tokens=False)) for i, x in ids) and len(got) > 20
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline as P
 

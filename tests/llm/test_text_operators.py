@@ -4,8 +4,10 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linkloom.llm import bpe, language_id, quality_model, quality_rules, token_counts
@@ -46,10 +48,14 @@ def test_quality_rules_verdicts(spark):
     assert not got[2]["base_failed"] and got[3]["cleaned"] == good and got[1]["cleaned"] == good
 
 
-def test_keep_good_keeps_columns(docs, empty):
-    kept = quality_rules.keep_good(docs)
+def test_clean_removes_lines_then_documents(spark, docs, empty):
+    kept = quality_rules.clean(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    assert quality_rules.keep_good(empty).count() == 0
+    got = {(r["doc_id"], r["text"]): r["n_chars"] for r in kept.collect()}
+    want = {(r["doc_id"], r["cleaned"]) for r in quality_rules.quality_rules(docs, with_text=True).collect() if r["kept"]}
+    assert set(got) == want and all(len(t) == n for (_, t), n in got.items())
+    assert not [t for i, t in got if i == 132 and "menu" in t]
+    assert quality_rules.clean(empty).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +94,25 @@ def test_bpe_long_and_short_trees_agree():
         assert v.decode(v.encode_long(p)) == p.decode()
 
 
+def test_texts_of_over_a_chunk(spark, tokenizer):
+    """Texts of more bytes than a chunk: plain, one unbroken run, one word over and over."""
+    rows = [(1, "plain words, and more. " * 60_000), (2, "ab" * 550_000), (3, "\n" * 1_100_000), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.bpe_encode(df, PATH).collect()}
+    for k, t in rows:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert got[k]["ids"] == ids and got[k]["decoded"] == t
+    tokens = {r["doc_id"]: r["n"] for r in token_counts.count_sections(df, PATH).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert tokens == {k: len(got[k]["ids"]) for k, _ in rows}
+    rules = {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in quality_rules.quality_rules(df).collect()}
+    assert rules == {1: (240_000, True), 2: (1, True), 3: (0, True), 4: (1, True)}
+    model = language_id.Model(["en"], np.zeros(1), np.zeros((1, language_id.BINS)))
+    assert [r["lang_pred"] for r in language_id.identify(df, model).orderBy("doc_id").collect()] == ["en", "en", "und", "en"]
+    width = 16
+    blank = quality_model.Field(np.zeros(width), np.ones(width), np.zeros(3 * width + 3), np.zeros((2, 2)))
+    assert [r["score"] for r in quality_model.score_quality(df, blank).orderBy("doc_id").collect()] == [0.5, 0.5, 0.0, 0.5]
+
+
 def test_bpe_of_nothing(empty):
     assert bpe.bpe_encode(empty, PATH).count() == 0
 
@@ -118,10 +143,38 @@ def test_sections_and_fields_against_brute_force(spark, tokenizer):
             starts.append(char[at])
             at += len(v.token_bytes[i])
         assert got[k] == [(a, b, sum(a <= s < b for s in starts)) for a, b in zip(edges, edges[1:])] or (not t and got[k] == [(0, 0, 0)])
-    fields = spark.createDataFrame([(1, "user", "hello there"), (2, "", None)], "id long, role string, text string")
-    f = {r["id"]: r["n_tokens"] for r in token_counts.count_fields(fields, PATH, "id", ["role", "text"]).collect()}
-    assert sum(f[1]) == len(tokenizer.encode("user\nhello there").ids) and f[1][1] == 2
-    assert sum(f[2]) == len(tokenizer.encode("\n").ids)
+
+
+def share(a, b, s, e):
+    return max(0, min(b, e) - max(a, s))
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_fields_against_brute_force(spark, tokenizer, rule):
+    v = bpe.vocabulary(PATH)
+    rows = [(1, "user", "hello there"), (2, "", None), (3, "", "abc"), (4, "a\n", "\n\nb"), (5, "é中", " 🙂"), (None, "x", ""), (6, "  ", "  y")]
+    for sep in ("\n", "", " :: "):
+        df = spark.createDataFrame(rows, "id long, role string, text string").withColumn("fields", F.lit(1))
+        got = {r["id"]: (r["n_tokens"], r["n_crossing"]) for r in token_counts.count_fields(df, PATH, "id", ["role", "text"], separator=sep, rule=rule).collect()}
+        assert len(got) == len(rows)
+        for i, x, y in rows:
+            text = (x or "") + sep + (y or "")
+            bound = len((x or "") + sep)
+            char = [k for k, c in enumerate(text) for _ in c.encode()]
+            at, count, cross = 0, [0, 0], [0, 0]
+            for t in tokenizer.encode(text, add_special_tokens=False).ids:
+                a, b = char[at], char[at + len(v.token_bytes[t]) - 1] + 1
+                at += len(v.token_bytes[t])
+                mine = [share(a, b, 0, bound), share(a, b, bound, len(text))]
+                to = {"start": int(a >= bound), "end": int(b - 1 >= bound), "most": int(mine[1] > mine[0])}[rule]
+                count[to] += 1
+                cross[to] += all(mine)
+            assert got[i] == (count, cross), (sep, text)
+
+
+def test_token_counts_of_nothing(empty):
+    assert token_counts.count_sections(empty, PATH).count() == 0
+    assert token_counts.count_fields(empty, PATH, "doc_id", ["text", "source"]).count() == 0
 
 
 def test_language_is_learned_and_und_is_kept_apart(spark, docs, empty):
@@ -133,6 +186,10 @@ def test_language_is_learned_and_und_is_kept_apart(spark, docs, empty):
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect()]
     assert {x for x in got if x[0] in (120, 121, 123, 130)} == {(120, "und", 0.0), (121, "und", 0.0), (123, "und", 0.0), (130, "und", 0.0)}
     assert all(0 <= s <= 1 for _, _, s in got) and len(got) == docs.count()
+    marks = spark.createDataFrame([(1, "\u0301 12"), (2, "e\u0301")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify(marks, model).orderBy("doc_id").collect()] == [True, False]
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") < 30, F.concat(F.lit("l"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert language_id.fit(dirty, languages=3).langs == ["en", "l0", "l7"]
     nothing = language_id.fit(empty)
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
@@ -148,15 +205,28 @@ def test_quality_model_on_held_out_labels(spark, docs, empty):
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in got if r["doc_id"] in (120, 121, 123)} == {0.0}
     assert quality_model.score_quality(empty, field).count() == 0
+    long = spark.createDataFrame([(1, "good line of words.\n" * 5), (2, "$$ %%\n" * 900), (3, "$$ %%\n" * 5)], "doc_id long, text string")
+    of = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    few = quality_model.fit(long, of, sample_lines=20)  # document 2 does not fit in
+    assert {r["doc_id"]: r["predicted"] for r in quality_model.score_quality(long, few).collect()} == {1: 1, 2: 0, 3: 0}
     blank = quality_model.fit(empty, labels.limit(0))
     assert {r["score"] for r in quality_model.score_quality(docs.filter("doc_id = 1"), blank).collect()} == {0.5}
 
 
+def test_lines_of_the_other_kind_are_found():
+    rnd = np.random.default_rng(1)
+    n = 60  # every bad document has good lines, every good one a few bad lines
+    kinds = [np.insert(np.full(9, k), rnd.integers(0, 10), [1 - k] * 3) for k in [1, 0] * n]
+    x = np.concatenate([k[:, None] * 2.0 + rnd.normal(0, 0.4, (len(k), 1)) for k in kinds])
+    first = np.concatenate([[0], np.cumsum([len(k) for k in kinds])])
+    field = quality_model.train(x, np.ones(len(x)), first, np.array([True, False] * n))
+    assert ((field.marginals(x, first) > 0.5) == np.concatenate(kinds)).mean() > 0.9
+    assert field.link[0, 0] + field.link[1, 1] > field.link[0, 1] + field.link[1, 0]
+
+
 def test_field_messages_equal_enumeration():
     import itertools
 
-    import numpy as np
-
     rnd = np.random.default_rng(0)
     s, link, first = rnd.normal(size=4), rnd.normal(size=(2, 2)), np.array([0, 3, 3, 4])
     f, b = quality_model.messages(s, first, link)
