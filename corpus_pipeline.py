@@ -2,18 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what is left of docs; all but the last return the columns of documents.
 run() writes every stage's rows as Parquet to the shared folder of spark.checkpoint.dir and reads them again, so a lost
-executor costs no more than the stage at hand.
+executor costs no more than the stage at hand; rows of a stage are deleted once those of the next are written.
 
-Stages: documents that fail the line-first rules go; of each group of near duplicates (5-word shingles, similarity 0.8) the
-least id stays; byte strings of 200 that occur twice go from the texts; documents that hold a window of a benchmark item go;
-what is left is encoded, and decoded again.
+Stages: lines that fail the line rules go, then documents that fail the base rules or lost too much; of each group of near
+duplicates (5-word shingles, similarity 0.8) the least id stays; byte strings of 200 that occur twice go from the texts;
+documents that hold a window of a benchmark item go; what is left is encoded, and decoded again.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +20,12 @@ from linkloom.llm import _common as common
 from linkloom.llm.bpe import bpe_encode
 from linkloom.llm.decontaminate import decontaminate
 from linkloom.llm.near_dedup import dedup
-from linkloom.llm.quality_rules import keep_good
+from linkloom.llm.quality_rules import clean
 from linkloom.llm.suffix_dedup import remove_repeats
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    return clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +42,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_roundtrip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded)."""
-    coded = bpe_encode(docs, VOCABULARY)
+    import public_tokenizers
+
+    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
@@ -64,7 +63,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    before = None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
