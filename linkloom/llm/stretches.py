@@ -138,7 +138,7 @@ def key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """The id and the mark of a row, a 64-bit hash of its text; rows equal in both are copies."""
     text = F.col(text_col)
     nameless = F.lit(NO_ID) + F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 40))
-    return F.coalesce(F.col(id_col).cast("long"), nameless), F.xxhash64(text)
+    return F.coalesce(F.col(id_col).cast("long"), nameless, F.lit(NO_ID)), F.xxhash64(text)  # never null, so joins add no filter
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,10 +167,10 @@ def recurring(rows: DataFrame) -> DataFrame:
 
 def dealt(texts: DataFrame, window: int, cores: tuple[int, ...], limit: int, *, by_word: bool) -> tuple[DataFrame, DataFrame]:
     """Stretches (id, mark, first, size, core, whole) that may hold a repeated window; and their classes (core, whole, n, size,
-    least, most) in groups of at most `limit` units. Classes of a group beyond it are those of its shorter groups instead."""
+    least, most; the two places in order of documents if by_word) in groups of at most `limit` units. Classes of a group beyond it are those of its shorter groups instead."""
     rows = recurring(texts.mapInArrow(partial(_stretches, window, cores[0], by_word), SCHEMA))
     every, classes = rows, None
-    place = F.struct(doc(F.col("id")).alias("doc"), "first", "id", "mark")
+    place = F.struct(doc(F.col("id")).alias("doc"), "first", "id", "mark") if by_word else F.struct("id", "mark", "first")
     for core in [*cores[1:], window, None]:
         found = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.min(place).alias("least"), F.max(place).alias("most"))
         weight = found.groupBy("core").agg(F.sum((F.col("size") + window) * F.least("n", F.lit(2))).alias("weight"))
