@@ -151,3 +151,28 @@ def lemma(word: Column) -> Column:
     for e in reversed(ENDINGS):
         out = F.when(w.endswith(e) & (F.length(w) >= len(e) + 3), F.substring(w, F.lit(1), F.length(w) - len(e))).otherwise(out)
     return out
+
+
+def lemmas(words: Column) -> Column:
+    return F.transform(words, lemma)
+
+
+def base_form_span(text: Column, query: Column) -> Column:
+    """Where a query stands in a text: as it is, in any case; else the first words side by side with the same lemmas; null if
+    neither."""
+    at = F.position(F.lower(query), F.lower(text))
+    words, wanted = F.split(text, " "), F.split(query, " ")
+    n = F.size(wanted)
+    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n)))
+    alike = F.filter(windows, lambda w: lemmas(w) == lemmas(wanted))
+    return F.when(at > 0, F.substring(text, at, F.length(query))).otherwise(F.array_join(F.try_element_at(alike, F.lit(1)), " "))
+
+
+def tagged_values(values: Column, tag: str) -> Column:
+    """` TAG: v. v.` of an array of values; nothing of an empty one."""
+    return F.when(F.size(values) > 0, F.concat(F.lit(f" {tag}: "), F.array_join(values, ". "), F.lit("."))).otherwise(F.lit(""))
+
+
+def raw_texts(texts: Column) -> Column:
+    """` RAW: a. b.` of what was read from images."""
+    return F.concat(F.lit(" RAW: "), F.array_join(texts, ". "), F.lit("."))

@@ -113,3 +113,14 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def f1(p: Column, r: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6)
+
+
+def score_vectors(candidates: DataFrame, keys: DataFrame, scored: DataFrame, width: int) -> DataFrame:
+    """(mention_id, entity_id, vector): for each candidate the scores (doubled) of a mention's first `width` attribute keys, in
+    order. A key that isn't scored, and every key of a candidate that has no scores, is 0; so is what is left of the width.
+
+    candidates: (mention_id, entity_id). keys: (mention_id, key). scored: (mention_id, entity_id, key, score)."""
+    pairs = candidates.join(keys.distinct(), "mention_id", "left").join(scored, ["mention_id", "entity_id", "key"], "left")
+    each = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", (2 * F.coalesce("score", F.lit(0.0))).alias("score")))))
+    some = F.slice(F.transform("x", lambda e: e["score"]), 1, width)
+    return pairs.groupBy("mention_id", "entity_id").agg(each.alias("x")).select("mention_id", "entity_id", F.concat(some, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(some))).alias("vector"))

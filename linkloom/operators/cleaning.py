@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import ranks
+
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """A field that is null, or an empty string, array or map."""
@@ -71,5 +73,11 @@ def restrict_ids(df: DataFrame, key: str, ids: str, known: DataFrame, id_col: st
 def grouped_prefix(df: DataFrame, group: str, first: str, cap: int) -> DataFrame:
     """Whole groups, in order of their first row, while the rows taken before are below cap: (group, n, taken)."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.min(first).alias("at"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("at", group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each group
-    return sizes.withColumn("taken", before < cap).select(group, "n", "taken")
+    before = ranks.running(sizes, [ranks.leading("at")], [F.col("at"), F.col(group)], F.col("n"))
+    return before.withColumn("taken", F.col("before") < cap).select(group, "n", "taken")
+
+
+def null_out(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows with some columns emptied; names that aren't there are passed over."""
+    there = [c for c in df.columns if c in names]
+    return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in there})

@@ -41,11 +41,12 @@ def top_k(scores: DataFrame, by: str, k: int) -> DataFrame:
 
 def gold_ranks(scores: DataFrame, mentions: DataFrame, settings: dict[str, Column]) -> DataFrame:
     """(mention_id, one column for each setting): the gold candidate's rank under each fused score, null if it is no
-    candidate. Counted as the candidates that beat it, so a grid of settings costs one aggregation and no sort."""
-    named = scores.select("*", *[v.alias(f"s_{k}") for k, v in settings.items()])
-    gold = named.join(mentions.withColumnRenamed("gold_id", "entity_id"), PAIR)
-    gold = gold.select("mention_id", F.col("entity_id").alias("g_id"), F.col("pos").alias("g_pos"), *[F.col(f"s_{k}").alias(f"g_{k}") for k in settings])
-    both = mentions.select("mention_id").join(named, "mention_id", "left").join(gold, "mention_id", "left")
+    candidate. Counted as the candidates that beat it, so a grid of settings costs one aggregation and no sort. Only the raw
+    scores are shuffled, once by mention; fused scores are made behind that, on both sides of a join that needs no other."""
+    rows = mentions.join(scores, "mention_id", "left").repartition("mention_id")
+    named = rows.select("mention_id", "gold_id", "entity_id", "pos", *[v.alias(f"s_{k}") for k, v in settings.items()])
+    gold = named.filter(F.col("entity_id") == F.col("gold_id")).select("mention_id", F.col("entity_id").alias("g_id"), F.col("pos").alias("g_pos"), *[F.col(f"s_{k}").alias(f"g_{k}") for k in settings])
+    both = named.join(gold.hint("merge"), "mention_id", "left")
 
     def beats(k: str) -> Column:
         s, g = F.col(f"s_{k}"), F.col(f"g_{k}")
@@ -76,3 +77,14 @@ def best_setting(grid: DataFrame) -> DataFrame:
 def first_unfiltered(ranked: DataFrame, filtered: str) -> DataFrame:
     """(mention_id, rank): the first candidate that no filter removes, or the first of all."""
     return ranked.groupBy("mention_id").agg(F.coalesce(F.min(F.when(~F.col(filtered), F.col("rank"))), F.lit(1)).alias("rank"))
+
+
+def retrieval_fields(*, use_image: bool, use_text: bool, override: str | None = None) -> tuple[str, str, str | None]:
+    """The score columns for retrieval, for disambiguation, and the third one of a run, by what it uses."""
+    if use_image and use_text:
+        fields = ("fused_score", "disambiguation_text_score_before_softmax", "disambiguation_image_score")
+    elif use_image:
+        fields = ("image_score", "disambiguation_image_score", None)
+    else:
+        fields = ("bi_score", "disambiguation_text_score_before_softmax", None)
+    return (override or fields[0], *fields[1:])

@@ -3,6 +3,7 @@ candidate values and gives the values found. Trained models register here under
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,12 @@ def exact(text: Column, values: Column) -> Column:
     return F.filter(values, lambda v: X.is_sublist(v, text))
 
 
+@extractor("first_contained")
+def first_contained(text: Column, values: Column) -> Column:
+    """The first value that a free answer has in it."""
+    return F.slice(F.filter(values, lambda v: F.contains(F.lower(text), v) | F.contains(text, v)), 1, 1)
+
+
 @extractor("model_version")
 def model_version(text: Column, values: Column) -> Column:
     """Values that occur in the text in any case."""
@@ -80,3 +87,29 @@ def best_threshold(rows: DataFrame, score_col: str, label: str, thresholds: list
     sums = rows.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"), *[F.sum(b.cast("int")).alias(f"p{k}") for k, b in enumerate(below)], *[F.sum((b & (F.col(label) == 0)).cast("int")).alias(f"h{k}") for k, b in enumerate(below)])
     cells = [F.struct(F.when(F.coalesce(F.try_divide(f"h{k}", f"p{k}"), F.lit(0.0)) >= least_precision, F.round(F.coalesce(F.try_divide(f"h{k}", "n"), F.lit(0.0)), 6)).otherwise(0.0).alias("recall"), F.lit(-k).alias("place"), F.lit(t).alias("threshold")) for k, t in enumerate(thresholds)]
     return sums.select(F.array_max(F.array(*cells)).alias("b")).select("b.threshold", "b.recall")
+
+
+def hashed_words(text: Column, dims: int) -> Column:
+    """A stand-in for a text encoder: counts of tokens by a hash of theirs (a part of their MD5), `dims` (256 at most) long."""
+    bins = F.transform(X.tokens(text), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int") % dims)
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(bins, lambda b: b == k)).cast("double"))
+
+
+def gaussian_bayes(rows: DataFrame, features: list[str], label: str) -> list[dict]:
+    """Gaussian naive Bayes: for each class its share, means and variances; one row for each class comes back."""
+    each = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("var", F.var_pop))]
+    found = [r.asDict() for r in rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), *each).orderBy("label").collect()]
+    total = sum(r["n"] for r in found)
+    return [{**r, "share": r["n"] / total} for r in found]
+
+
+def log_odds(model: list[dict], features: list[str], floor: float = 1e-9) -> dict:
+    """The log likelihood of each class as a column."""
+    def of(r: dict) -> Column:
+        out = F.lit(math.log(r["share"]))
+        for c in features:
+            v = r[f"var_{c}"] + floor
+            out = out - F.lit(0.5 * math.log(2 * math.pi * v)) - F.pow(F.col(c) - F.lit(r[f"mean_{c}"]), 2) / F.lit(2 * v)
+        return out
+
+    return {r["label"]: of(r) for r in model}

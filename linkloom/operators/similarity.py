@@ -34,6 +34,20 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
+def best_places(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each row of scores the columns of the k best in order, ties by id: those above the k-th score are sorted, and what is
+    left is filled from its equals by id."""
+    by_id = np.argsort(ids, kind="stable")
+    s = s[:, by_id]
+    k = min(k, s.shape[1])
+    last = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+    above, equal = s > last, s == last
+    free = k - above.sum(1, keepdims=True)
+    keep = above | (equal & (np.cumsum(equal, 1) <= free))
+    at = np.nonzero(keep)[1].reshape(len(s), k)  # in order of their ids
+    return by_id[np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)]
+
+
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, *, within: str | None = None, drop_self: bool = True, block: int = BLOCK, places: int = 6) -> DataFrame:
     """(query_id, corpus_id, score, rank): the k most similar corpus vectors by cosine, ties by id. Both sides have (id,
     vector) and, if `within` is given, that column: only vectors that agree in it are compared."""
@@ -57,7 +71,7 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, *, within: str
         qi, ci = q["query_id"].to_numpy(), c["corpus_id"].to_numpy()
         if drop_self:
             s[qi[:, None] == ci[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
+        order = best_places(s, ci, k)
         top = np.take_along_axis(s, order, 1)
         keep = np.isfinite(top)
         return pd.DataFrame({"query_id": np.repeat(qi, order.shape[1])[keep.ravel()], "corpus_id": ci[order][keep], "score": top[keep]})

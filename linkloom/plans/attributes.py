@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import attributes as A
+from ..operators import ranks
 from .registry import query
 from .retrieval import RANKED, ranked
 from .tables import ATTRIBUTES, ENTITIES, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores
@@ -194,12 +195,12 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("place", place.cast("long"))
 
 
-@query("a49_extractor_difference", WITH + GOLD + ", ok AS (SELECT p.*, p.value = g.value AS ok FROM predicted p JOIN gold g USING (mention_id, key)) SELECT a.mention_id, a.key FROM ok a JOIN ok b USING (mention_id, key) WHERE a.extractor = 'exact' AND b.extractor = 'ocr' AND a.ok AND NOT b.ok")
+@query("a49_extractor_difference", WITH + GOLD + " SELECT mention_id, key FROM predicted p JOIN gold g USING (mention_id, key) GROUP BY 1, 2 HAVING bool_or(extractor = 'exact' AND p.value = g.value) AND bool_or(extractor = 'ocr' AND p.value <> g.value)")
 def a49(spark: SparkSession, d: str) -> DataFrame:
     """Attributes that one extractor has right and another wrong."""
     both = predicted(spark, d).join(gold(spark, d).withColumnRenamed("value", "g"), ["mention_id", "key"]).withColumn("ok", F.col("value") == F.col("g"))
-    right = both.filter("extractor = 'exact' AND ok").select("mention_id", "key")
-    return right.join(both.filter("extractor = 'ocr' AND NOT ok"), ["mention_id", "key"], "left_semi")
+    each = both.groupBy("mention_id", "key").agg(F.bool_or((F.col("extractor") == "exact") & F.col("ok")).alias("right"), F.bool_or((F.col("extractor") == "ocr") & ~F.col("ok")).alias("wrong"))
+    return each.filter("right AND wrong").select("mention_id", "key")
 
 
 @query("a55_any_value_right", WITH + GOLD + " SELECT key, round(avg(hit), 6) AS any_right, round(sum(hits) / sum(n), 6) AS each_right FROM (SELECT mention_id, key, max(CASE WHEN p.value = g.value THEN 1.0 ELSE 0 END) AS hit, sum(CASE WHEN p.value = g.value THEN 1.0 ELSE 0 END) AS hits, count(*) AS n FROM predicted p JOIN gold g USING (mention_id, key) GROUP BY 1, 2) GROUP BY 1")
@@ -280,8 +281,8 @@ def p27(spark: SparkSession, d: str) -> DataFrame:
 @query("n05_token_ids", f"WITH {ATTRIBUTES} SELECT key, value, dense_rank() OVER (ORDER BY key, value) AS id FROM (SELECT DISTINCT key, value FROM entity_attributes)")
 def n05(spark: SparkSession, d: str) -> DataFrame:
     """Dense ids of the distinct attribute values."""
-    pairs = entity_attributes(spark, d).select("key", "value").distinct()  # the attribute vocabulary
-    return pairs.withColumn("id", F.dense_rank().over(Window.orderBy("key", "value")).cast("long"))
+    pairs = entity_attributes(spark, d).select("key", "value").distinct()
+    return ranks.places(pairs, [F.col("key"), F.substring("value", 1, 2)], [F.col("value")], "id")
 
 
 @query("n06_padded_token_ids", f"WITH {ATTRIBUTES}, ids AS (SELECT key, value, dense_rank() OVER (ORDER BY key, value) AS id FROM (SELECT DISTINCT key, value FROM entity_attributes)), l AS (SELECT entity_id, list(id ORDER BY id) AS x FROM entity_attributes JOIN ids USING (key, value) GROUP BY 1) SELECT entity_id, array_to_string(list_concat(x, list_transform(range(len(x), 6), lambda i: 0)), ',') AS ids FROM l")

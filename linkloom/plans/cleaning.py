@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cleaning as K
+from ..operators import ranks
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, mentions, scores, table
 
@@ -159,12 +160,12 @@ def f27(spark: SparkSession, d: str) -> DataFrame:
     return one.join(two, "k").filter((F.size(F.array_except("x", "y")) > 0) | (F.size(F.array_except("y", "x")) > 0)).select("k")
 
 
-@query("f28_threshold_rules", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' THEN (l_quantity > 10 AND l_discount < 0.08) ELSE (l_quantity > 40 OR l_tax > 0.05) END AS good FROM lineitem WHERE l_suppkey < 5")
+@query("f28_threshold_rules", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' THEN (l_quantity > 10 AND l_discount < 0.08) ELSE (l_quantity > 40 OR l_tax > 0.05) END AS good FROM lineitem")
 def f28(spark: SparkSession, d: str) -> DataFrame:
     """`and` and `or` rules over several features, chosen by category."""
     both = (F.col("l_quantity") > 10) & (F.col("l_discount") < 0.08)
     either = (F.col("l_quantity") > 40) | (F.col("l_tax") > 0.05)
-    return table(spark, d, "lineitem").filter("l_suppkey < 5").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linestatus") == "O", both).otherwise(either).alias("good"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linestatus") == "O", both).otherwise(either).alias("good"))
 
 
 @query("f31_enough_predictions", "SELECT l_orderkey AS mention_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 5")
@@ -172,10 +173,10 @@ def f31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("mention_id")).agg(F.count("*").alias("n")).filter("n > 5")
 
 
-@query("f33_confident_texts", "SELECT doc_id, string_agg(w, ' ' ORDER BY w) AS words FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w FROM documents)) WHERE length(w) / 20.0 > 0.6 GROUP BY 1")
+@query("f33_confident_texts", "SELECT doc_id, string_agg(w, ' ' ORDER BY w) AS words FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)) WHERE length(w) / 20.0 > 0.6 GROUP BY 1")
 def f33(spark: SparkSession, d: str) -> DataFrame:
     """Entries of a map whose confidence is above a bound."""
-    w = F.array_distinct(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "))
+    w = F.array_distinct(F.split("text", " "))
     m = docs(spark, d).select("doc_id", F.map_filter(F.map_from_arrays(w, F.transform(w, lambda x: F.length(x) / 20.0)), lambda k, v: v > 0.6).alias("m"))
     return m.filter(F.size("m") > 0).select("doc_id", F.array_join(F.array_sort(F.map_keys("m")), " ").alias("words"))
 
@@ -280,8 +281,8 @@ def j40(spark: SparkSession, d: str) -> DataFrame:
 def j41(spark: SparkSession, d: str) -> DataFrame:
     """The i-th bad row is replaced by the i-th spare one."""
     l = table(spark, d, "labels")  # noqa: E741
-    n = F.row_number().over(Window.orderBy("doc_id")).cast("long")  # annotations, which people made
-    bad, spare = l.filter("quality = 0").select("doc_id", n.alias("n")), l.filter("quality = 1").select(F.col("doc_id").alias("new_id"), n.alias("n"))
+    bad, spare = [ranks.places(l.filter(f"quality = {q}").select("doc_id"), [ranks.leading("doc_id")], [F.col("doc_id")], "n") for q in (0, 1)]
+    spare = spare.withColumnRenamed("doc_id", "new_id")
     return bad.join(spare, "n").select("doc_id", "new_id", F.expr("n DIV 10 + 1").alias("bucket"))
 
 
@@ -358,12 +359,14 @@ def w21(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("k", inner).join(n, "source").select("doc_id", (F.col("before") + F.col("k")).alias("place"))
 
 
-@query("w30_annotated_then_shuffled", f"SELECT d.doc_id, row_number() OVER (ORDER BY l.doc_id IS NULL, CASE WHEN l.doc_id IS NULL THEN {draw_sql('d.doc_id', seed=30)} ELSE lpad(CAST(d.doc_id AS VARCHAR), 12, '0') END) AS place FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source = 'src3'")
+@query("w30_annotated_then_shuffled", f"SELECT d.doc_id, row_number() OVER (ORDER BY l.doc_id IS NULL, CASE WHEN l.doc_id IS NULL THEN {draw_sql('d.doc_id', seed=30)} ELSE lpad(CAST(d.doc_id AS VARCHAR), 12, '0') END) AS place FROM documents d LEFT JOIN labels l USING (doc_id)")
 def w30(spark: SparkSession, d: str) -> DataFrame:
-    """The annotated rows in order, then the others shuffled; of one product."""
-    x = docs(spark, d).filter("source = 'src3'").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("a")), "doc_id", "left")
+    """The annotated rows in order, then the others shuffled."""
+    x = docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("a")), "doc_id", "left")
     key = F.when(F.col("a").isNull(), draw("doc_id", seed=30)).otherwise(F.lpad(F.col("doc_id").cast("string"), 12, "0"))
-    return x.select("doc_id", F.row_number().over(Window.orderBy(F.col("a").isNull(), key)).cast("long").alias("place"))
+    x = x.select("doc_id", F.col("a").isNull().alias("other"), key.alias("key"))
+    bucket = F.when(F.col("other"), F.substring("key", 1, 3)).otherwise(F.substring("key", 1, 8))
+    return ranks.places(x, [F.col("other"), bucket], [F.col("key")]).select("doc_id", "place")
 
 
 @query("w31_order_mismatches", "WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source FROM documents), b AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n, source FROM documents) SELECT source, count(CASE WHEN a.doc_id <> b.doc_id THEN 1 END) AS mismatches FROM a JOIN b USING (source, n) GROUP BY 1")
@@ -376,8 +379,8 @@ def w31(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w32_page_numbers", "SELECT doc_id, 264 + (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS page FROM labels WHERE quality = 0")
 def w32(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(Window.orderBy("doc_id"))  # mismatched annotations
-    return table(spark, d, "labels").filter("quality = 0").select("doc_id", (F.lit(264) + F.floor((n - 1) / 10)).cast("long").alias("page"))
+    n = ranks.running(table(spark, d, "labels").filter("quality = 0").select("doc_id"), [ranks.leading("doc_id")], [F.col("doc_id")])
+    return n.select("doc_id", (F.lit(264) + F.floor(F.col("before") / 10)).cast("long").alias("page"))
 
 
 @query("w13_first_last", "SELECT conv_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
@@ -385,9 +388,9 @@ def w13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("u01_union_all", "SELECT doc_id AS id, 'd' AS side FROM documents WHERE doc_id < 100 UNION ALL SELECT item_id, 'b' FROM benchmark")
+@query("u01_union_all", "SELECT doc_id AS id, 'd' AS side FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
 def u01(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("doc_id < 100").select(F.col("doc_id").alias("id"), F.lit("d").alias("side")).unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("side")))
+    return docs(spark, d).select(F.col("doc_id").alias("id"), F.lit("d").alias("side")).unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("side")))
 
 
 @query("u02_difference", "(SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 5)")

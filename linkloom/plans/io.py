@@ -15,10 +15,14 @@ from .tables import MENTIONS, SCORES, mentions, scores, table
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
+    """A new folder that all executors see. Where spark.checkpoint.dir is unset, one of this machine in local mode, as in tests,
+    and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='linkloom-')}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='linkloom-')}")
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,27 +62,38 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
     return sinks.paged(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 10, "source")
 
 
+def image_lists(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Entities with a list of twenty images each, written and read as JSON."""
+    path = place(spark, name)
+    sinks.json_rows(table(spark, d, "embeddings").groupBy(F.expr("vec_id DIV 20").alias("owner")).agg(F.array_sort(F.collect_list("vec_id")).alias("images")), path)
+    return readers.json_lines(spark, path, "owner long, images array<long>")
+
+
 @query("s17_image_rows", "SELECT vec_id AS image, vec_id // 20 AS owner FROM embeddings")
 def s17(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each image of nested entities."""
-    nested = table(spark, d, "embeddings").groupBy(F.expr("vec_id DIV 20").alias("owner")).agg(F.collect_list("vec_id").alias("images"))
-    return nested.select(F.explode("images").alias("image"), "owner")
+    """One row for each image of entities whose file has lists of images."""
+    return image_lists(spark, d, "s17").select(F.explode("images").alias("image"), "owner")
 
 
 @query("s16_first_image", "SELECT vec_id // 20 AS owner, min(vec_id) AS image FROM embeddings GROUP BY 1")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    nested = table(spark, d, "embeddings").groupBy(F.expr("vec_id DIV 20").alias("owner")).agg(F.array_sort(F.collect_list("vec_id")).alias("images"))
-    return nested.select("owner", F.element_at("images", 1).alias("image"))
+    return image_lists(spark, d, "s16").select("owner", F.element_at("images", 1).alias("image"))
 
 
-@query("s15_text_lines", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")
+@query("s15_block_words", "SELECT DISTINCT lower(trim(w)) AS word FROM (SELECT unnest(string_split(p_name || ', ' || p_brand || ',' || p_type, ',')) AS w FROM part) WHERE trim(w) <> ''")
 def s15(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    """Words of a text file with comma-separated lines, which is written first."""
+    path = place(spark, "s15")
+    table(spark, d, "part").select(F.concat("p_name", F.lit(", "), "p_brand", F.lit(","), "p_type").alias("value")).write.text(path)
+    return readers.block_words(spark, path)
+
+
+LINK = '<li><a href="([^"]*)">([^<]*)</a></li>'
 
 
-@query("s24_html_tables", "SELECT page_id, 'k' || page_id AS key, 'v' || (page_id % 7) AS value FROM pages")
+@query("s24_html_tables", f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 1)) AS key, unnest(regexp_extract_all(html, '{LINK}', 2)) AS value, unnest(range(0, len(regexp_extract_all(html, '{LINK}')))) AS n FROM pages)
+ SELECT page_id, replace(key, '&amp;', '&') AS key, arg_max('see ' || trim(replace(value, '&amp;', '&')) || ' now', n) AS value FROM l WHERE trim(value) <> '' GROUP BY 1, 2""")
 def s24(spark: SparkSession, d: str) -> DataFrame:
-    """th/td pairs of HTML tables."""
-    k, v = F.concat(F.lit("k"), F.col("page_id").cast("string")), F.concat(F.lit("v"), (F.col("page_id") % 7).cast("string"))
-    html = F.concat(F.lit("<table><tr><th>"), k, F.lit("</th><td> "), v, F.lit("</td></tr></table>"))
+    """th/td pairs of whole pages, whose lists of links are made tables; cells have tags of their own."""
+    html = F.regexp_replace("html", LINK, "<tr><th>$1</th><td>see <b>$2</b> now</td></tr>")
     return table(spark, d, "pages").select("page_id", F.explode(readers.table_attributes(html)).alias("key", "value"))

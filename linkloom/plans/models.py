@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import scorers
 from .registry import query
 from .tables import SCORES, scores, table
@@ -27,27 +28,31 @@ def v03(spark: SparkSession, d: str) -> DataFrame:
     return scorers.score(c.join(b, ["conv_id", "turn"]), "a", "b", "overlap").select("conv_id", "turn", "score")
 
 
-@query("v04_best_confidence", "WITH w AS (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w FROM documents) SELECT doc_id, w AS text, round(max(length(w)) / 20.0, 6) AS confidence FROM w WHERE length(w) > 1 AND length(w) / 20.0 > 0.5 GROUP BY 1, 2")
+@query("v04_best_confidence", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) SELECT doc_id, w AS text, round(max(length(w)) / 20.0, 6) AS confidence FROM w WHERE length(w) > 1 AND length(w) / 20.0 > 0.5 GROUP BY 1, 2")
 def v04(spark: SparkSession, d: str) -> DataFrame:
     """Texts read with some confidence, each with its best."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("text"))
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("text"))
     w = w.filter(F.length("text") > 1).withColumn("c", F.length("text") / 20.0).filter("c > 0.5")
     return w.groupBy("doc_id", "text").agg(F.round(F.max("c"), 6).alias("confidence"))
 
 
-@query("v05_extract_exact", "SELECT p_partkey, p_brand || '|' || p_name AS found FROM part")
+#: Words that the texts are searched for.
+VALUES = ("the", "of the", "und", "que la", "hello", "thanks", "42")
+PLAIN = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
+
+
+@query("v05_extract_exact", f"WITH t AS (SELECT conv_id, turn, {PLAIN.format('text')} AS t FROM conversations) SELECT conv_id, turn, array_to_string(list_filter({list(VALUES)}, lambda v: contains(t, ' ' || v || ' ')), '|') AS found FROM t")
 def v05(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate values that stand in the text."""
-    p = table(spark, d, "part").withColumn("text", F.concat_ws(" ", F.lit("my"), "p_brand", F.lit("has a"), "p_name", F.lit("inside"))).withColumn("values", F.array("p_brand", F.lit("yellow"), "p_name"))
-    return scorers.extract(p, "text", "values", "exact").select("p_partkey", F.array_join("extracted", "|").alias("found"))
+    """Candidate values whose words stand in a turn's text."""
+    c = table(spark, d, "conversations").withColumn("values", F.array(*[F.lit(v) for v in VALUES]))
+    return scorers.extract(c, "text", "values", "exact").select("conv_id", "turn", F.array_join("extracted", "|").alias("found"))
 
 
-@query("v07_extract_choice", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type END AS found FROM part")
+@query("v07_extract_choice", f"SELECT doc_id, CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in X.NO_ANSWER)} THEN NULL WHEN regexp_extract(text, '^\\s*([A-B])(?:[.):]|\\s*$)', 1) <> '' THEN [source, lang][ascii(regexp_extract(text, '^\\s*([A-B])(?:[.):]|\\s*$)', 1)) - 64] WHEN contains(lower(text), lower(source)) THEN source WHEN contains(lower(text), lower(lang)) THEN lang END AS found FROM documents")
 def v07(spark: SparkSession, d: str) -> DataFrame:
-    """Answers to a prompt with lettered options, parsed."""
-    answer = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("B. "), "p_type")).otherwise(F.lit("not mentioned"))
-    p = table(spark, d, "part").withColumn("answer", answer).withColumn("values", F.array(F.lit("none of it"), "p_type"))
-    return scorers.extract(p, "answer", "values", "choice").select("p_partkey", F.try_element_at("extracted", F.lit(1)).alias("found"))
+    """Whole texts as answers to a prompt with two options, parsed."""
+    p = table(spark, d, "documents").withColumn("values", F.array("source", "lang"))
+    return scorers.extract(p, "text", "values", "choice").select("doc_id", F.try_element_at("extracted", F.lit(1)).alias("found"))
 
 
 LINEAR = f"WITH {SCORES} SELECT mention_id, entity_id, round(0.6 * coalesce(text_score, 0) + 0.3 * coalesce(image_score, 0) + 0.1 * coalesce(desc_score, 0), 6) AS score FROM scores"

@@ -52,12 +52,12 @@ def s02(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", F.concat_ws(". ", "product_name", readers.attribute_text()).alias("text"), F.size("image_path").alias("n_images"))
 
 
-@query("p02_rich_review_text", "SELECT doc_id, source || '. ' || split_part(text, chr(10), 1) || ' RAW: ' || split_part(text, ' ', 1) || '. ' || split_part(text, ' ', 2) || '.' AS review FROM documents")
+@query("p02_rich_review_text", "SELECT doc_id, source || '. ' || text || ' RAW: ' || split_part(text, ' ', 1) || '. ' || split_part(text, ' ', 2) || '.' AS review FROM documents")
 def p02(spark: SparkSession, d: str) -> DataFrame:
     """Review text with what was read from images behind it."""
     raw = F.slice(F.split("text", " "), 1, 2)
     two = F.concat(raw, F.array_repeat(F.lit(""), F.lit(2) - F.size(raw)))
-    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(". "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" RAW: "), F.array_join(two, ". "), F.lit(".")).alias("review"))
+    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(". "), "text", F.lit(" RAW: "), F.array_join(two, ". "), F.lit(".")).alias("review"))
 
 
 @query("p12_reviews_per_product", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
@@ -138,10 +138,10 @@ def f29(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.exists(kinds, lambda c: F.contains("p_type", c))).select("p_partkey")
 
 
-@query("f32_usable_values", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w FROM documents) WHERE length(w) > 1 AND w NOT IN ('the', 'of', 'and', 'la', 'der') AND NOT regexp_matches(w, '^[0-9]+$') GROUP BY 1")
+@query("f32_usable_values", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 1 AND w NOT IN ('the', 'of', 'and', 'la', 'der') AND NOT regexp_matches(w, '^[0-9]+$') GROUP BY 1")
 def f32(spark: SparkSession, d: str) -> DataFrame:
     """Values that are not one character, a stop word or digits."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("w"))
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     return w.filter((F.length("w") > 1) & ~F.col("w").isin("the", "of", "and", "la", "der") & ~F.col("w").rlike("^[0-9]+$")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 

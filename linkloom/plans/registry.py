@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("retrieval", "attributes", "cleaning", "statistics", "training", "scalars", "io", "models", "streams", "records")
+MODULES = ("retrieval", "attributes", "cleaning", "statistics", "training", "scalars", "io", "models", "streams", "records", "mentions")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import fusion, similarity
+from ..operators import fusion, ranks, similarity
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, first_by, mentions, scores, table
 
@@ -444,23 +444,30 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return negatives_by_category(spark, d).filter("NOT same").withColumn("place", place).filter("place <= 2").select("mention_id", "entity_id")
 
 
-POOL = 50
+#: Negatives of another category for each mention.
+OTHERS = 20
 
 
 @query(
     "j22_other_category_negatives",
-    f"""WITH {MENTIONS}, {ENTITIES}, pool AS (SELECT entity_id, category, row_number() OVER (ORDER BY {draw_sql('entity_id', seed=1)}) AS n FROM entities), p AS (SELECT * FROM pool WHERE n <= {POOL}),
- x AS (SELECT m.mention_id, p.entity_id, row_number() OVER (PARTITION BY m.mention_id ORDER BY {draw_sql('m.mention_id', 'p.entity_id', seed=2)}) AS k FROM mentions m JOIN entities g ON g.entity_id = gold_id JOIN p ON p.category <> g.category)
- SELECT mention_id, entity_id FROM x WHERE k <= 5""",
+    f"""WITH {MENTIONS}, {ENTITIES}, place AS (SELECT entity_id, category, row_number() OVER (ORDER BY category, {draw_sql('entity_id', seed=1)}) - 1 AS place FROM entities),
+ c AS (SELECT category, min(place) AS first, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM place GROUP BY 1),
+ m AS (SELECT mention_id, first, n, total - n AS t, CAST(('0x' || substr({draw_sql('mention_id', seed=2)}, 1, 8)) AS BIGINT) AS h FROM mentions JOIN entities g ON g.entity_id = gold_id JOIN c USING (category)),
+ p AS (SELECT mention_id, first, n, (h % t + k * (t // least({OTHERS}, t))) % t AS q FROM (SELECT *, unnest(range(0, least({OTHERS}, t))) AS k FROM m WHERE t > 0))
+ SELECT mention_id, entity_id FROM p JOIN place ON place = CASE WHEN q < first THEN q ELSE q + n END""",
 )
 def j22(spark: SparkSession, d: str) -> DataFrame:
-    """Random negatives of another category: a pool of fixed size is drawn first, so that the theta join stays small."""
-    e = entities(spark, d).select("entity_id", "category")
-    pool = e.orderBy(draw("entity_id", seed=1)).limit(POOL)
-    gold = mentions(spark, d).join(e.withColumnRenamed("entity_id", "gold_id"), "gold_id").select("mention_id", F.col("category").alias("gold_category"))
-    pairs = gold.join(F.broadcast(pool), F.col("category") != F.col("gold_category"))  # POOL rows
-    k = F.row_number().over(Window.partitionBy("mention_id").orderBy(draw("mention_id", "entity_id", seed=2)))
-    return pairs.withColumn("k", k).filter("k <= 5").select("mention_id", "entity_id")
+    """Random negatives of another category. Entities stand in a line, by category and then by a random draw; a mention takes
+    OTHERS places of it (or all), at even steps from a random one on, where its own category's part is left out."""
+    e = entities(spark, d).select("entity_id", "category", draw("entity_id", seed=1).alias("h"))
+    line = ranks.running(e, [F.col("category"), F.substring("h", 1, 3)], [F.col("h")]).withColumnRenamed("before", "place")
+    c = line.groupBy("category").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    c = c.withColumn("t", F.sum("n").over(Window.partitionBy(F.lit(1))) - F.col("n"))  # one row for each category
+    gold = mentions(spark, d).join(e.select(F.col("entity_id").alias("gold_id"), "category"), "gold_id").join(c, "category").filter("t > 0")
+    draws = gold.withColumn("h", F.conv(F.substring(draw("mention_id", seed=2), 1, 8), 16, 10).cast("long")).withColumn("quota", F.least(F.lit(OTHERS), "t"))
+    taken = draws.select("mention_id", "first", "n", "t", "h", F.expr("t DIV quota").alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("k"))
+    taken = taken.withColumn("q", (F.col("h") % F.col("t") + F.col("k") * F.col("step")) % F.col("t"))
+    return taken.select("mention_id", (F.col("q") + F.when(F.col("q") < F.col("first"), 0).otherwise(F.col("n"))).alias("place")).join(line.select("place", "entity_id"), "place").select("mention_id", "entity_id")
 
 
 @query("w18_reshuffled_position", f"WITH {SCORES}, n AS (SELECT mention_id, count(DISTINCT entity_id) AS n FROM scores GROUP BY 1) SELECT mention_id, CAST(('0x' || substr({draw_sql('mention_id', seed=3)}, 1, 8)) AS BIGINT) % (n + 1) AS position FROM n")

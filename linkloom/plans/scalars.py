@@ -38,20 +38,20 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.title_parts(title).alias("t")).select("p_partkey", "t.*")
 
 
-@query("x05_category_path", "SELECT p_partkey, p_type AS second, p_brand AS last FROM part")
+@query("x05_category_path", "SELECT page_id, coalesce(string_split(url, '/')[4], '') AS second, string_split(url, '/')[-1] AS last, len(string_split(url, '/')) AS depth FROM pages")
 def x05(spark: SparkSession, d: str) -> DataFrame:
-    path = F.split(F.concat_ws(" -> ", F.lit("shop"), "p_type", "p_brand"), " -> ")
-    return table(spark, d, "part").select("p_partkey", path[1].alias("second"), F.element_at(path, -1).alias("last"))
+    """Levels of a path: that of an address, as ` -> ` between levels."""
+    path = F.split(F.replace("url", F.lit("/"), F.lit(" -> ")), " -> ")
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.try_element_at(path, F.lit(4)), F.lit("")).alias("second"), F.element_at(path, -1).alias("last"), F.size(path).cast("long").alias("depth"))
 
 
 MODEL_SQL = r"'(?:^|\s)((?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9-]*)'"
 
 
-@query("x06_model_versions", f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all('Canon ' || substr(md5(url), 1, 6) || ' 4K ' || substr(md5(html), 1, 5) || ' x', {MODEL_SQL}, 1), lambda m: lower(m)), lambda m: m NOT IN ({', '.join(repr(m) for m in X.NOT_MODELS)})), ',') AS models FROM pages")
+@query("x06_model_versions", f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, {MODEL_SQL}, 1), lambda m: lower(m)), lambda m: m NOT IN ({', '.join(repr(m) for m in X.NOT_MODELS)})), ',') AS models FROM pages")
 def x06(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of letters and digits, without platform words."""
-    c = F.concat(F.lit("Canon "), F.substring(F.md5(F.col("url").cast("binary")), 1, 6), F.lit(" 4K "), F.substring(F.md5(F.col("html").cast("binary")), 1, 5), F.lit(" x"))
-    return table(spark, d, "pages").select("page_id", F.array_join(X.model_versions(c), ",").alias("models"))
+    return table(spark, d, "pages").select("page_id", F.array_join(X.model_versions(F.col("html")), ",").alias("models"))
 
 
 @query("x07_numeral_match", r"SELECT c_custkey, len(regexp_extract_all(CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_nationkey || ' of ' || c_custkey END, '([0-9]+(?:\.[0-9]+)?)', 1)) > 0 AND len(list_filter(regexp_extract_all(CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_nationkey || ' of ' || c_custkey END, '([0-9]+(?:\.[0-9]+)?)', 1), lambda x: NOT list_contains(regexp_extract_all(c_custkey || ' and ' || (c_custkey % 7), '([0-9]+(?:\.[0-9]+)?)', 1), x))) = 0 AS hit FROM customer")
@@ -64,11 +64,21 @@ def x07(spark: SparkSession, d: str) -> DataFrame:
 SUBLIST = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
 
 
-@query("x08_token_sublist", f"SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS text FROM benchmark WHERE item_id < 10) b ON contains({SUBLIST.format('d.text')}, {SUBLIST.format('b.text')})")
+#: Tokens by which a token list is looked up; a shorter one is looked up by all of its own.
+LOOKUP = 3
+
+
+@query("x08_token_sublist", f"WITH d AS MATERIALIZED (SELECT doc_id, {SUBLIST.format('text')} AS t FROM documents), b AS MATERIALIZED (SELECT item_id, {SUBLIST.format('text')} AS t FROM benchmark) SELECT d.doc_id, b.item_id FROM d JOIN b ON contains(d.t, b.t) WHERE b.t <> '  '")
 def x08(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the first words of ten items, side by side."""
-    b = table(spark, d, "benchmark").filter("item_id < 10").select("item_id", F.substring("text", 1, 60).alias("part"))
-    return docs(spark, d).join(F.broadcast(b), X.is_sublist(F.col("part"), F.col("text"))).select("doc_id", "item_id")  # ten rows
+    """Documents that hold all tokens of an item, side by side: found by the item's first tokens, then verified."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("part"), X.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    b = b.select("item_id", "part", F.least(F.size("t"), F.lit(LOOKUP)).alias("size"), F.array_join(F.slice("t", 1, LOOKUP), " ").alias("head"))
+    sizes = F.sequence(F.lit(1), F.lit(LOOKUP))
+    heads = F.flatten(F.transform(sizes, lambda k: F.transform("t", lambda _, i: F.array_join(F.slice("t", i + 1, k), " "))))
+    lists = docs(spark, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
+    found = lists.select("doc_id", F.explode(F.array_distinct(heads)).alias("head")).join(b.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
+    texts = docs(spark, d).select("doc_id", "text")
+    return found.join(texts, "doc_id").join(b.select("item_id", "part"), "item_id").filter(X.is_sublist(F.col("part"), F.col("text"))).select("doc_id", "item_id")
 
 
 @query("x10_yes_means_key", "SELECT doc_id, CASE WHEN quality = 1 THEN 'quality' WHEN toxic = 1 THEN 'toxic' END AS value FROM labels")
@@ -89,9 +99,9 @@ def x12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.strip_max_height(F.concat("url", F.lit(";maxHeight=640"))).alias("url"))
 
 
-@query("x13_transliterate", "SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS ascii_text FROM documents WHERE lang = 'es'")
+@query("x13_transliterate", "SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS ascii_text FROM documents")
 def x13(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("lang = 'es'").select("doc_id", X.transliterate("text").alias("ascii_text"))
+    return docs(spark, d).select("doc_id", X.transliterate("text").alias("ascii_text"))
 
 
 @query("x14_truncate", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:75], ' ') AS short FROM documents")
@@ -99,22 +109,24 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.truncated(F.col("text"), 75).alias("short"))
 
 
-@query("x15_paragraphs", None)
+@query("x15_paragraphs", r"WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS s FROM documents), k AS (SELECT doc_id, s, unnest(range(0, CAST(ceil(len(s) / 3.0) AS BIGINT))) AS k FROM s) SELECT doc_id, CAST(k AS INT) AS n, array_to_string(s[k * 3 + 1 : k * 3 + 3], ' ') AS paragraph FROM k")
 def x15(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences three at a time; the split looks behind, which the oracle's patterns can't."""
+    """Sentences three at a time."""
     p = docs(spark, d).select("doc_id", F.posexplode(X.paragraphs(F.col("text"), 3)).alias("n", "paragraph"))
     return p.select("doc_id", "n", "paragraph")
 
 
-CHOICES = ["red", "blue", "green"]
+CHOICES = ["the", "que", "der"]
+
+
+CHOICE = " ".join(f"WHEN contains(lower(text), '{c}') THEN '{c}'" for c in CHOICES)
+NONE = " OR ".join(f"contains(lower(text), '{p}')" for p in X.NO_ANSWER)
 
 
-@query("x16_chosen_option", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'blue' WHEN 1 THEN 'green' WHEN 2 THEN 'red' WHEN 5 THEN 'green' END AS choice FROM documents")
+@query("x16_chosen_option", rf"SELECT conv_id, turn, CASE WHEN {NONE} THEN NULL WHEN regexp_extract(text, '^\s*([A-C])(?:[.):]|\s*$)', 1) <> '' THEN ['{CHOICES[0]}', '{CHOICES[1]}', '{CHOICES[2]}'][ascii(regexp_extract(text, '^\s*([A-C])(?:[.):]|\s*$)', 1)) - 64] {CHOICE} END AS choice FROM conversations")
 def x16(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of several forms parsed to an option."""
-    answers = ["B. Blue", "C", "it is red, I think", "not mentioned", "Z. violet", " C) green"]
-    answer = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return docs(spark, d).select("doc_id", X.chosen_option(answer, F.array(*[F.lit(c) for c in CHOICES])).alias("choice"))
+    """Every turn of a conversation read as an answer, and parsed to an option."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.chosen_option(F.col("text"), F.array(*[F.lit(c) for c in CHOICES])).alias("choice"))
 
 
 @query("x19_rule_override", "SELECT doc_id, contains(text, 'this ' || split_part(text, ' ', 3)) AS hit FROM documents")
@@ -199,9 +211,9 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return kv.select("p_partkey", F.col("kv")[0].alias("key"), F.explode(F.split(F.col("kv")[1], ", ")).alias("value"))
 
 
-@query("m01_sigmoid", "SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(l_quantity - 25) / 5)), 6) AS s FROM lineitem WHERE l_suppkey = 1")
+@query("m01_sigmoid", "SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(l_quantity - 25) / 5)), 6) AS s FROM lineitem")
 def m01(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_suppkey = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.round(1 / (1 + F.exp(-(F.col("l_quantity") - 25) / 5)), 6).alias("s"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(1 / (1 + F.exp(-(F.col("l_quantity") - 25) / 5)), 6).alias("s"))
 
 
 @query("m02_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -213,11 +225,11 @@ def m02(spark: SparkSession, d: str) -> DataFrame:
     return e.join(b, "vec_id").select("vec_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("s"), F.round(dot(F.col("x"), F.col("y")), 6).alias("p"))
 
 
-@query("m04_three_way_softmax", "WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, exp(l_tax) AS c, exp(l_discount) AS n, exp(l_quantity / 50) AS e FROM lineitem WHERE l_suppkey = 2) SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * n + e) / (c + n + e), 6) AS s FROM e")
+@query("m04_three_way_softmax", "WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, exp(l_tax) AS c, exp(l_discount) AS n, exp(l_quantity / 50) AS e FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * n + e) / (c + n + e), 6) AS s FROM e")
 def m04(spark: SparkSession, d: str) -> DataFrame:
     """Softmax of three scores, read as 0, a half and 1."""
     c, n, e = F.exp("l_tax"), F.exp("l_discount"), F.exp(F.col("l_quantity") / 50)
-    return table(spark, d, "lineitem").filter("l_suppkey = 2").select("l_orderkey", "l_linenumber", "l_partkey", F.round((0.5 * n + e) / (c + n + e), 6).alias("s"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round((0.5 * n + e) / (c + n + e), 6).alias("s"))
 
 
 @query("m06_contrastive_labels", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 10 + turn % 10 AS label FROM conversations")

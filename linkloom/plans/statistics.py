@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import statistics as S
+from ..operators import ranks
 from .registry import query
 from .retrieval import RANKED, ranked
 from .tables import ENTITIES, MENTIONS, SCORES, entities, mentions, scores, table
@@ -34,7 +35,7 @@ def a22_prior(spark: SparkSession, d: str) -> DataFrame:
 @query("a23_sorted_keys", f"WITH {ALIAS} SELECT alias, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, alias DESC) AS place FROM alias GROUP BY 1")
 def a23(spark: SparkSession, d: str) -> DataFrame:
     n = aliases(spark, d).groupBy("alias").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("alias"))).cast("long"))  # one row for each alias
+    return ranks.places(n, [F.col("n"), F.substring("alias", 1, 2)], [F.desc("alias")], down=True)
 
 
 @query("j25_alias_lookup", f"WITH {ALIAS}, n AS (SELECT alias, category, count(*) AS n FROM alias GROUP BY 1, 2), m AS (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT m.p_partkey, string_agg(category, ',' ORDER BY n DESC, category DESC) AS categories FROM m JOIN n ON n.alias = m.a OR n.alias = m.b GROUP BY 1")
@@ -196,22 +197,22 @@ def a54(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").groupBy(F.split_part("url", F.lit("?"), F.lit(1)).alias("path")).agg(F.count("*").alias("n"), F.min("page_id").alias("owner")).filter("n > 1")
 
 
-@query("a41_best_and_matrix", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 60), s AS (SELECT a.label AS owner, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 2) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT owner, max(s) AS best, string_agg(a || '-' || b, ',' ORDER BY a, b) AS pairs FROM s GROUP BY 1")
+@query("a41_best_and_matrix", "WITH e AS (SELECT vec_id, vec_id // 20 AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.label AS owner, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 2) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT owner, max(s) AS best, string_agg(a || '-' || b, ',' ORDER BY a, b) AS pairs FROM s GROUP BY 1")
 def a41(spark: SparkSession, d: str) -> DataFrame:
-    """Best cosine of a group's vectors and the order of the whole matrix."""
+    """Best cosine of an entity's images (twenty vectors each) and the order of the whole matrix."""
     from ..operators.similarity import cosine
 
-    e = table(spark, d, "embeddings").filter("vec_id < 60").select("label", "vec_id", "embedding")
+    e = table(spark, d, "embeddings").select(F.expr("vec_id DIV 20").alias("label"), "vec_id", "embedding")
     a, b = e.withColumnsRenamed({"vec_id": "a", "embedding": "x"}), e.withColumnsRenamed({"vec_id": "b", "embedding": "y"})
     s = a.join(b, "label").filter("a < b").withColumn("s", F.round(cosine(F.col("x"), F.col("y")), 2))
     g = s.groupBy(F.col("label").alias("owner")).agg(F.max("s").alias("best"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("p"))
     return g.select("owner", "best", F.array_join(F.transform("p", lambda e: F.concat(e["a"].cast("string"), F.lit("-"), e["b"].cast("string"))), ",").alias("pairs"))
 
 
-@query("p22_ocr_texts", "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w FROM documents), r AS (SELECT doc_id, w, length(w) / 20.0 AS conf, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS n FROM w) SELECT doc_id, string_agg(w, ' ' ORDER BY n) AS raw FROM r WHERE n <= 5 OR (n <= 10 AND conf > 0.6) GROUP BY 1")
+@query("p22_ocr_texts", "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), r AS (SELECT doc_id, w, length(w) / 20.0 AS conf, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS n FROM w) SELECT doc_id, string_agg(w, ' ' ORDER BY n) AS raw FROM r WHERE n <= 5 OR (n <= 10 AND conf > 0.6) GROUP BY 1")
 def p22(spark: SparkSession, d: str) -> DataFrame:
     """The five best texts always, up to ten if they are sure enough."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("w")).distinct()
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).distinct()
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("w").desc(), "w"))
     r = w.withColumn("n", n).filter((F.col("n") <= 5) | ((F.col("n") <= 10) & (F.length("w") / 20.0 > 0.6)))
     return r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("x")).select("doc_id", F.array_join(F.transform("x", lambda e: e["w"]), " ").alias("raw"))

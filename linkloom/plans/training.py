@@ -112,14 +112,18 @@ def j35(spark: SparkSession, d: str) -> DataFrame:
     return f.select("mention_id", "gold_id", F.coalesce("negative", before).alias("negative"))
 
 
-@query("j23_first_of_other_category", f"WITH {MENTIONS}, {ENTITIES}, p AS (SELECT entity_id, category, row_number() OVER (ORDER BY {draw_sql('entity_id', seed=23)}) AS n FROM entities), s AS (SELECT * FROM p WHERE n <= 40), x AS (SELECT mention_id, s.entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY n) AS k FROM mentions JOIN entities g ON g.entity_id = gold_id JOIN s ON s.category <> g.category) SELECT mention_id, entity_id FROM x WHERE k <= 3")
+#: Entities that are sampled, and those of other categories that a mention takes.
+SAMPLE, FIRST = 5000, 50
+
+
+@query("j23_first_of_other_category", f"WITH {MENTIONS}, {ENTITIES}, p AS (SELECT entity_id, category, row_number() OVER (ORDER BY {draw_sql('entity_id', seed=23)}) AS n FROM entities), s AS (SELECT * FROM p WHERE n <= {SAMPLE}), x AS (SELECT mention_id, s.entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY n) AS k FROM mentions JOIN entities g ON g.entity_id = gold_id JOIN s ON s.category <> g.category) SELECT mention_id, entity_id FROM x WHERE k <= {FIRST}")
 def j23(spark: SparkSession, d: str) -> DataFrame:
     """A fixed sample of entities; for each mention its first ones of another category. The lists depend on the category
     alone, so they are made once for each."""
     e = entities(spark, d).select("entity_id", "category")
-    sample = e.withColumn("h", draw("entity_id", seed=23)).orderBy("h").limit(40)
+    sample = e.withColumn("h", draw("entity_id", seed=23)).orderBy("h").limit(SAMPLE)
     kinds = e.select(F.col("category").alias("g")).distinct()
-    lists = kinds.join(F.broadcast(sample), F.col("category") != F.col("g"))  # 40 rows
-    lists = lists.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter("k <= 3").select("g", "entity_id")
+    lists = kinds.join(F.broadcast(sample), F.col("category") != F.col("g"))  # SAMPLE rows against one for each category
+    lists = lists.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("k") <= FIRST).select("g", "entity_id")
     gold_of = mentions(spark, d).join(e.select(F.col("entity_id").alias("gold_id"), F.col("category").alias("g")), "gold_id")
     return gold_of.join(lists, "g").select("mention_id", "entity_id")

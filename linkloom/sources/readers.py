@@ -86,11 +86,11 @@ def tuple_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def last_shard(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A folder of shards; of rows with one key that of the last file by name."""
-    x = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
-    names = [c for c in x.columns if c != "__file"]
-    last = x.groupBy(key).agg(F.max_by(F.struct(*names), "__file").alias("r"))
-    return last.select("r.*")
+    """A folder of shards; of rows with one key that of the last file by name, and of several there the greatest one."""
+    x = spark.read.schema(schema).option("multiLine", True).json(path)
+    row = F.struct(*x.columns)
+    ordered = x.select(F.col(key), F.struct(F.input_file_name().alias("file"), F.to_json(row).alias("text"), row.alias("r")).alias("__row"))
+    return ordered.groupBy(key).agg(F.max("__row").alias("m")).select("m.r.*")
 
 
 def block_words(spark: SparkSession, path: str) -> DataFrame:
@@ -101,21 +101,30 @@ def block_words(spark: SparkSession, path: str) -> DataFrame:
 class _Pairs(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
-        self.cell, self.key, self.found = "", "", {}
+        self.cell, self.key, self.parts, self.found = "", "", [], {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.cell = tag if tag in ("th", "td") else self.cell
+        if tag in ("th", "td", "tr", "table"):
+            self.leave()
+            self.cell = tag if tag in ("th", "td") else ""
 
     def handle_endtag(self, tag: str) -> None:
-        self.cell = "" if tag in ("th", "td") else self.cell
+        if tag in ("th", "td", "tr", "table"):
+            self.leave()
 
     def handle_data(self, data: str) -> None:
-        text = data.strip()
+        if self.cell:
+            self.parts.append(data)
+
+    def leave(self) -> None:
+        """The text of a cell is all that stands in it, in whatever tags, with single spaces."""
+        text = " ".join("".join(self.parts).split())
         if self.cell == "th" and text:
             self.key = text
         elif self.cell == "td" and text and self.key:
             self.found[self.key] = text
             self.key = ""
+        self.cell, self.parts = "", []
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -125,6 +134,49 @@ def table_attributes(html: pd.Series) -> pd.Series:
     def one(text: str | None) -> dict[str, str]:
         p = _Pairs()
         p.feed(text or "")
+        p.close()
+        p.leave()
         return p.found
 
     return html.map(one)
+
+
+def gold_entities(spark: SparkSession, path: str, *, image_dir: str = "") -> DataFrame:
+    """(id, images, text, category) of the gold entities of records that have images; of several records of one entity, that
+    of the greatest review."""
+    x = json_array(spark, path, schemas.GOLD_RECORDS).filter("review_image_path IS NOT NULL")
+    images = F.transform("review_image_path", lambda p: F.concat(F.lit(image_dir), p))
+    row = F.struct("review_id", images.alias("images"), F.col("overview_section.description").alias("text"), F.col("product_category").alias("category"))
+    last = x.groupBy(F.col("gold_entity_info.id").alias("id")).agg(F.max(row).alias("r"))
+    return last.select("id", "r.images", "r.text", "r.category")
+
+
+def paired(spark: SparkSession, mentions_path: str, entities_path: str) -> tuple[DataFrame, DataFrame]:
+    """The mentions and the entities of one dataset."""
+    return mentions(spark, mentions_path), entities(spark, entities_path)
+
+
+def keyed_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """JSON lines by key; lines that don't parse are dropped, and of rows with one key the greatest stays."""
+    x = json_lines(spark, path, schema)
+    row = F.struct(*x.columns)
+    return x.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(F.to_json(row).alias("text"), row.alias("r"))).alias("m")).select("m.r.*")
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(review_id, human_predict) of an annotation sheet kept as CSV; rows without an id are dropped."""
+    return spark.read.schema(schemas.ANNOTATIONS).option("header", True).csv(path).filter("review_id IS NOT NULL")
+
+
+def first_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    """(title, text): the first paragraph of each article of JSON lines."""
+    x = json_lines(spark, path, "title string, paragraphs array<string>")
+    return x.select("title", F.try_element_at("paragraphs", F.lit(1)).alias("text"))
+
+
+def cached_vectors(spark: SparkSession, path: str, build) -> DataFrame:
+    """(id, vector) kept as Parquet: built and written if they aren't there yet, read from then on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        build().select("id", "vector").write.mode("overwrite").parquet(path)
+    return spark.read.schema("id long, vector array<double>").parquet(path)

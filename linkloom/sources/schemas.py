@@ -11,3 +11,4 @@ NLI = "review_id long, nli_score map<string,map<string,struct<score:double,nli_l
 QRELS = "TOPIC string, ITERATION int, `DOCUMENT#` string, RELEVANCY int"
 PREDICTIONS = "query_id long, predict_entity_position int, gold_entity_position int, entity_id_list string, order_list string, text_score string, image_score string"
 ANNOTATIONS = "review_id long, human_predict int"
+GOLD_RECORDS = "review_id long, review_image_path array<string>, product_category string, overview_section struct<description:string>, gold_entity_info struct<id:long>"

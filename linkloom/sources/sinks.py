@@ -40,3 +40,13 @@ def paged(df: DataFrame, order: str, per_page: int, group: str) -> DataFrame:
     """Rows with the page that they go on, `per_page` to a page, within each group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return df.withColumn("page", (F.floor((n - 1) / per_page) + 1).cast("int"))
+
+
+def score_table(rows: DataFrame, path: str) -> None:
+    """(guid, label, pred_scores) of an inference run, as Parquet."""
+    rows.select("guid", "label", "pred_scores").write.mode("overwrite").parquet(path)
+
+
+def json_array_file(rows: DataFrame, path: str) -> None:
+    """One JSON array in one file, the form of the record files. A whole file is one value, so this is for small tables."""
+    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -183,3 +183,48 @@ def test_scorer_registry(spark):
         return F.lit(1.0)
 
     assert rows(scorers.score(p, "a", "b", "constant"), "score") == [(1.0,), (1.0,)]
+
+
+def test_best_places_equal_a_full_sort():
+    import numpy as np
+
+    from linkloom.operators.similarity import best_places
+
+    rnd = np.random.default_rng(3)
+    for k in (1, 3, 50):
+        s, ids = rnd.integers(0, 6, (20, 30)).astype(float), rnd.permutation(30)
+        want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        assert (best_places(s, ids, k) == want).all()
+
+
+def test_places_in_two_levels(spark):
+    from linkloom.operators import ranks
+
+    df = spark.range(0, 50_000, 7).select((F.col("id") % 30_011).alias("x"), F.col("id").alias("y"))
+    got = ranks.places(df, [ranks.leading("x")], [F.col("x"), F.col("y")])
+    want = sorted((r["x"], r["y"]) for r in df.collect())
+    assert [(r["x"], r["y"]) for r in got.orderBy("place").collect()] == want
+    assert [r["place"] for r in got.orderBy("place").collect()] == list(range(1, len(want) + 1))
+    down = ranks.running(df, [F.col("x") % 3], [F.desc("x"), F.desc("y")], F.col("y"), down=True)
+    rows_ = sorted(((r["x"], r["y"]) for r in df.collect()), key=lambda r: (-(r[0] % 3), -r[0], -r[1]))
+    before, sums = 0, {}
+    for x, y in rows_:
+        sums[x, y] = before
+        before += y
+    assert {(r["x"], r["y"]): r["before"] for r in down.collect()} == sums
+
+
+def test_cells_with_tags_of_their_own(spark):
+    from linkloom.sources import readers
+
+    html = "<table><tr><th><i>Screen</i> size<td>a <b>bold</b> c<tr><th>B</th><td></td></tr><tr><th>C</th><td>x &amp; y</td></tr></table><td>lone"
+    got = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(readers.table_attributes("h").alias("m")).collect()
+    assert [r["m"] for r in got] == [{"Screen size": "a bold c", "C": "x & y"}, {}, {}]
+
+
+def test_base_forms(spark):
+    from linkloom.functions import text as X
+
+    rows_ = [("Two Cats play", "cat play"), ("the CAT", "cat"), ("dogs", "cat sat"), (None, "x"), ("boxes of things", "box of thing")]
+    got = [r[0] for r in spark.createDataFrame(rows_, "t string, q string").select(X.base_form_span(F.col("t"), F.col("q"))).collect()]
+    assert got == ["Cats play", "CAT", None, None, "boxes of things"]
