@@ -162,7 +162,7 @@ def with_spans(texts: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
 def recurring(rows: DataFrame) -> DataFrame:
     """Stretches whose core occurs again, anywhere."""
     again = rows.groupBy("core").agg(F.count("*").alias("n"), F.max("loops").alias("l")).filter("n > 1 OR l").select("core")
-    return C.durable(rows.join(again, "core", "left_semi"))
+    return C.stored(rows.join(again, "core", "left_semi").drop("loops"))
 
 
 def dealt(texts: DataFrame, window: int, cores: tuple[int, ...], limit: int, *, by_word: bool) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +174,7 @@ def dealt(texts: DataFrame, window: int, cores: tuple[int, ...], limit: int, *,
     for core in [*cores[1:], window, None]:
         found = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.min(place).alias("least"), F.max(place).alias("most"))
         weight = found.groupBy("core").agg(F.sum((F.col("size") + window) * F.least("n", F.lit(2))).alias("weight"))
-        found = C.durable(found.join(weight, "core"))
+        found = C.stored(found.join(weight, "core"))
         fits = F.lit(True) if core is None else F.col("weight") <= limit
         mine = found.filter(fits).drop("weight")
         classes = mine if classes is None else classes.unionByName(mine)
