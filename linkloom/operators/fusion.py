@@ -43,7 +43,7 @@ def gold_ranks(scores: DataFrame, mentions: DataFrame, settings: dict[str, Colum
     """(mention_id, one column for each setting): the gold candidate's rank under each fused score, null if it is no
     candidate. Counted as the candidates that beat it, so a grid of settings costs one aggregation and no sort. Only the raw
     scores are shuffled, once by mention; fused scores are made behind that, on both sides of a join that needs no other."""
-    rows = mentions.join(scores, "mention_id", "left").repartition("mention_id")
+    rows = mentions.join(scores, "mention_id", "left")
     named = rows.select("mention_id", "gold_id", "entity_id", "pos", *[v.alias(f"s_{k}") for k, v in settings.items()])
     gold = named.filter(F.col("entity_id") == F.col("gold_id")).select("mention_id", F.col("entity_id").alias("g_id"), F.col("pos").alias("g_pos"), *[F.col(f"s_{k}").alias(f"g_{k}") for k in settings])
     both = named.join(gold.hint("merge"), "mention_id", "left")
@@ -62,11 +62,27 @@ def recall_at(ranks: DataFrame, column: str, ks: list[int]) -> DataFrame:
     return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(str(k)), 6).alias("recall")) for k in ks])).alias("r")).select("r.*")
 
 
-def grid_recall(ranks: DataFrame, settings: list[str], ks: list[int]) -> DataFrame:
-    """(setting, k, recall) for every setting of a gold_ranks() table."""
-    sums = ranks.agg(*[F.avg(F.when(F.col(s) <= k, 1.0).otherwise(0.0)).alias(f"{s}__{k}") for s in settings for k in ks])
-    cells = [F.struct(F.lit(n).alias("place"), F.lit(s).alias("setting"), F.lit(k).alias("k"), F.round(F.col(f"{s}__{k}"), 6).alias("recall")) for n, s in enumerate(settings) for k in ks]
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+def grid_ranks(scores: DataFrame, mentions: DataFrame, settings: list[dict[str, float]]) -> DataFrame:
+    """(mention_id, place, rank): the gold candidate's rank under the weights of each setting, which all name the same scores.
+    One shuffle of the raw scores by mention; the settings are rows, so the plan is as small for a hundred as for one."""
+    columns = list(settings[0])
+    rows = mentions.join(scores, "mention_id", "left").select("mention_id", "gold_id", "entity_id", "pos", *columns)
+    mine = F.when(F.col("entity_id") == F.col("gold_id"), F.struct("entity_id", "pos", *columns))
+    gold = F.max(mine).over(Window.partitionBy("mention_id"))
+    grid = F.array(*[F.struct(F.lit(n).alias("place"), *[F.lit(float(w[c])).alias(c) for c in columns]) for n, w in enumerate(settings)])
+    each = rows.withColumn("g", gold).withColumn("w", F.explode(grid))
+    s, g = (F.round(reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{side}{c}"), F.lit(MISSING)) * F.col(f"w.{c}") for c in columns]), 6) for side in ("", "g."))
+    behind = (F.col("pos") < F.col("g.pos")) | ((F.col("pos") == F.col("g.pos")) & (F.col("entity_id") < F.col("g.entity_id")))
+    beats = F.when((s > g) | ((s == g) & behind), 1).otherwise(0)
+    return each.groupBy("mention_id", F.col("w.place").alias("place")).agg(F.when(F.max("g.entity_id").isNotNull(), 1 + F.sum(beats)).alias("rank"))
+
+
+def grid_recall(ranks: DataFrame, names: list[str], ks: list[int]) -> DataFrame:
+    """(place, setting, k, recall) for every setting of a grid_ranks() table; the settings' names are in order of their places."""
+    sums = ranks.groupBy("place").agg(*[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(str(k)) for k in ks])
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(str(k)), 6).alias("recall")) for k in ks])
+    named = F.array(*[F.lit(n) for n in names])[F.col("place")]
+    return sums.select("place", named.alias("setting"), F.explode(cells).alias("c")).select("place", "setting", "c.k", "c.recall")
 
 
 def best_setting(grid: DataFrame) -> DataFrame:

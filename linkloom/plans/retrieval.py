@@ -16,10 +16,17 @@ RANKED = f"""WITH {SCORES}, {MENTIONS}, fused AS (SELECT *, round(coalesce(text_
 ranked AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY fused DESC, pos, entity_id) AS rank FROM fused)"""
 
 
+TWO = [{"text_score": r, "image_score": round(1 - r, 1)} for r in RATIOS]
+
+
 def two(ratio: float) -> Column:
     return fusion.fused({"text_score": ratio, "image_score": round(1 - ratio, 1)})
 
 
+def names(settings: list) -> list[str]:
+    return [f"r{n}" for n in range(len(settings))]
+
+
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rank_candidates(scores(spark, d).withColumn("fused", two(0.6)), "fused")
 
@@ -247,16 +254,15 @@ GRID_THREE = " UNION ALL ".join(f"SELECT 'r{n}' AS setting, {n} AS place, {a} AS
 @query("a05_weight_grid", GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_TWO))
 def a05(spark: SparkSession, d: str) -> DataFrame:
     """The first best ratio of text to image score for each k."""
-    settings = {f"r{n}": two(r) for n, r in enumerate(RATIOS)}
-    grid = fusion.grid_recall(fusion.gold_ranks(scores(spark, d), mentions(spark, d), settings), list(settings), [1, 2, 3])
+    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), TWO), names(TWO), [1, 2, 3])
     return fusion.best_setting(grid)
 
 
 @query("a06_weight_grid_three", GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_THREE))
 def a06(spark: SparkSession, d: str) -> DataFrame:
     """The first best weights of three scores; settings with a negative third weight are left out."""
-    settings = {f"r{n}": fusion.fused({"text_score": a, "image_score": b, "desc_score": c}) for n, (a, b, c) in enumerate(THREE)}
-    grid = fusion.grid_recall(fusion.gold_ranks(scores(spark, d), mentions(spark, d), settings), list(settings), [1, 2, 3])
+    settings = [{"text_score": a, "image_score": b, "desc_score": c} for a, b, c in THREE]
+    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), settings), names(settings), [1, 2, 3])
     return fusion.best_setting(grid)
 
 
@@ -265,8 +271,7 @@ def a06(spark: SparkSession, d: str) -> DataFrame:
     GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_TWO).replace("SELECT k, arg_max(setting, (recall, -place)) AS setting, max(recall) AS recall FROM s GROUP BY 1", "SELECT setting, k, recall FROM s WHERE setting IN ('r3', 'r7')"),
 )
 def a07(spark: SparkSession, d: str) -> DataFrame:
-    settings = {"r3": two(0.3), "r7": two(0.7)}
-    grid = fusion.grid_recall(fusion.gold_ranks(scores(spark, d), mentions(spark, d), settings), list(settings), [1, 2, 3])
+    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), [TWO[3], TWO[7]]), ["r3", "r7"], [1, 2, 3])
     return grid.select("setting", "k", "recall")
 
 
@@ -280,9 +285,9 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
 )
 def m10(spark: SparkSession, d: str) -> DataFrame:
     """Fit the ratio on one half of the mentions (one row comes back to the driver) and apply it to the other."""
-    m, settings = mentions(spark, d), {f"r{n}": two(r) for n, r in enumerate(RATIOS)}
-    fit = fusion.best_setting(fusion.grid_recall(fusion.gold_ranks(scores(spark, d), m.filter("mention_id % 2 = 0"), settings), list(settings), [1])).first()["setting"]
-    held = fusion.gold_ranks(scores(spark, d), m.filter("mention_id % 2 = 1"), {fit: settings[fit]})
+    m = mentions(spark, d)
+    fit = fusion.best_setting(fusion.grid_recall(fusion.grid_ranks(scores(spark, d), m.filter("mention_id % 2 = 0"), TWO), names(TWO), [1])).first()["setting"]
+    held = fusion.gold_ranks(scores(spark, d), m.filter("mention_id % 2 = 1"), {fit: two(RATIOS[int(fit[1:])])})
     return held.agg(F.lit(fit).alias("setting"), F.round(F.avg(F.when(F.col(fit) <= 1, 1.0).otherwise(0.0)), 6).alias("recall"))
 
 

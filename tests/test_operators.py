@@ -36,6 +36,14 @@ def test_gold_rank_is_null_for_a_gold_entity_that_is_no_candidate(spark, scored)
     assert sorted(ranks.collect(), key=lambda r: r[0]) == [(1, 3, 1), (2, None, None), (3, None, None)]
 
 
+def test_a_grid_of_ranks_equals_single_settings(spark, scored):
+    mentions = scored.groupBy("mention_id").agg(F.max("entity_id").alias("gold_id"))
+    settings = [{"text_score": a, "image_score": 1 - a} for a in (0.0, 0.3, 1.0)]
+    one = fusion.gold_ranks(scored, mentions, {str(n): fusion.fused(w) for n, w in enumerate(settings)})
+    got = fusion.grid_ranks(scored, mentions, settings)
+    assert {(r["mention_id"], str(r["place"])): r["rank"] for r in got.collect()} == {(r["mention_id"], k): r[k] for r in one.collect() for k in ("0", "1", "2")}
+
+
 def test_gold_ranks_equal_the_window_rank(spark, scored):
     for gold in (10, 11, 12):
         mentions = spark.createDataFrame([(1, gold)], "mention_id long, gold_id long")
