@@ -492,3 +492,12 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     whole = P.run(spark, SF)
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in whole.collect()) == collections.Counter((r["doc_id"], tuple(r["ids"])) for r in docs.collect())
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    import corpus_pipeline as P
+
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"] and got.count() == 0
