@@ -17,6 +17,7 @@ from .quality_rules import op5_quality_rules
 from .sharding import op1_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op9_token_counts
+from .toxicity import op11_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
+    "op11_toxicity": op11_toxicity,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
