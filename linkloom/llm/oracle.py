@@ -55,4 +55,30 @@ r AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * chars_lost <= 30 * size AS kept, n_lines_removed, chars_lost FROM r"""
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op10_block_dedup": OP10}
+def bits(n: int) -> str:
+    """CRC-32 of a list of bytes `b`, a bit at a time, as a list reduced by steps of eight bits."""
+    step = "CASE WHEN {x} % 2 = 1 THEN xor({x} // 2, 3988292384) ELSE {x} // 2 END"
+    x = "y"
+    for _ in range(n):
+        x = f"({step.format(x=x)})" if x == "y" else f"list_transform([{x}], lambda y: {step.format(x='y')})[1]"
+    return x
+
+
+CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda r, x: list_transform([xor(r, x)], lambda y: {bits(8)})[1]), 4294967295)"
+
+OP13 = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, c - c % 5 AS base, {CRC} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT c.c, base, CASE WHEN c.c = base THEN 0 ELSE h END AS h, count(t.p) AS lent FROM c LEFT JOIN t ON t.c = base AND c.c <> base AND t.p <= h GROUP BY ALL),
+s AS (SELECT k.c, t.p AS d, role, text FROM k JOIN t ON t.c = base AND t.p <= lent WHERE lent > 0 UNION ALL SELECT k.c, lent + t.p - h, role, text FROM k JOIN t ON t.c = k.c AND t.p > h),
+path AS (SELECT c, d, string_agg(md5(role) || md5(text), '' ORDER BY d) OVER w AS key, octet_length(encode(text)) AS size FROM s WINDOW w AS (PARTITION BY c ORDER BY d) UNION ALL SELECT c, 0, '', 0 FROM k),
+ends AS (SELECT c, max(d) AS d FROM path GROUP BY 1),
+node AS (SELECT key, d, min(size) AS size, min(c) AS conv_id, count(*) AS n FROM path GROUP BY 1, 2),
+up AS (SELECT node.*, parent.key AS pkey, parent.conv_id AS pid FROM node LEFT JOIN node parent ON node.d > 0 AND parent.d = node.d - 1 AND parent.key = left(node.key, 64 * (node.d - 1))),
+kids AS (SELECT pkey AS key, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT u.key, u.d, v.key AS vkey, v.d AS vd FROM path u JOIN path v ON u.c = v.c AND v.d >= u.d),
+below AS (SELECT p.key, p.d, count(CASE WHEN kids.n IS NULL THEN 1 END) AS leaves, sum((node.n - 1) * node.size) AS saved FROM pairs p JOIN node ON node.key = p.vkey AND node.d = p.vd LEFT JOIN kids ON kids.key = p.vkey AND kids.d = p.vd GROUP BY 1, 2),
+e AS (SELECT key, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM path JOIN ends USING (c, d) GROUP BY 1, 2)
+SELECT up.conv_id, CAST(up.d AS BIGINT) AS depth, pid AS parent_conv_id, up.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN below USING (key, d) LEFT JOIN kids USING (key, d) LEFT JOIN e USING (key, d)"""
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op10_block_dedup": OP10, "op13_prefix_trie": OP13}

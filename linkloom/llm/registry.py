@@ -12,6 +12,7 @@ from .decontaminate import op2_decontamination
 from .language_id import op7_language_id
 from .near_dedup import op3_near_dedup
 from .oracle import ORACLE_SQL
+from .prefix_trie import op13_prefix_trie
 from .quality_model import op8_quality_model
 from .quality_rules import op5_quality_rules
 from .sharding import op1_sharding
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
     "op11_toxicity": op11_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

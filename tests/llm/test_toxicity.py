@@ -107,7 +107,7 @@ def test_passages_and_odd_rows(spark, docs):
     model = toxicity.fit(texts, labels)
     again = toxicity.fit(texts.repartition(7), labels.unionAll(labels).unionAll(spark.createDataFrame([(None, 1), (3, None)], labels.schema)))
     assert np.allclose((model.law.rate, model.law.slope), (again.law.rate, again.law.slope))
-    got = toxicity.score_toxicity(spark.createDataFrame([(1, "abc abc ZORKISH zorkful zorkling abc abc " + "plain " * 50), (2, "plain " * 60), (3, None), (4, ""), (5, "!!"), (None, "zorkish"), (2, "plain " * 60)], "doc_id long, text string"), model).collect()
+    got = toxicity.score_toxicity(spark.createDataFrame([(1, "abc abc ZORKISH zorkful zorkish abc abc " + "plain " * 50), (2, "plain " * 60), (3, None), (4, ""), (5, "!!"), (None, "zorkish"), (2, "plain " * 60)], "doc_id long, text string"), model).collect()
     found = {r["doc_id"]: r for r in got}
     assert len(got) == 7 and found[1]["predicted"] == 1 and [(p["first"], p["last"]) for p in found[1]["passages"]] == [(2, 5)]
     assert found[2]["predicted"] == 0 and found[3]["score"] == found[4]["score"] == found[5]["score"] == min(r["score"] for r in got)
