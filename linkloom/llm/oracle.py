@@ -81,4 +81,15 @@ e AS (SELECT key, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM
 SELECT up.conv_id, CAST(up.d AS BIGINT) AS depth, pid AS parent_conv_id, up.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM up JOIN below USING (key, d) LEFT JOIN kids USING (key, d) LEFT JOIN e USING (key, d)"""
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op10_block_dedup": OP10, "op13_prefix_trie": OP13}
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERMS}') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS j, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERMS}'))) AS term FROM benchmark),
+tf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(w) AS term FROM d) GROUP BY 1, 2),
+s AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s WHERE term IN (SELECT term FROM q) GROUP BY term, big_n),
+p AS (SELECT i, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(len(w) AS BIGINT) * big_n) // l))) AS part FROM tf JOIN df USING (term) JOIN d USING (i), s),
+score AS (SELECT j, item_id, i, CAST(sum(part) AS BIGINT) AS score FROM p JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM score JOIN d USING (i) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op10_block_dedup": OP10, "op12_lexical_search": OP12, "op13_prefix_trie": OP13}

@@ -10,6 +10,7 @@ from .block_dedup import op10_block_dedup
 from .bpe import op6_bpe_roundtrip
 from .decontaminate import op2_decontamination
 from .language_id import op7_language_id
+from .lexical_search import op12_lexical_search
 from .near_dedup import op3_near_dedup
 from .oracle import ORACLE_SQL
 from .prefix_trie import op13_prefix_trie
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
     "op11_toxicity": op11_toxicity,
+    "op12_lexical_search": op12_lexical_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
