@@ -33,16 +33,30 @@ def model_versions(c: Column) -> Column:
     return F.filter(found, lambda m: ~m.isin(*NOT_MODELS))
 
 
-def numerals(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
+#: Numerals: numbers with or without decimals; and those of products, which are letters with a number, or decimals.
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+PRODUCT_NUMBER = r"([a-zA-Z]+[0-9]+\w*|[0-9]+\.[0-9]+)"
 
 
-def numerals_match(value: Column, text: Column) -> Column:
+def numerals(c: Column, form: str = NUMBER) -> Column:
+    return F.regexp_extract_all(c, F.lit(form), F.lit(1))
+
+
+def numerals_match(value: Column, text: Column, form: str = NUMBER) -> Column:
     """Whether all numerals of the value are in the text; false if it has none."""
-    n, t = numerals(value), numerals(text)
+    n, t = numerals(value, form), numerals(text, form)
     return (F.size(n) > 0) & F.forall(n, lambda x: F.array_contains(t, x))
 
 
+#: Short words that are no attribute values.
+STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "in", "is", "it", "no", "of", "on", "or", "the", "this", "to", "with")
+
+
+def usable_value(c: Column) -> Column:
+    """Whether a value says something: more than a sign, no stop word, not digits alone."""
+    return (F.length(c) > 1) & ~c.isin(*STOP_WORDS) & ~c.rlike("^[0-9]+$")
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
 

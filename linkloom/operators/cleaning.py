@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import ranks
+from . import patterns, ranks
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -56,10 +56,12 @@ def fill(base: DataFrame, source: DataFrame, key: str, fields: list[str]) -> Dat
     return joined.withColumns({f: F.when(is_missing(base, f), F.coalesce(F.col(f"__{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}).drop(*[f"__{f}" for f in fields])
 
 
-def has_block_word(text: Column, words: list[str]) -> Column:
-    """Whether a text has one of a list of words between spaces, in any case."""
-    low = F.lower(text)
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, F.concat(F.lit(" "), w, F.lit(" "))))
+def without_block_words(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """The rows whose text has none of the words between spaces, in any case. `words` has (pattern, tokens): a number, and the
+    parts between spaces of a word or phrase."""
+    parts = F.split(F.lower(text), " ")
+    inner = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))  # the first and last have no space on one side
+    return patterns.with_matches(df.withColumn("__parts", inner), words, tokens="__parts").filter(F.size("matches") == 0).drop("matches")
 
 
 def restrict_ids(df: DataFrame, key: str, ids: str, known: DataFrame, id_col: str) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from ..operators import attributes as A
-from ..operators import ranks
+from ..operators import patterns, ranks
 from .registry import query
 from .retrieval import RANKED, ranked
-from .tables import ATTRIBUTES, ENTITIES, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores
+from .tables import ATTRIBUTES, ENTITIES, EXTRACTORS, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores, table
 
 WITH = f"WITH {SCORES}, {MENTIONS}, {PREDICTED}"
 GOLD = ", gold AS (SELECT mention_id, key, value FROM mentions JOIN entity_attributes ON entity_id = gold_id)"
@@ -293,12 +294,64 @@ def n06(spark: SparkSession, d: str) -> DataFrame:
     return l.select("entity_id", F.array_join(padded.cast("array<string>"), ",").alias("ids"))
 
 
-@query("x09_value_in_text", WITH + ", t AS (SELECT mention_id, string_agg(value, ' ' ORDER BY key) AS text FROM predicted WHERE extractor = 'exact' GROUP BY 1) SELECT DISTINCT s.mention_id, a.key, a.value FROM scores s JOIN entity_attributes a USING (entity_id) JOIN t ON t.mention_id = s.mention_id WHERE (' ' || t.text || ' ') LIKE ('% ' || a.value || ' %')")
+PADDED = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
+USABLE = f"length(value) > 1 AND value NOT IN ({', '.join(repr(w) for w in X.STOP_WORDS)}) AND NOT regexp_matches(value, '^[0-9]+$')"
+NUMERALS = r"regexp_extract_all({}, '([a-zA-Z]+[0-9]+\w*|[0-9]+\.[0-9]+)', 1)"
+#: What the mention says: the values that one extractor saw, and the price of that entity.
+SAID = """said AS (SELECT mention_id, string_agg(value, ' ' ORDER BY key) || ' for ' || CAST(any_value(p_retailprice) AS VARCHAR) AS text FROM predicted JOIN seen USING (mention_id, extractor) JOIN part ON p_partkey = seen.entity_id WHERE extractor = '{0}' GROUP BY 1)"""
+
+
+def said(spark: SparkSession, d: str, extractor: str) -> DataFrame:
+    """(mention_id, text): the values that an extractor saw, and the price of their entity."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("mention_id")).agg(F.max(F.struct(*EXTRACTORS[extractor])).alias("m"))
+    priced = x.select("mention_id", F.col("m.l_partkey").alias("p_partkey")).join(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    values = of(spark, d, extractor).groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("x"))
+    text = F.concat(F.array_join(F.transform("x", lambda e: e["value"]), " "), F.lit(" for "), F.col("p_retailprice").cast("string"))
+    return values.join(priced, "mention_id").select("mention_id", text.alias("text"))
+
+
+def known_values(spark: SparkSession, d: str) -> DataFrame:
+    """(value, pattern, tokens): all values of the entities that say something, each once, numbered by hash."""
+    values = entity_attributes(spark, d).select("value").distinct().filter(X.usable_value(F.col("value")))
+    return values.select("value", F.xxhash64("value").alias("pattern"), X.tokens(F.col("value")).alias("tokens"))
+
+
+def values_in(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """texts, without their text, with a row for each known value in it: its number."""
+    rest = [c for c in texts.columns if c != "text"]
+    found = patterns.with_matches(texts.select(*rest, X.tokens(F.col("text")).alias("tokens")), known)
+    return found.select(*rest, F.explode(F.array_distinct(F.transform("matches", lambda m: m["pattern"]))).alias("pattern"))
+
+
+@query(
+    "x09_value_in_text",
+    WITH
+    + ", "
+    + SAID.format("exact")
+    + f""", t AS MATERIALIZED (SELECT mention_id, text, {PADDED.format('text')} AS padded, {NUMERALS.format('text')} AS n FROM said),
+ v AS (SELECT entity_id, key, value FROM entity_attributes UNION ALL SELECT p_partkey, 'Price', 'usd ' || CAST(p_retailprice AS VARCHAR) FROM part),
+ c AS (SELECT DISTINCT s.mention_id, key, value FROM scores s JOIN v USING (entity_id) WHERE {USABLE})
+ SELECT mention_id, key, value, 'exact' AS logic FROM c JOIN t USING (mention_id) WHERE contains(padded, {PADDED.format('value')}) UNION ALL
+ SELECT mention_id, key, value, 'numeral' FROM c JOIN t USING (mention_id) WHERE len({NUMERALS.format('value')}) > 0 AND list_has_all(n, {NUMERALS.format('value')})""",
+)
 def x09(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates' values that occur as whole words in the mention's text."""
-    t = of(spark, d, "exact").groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("x")).select("mention_id", F.array_join(F.transform("x", lambda e: e["value"]), " ").alias("text"))
-    c = scores(spark, d).select("mention_id", "entity_id").join(entity_attributes(spark, d), "entity_id").join(t, "mention_id")
-    return c.filter(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" ")))).select("mention_id", "key", "value").distinct()
+    """Candidates' values in the mention's text: those whose tokens stand in it, found by one automaton of all values; and those
+    whose numerals are all in it."""
+    text = said(spark, d, "exact")
+    price = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.lit("Price").alias("key"), F.concat(F.lit("usd "), F.col("p_retailprice").cast("string")).alias("value"))
+    every = entity_attributes(spark, d).unionByName(price).filter(X.usable_value(F.col("value")))
+    mine = scores(spark, d).select("mention_id", "entity_id").join(every, "entity_id").select("mention_id", "key", "value").distinct()
+    numbered = every.select("value").distinct().select(F.xxhash64("value").alias("pattern"), X.tokens(F.col("value")).alias("tokens"))
+    exact = mine.withColumn("pattern", F.xxhash64("value")).join(values_in(text, numbered), ["mention_id", "pattern"], "left_semi").select("mention_id", "key", "value", F.lit("exact").alias("logic"))
+    numeral = mine.join(text, "mention_id").filter(X.numerals_match(F.col("value"), F.col("text"), X.PRODUCT_NUMBER)).select("mention_id", "key", "value", F.lit("numeral").alias("logic"))
+    return exact.unionByName(numeral)
+
+
+@query("v05_extract_exact", WITH + ", " + SAID.format("ocr") + f", k AS MATERIALIZED (SELECT DISTINCT value, {PADDED.format('value')} AS p FROM entity_attributes WHERE {USABLE}), t AS MATERIALIZED (SELECT mention_id, {PADDED.format('text')} AS t FROM said) SELECT mention_id, value FROM t JOIN k ON contains(t, p)")
+def v05(spark: SparkSession, d: str) -> DataFrame:
+    """All attribute values of all entities in what was read from a mention's image."""
+    known = known_values(spark, d)
+    return values_in(said(spark, d, "ocr"), known).join(known.select("pattern", "value"), "pattern").select("mention_id", "value")
 
 
 @query("w24_score_vector_by_key", WITH + ", k AS (SELECT DISTINCT key FROM entity_attributes), v AS (SELECT m.mention_id, k.key, coalesce(2.0 * max(CASE WHEN p.key = k.key AND extractor = 'ocr' AND p.key <> 'Size' THEN 0.4 END), 0.5) AS s FROM mentions m CROSS JOIN k LEFT JOIN predicted p ON p.mention_id = m.mention_id GROUP BY 1, 2) SELECT mention_id, string_agg(CAST(CAST(round(s * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY key) AS vector FROM v GROUP BY 1")

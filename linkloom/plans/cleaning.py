@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..operators import cleaning as K
 from ..operators import ranks
+from ..sources import readers
+from .io import place
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, mentions, scores, table
 
@@ -117,12 +119,22 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(~F.contains("p_type", F.lit("ECO")) & ~F.contains("p_name", F.lit("hot"))).select("p_partkey")
 
 
-BLOCK = ["trash", "idiot", "scum", "clown"]
-
-
-@query("f10_block_words", "SELECT doc_id FROM documents WHERE NOT (" + " OR ".join(f"contains(lower(text), ' {w} ')" for w in BLOCK) + ")")
+@query(
+    "f10_block_words",
+    """WITH w AS (SELECT toxic, doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents JOIN labels USING (doc_id)),
+ block AS (SELECT trim(w) AS w FROM w WHERE NOT regexp_matches(w, '[,\n\r]') AND trim(w) <> '' GROUP BY w HAVING count(DISTINCT CASE WHEN toxic = 1 THEN doc_id END) >= 3 AND count(CASE WHEN toxic = 0 THEN 1 END) = 0),
+ t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')[2:-2]) AS w FROM documents) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t JOIN (SELECT DISTINCT w FROM block) USING (w))""",
+)
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter(~K.has_block_word(F.col("text"), BLOCK)).select("doc_id")
+    """Documents without a block word between spaces. The words are those of at least three toxic documents and of no other one;
+    they are written to a file of comma-separated words, and read from it."""
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    words = docs(spark, d).join(labels, "doc_id").select("doc_id", "toxic", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().filter(~F.col("w").rlike("[,\n\r]") & (F.trim("w") != ""))
+    bad = words.groupBy("w").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("bad"), F.count(F.when(F.col("toxic") == 0, 1)).alias("good")).filter("bad >= 3 AND good = 0")
+    path = place(spark, "f10")
+    bad.select(F.concat("w", F.lit(",")).alias("value")).write.text(path)
+    block = readers.block_words(spark, path).select(F.xxhash64("word").alias("pattern"), F.split("word", " ").alias("tokens"))
+    return K.without_block_words(docs(spark, d), "text", block).select("doc_id")
 
 
 @query("f11_small_files", "SELECT page_id FROM pages WHERE strlen(html) > 2000")

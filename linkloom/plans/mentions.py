@@ -10,9 +10,8 @@ from ..operators import attributes as A
 from ..operators import cleaning as K
 from ..operators import fusion, scorers
 from ..sources import readers, sinks
-from .attributes import n05
+from .attributes import SAID, n05, said
 from .io import place
-from .models import VALUES
 from .registry import query
 from .retrieval import GOLD_RANKS, RANKED, QUOTA, ranked, two, w09, w10, w11, w12
 from .tables import PREDICTED, SCORES, draw, draw_sql, entity_attributes, mentions, predicted, scores, table
@@ -128,11 +127,13 @@ def x20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", X.base_form_span(F.col("text"), q).alias("span"))
 
 
-@query("x31_first_contained", f"SELECT conv_id, turn, list_filter({list(VALUES)}, lambda v: contains(lower(text), v) OR contains(text, v))[1] AS found FROM conversations")
+@query("x31_first_contained", RANKED + f", {PREDICTED}, " + SAID.format("chatgpt") + " SELECT mention_id, key, arg_min(value, rank) AS found FROM ranked JOIN entity_attributes USING (entity_id) JOIN said USING (mention_id) WHERE rank <= 10 AND (contains(lower(text), value) OR contains(text, value)) GROUP BY 1, 2")
 def x31(spark: SparkSession, d: str) -> DataFrame:
-    """The first candidate that a free answer holds."""
-    c = table(spark, d, "conversations").withColumn("values", F.array(*[F.lit(v) for v in VALUES]))
-    return scorers.extract(c, "text", "values", "first_contained").select("conv_id", "turn", F.try_element_at("extracted", F.lit(1)).alias("found"))
+    """For each attribute the first value, in order of the candidates, that a free answer holds."""
+    top = ranked(spark, d).filter("rank <= 10").join(entity_attributes(spark, d), "entity_id")
+    c = top.groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x")).join(said(spark, d, "chatgpt"), "mention_id")
+    found = scorers.extract(c.withColumn("values", F.transform("x", lambda e: e["value"])), "text", "values", "first_contained")
+    return found.filter(F.size("extracted") > 0).select("mention_id", "key", F.try_element_at("extracted", F.lit(1)).alias("found"))
 
 
 # record files

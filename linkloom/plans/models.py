@@ -36,18 +36,6 @@ def v04(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("doc_id", "text").agg(F.round(F.max("c"), 6).alias("confidence"))
 
 
-#: Words that the texts are searched for.
-VALUES = ("the", "of the", "und", "que la", "hello", "thanks", "42")
-PLAIN = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
-
-
-@query("v05_extract_exact", f"WITH t AS (SELECT conv_id, turn, {PLAIN.format('text')} AS t FROM conversations) SELECT conv_id, turn, array_to_string(list_filter({list(VALUES)}, lambda v: contains(t, ' ' || v || ' ')), '|') AS found FROM t")
-def v05(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate values whose words stand in a turn's text."""
-    c = table(spark, d, "conversations").withColumn("values", F.array(*[F.lit(v) for v in VALUES]))
-    return scorers.extract(c, "text", "values", "exact").select("conv_id", "turn", F.array_join("extracted", "|").alias("found"))
-
-
 @query("v07_extract_choice", f"SELECT doc_id, CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in X.NO_ANSWER)} THEN NULL WHEN regexp_extract(text, '^\\s*([A-B])(?:[.):]|\\s*$)', 1) <> '' THEN [source, lang][ascii(regexp_extract(text, '^\\s*([A-B])(?:[.):]|\\s*$)', 1)) - 64] WHEN contains(lower(text), lower(source)) THEN source WHEN contains(lower(text), lower(lang)) THEN lang END AS found FROM documents")
 def v07(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts as answers to a prompt with two options, parsed."""

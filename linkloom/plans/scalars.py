@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators import patterns
 from .registry import query
 from .tables import SCORES, scores, table
 
@@ -64,21 +65,12 @@ def x07(spark: SparkSession, d: str) -> DataFrame:
 SUBLIST = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
 
 
-#: Tokens by which a token list is looked up; a shorter one is looked up by all of its own.
-LOOKUP = 3
-
-
 @query("x08_token_sublist", f"WITH d AS MATERIALIZED (SELECT doc_id, {SUBLIST.format('text')} AS t FROM documents), b AS MATERIALIZED (SELECT item_id, {SUBLIST.format('text')} AS t FROM benchmark) SELECT d.doc_id, b.item_id FROM d JOIN b ON contains(d.t, b.t) WHERE b.t <> '  '")
 def x08(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold all tokens of an item, side by side: found by the item's first tokens, then verified."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("part"), X.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    b = b.select("item_id", "part", F.least(F.size("t"), F.lit(LOOKUP)).alias("size"), F.array_join(F.slice("t", 1, LOOKUP), " ").alias("head"))
-    sizes = F.sequence(F.lit(1), F.lit(LOOKUP))
-    heads = F.flatten(F.transform(sizes, lambda k: F.transform("t", lambda _, i: F.array_join(F.slice("t", i + 1, k), " "))))
-    lists = docs(spark, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
-    found = lists.select("doc_id", F.explode(F.array_distinct(heads)).alias("head")).join(b.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
-    texts = docs(spark, d).select("doc_id", "text")
-    return found.join(texts, "doc_id").join(b.select("item_id", "part"), "item_id").filter(X.is_sublist(F.col("part"), F.col("text"))).select("doc_id", "item_id")
+    """Documents that hold all tokens of an item, side by side."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pattern"), X.tokens(F.col("text")).alias("tokens"))
+    found = patterns.with_matches(docs(spark, d).select("doc_id", X.tokens(F.col("text")).alias("tokens")), items)
+    return found.select("doc_id", F.explode(F.array_distinct(F.transform("matches", lambda m: m["pattern"]))).alias("item_id"))
 
 
 @query("x10_yes_means_key", "SELECT doc_id, CASE WHEN quality = 1 THEN 'quality' WHEN toxic = 1 THEN 'toxic' END AS value FROM labels")
