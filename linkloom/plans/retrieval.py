@@ -247,23 +247,25 @@ GRID_SQL = """WITH {scores}, {mentions}, grid AS ({grid}),
  s AS (SELECT setting, place, k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS recall FROM g, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2, 3)
  SELECT k, arg_max(setting, (recall, -place)) AS setting, max(recall) AS recall FROM s GROUP BY 1"""
 GRID_TWO = " UNION ALL ".join(f"SELECT 'r{n}' AS setting, {n} AS place, {r} AS a, {round(1 - r, 1)} AS b, 0.0 AS c" for n, r in enumerate(RATIOS))
+#: Two score keys, each with all ratios to the image score.
+KEYED = [(f"{key}_r{n}", {f"{key}_score": r, "image_score": round(1 - r, 1)}) for key in ("text", "desc") for n, r in enumerate(RATIOS)]
+GRID_KEYED = " UNION ALL ".join(f"SELECT '{name}' AS setting, {n} AS place, {w.get('text_score', 0.0)} AS a, {w['image_score']} AS b, {w.get('desc_score', 0.0)} AS c" for n, (name, w) in enumerate(KEYED))
 THREE = [(round(a / 10, 1), round(b / 10, 1), round(1 - a / 10 - b / 10, 1)) for a in range(1, 9) for b in range(1, 9) if a + b <= 10]
 GRID_THREE = " UNION ALL ".join(f"SELECT 'r{n}' AS setting, {n} AS place, {a} AS a, {b} AS b, {c} AS c" for n, (a, b, c) in enumerate(THREE))
 
 
-@query("a05_weight_grid", GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_TWO))
+@query("a05_weight_grid", GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_KEYED))
 def a05(spark: SparkSession, d: str) -> DataFrame:
-    """The first best ratio of text to image score for each k."""
-    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), TWO), names(TWO), [1, 2, 3])
-    return fusion.best_setting(grid)
+    """The first best score key and ratio to the image score for each k."""
+    settings = [w for _, w in KEYED]
+    return fusion.best_setting(fusion.sweep(scores(spark, d), mentions(spark, d), settings, [1, 2, 3], names=[n for n, _ in KEYED]))
 
 
 @query("a06_weight_grid_three", GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_THREE))
 def a06(spark: SparkSession, d: str) -> DataFrame:
     """The first best weights of three scores; settings with a negative third weight are left out."""
     settings = [{"text_score": a, "image_score": b, "desc_score": c} for a, b, c in THREE]
-    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), settings), names(settings), [1, 2, 3])
-    return fusion.best_setting(grid)
+    return fusion.best_setting(fusion.sweep(scores(spark, d), mentions(spark, d), settings, [1, 2, 3]))
 
 
 @query(
@@ -271,7 +273,7 @@ def a06(spark: SparkSession, d: str) -> DataFrame:
     GRID_SQL.format(scores=SCORES, mentions=MENTIONS, grid=GRID_TWO).replace("SELECT k, arg_max(setting, (recall, -place)) AS setting, max(recall) AS recall FROM s GROUP BY 1", "SELECT setting, k, recall FROM s WHERE setting IN ('r3', 'r7')"),
 )
 def a07(spark: SparkSession, d: str) -> DataFrame:
-    grid = fusion.grid_recall(fusion.grid_ranks(scores(spark, d), mentions(spark, d), [TWO[3], TWO[7]]), ["r3", "r7"], [1, 2, 3])
+    grid = fusion.sweep(scores(spark, d), mentions(spark, d), [TWO[3], TWO[7]], [1, 2, 3], names=["r3", "r7"])
     return grid.select("setting", "k", "recall")
 
 
@@ -284,11 +286,11 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
  SELECT setting, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall FROM g JOIN best USING (setting) WHERE mention_id % 2 = 1 GROUP BY 1""",
 )
 def m10(spark: SparkSession, d: str) -> DataFrame:
-    """Fit the ratio on one half of the mentions (one row comes back to the driver) and apply it to the other."""
-    m = mentions(spark, d)
-    fit = fusion.best_setting(fusion.grid_recall(fusion.grid_ranks(scores(spark, d), m.filter("mention_id % 2 = 0"), TWO), names(TWO), [1])).first()["setting"]
-    held = fusion.gold_ranks(scores(spark, d), m.filter("mention_id % 2 = 1"), {fit: two(RATIOS[int(fit[1:])])})
-    return held.agg(F.lit(fit).alias("setting"), F.round(F.avg(F.when(F.col(fit) <= 1, 1.0).otherwise(0.0)), 6).alias("recall"))
+    """The ratio that is best on one half of the mentions, and its recall on the other: one sweep of both halves."""
+    halves = mentions(spark, d).withColumn("held_out", F.col("mention_id") % 2 == 1)
+    grid = fusion.sweep(scores(spark, d), halves, TWO, [1], by="held_out")
+    pairs = grid.groupBy("place", "setting").agg(F.max(F.when(~F.col("held_out"), F.col("recall"))).alias("fit"), F.max(F.when(F.col("held_out"), F.col("recall"))).alias("recall"))
+    return pairs.agg(F.max(F.struct("fit", -F.col("place"), "setting", "recall")).alias("b")).select("b.setting", "b.recall")
 
 
 @query("w23_tenth_candidate", f"WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY text_score DESC, pos, entity_id) AS rank FROM scores) SELECT mention_id, entity_id, text_score FROM r WHERE rank = 5")

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames: ties, missing scores, empty maps, nulls, properties that must hold."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,12 +37,40 @@ def test_gold_rank_is_null_for_a_gold_entity_that_is_no_candidate(spark, scored)
     assert sorted(ranks.collect(), key=lambda r: r[0]) == [(1, 3, 1), (2, None, None), (3, None, None)]
 
 
-def test_a_grid_of_ranks_equals_single_settings(spark, scored):
-    mentions = scored.groupBy("mention_id").agg(F.max("entity_id").alias("gold_id"))
-    settings = [{"text_score": a, "image_score": 1 - a} for a in (0.0, 0.3, 1.0)]
-    one = fusion.gold_ranks(scored, mentions, {str(n): fusion.fused(w) for n, w in enumerate(settings)})
-    got = fusion.grid_ranks(scored, mentions, settings)
-    assert {(r["mention_id"], str(r["place"])): r["rank"] for r in got.collect()} == {(r["mention_id"], k): r[k] for r in one.collect() for k in ("0", "1", "2")}
+def grids():
+    two = [{"text_score": k / 10, "image_score": 1 - k / 10} for k in range(11)]
+    yield two
+    yield [{"text_score": 0.3, "image_score": 0.7}]
+    yield two + [{"desc_score": k / 10, "image_score": 1 - k / 10} for k in range(11)]
+    yield [{"text_score": a / 10, "image_score": b / 10, "desc_score": 1 - a / 10 - b / 10} for a in range(1, 9) for b in range(1, 9) if a + b <= 10]
+    yield [{"text_score": 0.5, "image_score": 0.5}, {"text_score": 0.9, "image_score": 0.1}, {"text_score": 0.91, "image_score": 0.09}, {"text_score": 0.1, "image_score": 0.9}]
+    yield [{"text_score": k / 500, "image_score": 1 - k / 500} for k in range(501)]
+
+
+@pytest.mark.parametrize("step", [0.1, 1e-6, 3e-7])
+def test_a_sweep_equals_single_settings(spark, step):
+    """Scores a coarse step apart, one that rounding can just tell, and one that it can't; ties and missing scores."""
+    rnd = random.Random(1)
+    some = lambda: None if rnd.random() < 0.15 else round(0.5 + step * rnd.randint(-4, 4), 8)
+    data = [(m, e, some(), some(), some(), rnd.randint(1, 2)) for m in range(40) for e in range(rnd.randint(0, 7))]
+    scored = spark.createDataFrame(data, "mention_id long, entity_id long, text_score double, image_score double, desc_score double, pos int").cache()
+    mentions = spark.createDataFrame([(m, rnd.randint(0, 7), m % 3 == 0) for m in range(40)], "mention_id long, gold_id long, part boolean")
+    for settings in grids():
+        sample = settings if len(settings) < 50 else settings[::125]
+        want = fusion.gold_ranks(scored, mentions, {str(n): fusion.fused({c: s.get(c, 0.0) for c in ("text_score", "image_score", "desc_score")}) for n, s in enumerate(sample)}).join(mentions, "mention_id").collect()
+        got = {(r["part"], r["place"], r["k"]): r["recall"] for r in fusion.sweep(scored, mentions, settings, [1, 3], by="part").collect()}
+        assert len(got) == 4 * len(settings)
+        for n, s in enumerate(sample):
+            for part in (False, True):
+                ranks = [r[str(n)] for r in want if r["part"] == part]
+                assert all(got[part, settings.index(s), k] == round(sum(x is not None and x <= k for x in ranks) / len(ranks), 6) for k in (1, 3))
+
+
+def test_sweep_of_nothing(spark, scored):
+    none = spark.createDataFrame([], "mention_id long, gold_id long")
+    assert fusion.sweep(scored, none, [{"text_score": 1.0}], [1]).count() == 0
+    lone = spark.createDataFrame([(77, 1)], "mention_id long, gold_id long")
+    assert rows(fusion.sweep(scored, lone, [{"text_score": 1.0}], [1]), "place", "setting", "k", "recall") == [(0, "r0", 1, 0.0)]
 
 
 def test_gold_ranks_equal_the_window_rank(spark, scored):
