@@ -1,21 +1,30 @@
-"""Similarity joins of vectors, and rank metrics of what they find.
+"""Similarity joins of vectors and of owners of several vectors, and rank metrics of what they find.
 
-The corpus is dealt into blocks, the queries meet each block once, and only a block's k best for each query leave the task;
-a second ranking merges the blocks. No task holds more than a block of the corpus and a batch of queries.
+The corpus is dealt into blocks and the queries into batches, both by count; a task gets one block, and then the queries of a batch
+as a stream, so it holds a block and a few queries, whatever the sizes. Queries go to every block, corpus vectors only to every
+batch, which is sixteen times as large as a block. Only a block's k best for each query leave the task; a second ranking merges
+the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Vectors of a corpus block; queries are batched to the same number.
+from ..session import ship
+
+#: Vectors of a corpus block, and queries of a batch.
 BLOCK = 4096
+BATCH = 16 * BLOCK
+#: Queries that meet a block at once.
+STEP = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,8 +39,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+#: What a similarity does to both sides before their product.
+METRICS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"cosine": unit, "dot": lambda x: x}
 
 
 def best_places(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -48,39 +68,254 @@ def best_places(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return by_id[np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)]
 
 
-def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, *, within: str | None = None, drop_self: bool = True, block: int = BLOCK, places: int = 6) -> DataFrame:
-    """(query_id, corpus_id, score, rank): the k most similar corpus vectors by cosine, ties by id. Both sides have (id,
-    vector) and, if `within` is given, that column: only vectors that agree in it are compared."""
+def dealt(queries: DataFrame, corpus: DataFrame, n_queries: int, n_corpus: int, block: int, batch: int, owner: bool = False) -> DataFrame:
+    """(part, j, i, side, id, vector): each corpus block j with each batch i of queries behind it, group by group. With owners, theirs
+    stay together in a block and a batch, but for wide ones."""
+    n, m = max(1, -(-n_corpus // block)), max(1, -(-n_queries // batch))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    kept = ["part", "owner", "id", "wide", "vector"] if owner else ["part", "id", "vector"]
+
+    def at(x: int, seed: int) -> Column:
+        alone = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(x)).cast("int")
+        return F.when(F.col("wide"), alone).otherwise(F.pmod(F.xxhash64("owner", F.lit(seed)), F.lit(x)).cast("int")) if owner else alone
+
+    right = corpus.select(F.lit(0).alias("side"), *kept, at(n, 1).alias("j")).withColumn("i", every(m))
+    left = queries.select(F.lit(1).alias("side"), *kept, at(m, 2).alias("i")).withColumn("j", every(n))
+    return right.unionByName(left).repartition("part", "j", "i").sortWithinPartitions("part", "j", "i", "side", *[c for c in ("owner", "id") if c in kept])
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, int, pa.RecordBatch]]:
+    """Rows of one group and side that follow one another: whether the group is new, the side, the rows."""
+    before: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b["part"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        keys = np.stack([part, *(b[c].to_numpy() for c in ("j", "i", "side"))])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            key = (b["part"][x].as_py(), *keys[1:3, x].tolist())
+            yield key != before, int(keys[3, x]), b.slice(x, y - x)
+            before = key
+
+
+def _nearest(k: int, drop_self: bool, places: int, metric: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    prepared = METRICS[metric]
+    held: list[pa.RecordBatch] = []
+    ids, block = np.empty(0, np.int64), np.empty((0, 0))
+    for fresh, side, rows in groups(batches):
+        if fresh:
+            held, ids = [], np.empty(0, np.int64)
+        if side == 0:
+            held.append(rows)
+            continue
+        if held:
+            ids = np.concatenate([x["id"].to_numpy() for x in held])
+            block, held = prepared(np.concatenate([matrix(x["vector"]) for x in held])), []
+        for at in range(0, rows.num_rows if len(ids) else 0, STEP):
+            some = rows.slice(at, STEP)
+            mine = some["id"].to_numpy()
+            s = np.round(prepared(matrix(some["vector"])) @ block.T, places)
+            s[np.isnan(s)] = -np.inf
+            if drop_self:
+                s[mine[:, None] == ids[None, :]] = -np.inf
+            order = best_places(s, ids, k)
+            top = np.take_along_axis(s, order, 1)
+            good = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, order.shape[1])[good.ravel()]), pa.array(ids[order][good]), pa.array(top[good])], ["query_id", "corpus_id", "score"])
+
+
+def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, *, within: str | None = None, drop_self: bool = True, block: int = BLOCK, batch: int = BATCH, places: int = 6, metric: str = "cosine") -> DataFrame:
+    """(query_id, corpus_id, score, rank): the k most similar corpus vectors by the named metric, ties by id. Both sides have (id,
+    vector) and, if `within` is given, that column: only vectors that agree in it are compared. A vector without a direction has no
+    cosine."""
+    ship(queries.sparkSession)
     size = corpus.count()
-    n = max(1, -(-size // block))
-    key = F.lit("") if within is None else F.col(within).cast("string")
-    left = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), key.alias("part"))
-    left = left.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = corpus.select(F.col("id").alias("corpus_id"), F.col("vector").alias("c"), key.alias("part"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    batches = left.select(F.col("part").alias("c_part"), F.col("batch").alias("c_batch"), F.col("block").alias("c_block")).distinct()
-    right = right.withColumnsRenamed({"part": "c_part", "block": "c_block"}).join(batches, ["c_part", "c_block"])
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []}).astype({"query_id": "int64", "corpus_id": "int64", "score": "float64"})
-        a, b = _vectors(q["q"]), _vectors(c["c"])
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-        b /= np.linalg.norm(b, axis=1, keepdims=True)
-        s = np.round(a @ b.T, places)
-        qi, ci = q["query_id"].to_numpy(), c["corpus_id"].to_numpy()
-        if drop_self:
-            s[qi[:, None] == ci[None, :]] = -np.inf
-        order = best_places(s, ci, k)
-        top = np.take_along_axis(s, order, 1)
-        keep = np.isfinite(top)
-        return pd.DataFrame({"query_id": np.repeat(qi, order.shape[1])[keep.ravel()], "corpus_id": ci[order][keep], "score": top[keep]})
-
-    found = left.groupBy("part", "batch", "block").cogroup(right.groupBy("c_part", "c_batch", "c_block")).applyInPandas(best, "query_id long, corpus_id long, score double")
+    part = F.lit("") if within is None else F.col(within).cast("string")
+    left, right = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), part.alias("part")) for x in (queries, corpus))
+    met = dealt(left, right, size if queries is corpus else queries.count(), size, block, batch)
+    found = met.mapInArrow(partial(_nearest, k, drop_self, places, metric), "query_id long, corpus_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _owners(k: int, mode: str, places: int, metric: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For owners of several queries against owners of several corpus vectors: the sum, number and largest of the best similarities
+    of the queries to each corpus owner, of the k best corpus owners; of corpus owners and queries' owners that are not whole here,
+    all. A corpus owner that lies in several blocks gives a row for each query (`image`)."""
+    prepared = METRICS[metric]
+    held: list[pa.RecordBatch] = []
+    waiting: list[pa.RecordBatch] = []
+    block, entity, start, wide = np.empty((0, 0)), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    begun: int | None = None  # an owner of queries that was met in part
+
+    def rows(query: np.ndarray, image: np.ndarray | None, owner: np.ndarray, total: np.ndarray, n: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(query), pa.int64())
+        columns = [pa.array(query), none if image is None else pa.array(image), pa.array(owner), pa.array(total), pa.array(n.astype(np.int64)), pa.array(most)]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "image", "entity_id", "total", "n", "most"])
+
+    def met(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        apart = some["wide"].to_numpy(zero_copy_only=False).astype(bool)
+        if begun is not None:
+            apart = apart | (some["owner"].to_numpy() == begun)
+        for whole in (True, False):
+            if (apart != whole).any():
+                yield from meet(some.filter(pa.array(apart != whole)), whole)
+
+    def meet(some: pa.RecordBatch, whole: bool) -> Iterator[pa.RecordBatch]:
+        owner = some["owner"].to_numpy()
+        best = np.maximum.reduceat(prepared(matrix(some["vector"])) @ block.T, start, axis=1)
+        if wide.any():
+            m = int(wide.sum())
+            yield rows(np.repeat(owner, m), np.repeat(some["id"].to_numpy(), m), np.tile(entity[wide], len(owner)), best[:, wide].ravel(), np.ones(len(owner) * m), best[:, wide].ravel())
+        best, ids = best[:, ~wide], entity[~wide]
+        if not len(ids):
+            return
+        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        total, most = np.add.reduceat(best, head, axis=0), np.maximum.reduceat(best, head, axis=0)
+        n = np.diff(np.append(head, len(owner)))
+        score = np.round(total / n[:, None] if mode == "mean" else most, places)
+        order = best_places(score, ids, k) if whole else np.tile(np.arange(len(ids)), (len(head), 1))
+        take = lambda x: np.take_along_axis(x, order, 1).ravel()
+        yield rows(np.repeat(owner[head], order.shape[1]), None, ids[order].ravel(), take(total), np.repeat(n, order.shape[1]), take(most))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if waiting and len(entity):
+            some = pa.concat_batches(waiting)
+            waiting.clear()
+            yield from met(some)
+        waiting.clear()
+
+    for fresh, side, some in groups(batches):
+        if fresh:
+            yield from flush()
+            held, entity, begun = [], np.empty(0, np.int64), None
+        if side == 0:
+            held.append(some)
+            continue
+        if held:
+            yield from flush()
+            owner = np.concatenate([x["owner"].to_numpy() for x in held])
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            entity, wide = owner[start], np.concatenate([x["wide"].to_numpy(zero_copy_only=False) for x in held])[start]
+            block, held = prepared(np.concatenate([matrix(x["vector"]) for x in held])), []
+        if not len(entity):
+            continue
+        waiting.append(some)
+        if sum(x.num_rows for x in waiting) >= STEP:
+            every = pa.concat_batches(waiting)
+            waiting.clear()
+            owner = every["owner"].to_numpy()
+            last = int(np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[-1])  # the last owner may go on
+            if last:
+                yield from met(every.slice(0, last))
+                waiting.append(every.slice(last))
+            elif every.num_rows <= BLOCK:
+                waiting.append(every)  # one owner so far, which may go on
+            else:
+                begun = int(owner[0])
+                yield from met(every)
+    yield from flush()
+
+
+def top_k_owners(queries: DataFrame, corpus: DataFrame, k: int, *, mode: str = "mean", within: str | None = None, block: int = BLOCK, batch: int = BATCH, places: int = 6, metric: str = "cosine") -> DataFrame:
+    """(query_id, entity_id, average_score, max_score, rank): for each owner of queries the k best owners of corpus vectors, by the mean
+    (or `max`) over its queries of the best similarity to any of the owner's vectors; ties by id. Both sides have (owner, id,
+    vector). Owners of more vectors than a block lie in several."""
+    ship(queries.sparkSession)
+    size = corpus.count()
+    part = F.lit("") if within is None else F.col(within).cast("string")
+    left, right = (x.select(F.col("owner").cast("long").alias("owner"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), part.alias("part")) for x in (queries, corpus))
+
+    def over(x: DataFrame, limit: int) -> DataFrame:
+        """The owners of more vectors than the limit; there can't be many."""
+        return x.groupBy("owner").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("owner", F.lit(True).alias("wide"))
+
+    right, left = (x.join(over(x, n), "owner", "left").withColumn("wide", F.coalesce("wide", F.lit(False))) for x, n in ((right, block), (left, batch)))
+    met = dealt(left, right, queries.count(), size, block, batch, owner=True)
+    found = met.mapInArrow(partial(_owners, k, mode, places, metric), "query_id long, image long, entity_id long, total double, n long, most double")
+    merged = found.groupBy("query_id", "entity_id", "image").agg(F.when(F.col("image").isNull(), F.sum("total")).otherwise(F.max("most")).alias("total"), F.when(F.col("image").isNull(), F.sum("n")).otherwise(1).alias("n"), F.max("most").alias("most"))
+    scored = merged.groupBy("query_id", "entity_id").agg(F.round(F.sum("total") / F.sum("n"), places).alias("average_score"), F.round(F.max("most"), places).alias("max_score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("average_score" if mode == "mean" else "max_score"), "entity_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+#: Vectors of a pack: a part of an owner's that travels as one row.
+PACK = 256
+
+
+def packs(images: DataFrame, side: str) -> DataFrame:
+    """(owner, ids, vectors): the vectors of each owner in rows of about PACK of them."""
+    n = images.groupBy("owner").agg(F.ceil(F.count("*") / PACK).alias("n"))
+    place = F.pmod(F.xxhash64("id"), F.col("n"))
+    some = images.select("owner", F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).join(n, "owner").withColumn("pack", place)
+    some = some.groupBy("owner", "pack").agg(F.collect_list(F.struct("id", "vector")).alias("x"))
+    return some.select(F.col("owner").alias(f"{side}_owner"), F.transform("x", lambda e: e["id"]).alias(f"{side}_ids"), F.flatten(F.transform("x", lambda e: e["vector"])).alias(f"{side}_vectors"))
+
+
+def _bests(metric: str, keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of packs the best partner of each vector of either side; ties by id."""
+    prepared = METRICS[metric]
+
+    def side(batch: pa.RecordBatch, name: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, flat = batch[f"{name}_ids"], batch[f"{name}_vectors"]
+        a, x = ids.offsets.to_numpy(), flat.offsets.to_numpy()
+        every, value = ids.flatten().to_numpy(), flat.flatten().to_numpy()
+        return [(every[p:q], prepared(value[u:v].reshape(q - p, -1))) for p, q, u, v in zip(a[:-1] - a[0], a[1:] - a[0], x[:-1] - x[0], x[1:] - x[0])]
+
+    for batch in batches:
+        row, sides, image, score, other = [], [], [], [], []
+        for k, ((p, x), (q, y)) in enumerate(zip(side(batch, "left"), side(batch, "right"))):
+            s = x @ y.T
+            for n, (mine, theirs, t) in enumerate(((p, q, s), (q, p, s.T))):
+                by_id = np.argsort(theirs, kind="stable")
+                at = by_id[np.round(t[:, by_id], 6).argmax(1)]
+                row.append(np.full(len(mine), k))
+                sides.append(np.full(len(mine), n, np.int32))
+                image.append(mine)
+                score.append(t[np.arange(len(mine)), at])
+                other.append(theirs[at])
+        if row:
+            of = pa.array(np.concatenate(row))
+            columns = [*(batch[c].take(of) for c in keys), *(pa.array(np.concatenate(x)) for x in (sides, image, score, other))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "side", "image", "score", "other"])
+
+
+def image_bests(pairs: DataFrame, left: DataFrame, right: DataFrame, *, metric: str = "cosine") -> DataFrame:
+    """(left_owner, right_owner, side, image, score, other): for every pair of owners, and each vector of the left (side 0) and the
+    right owner (side 1), the other's vector that is most similar to six places, the one with the least id of several. Pairs meet
+    packs of vectors by equi-joins, so an owner of any size is met in rows of bounded size."""
+    ship(pairs.sparkSession)
+    keys = ["left_owner", "right_owner"]
+    met = pairs.select(*keys).distinct().join(packs(left, "left"), "left_owner").join(packs(right, "right"), "right_owner")
+    kinds = [met.schema[c] for c in keys]
+    schema = T.StructType([*kinds, T.StructField("side", T.IntegerType()), T.StructField("image", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("other", T.LongType())])
+    found = met.mapInArrow(partial(_bests, metric, keys), schema)
+    best = F.max(F.struct(F.round("score", 6).alias("r"), (-F.col("other")).alias("o"), "score"))
+    return found.groupBy(*keys, "side", "image").agg(best.alias("b")).select(*keys, "side", "image", F.col("b.score").alias("score"), (-F.col("b.o")).alias("other"))
+
+
+def best_pair(bests: DataFrame) -> DataFrame:
+    """(left_owner, right_owner, left_image, right_image, score): the most similar pair of each pair of owners."""
+    top = F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("image")).alias("a"), (-F.col("other")).alias("b")))
+    return bests.filter("side = 0").groupBy("left_owner", "right_owner").agg(top.alias("m")).select("left_owner", "right_owner", (-F.col("m.a")).alias("left_image"), (-F.col("m.b")).alias("right_image"), "m.score")
+
+
+def select_images(bests: DataFrame) -> DataFrame:
+    """(left_owner, image, right_owner, other): the one image of each left owner that is most similar to any image of any of its right
+    owners, and for each of these its image that is most similar to that one."""
+    mine = bests.filter("side = 0")
+    order = Window.partitionBy("left_owner").orderBy(F.desc(F.round("score", 6)), "image").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chosen = mine.withColumn("chosen", F.first("image").over(order)).filter(F.col("image") == F.col("chosen"))
+    return chosen.select("left_owner", "image", "right_owner", "other")
+
+
+def soft_scores(bests: DataFrame) -> DataFrame:
+    """(left_owner, right_owner, soft_precision, soft_recall): mean best similarity of each side's vectors."""
+    mean = lambda k: F.round(F.avg(F.when(F.col("side") == k, F.col("score"))), 6)
+    return bests.groupBy("left_owner", "right_owner").agg(mean(0).alias("soft_precision"), mean(1).alias("soft_recall"))
+
+
 def rank_metrics(ranked: DataFrame, relevant: str, n_relevant: str, k: int) -> DataFrame:
     """Per query: accuracy, precision, recall, reciprocal rank, nDCG and average precision at k. `relevant` marks hits and
     `n_relevant` has the number of relevant corpus rows of the query."""

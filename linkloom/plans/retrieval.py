@@ -68,42 +68,57 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
     return same.unionByName(similarity.top_k_similar(rest, v, 3).select("query_id", "corpus_id", F.lit("any").alias("pass")))
 
 
-IMAGES = "SELECT vec_id, vec_id % {n} AS owner, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 2 = {side}"
+#: Four vectors are the images of one owner; even owners are mentions, odd ones entities. A mention's own entity is the next owner.
+IMAGES = """q AS (SELECT vec_id AS id, vec_id // 4 AS owner, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE (vec_id // 4) % 2 = 0),
+ c AS (SELECT vec_id AS id, vec_id // 4 AS owner, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE (vec_id // 4) % 2 = 1)"""
+OWNERS = f"""WITH {IMAGES}, best AS (SELECT q.owner AS query_id, q.id, c.owner AS entity_id, max(list_cosine_similarity(q.e, c.e)) AS s FROM q, c GROUP BY 1, 2, 3),
+ mean AS (SELECT query_id, entity_id, round(avg(s), 6) AS average_score, round(max(s), 6) AS max_score FROM best GROUP BY 1, 2),
+ found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {{by}} DESC, entity_id) AS rank FROM mean)"""
+OWN = f"WITH {IMAGES}, s AS (SELECT q.owner AS left_owner, c.owner AS right_owner, q.id AS a, c.id AS b, list_cosine_similarity(q.e, c.e) AS s FROM q JOIN c ON c.owner = q.owner + 1)"
 
 
-@query(
-    "j15_multi_image_join",
-    f"""WITH q AS ({IMAGES.format(n=20, side=0)}), c AS ({IMAGES.format(n=30, side=1)}),
- best AS (SELECT q.owner AS query_id, q.vec_id, c.owner AS entity_id, max(list_cosine_similarity(q.e, c.e)) AS s FROM q, c GROUP BY 1, 2, 3),
- mean AS (SELECT query_id, entity_id, round(avg(s), 6) AS average_score, round(max(s), 6) AS max_score FROM best GROUP BY 1, 2)
- SELECT query_id, entity_id, average_score, max_score FROM mean""",
-)
+def image_owners(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The images of mentions, and those of entities: (owner, id, vector)."""
+    v = vectors(spark, d).select(F.expr("id DIV 4").alias("owner"), "id", "vector")
+    return v.filter("owner % 2 = 0"), v.filter("owner % 2 = 1")
+
+
+def own_pairs(q: DataFrame) -> DataFrame:
+    return q.select(F.col("owner").alias("left_owner"), (F.col("owner") + 1).alias("right_owner")).distinct()
+
+
+@query("j15_multi_image_join", OWNERS.format(by="average_score") + " SELECT query_id, entity_id, average_score, max_score, rank FROM found WHERE rank <= 5")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions and entities with several images: best entity image for each mention image, then mean and best of those."""
-    v = vectors(spark, d)
-    q = v.filter("id % 2 = 0").select((F.col("id") % 20).alias("query_id"), F.col("id").alias("image"), F.col("vector").alias("a"))
-    c = v.filter("id % 2 = 1").select((F.col("id") % 30).alias("entity_id"), F.col("vector").alias("b"))
-    # a mention's images against whole entities, in blocks: each entity's images lie in one block
-    n = 4
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = q.join(c.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(n)).cast("int")), "block")
-    best = both.groupBy("query_id", "image", "entity_id").agg(F.max(similarity.cosine(F.col("a"), F.col("b"))).alias("s"))
-    return best.groupBy("query_id", "entity_id").agg(F.round(F.avg("s"), 6).alias("average_score"), F.round(F.max("s"), 6).alias("max_score"))
+    """Mentions and entities with several images: the five best entities by the mean of what each mention image finds best."""
+    q, c = image_owners(spark, d)
+    return similarity.top_k_owners(q, c, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("j16_multi_image_max", OWNERS.format(by="max_score") + " SELECT query_id, entity_id, max_score, rank FROM found WHERE rank <= 5")
+def j16(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the best of all pairs of images."""
+    q, c = image_owners(spark, d)
+    return similarity.top_k_owners(q, c, 5, mode="max").select("query_id", "entity_id", "max_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("j20_best_image_pair", OWN + " SELECT left_owner, right_owner, arg_max(a, (round(s, 6), -a, -b)) AS left_image, arg_max(b, (round(s, 6), -a, -b)) AS right_image, max(round(s, 6)) AS score FROM s GROUP BY 1, 2")
+def j20(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar image pair of each mention and its entity."""
+    q, c = image_owners(spark, d)
+    return similarity.best_pair(similarity.image_bests(own_pairs(q), q, c))
 
 
 @query(
-    "j20_best_image_pair",
-    f"""WITH q AS ({IMAGES.format(n=20, side=0)}), c AS ({IMAGES.format(n=20, side=1)}),
- s AS (SELECT q.owner AS owner, q.vec_id AS a, c.vec_id AS b, round(list_cosine_similarity(q.e, c.e), 6) AS s FROM q JOIN c ON q.owner = c.owner - 1)
- SELECT owner, arg_max(a, (s, -a, -b)) AS mention_image, arg_max(b, (s, -a, -b)) AS entity_image FROM s GROUP BY 1""",
+    "j21_representative",
+    OWNERS.format(by="average_score")
+    + """, s AS (SELECT query_id, entity_id, q.id AS a, c.id AS b, round(list_cosine_similarity(q.e, c.e), 6) AS s FROM found JOIN q ON q.owner = query_id JOIN c ON c.owner = entity_id WHERE rank <= 5),
+ chosen AS (SELECT query_id, arg_max(a, (s, -a)) AS image FROM s GROUP BY 1) SELECT query_id AS left_owner, image, entity_id AS right_owner, arg_max(b, (s, -b)) AS other FROM s JOIN chosen USING (query_id) WHERE a = image GROUP BY 1, 2, 3""",
 )
-def j20(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    q = v.filter("id % 2 = 0").select((F.col("id") % 20).alias("owner"), F.col("id").alias("a"), F.col("vector").alias("x"))
-    c = v.filter("id % 2 = 1").select((F.col("id") % 20 - 1).alias("owner"), F.col("id").alias("b"), F.col("vector").alias("y"))
-    s = q.join(c, "owner").withColumn("s", F.round(similarity.cosine(F.col("x"), F.col("y")), 6))
-    best = s.groupBy("owner").agg(F.max(F.struct("s", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
-    return best.select("owner", (-F.col("m.a")).alias("mention_image"), (-F.col("m.b")).alias("entity_image"))
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    """One image for each mention, the best against all images of all its candidates, and each candidate's best image for it."""
+    q, c = image_owners(spark, d)
+    pairs = similarity.top_k_owners(q, c, 5).select(F.col("query_id").alias("left_owner"), F.col("entity_id").alias("right_owner"))
+    return similarity.select_images(similarity.image_bests(pairs, q, c))
 
 
 @query(
@@ -403,17 +418,12 @@ def k04(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", F.array_join(F.transform("x", lambda c: c["corpus_id"].cast("string")), ",").alias("similar_ids"))
 
 
-@query("a40_soft_precision_recall", f"""WITH q AS ({IMAGES.format(n=20, side=0)}), c AS ({IMAGES.format(n=20, side=1)}), s AS (SELECT q.owner AS owner, q.vec_id AS a, c.vec_id AS b, list_cosine_similarity(q.e, c.e) AS s FROM q JOIN c ON q.owner = c.owner - 1),
- p AS (SELECT owner, avg(m) AS p FROM (SELECT owner, a, max(s) AS m FROM s GROUP BY 1, 2) GROUP BY 1), r AS (SELECT owner, avg(m) AS r FROM (SELECT owner, b, max(s) AS m FROM s GROUP BY 1, 2) GROUP BY 1)
- SELECT owner, round(p, 6) AS soft_precision, round(r, 6) AS soft_recall FROM p JOIN r USING (owner)""")
+@query("a40_soft_precision_recall", OWN + """, p AS (SELECT left_owner, right_owner, avg(m) AS p FROM (SELECT left_owner, right_owner, a, max(s) AS m FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2), r AS (SELECT left_owner, right_owner, avg(m) AS r FROM (SELECT left_owner, right_owner, b, max(s) AS m FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT left_owner, right_owner, round(p, 6) AS soft_precision, round(r, 6) AS soft_recall FROM p JOIN r USING (left_owner, right_owner)""")
 def a40(spark: SparkSession, d: str) -> DataFrame:
-    """Mean best cosine of each side's vectors."""
-    v = vectors(spark, d)
-    q = v.filter("id % 2 = 0").select((F.col("id") % 20).alias("owner"), F.col("id").alias("a"), F.col("vector").alias("x"))
-    c = v.filter("id % 2 = 1").select((F.col("id") % 20 - 1).alias("owner"), F.col("id").alias("b"), F.col("vector").alias("y"))
-    s = q.join(c, "owner").withColumn("s", similarity.cosine(F.col("x"), F.col("y")))
-    half = lambda side, name: s.groupBy("owner", side).agg(F.max("s").alias("m")).groupBy("owner").agg(F.round(F.avg("m"), 6).alias(name))
-    return half("a", "soft_precision").join(half("b", "soft_recall"), "owner")
+    """Mean best cosine of each side's vectors, for mentions and their entities."""
+    q, c = image_owners(spark, d)
+    return similarity.soft_scores(similarity.image_bests(own_pairs(q), q, c))
 
 
 @query("w09_standard_negatives", RANKED + ", n AS (SELECT r.mention_id, r.entity_id, row_number() OVER (PARTITION BY r.mention_id ORDER BY rank) AS place FROM ranked r JOIN mentions m USING (mention_id) WHERE r.entity_id <> m.gold_id) SELECT mention_id, entity_id, place FROM n WHERE place <= 3")
@@ -494,13 +504,6 @@ def w19(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("mention_id", F.array_join(F.transform(put, lambda v: v.cast("string")), ",").alias("candidates"))
 
 
-@query("j21_representative", NEAREST.format(on="AND a.label = b.label") + " SELECT query_id, corpus_id, round(score, 4) AS score FROM ranked WHERE rank = 1")
-def j21(spark: SparkSession, d: str) -> DataFrame:
-    """The best image for each image among those of its label."""
-    v = vectors(spark, d)
-    return similarity.top_k_similar(v, v, 1, within="label").select("query_id", "corpus_id", F.round("score", 4).alias("score"))
-
-
 @query("s22_stored_hits", RANKED + " SELECT r.mention_id, r.entity_id, e.title FROM ranked r JOIN part p ON p.p_partkey = r.entity_id JOIN (SELECT p_partkey AS entity_id, p_name AS title FROM part) e ON e.entity_id = r.entity_id WHERE r.rank <= 4")
 def s22(spark: SparkSession, d: str) -> DataFrame:
     """Stored hits, best first, cut and joined with the corpus for reranking."""
