@@ -1,20 +1,36 @@
-"""Pluggable scorers and extractors. A scorer takes two columns and gives a double; an extractor takes a text and the
-candidate values and gives the values found. Trained models register here under a name; the built-in ones need none."""
+"""Pluggable scorers and extractors.
+
+A scorer is either an expression of two columns, or, where a model is needed, a function of two Arrow arrays of texts that gives
+their scores as a numpy array. The latter is made by a loader, which runs once in each Python worker, so weights and tables are
+loaded there and not sent with the data. An extractor takes a text and the candidate values and gives the values found, in
+the candidates' order. Both register under a name; the built-in ones need no trained model.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import ship
 
 Scorer = Callable[[Column, Column], Column]
 Extractor = Callable[[Column, Column], Column]
+BatchScorer = Callable[[pa.Array, pa.Array], np.ndarray]
 SCORERS: dict[str, Scorer] = {}
 EXTRACTORS: dict[str, Extractor] = {}
+LOADERS: dict[str, Callable[[], BatchScorer]] = {}
+#: Scorers that this worker has loaded.
+_LOADED: dict[str, BatchScorer] = {}
 
 
 def scorer(name: str) -> Callable[[Scorer], Scorer]:
@@ -25,6 +41,16 @@ def scorer(name: str) -> Callable[[Scorer], Scorer]:
     return add
 
 
+def batch_scorer(name: str) -> Callable[[Callable[[], BatchScorer]], Callable[[], BatchScorer]]:
+    """Register a loader of a scorer of batches."""
+
+    def add(f: Callable[[], BatchScorer]) -> Callable[[], BatchScorer]:
+        LOADERS[name] = f
+        return f
+
+    return add
+
+
 def extractor(name: str) -> Callable[[Extractor], Extractor]:
     def add(f: Extractor) -> Extractor:
         EXTRACTORS[name] = f
@@ -33,6 +59,82 @@ def extractor(name: str) -> Callable[[Extractor], Extractor]:
     return add
 
 
+def words(text: str | None) -> list[str]:
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+@batch_scorer("jaccard")
+def load_jaccard() -> BatchScorer:
+    """Shared distinct tokens over all distinct tokens; 0 of two empty texts."""
+
+    def score(a: pa.Array, b: pa.Array) -> np.ndarray:
+        out = np.zeros(len(a))
+        for k, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+            x, y = set(words(x)), set(words(y))
+            out[k] = len(x & y) / (len(x | y) or 1)
+        return out
+
+    return score
+
+
+#: Size of the vectors of the hashed encoder.
+WIDTH = 256
+
+
+@batch_scorer("hashed_encoder")
+def load_hashed_encoder() -> BatchScorer:
+    """Cosine of sums of token vectors: each token has the row of a random table (the state) that its hash names."""
+    table = np.random.default_rng(20).standard_normal((1 << 14, WIDTH))
+    known: dict[str, int] = {}
+
+    def row(word: str) -> int:
+        if word not in known:
+            if len(known) > 100_000:
+                known.clear()
+            h = 2166136261
+            for c in word.encode():
+                h = (h ^ c) * 16777619 % (1 << 32)
+            known[word] = h % len(table)
+        return known[word]
+
+    def encode(texts: pa.Array) -> np.ndarray:
+        lists = [[row(w) for w in words(t)] for t in texts.to_pylist()]
+        out = np.zeros((len(lists), WIDTH))
+        for k, x in enumerate(lists):
+            if x:
+                out[k] = table[x].sum(0)
+                out[k] /= np.linalg.norm(out[k]) or 1
+        return out
+
+    return lambda a, b: (encode(a) * encode(b)).sum(1)
+
+
+def _scored(name: str, load: Callable[[], BatchScorer], a: str, b: str, drop: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    for batch in batches:
+        score = np.round(_LOADED[name](batch[a], batch[b]), 6)
+        rest = [c for c in batch.schema.names if c not in drop]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(score, pa.float64())], [*rest, "new_score"])
+
+
+def score_batches(pairs: DataFrame, a: str, b: str, name: str, *, drop: list[str] | None = None) -> DataFrame:
+    """pairs, without the columns `drop`, with `new_score`: the named batch scorer's score of two texts, to six places."""
+    ship(pairs.sparkSession)
+    rest = [f for f in pairs.schema if f.name not in (drop or [])]
+    return pairs.mapInArrow(partial(_scored, name, LOADERS[name], a, b, drop or []), T.StructType([*rest, T.StructField("new_score", T.DoubleType())]))
+
+
+def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, name: str, k: int, *, depth: int = 1000) -> DataFrame:
+    """(query_id, corpus_id, score, rank): of each query's hits (query_id, corpus_id, rank) up to the depth the k best by a batch scorer
+    of the texts (id, text) of both; ties keep their order. Corpus texts are met by hit, query texts last."""
+    short = hits.filter(F.col("rank") <= depth).select("query_id", "corpus_id", F.col("rank").alias("before"))
+    met = short.join(corpus.select(F.col("id").alias("corpus_id"), F.col("text").alias("b")), "corpus_id").join(queries.select(F.col("id").alias("query_id"), F.col("text").alias("a")), "query_id")
+    scored = score_batches(met, "a", "b", name, drop=["a", "b"]).withColumnRenamed("new_score", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "before")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "corpus_id", "score", "rank")
+
+
 @scorer("jaccard")
 def jaccard(a: Column, b: Column) -> Column:
     """Shared distinct tokens over all distinct tokens; 0 of two empty texts."""
@@ -80,6 +182,15 @@ def extract(rows: DataFrame, text: str, values: str, name: str) -> DataFrame:
     return rows.withColumn("extracted", EXTRACTORS[name](F.col(text), F.col(values)))
 
 
+def extract_all(rows: DataFrame, text: str, values: str, name: str, *, scorer: str = "overlap", limit: int = 10) -> DataFrame:
+    """rows with the whole of an extractor's answer: `found` of the first `limit` candidates, their `scores` against the text, the
+    `context` that they were found in, and what was found `beyond` the limit."""
+    text_of = F.col(text)
+    first, rest = F.slice(F.col(values), 1, limit), F.slice(F.col(values), limit + 1, 1_000_000)
+    out = rows.withColumns({"found": EXTRACTORS[name](text_of, first), "beyond": EXTRACTORS[name](text_of, rest), "context": text_of})
+    return out.withColumn("scores", F.transform("found", lambda v: F.round(SCORERS[scorer](v, text_of), 6)))
+
+
 def best_threshold(rows: DataFrame, score_col: str, label: str, thresholds: list[float], least_precision: float) -> DataFrame:
     """(threshold, recall) that keeps most of class 0 (scores below the threshold) at a least precision of that class; one
     aggregation for all thresholds."""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import attributes as A
-from ..operators import patterns, ranks
+from ..operators import patterns, ranks, scorers
 from .registry import query
 from .retrieval import RANKED, ranked
 from .tables import ATTRIBUTES, ENTITIES, EXTRACTORS, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores, table
@@ -354,6 +354,25 @@ def v05(spark: SparkSession, d: str) -> DataFrame:
     return values_in(said(spark, d, "ocr"), known).join(known.select("pattern", "value"), "pattern").select("mention_id", "value")
 
 
+@query(
+    "y01_extractor_answer",
+    RANKED
+    + f", {PREDICTED}, "
+    + SAID.format("ocr")
+    + f""", t AS MATERIALIZED (SELECT mention_id, {PADDED.format('text')} AS t, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS x FROM said),
+ c AS (SELECT mention_id, key, value, row_number() OVER (PARTITION BY mention_id, key ORDER BY rank) AS n FROM ranked JOIN entity_attributes USING (entity_id)),
+ f AS (SELECT *, contains(t, {PADDED.format('value')}) AS hit, list_distinct(list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: x <> '')) AS v FROM c JOIN t USING (mention_id))
+ SELECT mention_id, key, coalesce(string_agg(value, '|' ORDER BY n) FILTER (WHERE hit AND n <= 3), '') AS found, coalesce(string_agg(value, '|' ORDER BY n) FILTER (WHERE hit AND n > 3), '') AS beyond,
+ coalesce(sum(round(len(list_intersect(v, x)) / len(v), 6)) FILTER (WHERE hit AND n <= 3), 0) AS total FROM f GROUP BY 1, 2""",
+)
+def y01(spark: SparkSession, d: str) -> DataFrame:
+    """What an extractor finds of the first three candidates' values and of the others', with scores."""
+    c = ranked(spark, d).join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    c = c.withColumn("values", F.transform("x", lambda e: e["value"])).join(said(spark, d, "ocr"), "mention_id")
+    out = scorers.extract_all(c, "text", "values", "exact", limit=3)
+    return out.select("mention_id", "key", F.array_join("found", "|").alias("found"), F.array_join("beyond", "|").alias("beyond"), F.aggregate("scores", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 @query("w24_score_vector_by_key", WITH + ", k AS (SELECT DISTINCT key FROM entity_attributes), v AS (SELECT m.mention_id, k.key, coalesce(2.0 * max(CASE WHEN p.key = k.key AND extractor = 'ocr' AND p.key <> 'Size' THEN 0.4 END), 0.5) AS s FROM mentions m CROSS JOIN k LEFT JOIN predicted p ON p.mention_id = m.mention_id GROUP BY 1, 2) SELECT mention_id, string_agg(CAST(CAST(round(s * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY key) AS vector FROM v GROUP BY 1")
 def w24(spark: SparkSession, d: str) -> DataFrame:
     """A mention's score for each key in the global key order, doubled; 0.25 (doubled) where it has none."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import fusion, ranks, similarity
+from ..operators import fusion, ranks, scorers, similarity
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, first_by, mentions, scores, table
 
@@ -47,6 +47,33 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return similarity.top_k_similar(v, v, 10).select("query_id", "corpus_id", F.col("rank").cast("long").alias("rank"))
 
 
+DOT = NEAREST.replace(" / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))", "")
+
+
+@query("j14_dot_topk", DOT.format(on="") + " SELECT query_id, corpus_id, rank FROM ranked WHERE rank <= 10")
+def j14_dot(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the dot product."""
+    v = vectors(spark, d)
+    return similarity.top_k_similar(v, v, 10, metric="dot").select("query_id", "corpus_id", F.col("rank").cast("long").alias("rank"))
+
+
+TITLE_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query(
+    "j14_rerank",
+    NEAREST.format(on="")
+    + f""", t AS (SELECT p_partkey AS id, {TITLE_TOKENS} AS x FROM part), s AS (SELECT query_id, corpus_id, rank AS before, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS score FROM ranked JOIN t a ON a.id = query_id JOIN t b ON b.id = corpus_id WHERE rank <= 1000),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM s) SELECT query_id, corpus_id, score, rank FROM r WHERE rank <= 10""",
+)
+def j14_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The 1,000 nearest vectors, scored again by the titles of both and cut to ten."""
+    v = vectors(spark, d)
+    titles = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    best = scorers.rerank(similarity.top_k_similar(v, v, 1000), titles, titles, "jaccard", 10)
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("j17_topk_within_category", NEAREST.format(on="AND a.label = b.label") + " SELECT query_id, corpus_id, rank FROM ranked WHERE rank <= 5")
 def j17(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)

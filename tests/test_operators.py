@@ -265,3 +265,23 @@ def test_base_forms(spark):
     rows_ = [("Two Cats play", "cat play"), ("the CAT", "cat"), ("dogs", "cat sat"), (None, "x"), ("boxes of things", "box of thing")]
     got = [r[0] for r in spark.createDataFrame(rows_, "t string, q string").select(X.base_form_span(F.col("t"), F.col("q"))).collect()]
     assert got == ["Cats play", "CAT", None, None, "boxes of things"]
+
+
+def test_batch_scorers_and_reranking(spark):
+    @scorers.batch_scorer("test_length")
+    def load():
+        import numpy as np
+
+        def score(a, b):
+            return np.array([float(len(y or "") - len(x or "")) for x, y in zip(a.to_pylist(), b.to_pylist())])
+
+        return score
+
+    texts = spark.createDataFrame([(1, "a"), (2, "bbb"), (3, "bbb"), (4, None), (5, "ccccc")], "id long, text string")
+    hits = spark.createDataFrame([(1, 2, 2), (1, 3, 1), (1, 4, 3), (1, 5, 4), (2, 1, 1)], "query_id long, corpus_id long, rank int")
+    got = scorers.rerank(hits, texts, texts, "test_length", 2, depth=3)
+    assert rows(got, "query_id", "corpus_id", "score", "rank") == [(1, 2, 2.0, 2), (1, 3, 2.0, 1), (2, 1, -2.0, 1)]
+    pairs = spark.createDataFrame([("red ring", "ring red"), ("red", "blue"), ("", ""), (None, "x"), ("a b", "b c")], "a string, b string")
+    assert [r["new_score"] for r in scorers.score_batches(pairs, "a", "b", "jaccard").collect()] == [1.0, 0.0, 0.0, 0.0, 0.333333]
+    same = [r["new_score"] for r in scorers.score_batches(pairs, "a", "b", "hashed_encoder").collect()]
+    assert same[0] == 1.0 and same[2] == same[3] == 0.0 and -1 <= same[1] < 0.5 < 1
