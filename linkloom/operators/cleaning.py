@@ -79,6 +79,29 @@ def grouped_prefix(df: DataFrame, group: str, first: str, cap: int) -> DataFrame
     return before.withColumn("taken", F.col("before") < cap).select(group, "n", "taken")
 
 
+def quota_split(df: DataFrame, group: str, first: str, eligible: str, test: int, dev: int) -> DataFrame:
+    """Whole groups dealt out in order of their first rows: (group, n, part). Groups whose first row is eligible go to test while it
+    has fewer than `test` rows, then to dev; the others go to dev while it has fewer than `dev` rows, then to train, as do the
+    eligible ones that find both full. The second quota counts what the first has left over, so it takes two running sums."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.min(first).alias("at"), F.min_by(eligible, first).alias("able"))
+    sizes = sizes.withColumn("able", F.coalesce("able", F.lit(False)))
+    order = [ranks.leading("at")], [F.col("at"), F.col(group)]
+    one = ranks.running(sizes, *order, F.when(F.col("able"), F.col("n")).otherwise(0)).withColumnRenamed("before", "in_test").withColumn("to_test", F.col("able") & (F.col("in_test") < test))
+    two = ranks.running(one, *order, F.when(F.col("to_test"), 0).otherwise(F.col("n")))
+    return two.select(group, "n", F.when(F.col("to_test"), "test").when(F.col("before") < dev, "dev").otherwise("train").alias("part"))
+
+
+def shared_runs(rows: DataFrame, others: DataFrame, keys: list[str], text: str, other: str) -> DataFrame:
+    """(keys, start, run): maximal runs of tokens between spaces of each row's text that the other text of the same keys has too,
+    wherever; `start` counts tokens from 1. Tokens meet by an equi-join, so neither text is compared token by token."""
+    own = rows.select(*keys, F.posexplode(F.split(text, " ")).alias("p", "w")).filter("w <> ''")
+    has = others.select(*keys, F.explode(F.array_distinct(F.split(other, " "))).alias("w"))
+    hit = own.join(has, [*keys, "w"], "left_semi")
+    island = hit.withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy(*keys).orderBy("p")))
+    found = island.groupBy(*keys, "g").agg((F.min("p") + 1).cast("long").alias("start"), F.array_sort(F.collect_list(F.struct("p", "w"))).alias("x"))
+    return found.select(*keys, "start", F.array_join(F.transform("x", lambda e: e["w"]), " ").alias("run"))
+
+
 def null_out(df: DataFrame, names: list[str]) -> DataFrame:
     """The same rows with some columns emptied; names that aren't there are passed over."""
     there = [c for c in df.columns if c in names]

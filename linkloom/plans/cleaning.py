@@ -318,12 +318,19 @@ def j45(spark: SparkSession, d: str) -> DataFrame:
 SPLIT = "WITH g AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS at_row FROM orders GROUP BY 1), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY at_row, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)"
 
 
-@query("w16_group_split", SPLIT + " SELECT o.o_orderkey, CASE WHEN before < 200 THEN 'dev' ELSE 'train' END AS part FROM orders o JOIN c USING (o_custkey)")
+@query(
+    "w16_group_split",
+    """WITH o AS (SELECT o_orderkey, o_custkey, coalesce(n, 0) >= 3 AS able FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (o_orderkey)),
+ g AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS at_row, arg_min(able, o_orderkey) AS able FROM o GROUP BY 1),
+ a AS (SELECT *, able AND coalesce(sum(CASE WHEN able THEN n ELSE 0 END) OVER (ORDER BY at_row, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300 AS to_test FROM g),
+ b AS (SELECT *, coalesce(sum(CASE WHEN to_test THEN 0 ELSE n END) OVER (ORDER BY at_row, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM a)
+ SELECT o_orderkey, CASE WHEN to_test THEN 'test' WHEN rest < 200 THEN 'dev' ELSE 'train' END AS part FROM orders JOIN b USING (o_custkey)""",
+)
 def w16(spark: SparkSession, d: str) -> DataFrame:
-    """Whole groups go to dev, in order of their first row, until it has its rows."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    taken = K.grouped_prefix(o, "o_custkey", "o_orderkey", 200)
-    return o.join(taken, "o_custkey").select("o_orderkey", F.when(F.col("taken"), "dev").otherwise("train").alias("part"))
+    """Customers' orders dealt out as wholes: those whose first order has three lines to test, then dev; the others to dev, then train."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left").withColumn("able", F.coalesce(F.col("lines") >= 3, F.lit(False)))
+    return o.join(K.quota_split(o, "o_custkey", "o_orderkey", "able", 300, 200), "o_custkey").select("o_orderkey", "part")
 
 
 @query("w17_moved_groups", SPLIT + " SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows_moved FROM c WHERE before < 300")

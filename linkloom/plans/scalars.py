@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators import cleaning as K
 from ..operators import patterns
 from .registry import query
 from .tables import SCORES, scores, table
@@ -133,14 +134,17 @@ def x21(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.lemma(w).alias("lemma"))
 
 
-@query("x22_shared_token_runs", "WITH t AS (SELECT p_partkey, unnest(range(1, 4)) AS p, unnest([p_brand, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS w FROM part), h AS (SELECT *, w IN ('red', 'blue', 'ring', 'small', 'Brand#4') AS hit FROM t), g AS (SELECT *, p - row_number() OVER (PARTITION BY p_partkey ORDER BY p) AS g FROM h WHERE hit) SELECT p_partkey, min(p) AS start, string_agg(w, ' ' ORDER BY p) AS run FROM g GROUP BY p_partkey, g")
+@query(
+    "x22_shared_token_runs",
+    """WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM conversations),
+ h AS (SELECT * FROM t WHERE w <> '' AND (conv_id, turn - 1, w) IN (SELECT (conv_id, turn, w) FROM t)), g AS (SELECT *, p - row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) AS g FROM h)
+ SELECT conv_id, turn, min(p) AS start, string_agg(w, ' ' ORDER BY p) AS run FROM g GROUP BY conv_id, turn, g""",
+)
 def x22(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal runs of tokens that two texts share."""
-    words = F.array("p_brand", F.split("p_name", " ")[0], F.split("p_name", " ")[1])
-    t = table(spark, d, "part").select("p_partkey", F.posexplode(words).alias("p", "w")).filter(F.col("w").isin("red", "blue", "ring", "small", "Brand#4"))
-    g = t.withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("p_partkey").orderBy("p")))
-    runs = g.groupBy("p_partkey", "g").agg((F.min("p") + 1).cast("long").alias("start"), F.array_sort(F.collect_list(F.struct("p", "w"))).alias("x"))
-    return runs.select("p_partkey", "start", F.array_join(F.transform("x", lambda e: e["w"]), " ").alias("run"))
+    """Maximal runs of a turn's tokens that the turn before has too."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("other"))
+    return K.shared_runs(turns, before, ["conv_id", "turn"], "text", "other")
 
 
 @query("x24_first_match", "SELECT doc_id, CASE WHEN contains(text, ' thth ') THEN 'thth' WHEN contains(text, ' la ') THEN 'la' WHEN contains(text, ' of ') THEN 'of' END AS hit FROM documents")

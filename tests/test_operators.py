@@ -285,3 +285,35 @@ def test_batch_scorers_and_reranking(spark):
     assert [r["new_score"] for r in scorers.score_batches(pairs, "a", "b", "jaccard").collect()] == [1.0, 0.0, 0.0, 0.0, 0.333333]
     same = [r["new_score"] for r in scorers.score_batches(pairs, "a", "b", "hashed_encoder").collect()]
     assert same[0] == 1.0 and same[2] == same[3] == 0.0 and -1 <= same[1] < 0.5 < 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_split_equals_one_pass(spark, seed):
+    rnd = random.Random(seed)
+    data = [(k * 7_000, rnd.randint(0, 30) if rnd.random() < 0.9 else 99, rnd.random() < 0.5 if rnd.random() < 0.9 else None) for k in range(300)]
+    df = spark.createDataFrame(data, "row long, g long, able boolean")
+    got = {r["g"]: r["part"] for r in cleaning.quota_split(df.repartition(4), "g", "row", "able", 70, 50).collect()}
+    want, size = {}, {"test": 0, "dev": 0, "train": 0}
+    for _, g, able in data:
+        if g not in want:
+            part = "test" if able and size["test"] < 70 else "dev" if size["dev"] < 50 else "train"
+            want[g] = part
+            size[part] += sum(x[1] == g for x in data)
+    assert got == want
+
+
+def test_shared_runs_equal_brute_force(spark):
+    rnd = random.Random(2)
+    text = lambda: " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 12)))
+    pairs = [(k, text(), text()) for k in range(40)] + [(50, None, "a"), (51, "a", None), (52, "a  b", "b  a"), (53, "x", "y")]
+    df = spark.createDataFrame(pairs, "k long, a string, b string")
+    want = []
+    for k, a, b in pairs:
+        has, run = set((b or "").split(" ")) - {""}, []
+        for p, w in enumerate([*(a or "").split(" "), None], 1):
+            if w in has:
+                run.append(w)
+            elif run:
+                want.append((k, p - len(run), " ".join(run)))
+                run = []
+    assert rows(cleaning.shared_runs(df, df, ["k"], "a", "b"), "k", "start", "run") == sorted(want)
