@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..operators import cleaning as K
 from ..operators import ranks
+from ..session import place
 from ..sources import readers
-from .io import place
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, mentions, scores, table
 

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import place
 from ..sources import readers, sinks
 from .registry import query
 from .retrieval import RANKED, ranked
 from .tables import MENTIONS, SCORES, mentions, scores, table
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see. Where spark.checkpoint.dir is unset, one of this machine in local mode, as in tests,
-    and an error on a cluster."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='linkloom-')}")
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 @query("k01_json_round_trip", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 300000")
 def k01(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "k01")

@@ -9,9 +9,9 @@ from ..functions import text as X
 from ..operators import attributes as A
 from ..operators import cleaning as K
 from ..operators import fusion, scorers
+from ..session import place
 from ..sources import readers, sinks
 from .attributes import SAID, n05, said
-from .io import place
 from .registry import query
 from .retrieval import GOLD_RANKS, RANKED, QUOTA, ranked, two, w09, w10, w11, w12
 from .tables import PREDICTED, SCORES, draw, draw_sql, entity_attributes, mentions, predicted, scores, table

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import place
 from ..streaming.recall import windowed_hits
 from ..streaming.resume import resume
-from .io import place
 from .registry import query
 from .tables import table
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import batching
 from .attributes import GOLD, gold
 from .registry import query
 from .retrieval import RANKED, ranked
@@ -127,3 +128,12 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
     lists = lists.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("k") <= FIRST).select("g", "entity_id")
     gold_of = mentions(spark, d).join(e.select(F.col("entity_id").alias("gold_id"), F.col("category").alias("g")), "gold_id")
     return gold_of.join(lists, "g").select("mention_id", "entity_id")
+
+
+@query("g04_no_repeat_batches")
+def g04(spark: SparkSession, d: str) -> DataFrame:
+    """What users say and what answers it, in batches of 64 in which no text comes twice."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    answers = turns.filter("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = turns.filter("role = 'user'").join(answers, ["conv_id", "turn"]).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    return batching.without_repeats(pairs, "id", ["text", "answer"], 64).select("conv_id", "turn", "batch")
