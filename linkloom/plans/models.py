@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import scorers
+from ..operators import classifiers, scorers
 from .registry import query
-from .tables import SCORES, scores, table
+from .tables import SCORES, draw, scores, table
 
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
@@ -76,3 +76,56 @@ def v15(spark: SparkSession, d: str) -> DataFrame:
 def v16(spark: SparkSession, d: str) -> DataFrame:
     b = scores(spark, d).groupBy("mention_id").agg(F.max(F.struct("text_score", (-F.col("entity_id")).alias("e"))).alias("m"))
     return b.select("mention_id", F.when(F.col("m.text_score") >= 0.8, (-F.col("m.e")).cast("string")).otherwise("").alias("best"))
+
+
+#: Measures of a text: its length, lines, signs, the mean length of its words, and its distinct words over all.
+MEASURES = ["n_chars", "n_lines", "n_signs", "word_length", "distinct"]
+WORDS = "list_filter(string_split(text, ' '), lambda w: w <> '')"
+MEASURES_SQL = f"""x AS (SELECT doc_id, quality, CAST(n_chars AS DOUBLE) AS n_chars, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS n_lines, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS DOUBLE) AS n_signs,
+ coalesce(round(list_sum(list_transform({WORDS}, lambda w: length(w))) / nullif(len({WORDS}), 0), 6), 0) AS word_length, coalesce(round(len(list_distinct({WORDS})) / nullif(len({WORDS}), 0), 6), 0) AS "distinct" FROM documents JOIN labels USING (doc_id))"""
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, quality, the measures, fit): fit marks seven tenths of the rows."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    n = F.nullif(F.size(words), F.lit(0))
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")).cast("double").alias("n_signs"),
+        F.coalesce(F.round(F.length(F.array_join(words, "")) / n, 6), F.lit(0.0)).alias("word_length"),
+        F.coalesce(F.round(F.size(F.array_distinct(words)) / n, 6), F.lit(0.0)).alias("distinct"),
+    )
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return docs.join(labels, "doc_id").withColumn("fit", draw("doc_id", seed=12) < "b3")
+
+
+@query("v12_model_comparison")
+def v12_models(spark: SparkSession, d: str) -> DataFrame:
+    """Four classifiers of quality over scaled measures: held-out precision and recall of class 0, and the one to use."""
+    return classifiers.compare(classifiers.predictions(measured(spark, d), MEASURES, "quality", "fit"), "quality", 0.85)
+
+
+RULES = {"word_length": [3.0, 4.0, 5.0, 6.0], "distinct": [0.2, 0.4, 0.6, 0.8], "n_lines": [1.0, 2.0, 5.0]}
+
+
+def _setting(name: str) -> str:
+    cases = ", ".join(f"({k}, CAST({t} AS DOUBLE))" for k, t in enumerate(RULES[name]))
+    return f'(VALUES {cases}, ({len(RULES[name])}, NULL)) AS {name[0]}(p_{name}, t_{name})'
+
+
+@query(
+    "v13_rule_search",
+    f"WITH {MEASURES_SQL}, g AS (SELECT * FROM {', '.join(_setting(c) for c in RULES)} WHERE NOT ({' AND '.join(f't_{c} IS NULL' for c in RULES)})), "
+    + "s AS (SELECT "
+    + ", ".join(f"p_{c}, t_{c}" for c in RULES)
+    + ", count(CASE WHEN NOT good THEN 1 END) AS found, count(CASE WHEN NOT good AND quality = 0 THEN 1 END) AS hit, count(CASE WHEN quality = 0 THEN 1 END) AS bad FROM (SELECT g.*, quality, "
+    + " AND ".join(f'(t_{c} IS NULL OR "{c}" > t_{c})' for c in RULES)
+    + " AS good FROM x, g) GROUP BY ALL), r AS (SELECT *, coalesce(round(hit / nullif(found, 0), 6), 0) AS precision, coalesce(round(hit / nullif(bad, 0), 6), 0) AS recall FROM s) SELECT "
+    + ", ".join(f'arg_min(t_{c}, (-recall, {", ".join(f"p_{x}" for x in RULES)})) AS "{c}"' for c in RULES).replace("arg_min(", "arg_min_null(")
+    + f", arg_min(precision, (-recall, {', '.join(f'p_{x}' for x in RULES)})) AS precision, max(recall) AS recall FROM r WHERE precision >= 0.5 HAVING count(*) > 0",
+)
+def v13_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds of several measures together that find most of class 0 at a least precision."""
+    return classifiers.best_rule(measured(spark, d), RULES, "quality", 0.5)
