@@ -9,10 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Platform and version words that look like model numbers but aren't.
-NOT_MODELS = ("ps4", "ps5", "x360", "4k", "8k", "1080p", "720p", "mp3", "mp4", "usb3", "2nd", "3rd", "1st", "5g", "4g")
-#: A token of letters and digits (either first), with dashes, after a space or at the start.
-MODEL = r"(?:^|\s)((?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9-]*)"
+#: Model numbers, after white space: letters and digits; letters, dashes, digits; letters, a dash, letters and digits;
+#: a word and a number between white space.
+MODEL = r"\s[a-zA-Z]+[0-9]+\w*|\s[a-zA-Z]+-+[0-9]+\w*|\s[a-zA-Z]+-[a-zA-Z]+[0-9]+\w*|\s[a-zA-Z]+\s[0-9]+\s"
+#: Platforms and versions, which aren't.
+NOT_MODELS = ("ps3", "ps4", "ps5", "PS4", "PS5", "PS3", "playstation 4", "playstation 3", "playstation 5", "PlayStation 4", "PlayStation 3", "PlayStation 5", "v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8")
 #: Phrases by which an answer says that there is none.
 NO_ANSWER = ("not mentioned", "not specified", "no information", "unknown", "n/a")
 
@@ -28,8 +29,8 @@ def entity_name(url: Column) -> Column:
 
 
 def model_versions(c: Column) -> Column:
-    """Model numbers of a text, in order, lower-cased, without NOT_MODELS."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(MODEL), F.lit(1)), F.lower)
+    """Model numbers of a text, in order, without NOT_MODELS."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(MODEL), F.lit(0)), lambda m: F.regexp_replace(m, r"^\s+|\s+$", ""))
     return F.filter(found, lambda m: ~m.isin(*NOT_MODELS))
 
 
@@ -154,21 +155,38 @@ def transliterate(texts: pd.Series) -> pd.Series:
     return texts.map(_ascii)
 
 
-#: Endings that the plain lemma takes off, the longest first.
-ENDINGS = ("ings", "ing", "ies", "ed", "es", "s")
+#: Words whose base form no rule gives, by part of speech.
+IRREGULAR = {
+    "noun": {"children": "child", "feet": "foot", "geese": "goose", "men": "man", "mice": "mouse", "people": "person", "teeth": "tooth", "women": "woman"},
+    "verb": {"are": "be", "been": "be", "bought": "buy", "did": "do", "done": "do", "gave": "give", "got": "get", "had": "have", "has": "have", "is": "be", "made": "make", "said": "say", "took": "take", "was": "be", "went": "go", "were": "be"},
+}
+#: Rules by part of speech, the first that fits counts: an ending, what stands in its place, and the letters that a word must have.
+RULES = {
+    "noun": (("ss", "ss", 2), ("us", "us", 2), ("is", "is", 2), ("ies", "y", 5), ("ches", "ch", 5), ("shes", "sh", 5), ("sses", "ss", 5), ("xes", "x", 4), ("s", "", 4)),
+    "verb": (("ss", "ss", 2), ("ies", "y", 5), ("ied", "y", 5), ("ches", "ch", 5), ("shes", "sh", 5), ("sses", "ss", 5), ("xes", "x", 4), ("ings", "", 7), ("ing", "", 6), ("ed", "", 5), ("s", "", 4)),
+}
 
 
-def lemma(word: Column) -> Column:
-    """A plain stand-in for a lemma: lower case without a common ending, if three letters stay."""
+def lemma(word: Column, pos: str = "verb") -> Column:
+    """The base form of a word in lower case, as a noun or a verb: irregular ones by a list, others by rules on their ending."""
     w = F.lower(word)
     out = w
-    for e in reversed(ENDINGS):
-        out = F.when(w.endswith(e) & (F.length(w) >= len(e) + 3), F.substring(w, F.lit(1), F.length(w) - len(e))).otherwise(out)
+    for ending, new, least in reversed(RULES[pos]):
+        out = F.when(w.endswith(ending) & (F.length(w) >= least), F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit(new))).otherwise(out)
+    for form, base in IRREGULAR[pos].items():
+        out = F.when(w == form, base).otherwise(out)
     return out
 
 
+def lemma_sql(w: str, pos: str = "verb") -> str:
+    """The same in SQL, of a word in lower case."""
+    listed = " ".join(f"WHEN {w} = '{form}' THEN '{base}'" for form, base in reversed(IRREGULAR[pos].items()))
+    ruled = " ".join(f"WHEN suffix({w}, '{ending}') AND length({w}) >= {least} THEN substr({w}, 1, length({w}) - {len(ending)}) || '{new}'" for ending, new, least in RULES[pos])
+    return f"CASE {listed} {ruled} ELSE {w} END"
+
+
 def lemmas(words: Column) -> Column:
-    return F.transform(words, lemma)
+    return F.transform(words, lambda w: lemma(w))
 
 
 def base_form_span(text: Column, query: Column) -> Column:

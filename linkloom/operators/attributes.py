@@ -86,6 +86,25 @@ def majority(predicted: DataFrame, *, least: int = 1) -> DataFrame:
     return best.select("mention_id", "key", "m.value")
 
 
+def majority_or_trusted(predicted: DataFrame, precision: DataFrame, threshold: float, least: int = 0) -> DataFrame:
+    """(mention_id, key, value): the value predicted most often of several; a single one only if its extractor's precision for the
+    key, over more than `least` predictions, is above the threshold."""
+    single = predicted.withColumn("kinds", F.count("*").over(Window.partitionBy("mention_id", "key"))).filter("kinds = 1")
+    sure = trusted(single, precision.filter(F.col("n") > least), threshold).select("mention_id", "key", "value")
+    return majority(predicted, least=2).unionByName(sure)
+
+
+def agreed_gold(predicted: DataFrame, fused: DataFrame, gold: DataFrame, titles: list[str], witnesses: list[str]) -> DataFrame:
+    """(mention_id, key, value) of predictions that are gold: the one value that all extractors give for a key, else the fused one.
+    Of titles it must be what one of the witnesses (extractors) gives."""
+    values = predicted.groupBy("mention_id", "key").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    chosen = values.join(fused.withColumnRenamed("value", "fused"), ["mention_id", "key"], "left").select("mention_id", "key", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("fused")).alias("value"))
+    seen = predicted.filter(F.col("extractor").isin(*witnesses)).select("mention_id", "key", "value").distinct()
+    plain = chosen.filter(~F.col("key").isin(*titles))
+    guarded = chosen.filter(F.col("key").isin(*titles)).join(seen, ["mention_id", "key", "value"], "left_semi")
+    return plain.unionByName(guarded).join(gold.select("mention_id", "key", "value"), ["mention_id", "key", "value"], "left_semi")
+
+
 def trusted(predicted: DataFrame, precision: DataFrame, threshold: float) -> DataFrame:
     """Predictions of extractors whose precision for the key exceeds the threshold, with that precision."""
     return predicted.join(precision, ["extractor", "key"]).filter(F.col("precision") > threshold)

@@ -72,6 +72,25 @@ def restrict_ids(df: DataFrame, key: str, ids: str, known: DataFrame, id_col: st
     return df.join(left, key, "left").withColumn(ids, F.coalesce("__ids", empty)).drop("__ids")
 
 
+def variants(entities: DataFrame) -> DataFrame:
+    """(entity_id) to be removed of entities (entity_id, title, model, n): each later entity of a title whose model differs from the
+    first one's is set against the first, and the one with fewer reviews `n` goes, on a tie the first."""
+    first = entities.groupBy("title").agg(F.min(F.struct("entity_id", "model", "n")).alias("f"))
+    later = entities.join(first, "title").filter((F.col("entity_id") != F.col("f.entity_id")) & ~F.col("model").eqNullSafe(F.col("f.model")))
+    return later.select(F.when(F.col("f.n") > F.col("n"), F.col("entity_id")).otherwise(F.col("f.entity_id")).alias("entity_id")).distinct()
+
+
+def without_entities(removed: DataFrame, *tables: tuple[DataFrame, list[str]]) -> list[DataFrame]:
+    """Each table without the rows that name a removed entity in any of its columns: entities, then what refers to them."""
+    out = []
+    for df, columns in tables:
+        kept = df
+        for c in columns:
+            kept = kept.join(removed.select(F.col("entity_id").alias(c)), c, "left_anti")
+        out.append(kept.select(*df.columns))
+    return out
+
+
 def grouped_prefix(df: DataFrame, group: str, first: str, cap: int) -> DataFrame:
     """Whole groups, in order of their first row, while the rows taken before are below cap: (group, n, taken)."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.min(first).alias("at"))

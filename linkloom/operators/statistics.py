@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def percent(a: Column, b: Column) -> Column:
@@ -39,3 +40,41 @@ def ordered_counts(rows: DataFrame, group: str, key: str) -> DataFrame:
     lists = n.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("n", F.col(key).alias("k"))), asc=False).alias("x"), F.sum("n").alias("n"))
     text = F.array_join(F.transform("x", lambda e: F.concat(e["k"].cast("string"), F.lit(":"), e["n"].cast("string"))), ",")
     return lists.select(group, text.alias("keys"), "n")
+
+
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """(alias, category, n) of (alias, category, product_id): how often each alias stands for each category."""
+    return aliases.groupBy("alias", "category").agg(F.count("*").alias("n"))
+
+
+def two_indexes(mentions: DataFrame, exact: DataFrame, base: DataFrame) -> DataFrame:
+    """mentions (mention_id, form, base_form) with the rows of both alias indexes: those of the form as it is (`which` 0), then those
+    of its base form (1); what both have comes twice."""
+    one = mentions.select("mention_id", F.col("form").alias("alias"), F.lit(0).alias("which")).join(exact, "alias")
+    two = mentions.select("mention_id", F.col("base_form").alias("alias"), F.lit(1).alias("which")).join(base, "alias")
+    return one.unionByName(two)
+
+
+def candidates_by_prior(mentions: DataFrame, exact: DataFrame, base: DataFrame, entities: DataFrame, draw: Column, *, few: int = 10, cap: int = 100) -> DataFrame:
+    """(mention_id, product_id, place): the candidates of mentions (mention_id, form, base_form) by the two tables of aliases (alias,
+    category, product_id). A mention with `few` products or less keeps all of them, in the order of the indexes; another the first
+    `cap` of the most frequent category of its alias; one without any gets the first `cap` entities (product_id) of a drawn order.
+
+    An alias may stand for a large part of all products, so only `cap` rows of each (alias, category) are kept before mentions meet them."""
+
+    def index(aliases: DataFrame) -> DataFrame:
+        counted = alias_index(aliases)
+        best = counted.groupBy("alias").agg(F.max(F.struct("n", "category"))["category"].alias("top"), F.sum("n").alias("n"))
+        first = F.row_number().over(Window.partitionBy("alias", "category").orderBy("product_id"))
+        return aliases.withColumn("k", first).filter(F.col("k") <= cap).join(best, "alias")
+
+    met = two_indexes(mentions.select("mention_id", "form", "base_form"), index(exact), index(base))
+    # each index counts once for a mention, with all its products
+    whole = met.select("mention_id", "which", "n", "top").distinct().groupBy("mention_id").agg(F.sum("n").alias("total"), F.min(F.struct("which", "top"))["top"].alias("best"))
+    some = met.join(whole, "mention_id").filter((F.col("total") <= few) | (F.col("category") == F.col("best")))
+    order = Window.partitionBy("mention_id").orderBy("which", "product_id")
+    listed = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).select("mention_id", "product_id", "place")
+    drawn = entities.select("product_id", draw.alias("__d")).orderBy("__d", "product_id").limit(cap)
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__d", "product_id"))).select("product_id", "place", F.lit(0).alias("__k"))
+    none = mentions.join(whole, "mention_id", "left_anti").select("mention_id", F.lit(0).alias("__k"))
+    return listed.unionByName(none.join(F.broadcast(drawn), "__k").drop("__k"))  # `cap` rows

@@ -114,9 +114,29 @@ def f08(spark: SparkSession, d: str) -> DataFrame:
     return c.join(p, ["conv_id", "turn"]).filter(F.contains("about", F.lower(F.split_part("text", F.lit(" "), F.lit(1))))).select("conv_id", "turn")
 
 
-@query("f09_excluded_category", "SELECT p_partkey FROM part WHERE NOT contains(p_type, 'ECO') AND NOT contains(p_name, 'hot')")
+SIMILAR = "sim AS (SELECT p.p_partkey, s.p_partkey AS similar_id FROM part p JOIN part s ON s.p_partkey IN (p.p_partkey + 1, p.p_partkey + 2, p.p_partkey + 3))"
+KEPT = "SELECT p.p_partkey, coalesce(string_agg(CAST(similar_id AS VARCHAR), ',' ORDER BY similar_id), '') AS similar FROM part p LEFT JOIN (SELECT * FROM sim WHERE similar_id NOT IN (SELECT id FROM gone)) s ON s.p_partkey = p.p_partkey WHERE p.p_partkey NOT IN (SELECT id FROM gone) GROUP BY 1"
+
+
+def similar_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, similar_id): the next three numbers that are there stand for similar entities."""
+    ids = table(spark, d, "part").select("p_partkey")
+    near = ids.select("p_partkey", F.explode(F.array(*[F.col("p_partkey") + k for k in (1, 2, 3)])).alias("similar_id"))
+    return near.join(ids.select(F.col("p_partkey").alias("similar_id")), "similar_id", "left_semi")
+
+
+def with_similar(entities: DataFrame, similar: DataFrame) -> DataFrame:
+    lists = similar.groupBy("p_partkey").agg(F.array_sort(F.collect_list("similar_id")).alias("x"))
+    return entities.select("p_partkey").join(lists, "p_partkey", "left").select("p_partkey", F.coalesce(F.array_join(F.col("x").cast("array<string>"), ","), F.lit("")).alias("similar"))
+
+
+@query("f09_excluded_category", f"WITH {SIMILAR}, gone AS (SELECT p_partkey AS id FROM part WHERE contains(p_type, 'ECO') OR contains(p_name, 'hot')) " + KEPT)
 def f09(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter(~F.contains("p_type", F.lit("ECO")) & ~F.contains("p_name", F.lit("hot"))).select("p_partkey")
+    """Entities of an excluded category go, and their ids from the lists of the others."""
+    p = table(spark, d, "part")
+    gone = p.filter(F.contains("p_type", F.lit("ECO")) | F.contains("p_name", F.lit("hot"))).select(F.col("p_partkey").alias("entity_id"))
+    kept, similar = K.without_entities(gone, (p, ["p_partkey"]), (similar_ids(spark, d), ["p_partkey", "similar_id"]))
+    return with_similar(kept, similar)
 
 
 @query(
@@ -193,12 +213,29 @@ def f33(spark: SparkSession, d: str) -> DataFrame:
     return m.filter(F.size("m") > 0).select("doc_id", F.array_join(F.array_sort(F.map_keys("m")), " ").alias("words"))
 
 
-@query("f34_product_variants", "WITH n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), v AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY coalesce(n, 0) DESC, p_partkey) AS k FROM part LEFT JOIN n ON l_partkey = p_partkey) SELECT p_partkey FROM v WHERE k = 1")
-def f34(spark: SparkSession, d: str) -> DataFrame:
-    """Of variants with one title, that with the most reviews."""
+VARIANTS = """n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), v AS (SELECT p_partkey, p_name || ' ' || p_brand AS title, p_size, coalesce(n, 0) AS n FROM part LEFT JOIN n ON l_partkey = p_partkey),
+ f AS (SELECT title, min(p_partkey) AS p_partkey, arg_min(p_size, p_partkey) AS p_size, arg_min(n, p_partkey) AS n FROM v GROUP BY 1),
+ gone AS (SELECT DISTINCT CASE WHEN f.n > v.n THEN v.p_partkey ELSE f.p_partkey END AS id FROM v JOIN f USING (title) WHERE v.p_partkey <> f.p_partkey AND v.p_size IS DISTINCT FROM f.p_size)"""
+
+
+def variants_gone(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand").join(n, "p_partkey", "left")
-    return K.keep_first(p, ["p_name", "p_brand"], F.coalesce(F.col("n"), F.lit(0)).desc(), "p_partkey").select("p_partkey")
+    p = table(spark, d, "part").join(n, "p_partkey", "left")
+    return K.variants(p.select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_size").alias("model"), F.coalesce("n", F.lit(0)).alias("n")))
+
+
+@query("f34_product_variants", f"WITH {VARIANTS}, {SIMILAR} " + KEPT)
+def f34(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of an entity with fewer reviews go, and their ids from the lists of the others."""
+    kept, similar = K.without_entities(variants_gone(spark, d), (table(spark, d, "part"), ["p_partkey"]), (similar_ids(spark, d), ["p_partkey", "similar_id"]))
+    return with_similar(kept, similar)
+
+
+@query("f34_variant_reviews", f"WITH {VARIANTS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM gone)")
+def f34_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews that stay when variants go."""
+    reviews = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return K.without_entities(variants_gone(spark, d), (reviews, ["l_partkey"]))[0]
 
 
 @query("f37_correct_only", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")

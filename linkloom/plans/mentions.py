@@ -109,14 +109,10 @@ def n07(spark: SparkSession, d: str) -> DataFrame:
     return x.select("mention_id", "entity_id", F.array_join(F.concat(n, F.array_repeat(F.lit(0).cast("long"), F.lit(4) - F.size(n))).cast("array<string>"), ",").alias("ids"))
 
 
-def lemma_sql(w: str) -> str:
-    return "CASE " + " ".join(f"WHEN length({w}) >= {len(e) + 3} AND suffix({w}, '{e}') THEN substr({w}, 1, length({w}) - {len(e)})" for e in X.ENDINGS) + f" ELSE {w} END"
-
-
 @query(
     "x20_base_form_search",
     f"""WITH t AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w FROM conversations), q AS (SELECT *, coalesce(w[2], '') || 's ' || coalesce(w[3], '') AS q FROM t),
- l AS (SELECT *, list_transform(list_transform(w, lambda x: lower(x)), lambda x: {lemma_sql('x')}) AS lw, list_transform(list_transform(string_split(q, ' '), lambda x: lower(x)), lambda x: {lemma_sql('x')}) AS lq FROM q),
+ l AS (SELECT *, list_transform(list_transform(w, lambda x: lower(x)), lambda x: {X.lemma_sql('x')}) AS lw, list_transform(list_transform(string_split(q, ' '), lambda x: lower(x)), lambda x: {X.lemma_sql('x')}) AS lq FROM q),
  f AS (SELECT *, list_filter(range(1, len(w)), lambda i: lw[i : i + 1] = lq)[1] AS spot FROM l)
  SELECT conv_id, turn, CASE WHEN strpos(lower(text), lower(q)) > 0 THEN substr(text, strpos(lower(text), lower(q)), length(q)) WHEN len(w) >= 2 AND spot IS NOT NULL THEN w[spot] || ' ' || w[spot + 1] END AS span FROM f""",
 )

@@ -47,12 +47,12 @@ def x05(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.coalesce(F.try_element_at(path, F.lit(4)), F.lit("")).alias("second"), F.element_at(path, -1).alias("last"), F.size(path).cast("long").alias("depth"))
 
 
-MODEL_SQL = r"'(?:^|\s)((?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9-]*)'"
+TRIMMED = r"regexp_replace(m, '^\s+|\s+$', '', 'g')"
 
 
-@query("x06_model_versions", f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, {MODEL_SQL}, 1), lambda m: lower(m)), lambda m: m NOT IN ({', '.join(repr(m) for m in X.NOT_MODELS)})), ',') AS models FROM pages")
+@query("x06_model_versions", f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '{X.MODEL}'), lambda m: {TRIMMED}), lambda m: m NOT IN ({', '.join(repr(m) for m in X.NOT_MODELS)})), ',') AS models FROM pages")
 def x06(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of letters and digits, without platform words."""
+    """Model numbers of whole pages, without platforms and versions."""
     return table(spark, d, "pages").select("page_id", F.array_join(X.model_versions(F.col("html")), ",").alias("models"))
 
 
@@ -127,11 +127,11 @@ def x19(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.contains("text", F.concat(F.lit("this "), F.split_part("text", F.lit(" "), F.lit(3)))).alias("hit"))
 
 
-@query("x21_lemma", "SELECT p_partkey, CASE WHEN length(w) >= 7 AND suffix(w, 'ings') THEN substr(w, 1, length(w) - 4) WHEN length(w) >= 6 AND suffix(w, 'ing') THEN substr(w, 1, length(w) - 3) WHEN length(w) >= 6 AND suffix(w, 'ies') THEN substr(w, 1, length(w) - 3) WHEN length(w) >= 5 AND suffix(w, 'ed') THEN substr(w, 1, length(w) - 2) WHEN length(w) >= 5 AND suffix(w, 'es') THEN substr(w, 1, length(w) - 2) WHEN length(w) >= 4 AND suffix(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END AS lemma FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 2)) || CASE p_partkey % 4 WHEN 0 THEN 's' WHEN 1 THEN 'ing' WHEN 2 THEN 'ed' ELSE '' END AS w FROM part)")
+@query("x21_lemma", f"WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents) SELECT w, {X.lemma_sql('w', 'noun')} AS noun, {X.lemma_sql('w')} AS verb FROM w")
 def x21(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    w = F.concat(F.split("p_name", " ")[1], F.when(k == 0, "s").when(k == 1, "ing").when(k == 2, "ed").otherwise(""))
-    return table(spark, d, "part").select("p_partkey", X.lemma(w).alias("lemma"))
+    """The base forms, as noun and as verb, of all words of all texts."""
+    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return words.select("w", X.lemma(F.col("w"), "noun").alias("noun"), X.lemma(F.col("w")).alias("verb"))
 
 
 @query(

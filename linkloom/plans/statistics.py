@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from ..operators import statistics as S
 from ..operators import ranks
+from ..session import place
+from ..sources import readers, sinks
 from .registry import query
 from .retrieval import RANKED, ranked
-from .tables import ENTITIES, MENTIONS, SCORES, entities, mentions, scores, table
+from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, mentions, scores, table
 
 ALIAS = "alias AS (SELECT split_part(p_name, ' ', 2) AS alias, p_type AS category, p_partkey AS product_id FROM part)"
 
@@ -38,25 +41,57 @@ def a23(spark: SparkSession, d: str) -> DataFrame:
     return ranks.places(n, [F.col("n"), F.substring("alias", 1, 2)], [F.desc("alias")], down=True)
 
 
-@query("j25_alias_lookup", f"WITH {ALIAS}, n AS (SELECT alias, category, count(*) AS n FROM alias GROUP BY 1, 2), m AS (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT m.p_partkey, string_agg(category, ',' ORDER BY n DESC, category DESC) AS categories FROM m JOIN n ON n.alias = m.a OR n.alias = m.b GROUP BY 1")
+FORM = "lower(split_part(text, ' ', 1))"
+#: Aliases are the first words of documents, which stand for their language as category; mentions those of turns.
+INDEXES = f"""exact AS (SELECT {FORM} AS alias, lang AS category, doc_id AS product_id FROM documents), base AS (SELECT {X.lemma_sql('alias')} AS alias, category, product_id FROM exact),
+ m AS (SELECT conv_id * 1000 + turn AS mention_id, {FORM} AS form, {X.lemma_sql(FORM)} AS base_form FROM conversations),
+ met AS (SELECT mention_id, 0 AS which, category, product_id FROM m JOIN exact ON alias = form UNION ALL SELECT mention_id, 1, category, product_id FROM m JOIN base ON alias = base_form)"""
+
+
+def first_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions (mention_id, form, base_form), and aliases (alias, category, product_id) as they are and by base form."""
+    form = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
+    exact = table(spark, d, "documents").select(form.alias("alias"), F.col("lang").alias("category"), F.col("doc_id").alias("product_id"))
+    m = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("mention_id"), form.alias("form"))
+    return m.withColumn("base_form", X.lemma(F.col("form"))), exact, exact.withColumn("alias", X.lemma(F.col("alias")))
+
+
+@query("j25_alias_lookup", f"WITH {INDEXES}, n AS (SELECT mention_id, which, category, count(*) AS n FROM met GROUP BY 1, 2, 3) SELECT mention_id, string_agg(category, ',' ORDER BY which, n DESC, category DESC) AS categories FROM n GROUP BY 1")
 def j25(spark: SparkSession, d: str) -> DataFrame:
-    """Categories of each word of a mention that is an alias."""
-    n = aliases(spark, d).groupBy("alias", "category").agg(F.count("*").alias("n"))
-    words = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("alias")).distinct()
-    hit = words.join(n, "alias").groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("n", "category")), asc=False).alias("x"))
-    return hit.select("p_partkey", F.array_join(F.transform("x", lambda e: e["category"]), ",").alias("categories"))
+    """Categories of a mention's alias as it is, then of its base form, each the most frequent first."""
+    m, exact, base = first_words(spark, d)
+    met = S.two_indexes(m, S.alias_index(exact), S.alias_index(base))
+    lists = met.groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("which", (-F.col("n")).alias("n"), "category")), lambda a, b: F.when(a["which"] != b["which"], a["which"] - b["which"]).when(a["n"] != b["n"], F.when(a["n"] < b["n"], -1).otherwise(1)).when(a["category"] > b["category"], -1).when(a["category"] < b["category"], 1).otherwise(0)).alias("x"))
+    return lists.select("mention_id", F.array_join(F.transform("x", lambda e: e["category"]), ",").alias("categories"))
 
 
 @query(
     "j26_candidates_by_prior",
-    f"WITH {SCORES}, {ENTITIES}, c AS (SELECT s.mention_id, s.entity_id, s.pos, category, count(*) OVER (PARTITION BY s.mention_id) AS n, first_value(category) OVER (PARTITION BY s.mention_id ORDER BY s.pos, s.entity_id) AS top FROM scores s JOIN entities USING (entity_id)) SELECT mention_id, entity_id FROM c WHERE n <= 3 OR category = top",
+    f"""WITH {INDEXES}, n AS (SELECT mention_id, which, category, count(*) AS n FROM met GROUP BY 1, 2, 3), t AS (SELECT mention_id, which, arg_max(category, (n, category)) AS top, sum(n) AS n FROM n GROUP BY 1, 2),
+ w AS (SELECT mention_id, sum(n) AS total, arg_min(top, which) AS best FROM t GROUP BY 1),
+ s AS (SELECT mention_id, product_id, row_number() OVER (PARTITION BY mention_id ORDER BY which, product_id) AS place FROM met JOIN w USING (mention_id) WHERE total <= 10 OR category = best),
+ d AS (SELECT doc_id AS product_id, row_number() OVER (ORDER BY {draw_sql('doc_id', seed=26)}, doc_id) AS place FROM documents)
+ SELECT mention_id, product_id, place FROM s WHERE place <= 100 UNION ALL SELECT mention_id, product_id, place FROM m, d WHERE place <= 100 AND mention_id NOT IN (SELECT mention_id FROM w)""",
 )
 def j26(spark: SparkSession, d: str) -> DataFrame:
-    """All candidates of mentions that have few; those of the top category for the others."""
-    w = Window.partitionBy("mention_id")
-    c = scores(spark, d).join(entities(spark, d).select("entity_id", "category"), "entity_id")
-    c = c.withColumn("n", F.count("*").over(w)).withColumn("top", F.first("category").over(w.orderBy("pos", "entity_id")))
-    return c.filter("n <= 3 OR category = top").select("mention_id", "entity_id")
+    """Candidates of a mention by its alias: all of few, else a hundred of the top category, else a hundred drawn ones."""
+    m, exact, base = first_words(spark, d)
+    entities = table(spark, d, "documents").select(F.col("doc_id").alias("product_id"))
+    out = S.candidates_by_prior(m, exact, base, entities, draw("product_id", seed=26))
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("a22_alias_products", f"WITH {INDEXES}, n AS (SELECT alias, category, product_id, count(*) AS n FROM base GROUP BY 1, 2, 3) SELECT alias, count(*) AS products, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1")
+def a22_products(spark: SparkSession, d: str) -> DataFrame:
+    """How many products each alias stands for; (alias, product) counts and the lists by category are written as JSON and read again."""
+    _, _, base = first_words(spark, d)
+    path = place(spark, "a22")
+    counts = base.groupBy("alias", "product_id").agg(F.count("*").alias("n"))
+    sinks.json_rows(counts, f"{path}/products", gzip=True)
+    sinks.json_rows(S.ordered_counts(base, "alias", "category"), f"{path}/categories")
+    read = readers.json_lines(spark, f"{path}/products", "alias string, product_id long, n long")
+    lists = readers.json_lines(spark, f"{path}/categories", "alias string, keys string, n long").select("alias")
+    return read.join(lists, "alias", "left_semi").groupBy("alias").agg(F.count("*").alias("products"), F.sum("n").alias("n"))
 
 
 @query("a09_micro_prf", "WITH l AS (SELECT doc_id % 5 AS t, CASE WHEN quality = 1 THEN doc_id % 5 WHEN toxic = 1 THEN 5 ELSE (doc_id + 1) % 5 END AS p FROM labels), s AS (SELECT sum(CASE WHEN t = p AND p < 4 THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN p < 4 THEN 1 ELSE 0 END) AS np, sum(CASE WHEN t < 4 THEN 1 ELSE 0 END) AS nt FROM l), q AS (SELECT round(hit / np, 6) AS precision, round(hit / nt, 6) AS recall FROM s) SELECT precision, recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM q")

@@ -205,7 +205,7 @@ def test_micro_scores_agree_when_all_labels_count(spark):
 def test_text_functions(spark):
     one = spark.createDataFrame([("Canon EOS-5D mk2 ps4 a7iii", "not mentioned", 'buy [Acme Lamp](PRODUCT) now')], "t string, a string, m string")
     r = one.select(X.model_versions(F.col("t")), X.chosen_option(F.col("a"), F.array(F.lit("x"))), X.entity_markup(F.col("m")), X.is_sublist(F.lit("EOS 5D"), F.col("t")), X.numerals_match(F.lit("5"), F.lit("5 of 6")), X.numerals_match(F.lit("none"), F.lit("5"))).first()
-    assert r[0] == ["mk2", "a7iii"]
+    assert r[0] == ["EOS-5D", "mk2", "a7iii"]
     assert r[1] is None
     assert r[2] == ["buy/O", "Acme/B-PRODUCT", "Lamp/I-PRODUCT", "now/O"]
     assert (r[3], r[4], r[5]) == (True, True, False)
@@ -317,3 +317,66 @@ def test_shared_runs_equal_brute_force(spark):
                 want.append((k, p - len(run), " ".join(run)))
                 run = []
     assert rows(cleaning.shared_runs(df, df, ["k"], "a", "b"), "k", "start", "run") == sorted(want)
+
+
+def test_variants_equal_one_pass(spark):
+    rnd = random.Random(4)
+    data = [(k, f"t{rnd.randint(0, 9)}", rnd.choice(["m1", "m2", None]), rnd.randint(0, 4)) for k in range(60)]
+    first, gone = {}, set()
+    for k, title, model, n in data:
+        if title not in first:
+            first[title] = (k, model, n)
+        elif model != first[title][1]:
+            gone.add(k if first[title][2] > n else first[title][0])
+    df = spark.createDataFrame(data, "entity_id long, title string, model string, n int")
+    removed = cleaning.variants(df.repartition(3))
+    assert {r[0] for r in removed.collect()} == gone
+    refs = spark.createDataFrame([(a, b) for a in range(60) for b in (a + 1, a + 7)], "a long, b long")
+    kept, left = cleaning.without_entities(removed, (df, ["entity_id"]), (refs, ["a", "b"]))
+    assert {r["entity_id"] for r in kept.collect()} == set(range(60)) - gone
+    assert {tuple(r) for r in left.collect()} == {(a, b) for a in range(60) for b in (a + 1, a + 7) if a not in gone and b not in gone}
+
+
+@pytest.mark.parametrize("few,cap", [(3, 4), (10, 100), (0, 2)])
+def test_candidates_by_prior_equal_plain_python(spark, few, cap):
+    rnd = random.Random(7)
+    exact = [(rnd.choice(["cat", "cats", "dog", "dogs", "fox"]), rnd.choice("XYZ"), k) for k in range(40)]
+    base = [(a.rstrip("s"), c, p) for a, c, p in exact]
+    mentions = [(1, "cat", "cat"), (2, "cats", "cat"), (3, "dogs", "dog"), (4, "fox", "fox"), (5, "bird", "bird"), (6, "foxes", "fox"), (7, None, None)]
+    want = []
+    for m, form, stem in mentions:
+        lists = [[(c, p) for a, c, p in table if a == x] for table, x in ((exact, form), (base, stem))]
+        both = [x for of in lists for x in sorted(of, key=lambda t: t[1])]
+        if not both:
+            want += [(m, p, k) for k, p in enumerate(sorted(range(40))[:cap], 1)]
+            continue
+        source = lists[0] or lists[1]
+        top = max(((sum(c == x for c, _ in source), x) for x in "XYZ"))[1]
+        chosen = both if len(both) <= few else [x for x in both if x[0] == top]
+        want += [(m, p, k) for k, (_, p) in enumerate(chosen[:cap], 1)]
+    frame = lambda r, s: spark.createDataFrame(r, s).repartition(2)
+    aliases = "alias string, category string, product_id long"
+    got = statistics.candidates_by_prior(frame(mentions, "mention_id long, form string, base_form string"), frame(exact, aliases), frame(base, aliases), frame([(k,) for k in range(40)], "product_id long"), F.lit("x"), few=few, cap=cap)
+    assert rows(got, "mention_id", "product_id", "place") == sorted(want)
+
+
+def test_fusion_gate_and_witnesses(spark):
+    p = spark.createDataFrame([(1, "a", "K", "x", 0), (1, "b", "K", "y", 1), (1, "c", "K", "y", 2), (2, "a", "K", "x", 0), (3, "b", "K", "z", 1), (1, "a", "T", "t", 0), (2, "b", "T", "t", 1)], "mention_id long, extractor string, key string, value string, pos int")
+    precision = spark.createDataFrame([("a", "K", 0.9, 5), ("b", "K", 0.2, 5), ("a", "T", 0.9, 5), ("b", "T", 0.9, 1)], "extractor string, key string, precision double, n int")
+    fused = attributes.majority_or_trusted(p, precision, 0.5, 1)
+    assert rows(fused, "mention_id", "key", "value") == [(1, "K", "y"), (1, "T", "t"), (2, "K", "x")]
+    gold = p.select("mention_id", "key", "value").distinct()
+    assert rows(attributes.agreed_gold(p, fused, gold, ["T"], ["a"]), "mention_id", "key", "value") == [(1, "K", "y"), (1, "T", "t"), (2, "K", "x"), (3, "K", "z")]
+
+
+def test_base_forms(spark):
+    words = {"noun": {"Boxes": "box", "cities": "city", "glass": "glass", "bus": "bus", "children": "child", "lens": "len", "ties": "tie", "this": "this", "cups": "cup"}, "verb": {"watches": "watch", "carried": "carry", "playing": "play", "played": "play", "went": "go", "sing": "sing", "is": "be", "red": "red"}}
+    for pos, forms in words.items():
+        df = spark.createDataFrame([(w,) for w in forms], "w string")
+        assert {r["w"]: r["l"] for r in df.select("w", X.lemma(F.col("w"), pos).alias("l")).collect()} == forms
+
+
+def test_model_numbers_of_all_four_forms(spark):
+    texts = {" ab12 and ab-12, x--9 wh-xm4 galaxy 12 ps4 PS5 v3 12ab": ["ab12", "ab-12", "x--9", "wh-xm4", "galaxy 12"], "ab12 first": [], " playstation 4 box\n7 up": [], " galaxy 12": []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["m"] for r in df.select("t", X.model_versions(F.col("t")).alias("m")).collect()} == texts
