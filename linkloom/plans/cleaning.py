@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import cleaning as K
 from ..operators import ranks
 from ..session import place
-from ..sources import readers
+from ..sources import readers, sinks
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, mentions, scores, table
 
@@ -408,11 +408,9 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w21_sorted_positions", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS place FROM documents")
 def w21(spark: SparkSession, d: str) -> DataFrame:
-    """Places in a global order, taken in two levels: counts of each source, then ranks within it."""
+    """Places in a global order."""
     x = docs(spark, d).select("source", "doc_id")
-    n = x.groupBy("source").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("source")) - F.col("n"))
-    inner = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return x.withColumn("k", inner).join(n, "source").select("doc_id", (F.col("before") + F.col("k")).alias("place"))
+    return ranks.places(x, [F.col("source"), ranks.leading("doc_id")], [F.col("doc_id")]).select("doc_id", "place")
 
 
 @query("w30_annotated_then_shuffled", f"SELECT d.doc_id, row_number() OVER (ORDER BY l.doc_id IS NULL, CASE WHEN l.doc_id IS NULL THEN {draw_sql('d.doc_id', seed=30)} ELSE lpad(CAST(d.doc_id AS VARCHAR), 12, '0') END) AS place FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -427,9 +425,10 @@ def w30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w31_order_mismatches", "WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source FROM documents), b AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n, source FROM documents) SELECT source, count(CASE WHEN a.doc_id <> b.doc_id THEN 1 END) AS mismatches FROM a JOIN b USING (source, n) GROUP BY 1")
 def w31(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each source stand elsewhere in another order."""
     x = docs(spark, d).select("source", "doc_id", "n_chars")
-    a = x.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("n"))
-    b = x.select("source", F.col("doc_id").alias("other"), F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).alias("n"))
+    a = ranks.places(x, [ranks.leading("doc_id")], [F.col("doc_id")], "n", within=["source"]).select("source", "doc_id", "n")
+    b = ranks.places(x, [F.floor(F.col("n_chars") / 64)], [F.col("n_chars"), F.col("doc_id")], "n", within=["source"]).select("source", F.col("doc_id").alias("other"), "n")
     return a.join(b, ["source", "n"]).groupBy("source").agg(F.count(F.when(F.col("doc_id") != F.col("other"), 1)).alias("mismatches"))
 
 
@@ -492,10 +491,12 @@ def u08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s12_last_shard_wins", "WITH s AS (SELECT doc_id, 0 AS shard, n_chars FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, 1, n_chars + 1 FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, arg_max(n_chars, shard) AS n_chars FROM s GROUP BY 1")
 def s12(spark: SparkSession, d: str) -> DataFrame:
-    """Shards merged by id; the last shard's row wins."""
+    """A folder of shard files, written first, merged by id; the last file's row wins."""
     x = docs(spark, d).select("doc_id", "n_chars")
-    both = x.filter("doc_id % 3 <> 1").withColumn("shard", F.lit(0)).unionByName(x.filter("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + 1).withColumn("shard", F.lit(1)))
-    return both.groupBy("doc_id").agg(F.max_by("n_chars", "shard").alias("n_chars"))
+    folder = place(spark, "s12")
+    sinks.json_rows(x.filter("doc_id % 3 <> 1"), f"{folder}/shard=0")
+    sinks.json_rows(x.filter("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + 1), f"{folder}/shard=1")
+    return readers.merged_shards(spark, folder, "doc_id long, n_chars long", "doc_id")
 
 
 @query("p13_flatten_with_id", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS review_id FROM conversations WHERE role = 'user'")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import fusion, ranks, scorers, similarity
+from ..session import place
+from ..sources import sinks
 from .registry import query
 from .tables import ENTITIES, MENTIONS, SCORES, draw, draw_sql, entities, first_by, mentions, scores, table
 
@@ -433,9 +435,12 @@ def m05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k05_prediction_file", RANKED + " SELECT mention_id AS query_id, string_agg(CAST(entity_id AS VARCHAR), '|' ORDER BY rank) AS entity_id_list, string_agg(CAST(rank AS VARCHAR), '|' ORDER BY rank) AS order_list FROM ranked GROUP BY 1")
 def k05(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as a CSV file with arrays joined by pipes, written and read again."""
     r = ranked(spark, d).groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id"))).alias("x"))
-    join = lambda f: F.array_join(F.transform("x", lambda c: c[f].cast("string")), "|")
-    return r.select(F.col("mention_id").alias("query_id"), join("entity_id").alias("entity_id_list"), join("rank").alias("order_list"))
+    lists = r.select(F.col("mention_id").alias("query_id"), F.transform("x", lambda c: c["entity_id"]).alias("entity_id_list"), F.transform("x", lambda c: c["rank"]).alias("order_list"))
+    path = place(spark, "k05")
+    sinks.joined_csv(lists, path, ["entity_id_list", "order_list"])
+    return spark.read.schema("query_id long, entity_id_list string, order_list string").option("header", True).csv(path)
 
 
 @query("k04_drop_self_top", NEAREST.format(on="") + " SELECT query_id, string_agg(CAST(corpus_id AS VARCHAR), ',' ORDER BY rank) AS similar_ids FROM ranked WHERE rank <= 4 GROUP BY 1")

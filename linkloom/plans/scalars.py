@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import cleaning as K
-from ..operators import patterns
+from ..operators import patterns, ranks
 from .registry import query
 from .tables import SCORES, scores, table
 
@@ -313,7 +313,8 @@ def p20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p29_dense_ids", "SELECT source, text_id, row_number() OVER (PARTITION BY source ORDER BY text_id) - 1 AS id FROM (SELECT source, doc_id AS text_id FROM documents)")
 def p29(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("source", F.col("doc_id").alias("text_id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("id"))
+    x = docs(spark, d).select("source", F.col("doc_id").alias("text_id"))
+    return ranks.places(x, [ranks.leading("text_id")], [F.col("text_id")], within=["source"]).select("source", "text_id", (F.col("place") - 1).alias("id"))
 
 
 @query("p30_low_information", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'priority' ELSE 'priority,status' END AS keys, round(o_totalprice / 7, 2) AS price FROM orders")

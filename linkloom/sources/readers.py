@@ -93,6 +93,15 @@ def last_shard(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
     return ordered.groupBy(key).agg(F.max("__row").alias("m")).select("m.r.*")
 
 
+def merged_shards(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
+    """Rows of all shard files (JSON lines) below a folder, one for each key: that of the last file by path, and of its last row."""
+    x = spark.read.schema(schema).option("recursiveFileLookup", True).json(folder)
+    x = x.withColumn("__at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    names = [c for c in x.columns if c not in (key, "__at")]
+    last = x.groupBy(key).agg(F.max_by(F.struct(*names), "__at").alias("r"))
+    return last.select(key, *[F.col(f"r.{c}").alias(c) for c in names])
+
+
 def block_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of comma-separated lines."""
     return spark.read.text(path).select(F.explode(F.split("value", ",")).alias("word")).select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct()

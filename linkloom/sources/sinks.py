@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import ranks
 
 
 def json_rows(df: DataFrame, path: str, *, gzip: bool = False) -> None:
@@ -37,9 +38,9 @@ def score_maps(scores: DataFrame) -> DataFrame:
 
 
 def paged(df: DataFrame, order: str, per_page: int, group: str) -> DataFrame:
-    """Rows with the page that they go on, `per_page` to a page, within each group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("page", (F.floor((n - 1) / per_page) + 1).cast("int"))
+    """Rows with the page that they go on, `per_page` to a page, within each group, in the order of a whole number."""
+    placed = ranks.places(df, [ranks.leading(order)], [F.col(order)], "__n", within=[group])
+    return placed.withColumn("page", (F.floor((F.col("__n") - 1) / per_page) + 1).cast("int")).drop("__n")
 
 
 def score_table(rows: DataFrame, path: str) -> None:
