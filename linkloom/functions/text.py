@@ -107,6 +107,33 @@ def chosen_option(answer: Column, values: Column) -> Column:
     return F.when(~none, F.coalesce(by_letter, inside))
 
 
+#: Phrases and words by which a free answer says that there is no value.
+VETO = ("not mentioned", "not provide", "not enough information", "not mention", "no clear", "not specified", "not possible", "no specific", "not provided", "not specify", "no clear indication", "no indication", "no information", "impossible")
+VETO_WORDS = ("no", "not", "none")
+#: How a free answer names the value of a key ({0}) of a mention ({1}).
+TEMPLATES = ("The {0} of the {1} based on this review is ", "The {0} of the {1} is ", "The {0} of the {1} mentioned in the review is ")
+
+
+def parsed_answer(answer: Column, values: Column, mention: Column, key: Column) -> Column:
+    """struct(found, beyond): what a free answer says of a key, in a cascade. An option letter and what follows it; else the values
+    that are part of the answer or that it is part of; else the values in it in lower case; else, if nothing in the answer says that
+    there is none, what follows one of TEMPLATES, which may be none of the values (`beyond`)."""
+    none = F.array().cast("array<string>")
+    lettered = F.when(answer.rlike(r"^[A-J]\. "), F.array(F.substring(answer, F.lit(4), F.length(answer))))
+    partly = F.filter(values, lambda v: F.contains(answer, v) | F.contains(v, answer))
+    lowered = F.filter(values, lambda v: F.contains(F.lower(answer), v))
+    found = F.coalesce(lettered, F.when(F.size(partly) > 0, partly), F.when(F.size(lowered) > 0, lowered), none)
+    veto = F.exists(F.array(*[F.lit(p) for p in VETO]), lambda p: F.contains(answer, p)) | F.arrays_overlap(F.split(answer, r"[^A-Za-z0-9']+"), F.array(*[F.lit(w) for w in VETO_WORDS]))
+
+    def behind(template: str) -> Column:
+        lead = F.replace(F.replace(F.lit(template), F.lit("{0}"), key), F.lit("{1}"), mention)
+        rest = F.regexp_replace(F.regexp_replace(F.substring(answer, F.length(lead) + 1, F.length(answer)), r"\.$", ""), r"^[A-J]\. ", "")
+        return F.when(F.contains(F.lower(answer), F.lower(lead)), rest)
+
+    beyond = F.when((F.size(found) == 0) & ~veto, F.filter(F.array(*[behind(t) for t in TEMPLATES]), lambda v: v.isNotNull())).otherwise(none)
+    return F.struct(found.alias("found"), beyond.alias("beyond"))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -398,6 +398,30 @@ def y01(spark: SparkSession, d: str) -> DataFrame:
     return out.select("mention_id", "key", F.array_join("found", "|").alias("found"), F.array_join("beyond", "|").alias("beyond"), F.aggregate("scores", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+#: A free answer in five shapes: a letter, the value alone, a sentence, none, and loosely.
+ANSWER = "CASE (mention_id + length(key)) % 5 WHEN 0 THEN 'B. ' || value WHEN 1 THEN value WHEN 2 THEN 'The ' || key || ' of the item is ' || value || '.' WHEN 3 THEN 'It is not mentioned there' ELSE 'I take it for ' || upper(value) || ', surely' END"
+HAS_VETO = " OR ".join([*(f"contains(answer, '{p}')" for p in X.VETO), "list_has_any(regexp_split_to_array(answer, '[^A-Za-z0-9'']+'), [" + ", ".join(f"'{w}'" for w in X.VETO_WORDS) + "])"])
+BEHIND = ", ".join("CASE WHEN contains(lower(answer), lower({0})) THEN regexp_replace(regexp_replace(substr(answer, length({0}) + 1), '\\.$', ''), '^[A-J]\\. ', '') END".format("'" + t.format("' || key || '", "item") + "'") for t in X.TEMPLATES)
+
+
+@query(
+    "x18_parsed_answers",
+    RANKED
+    + f""", {PREDICTED}, a AS (SELECT mention_id, key, {ANSWER} AS answer FROM predicted WHERE extractor = 'chatgpt'),
+ v AS (SELECT mention_id, key, list(value ORDER BY rank) AS vals FROM ranked JOIN entity_attributes USING (entity_id) WHERE rank <= 3 GROUP BY 1, 2),
+ f AS (SELECT mention_id, key, answer, CASE WHEN regexp_matches(answer, '^[A-J]\\. ') THEN [substr(answer, 4)] WHEN len(list_filter(vals, lambda v: contains(answer, v) OR contains(v, answer))) > 0 THEN list_filter(vals, lambda v: contains(answer, v) OR contains(v, answer)) ELSE list_filter(vals, lambda v: contains(lower(answer), v)) END AS found FROM a JOIN v USING (mention_id, key))
+ SELECT mention_id, key, array_to_string(found, '|') AS found, CASE WHEN len(found) > 0 OR {HAS_VETO} THEN '' ELSE array_to_string(list_filter([{BEHIND}], lambda v: v IS NOT NULL), '|') END AS beyond FROM f""",
+)
+def x18(spark: SparkSession, d: str) -> DataFrame:
+    """Free answers about a mention's attributes, parsed against the values of its first three candidates."""
+    shapes = F.expr(ANSWER)
+    a = of(spark, d, "chatgpt").select("mention_id", "key", shapes.alias("answer"))
+    v = ranked(spark, d).filter("rank <= 3").join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    both = a.join(v.select("mention_id", "key", F.transform("x", lambda e: e["value"]).alias("vals")), ["mention_id", "key"])
+    p = both.select("mention_id", "key", X.parsed_answer(F.col("answer"), F.col("vals"), F.lit("item"), F.col("key")).alias("p"))
+    return p.select("mention_id", "key", F.array_join("p.found", "|").alias("found"), F.array_join("p.beyond", "|").alias("beyond"))
+
+
 @query("w24_score_vector_by_key", WITH + ", k AS (SELECT DISTINCT key FROM entity_attributes), v AS (SELECT m.mention_id, k.key, coalesce(2.0 * max(CASE WHEN p.key = k.key AND extractor = 'ocr' AND p.key <> 'Size' THEN 0.4 END), 0.5) AS s FROM mentions m CROSS JOIN k LEFT JOIN predicted p ON p.mention_id = m.mention_id GROUP BY 1, 2) SELECT mention_id, string_agg(CAST(CAST(round(s * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY key) AS vector FROM v GROUP BY 1")
 def w24(spark: SparkSession, d: str) -> DataFrame:
     """A mention's score for each key in the global key order, doubled; 0.25 (doubled) where it has none."""

@@ -380,3 +380,20 @@ def test_model_numbers_of_all_four_forms(spark):
     texts = {" ab12 and ab-12, x--9 wh-xm4 galaxy 12 ps4 PS5 v3 12ab": ["ab12", "ab-12", "x--9", "wh-xm4", "galaxy 12"], "ab12 first": [], " playstation 4 box\n7 up": [], " galaxy 12": []}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["m"] for r in df.select("t", X.model_versions(F.col("t")).alias("m")).collect()} == texts
+
+
+def test_answers_are_parsed_in_a_cascade(spark):
+    answers = {
+        "C. deep red": (["deep red"], []),
+        "it is red": (["red"], []),
+        "re": (["red"], []),
+        "It is RED": (["red"], []),
+        "The Color of the lamp is teal.": ([], ["teal"]),
+        "the color of the lamp based on this review is B. teal": ([], ["teal"]),
+        "The Color of the lamp is not mentioned": ([], []),
+        "There is none, the Color of the lamp is odd": ([], []),
+        "Nothing of the kind": ([], []),
+    }
+    df = spark.createDataFrame([(a,) for a in answers], "a string")
+    got = df.select("a", X.parsed_answer(F.col("a"), F.array(F.lit("red"), F.lit("blue")), F.lit("lamp"), F.lit("Color")).alias("p")).collect()
+    assert {r["a"]: (list(r["p"]["found"]), list(r["p"]["beyond"])) for r in got} == answers
