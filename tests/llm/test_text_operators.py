@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -106,7 +107,7 @@ def test_texts_of_over_a_chunk(spark, tokenizer):
     assert tokens == {k: len(got[k]["ids"]) for k, _ in rows}
     rules = {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in quality_rules.quality_rules(df).collect()}
     assert rules == {1: (240_000, True), 2: (1, True), 3: (0, True), 4: (1, True)}
-    model = language_id.Model(["en"], np.zeros(1), np.zeros((1, language_id.BINS)))
+    model = language_id.Model(["en"], np.zeros(1), np.zeros(1), np.zeros(language_id.BINS + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
     assert [r["lang_pred"] for r in language_id.identify(df, model).orderBy("doc_id").collect()] == ["en", "en", "und", "en"]
     width = 16
     blank = quality_model.Field(np.zeros(width), np.ones(width), np.zeros(3 * width + 3), np.zeros((2, 2)))
@@ -189,12 +190,54 @@ def test_language_is_learned_and_und_is_kept_apart(spark, docs, empty):
     marks = spark.createDataFrame([(1, "\u0301 12"), (2, "e\u0301")], "doc_id long, text string")
     assert [r["lang_pred"] == "und" for r in language_id.identify(marks, model).orderBy("doc_id").collect()] == [True, False]
     dirty = docs.withColumn("lang", F.when(F.col("doc_id") < 30, F.concat(F.lit("l"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
-    assert language_id.fit(dirty, languages=3).langs == ["en", "l0", "l7"]
+    assert language_id.fit(dirty).langs == ["en", *sorted(f"l{k}" for k in range(30))]
     nothing = language_id.fit(empty)
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_scores_equal_plain_bayes(spark, monkeypatch):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("der hund und die katze", "de"), ("das haus und der baum", "de"), ("the dog and the cat", "en"), ("el perro y la gata", "es"), ("el gato", "es"), ("the tree", "en")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["der baum", "the cat and", "la", "xyz", "12", ""]
+    bins = {lang: collections.Counter() for lang in model.langs}
+    for _, t, lang in rows:
+        bins[lang].update(language_id.grams([t])[0].tolist())
+    want = []
+    for t in texts:
+        own = language_id.grams([t])[0].tolist()
+        logs = []
+        for lang, seen in bins.items():
+            total = sum(seen.values()) + language_id.SMOOTHING * language_id.BINS
+            logs.append(math.log(sum(x[2] == lang for x in rows) / len(rows)) + sum(math.log((seen[b] + language_id.SMOOTHING) / total) for b in own))
+        best = max(range(len(logs)), key=lambda k: logs[k])
+        known = any(c.isalpha() for c in t)
+        want.append((model.langs[best] if known else "und", 1 / sum(math.exp(x - logs[best]) for x in logs) if known else 0.0))
+    for cells in (1 << 22, 6):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        langs, scores = model.predict(texts)
+        assert langs == [x for x, _ in want] and np.allclose(scores, [x for _, x in want])
+
+
+def test_languages_ties_and_repeated_rows(spark):
+    many = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} q", f"l{k:03d}") for k in range(300)], "doc_id long, text string, lang string")
+    model = language_id.fit(many)
+    assert len(model.langs) == 300 and model.predict(["wordza q", "wordal q"])[0] == ["l025", "l286"]
+    tie = language_id.fit(spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string"))
+    assert tie.predict(["same"])[0] == ["a"] and abs(tie.predict(["same"])[1][0] - 0.5) < 1e-9
+    copies = spark.createDataFrame([(1, "one text", "x")] * 300 + [(None, "other words", "y"), (2, "more words", "y"), (3, None, "z"), (4, "no label", None)], "doc_id long, text string, lang string")
+    assert np.allclose(np.exp(language_id.fit(copies).prior), [1 / 3, 2 / 3])
+    assert len(np.exp(language_id.fit(copies, sample=1).prior)) == 1
+
+
+def test_a_row_without_an_id_is_not_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "some words of a text here", "en") for k in range(20)] + [(None, "some words", "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (language_id.op7_language_id, quality_model.op8_quality_model):
+        assert [r["held_out"] for r in query(spark, str(tmp_path)).filter("doc_id is null").collect()] == [False]
+
+
 def test_quality_model_on_held_out_labels(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     held = quality_model.op8_quality_model(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
