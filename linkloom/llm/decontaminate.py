@@ -12,7 +12,7 @@ holds one block at a time, and nothing depends on the number of blocks but the t
 
 Defined results: words are runs of ASCII letters and digits and of any character that is not ASCII, with A-Z lower-cased.
 An item with fewer than `window` words is one window of them all; an item without words matches nothing. Null and empty
-texts have no words. Repeated items each count. Every row is a document of its own, whatever its id. The longest match is
+texts have no words. Items of one id count as one, and are read once if their text is the same. Every row is a document of its own, whatever its id. The longest match is
 that of most words; of several, the first in the document, then in the first item by its id, then at the first place there.
 Other columns are ignored by `find_matches` and kept by `decontaminate`.
 """
@@ -178,13 +178,19 @@ def longest(items: Items, word: np.ndarray, doc: np.ndarray, at: np.ndarray, end
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list[tuple], bool]]:
-    """The test items in parts of about `limit` bytes of text, each read when it is asked for, and whether it is the last."""
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-total // limit))
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        yield [tuple(r) for r in items.filter(part == k).collect()], k == n - 1
+    """The different test items in parts of at most `limit` bytes of text (or one item), in one pass over them, and whether it is the
+    last part; the driver holds a part and an item."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).distinct()
+    held: list[tuple] = []
+    size = 0
+    for r in items.toLocalIterator():
+        own = len((r["text"] or "").encode())
+        if held and size + own > limit:
+            yield held, False
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += own
+    yield held, True
 
 
 FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>, longest struct<item:string,item_at:long,at:long,words:long>"

@@ -501,3 +501,13 @@ def test_pipeline_of_nothing(spark, empty, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = P.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"] and got.count() == 0
+
+
+def test_item_blocks_are_bounded_however_often_an_item_comes(spark):
+    item = "word " * 100
+    rows = [(1, item)] * 10_000 + [(2, item), (3, "x" * 5_000), (4, None), (None, "y")]
+    got = list(decontaminate.blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 600))
+    assert sorted(r for block, _ in got for r in block if r[0]) == sorted([("1", item), ("2", item), ("3", "x" * 5_000), ("4", None)], key=str)
+    assert [last for _, last in got] == [False] * (len(got) - 1) + [True]
+    assert all(sum(len(t or "") for _, t in block) <= 600 or len(block) == 1 for block, _ in got)
+    assert list(decontaminate.blocks(spark.createDataFrame([], "item_id long, text string"), "item_id", "text", 600)) == [([], True)]
