@@ -105,6 +105,17 @@ def agreed_gold(predicted: DataFrame, fused: DataFrame, gold: DataFrame, titles:
     return plain.unionByName(guarded).join(gold.select("mention_id", "key", "value"), ["mention_id", "key", "value"], "left_semi")
 
 
+def single_valued(predicted: DataFrame, candidates: DataFrame, forced: list[str]) -> DataFrame:
+    """(mention_id, extractor, key, value): each extractor's keys with one different value, of keys that candidates (mention_id, key,
+    value) have; the forced extractors also get the value of every key for which the candidates have a single one."""
+    one = lambda df, *by: df.groupBy(*by).agg(F.min("value").alias("value"), F.max("value").alias("most")).filter("value = most").drop("most")
+    own = one(predicted, "mention_id", "extractor", "key").join(candidates.select("mention_id", "key").distinct(), ["mention_id", "key"], "left_semi")
+    sole = one(candidates, "mention_id", "key").withColumn("extractor", F.explode(F.array(*[F.lit(x) for x in forced])))
+    rest = own.join(sole.select("mention_id", "extractor", "key"), ["mention_id", "extractor", "key"], "left_anti")
+    names = ["mention_id", "extractor", "key", "value"]
+    return rest.select(*names).unionByName(sole.select(*names))
+
+
 def trusted(predicted: DataFrame, precision: DataFrame, threshold: float) -> DataFrame:
     """Predictions of extractors whose precision for the key exceeds the threshold, with that precision."""
     return predicted.join(precision, ["extractor", "key"]).filter(F.col("precision") > threshold)

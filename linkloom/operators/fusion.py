@@ -200,12 +200,20 @@ def first_unfiltered(ranked: DataFrame, filtered: str) -> DataFrame:
     return ranked.groupBy("mention_id").agg(F.coalesce(F.min(F.when(~F.col(filtered), F.col("rank"))), F.lit(1)).alias("rank"))
 
 
-def retrieval_fields(*, use_image: bool, use_text: bool, override: str | None = None) -> tuple[str, str, str | None]:
-    """The score columns for retrieval, for disambiguation, and the third one of a run, by what it uses."""
-    if use_image and use_text:
-        fields = ("fused_score", "disambiguation_text_score_before_softmax", "disambiguation_image_score")
-    elif use_image:
-        fields = ("image_score", "disambiguation_image_score", None)
-    else:
-        fields = ("bi_score", "disambiguation_text_score_before_softmax", None)
-    return (override or fields[0], *fields[1:])
+#: The score that candidates are ranked by, for runs that use images and texts, or one of them.
+RANKED_BY = {("image", "text"): "fused_score", ("image",): "image_score", ("text",): "bi_score"}
+
+
+def ranked_by(*sources: str, override: str | None = None) -> str:
+    return override or RANKED_BY[tuple(sorted(sources))]
+
+
+def passed_predictions(predictions: DataFrame, filtered: DataFrame, no_answer: int) -> DataFrame:
+    """predictions with `position`, of stored rows (query_id, predicted, entity_ids, order) with arrays of strings: the place of the
+    first candidate in order that isn't in filtered (query_id, entity_id), the first of all if every one is; where the prediction
+    was that there is no answer (`no_answer`, the label behind the last), it stays so."""
+    flat = predictions.select("query_id", "entity_ids", F.posexplode("order").alias("k", "o")).select("query_id", "k", F.col("o").cast("int").alias("place"), F.get("entity_ids", F.col("o").cast("int")).cast("double").cast("long").alias("entity_id"))
+    marked = flat.join(filtered.select("query_id", "entity_id", F.lit(True).alias("out")).distinct(), ["query_id", "entity_id"], "left")
+    first = marked.groupBy("query_id").agg(F.coalesce(F.min_by("place", F.when(F.col("out").isNull(), F.col("k"))), F.min_by("place", "k")).alias("__first"))
+    joined = predictions.join(first, "query_id", "left")
+    return joined.withColumn("position", F.when(F.col("predicted") == no_answer, F.col("predicted")).otherwise(F.col("__first"))).drop("__first")

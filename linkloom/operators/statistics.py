@@ -24,13 +24,16 @@ def micro_prf(rows: DataFrame, true: str, predicted: str, labels: Column) -> Dat
     return s.withColumn("f1", F.round(F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)), 6))
 
 
-def fleiss_kappa(ratings: DataFrame, item: str, rating: str) -> DataFrame:
-    """Fleiss' kappa of items that all have the same number of ratings: (kappa)."""
+def fleiss_kappa(ratings: DataFrame, item: str, rating: str, subset: DataFrame | None = None) -> DataFrame:
+    """Fleiss' kappa of items that all have the same number of ratings: (kappa); of those of a subset (item), if it is given."""
+    if subset is not None:
+        ratings = ratings.join(subset.select(item), item, "left_semi")
     cells = ratings.groupBy(item, rating).agg(F.count("*").alias("n"))
     items = cells.groupBy(item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    observed = items.agg(F.avg((F.col("s") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("p"), F.sum("m").alias("total"))
+    observed = items.agg(F.avg((F.col("s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)))).scalar()
     shares = cells.groupBy(rating).agg(F.sum("n").alias("n"))
-    expected = shares.crossJoin(observed).groupBy("p").agg(F.sum(F.pow(F.col("n") / F.col("total"), 2)).alias("e"))  # one row each side of a rating
+    every = Window.partitionBy(F.lit(0))  # a row for each kind of rating
+    expected = shares.withColumn("total", F.sum("n").over(every)).agg(F.sum(F.pow(F.col("n") / F.col("total"), 2)).alias("e")).withColumn("p", observed)
     return expected.select(F.round(F.when(F.col("e") == 1, 1.0).otherwise((F.col("p") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
 
 

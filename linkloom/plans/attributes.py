@@ -228,9 +228,17 @@ def a55(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("key").agg(F.round(F.avg("hit"), 6).alias("any_right"), F.round(F.sum("hits") / F.sum("n"), 6).alias("each_right"))
 
 
-@query("f36_single_valued_keys", WITH + " SELECT mention_id, key, min(value) AS value FROM predicted GROUP BY 1, 2 HAVING count(DISTINCT value) = 1")
+@query(
+    "f36_single_valued_keys",
+    WITH
+    + """, c AS (SELECT s.mention_id, key, value FROM scores s JOIN entity_attributes USING (entity_id) WHERE text_score > 0.5), n AS (SELECT mention_id, key, min(value) AS value FROM c GROUP BY 1, 2 HAVING count(DISTINCT value) = 1),
+ o AS (SELECT mention_id, extractor, key, min(value) AS value FROM predicted SEMI JOIN c USING (mention_id, key) GROUP BY 1, 2, 3 HAVING count(DISTINCT value) = 1)
+ SELECT * FROM o WHERE extractor <> 'ocr' OR (mention_id, key) NOT IN (SELECT (mention_id, key) FROM n) UNION ALL SELECT mention_id, 'ocr', key, value FROM n""",
+)
 def f36(spark: SparkSession, d: str) -> DataFrame:
-    return predicted(spark, d).groupBy("mention_id", "key").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).filter("n = 1").drop("n")
+    """Each extractor's keys with a single value; one of them also gets the sole values of good candidates."""
+    good = scores(spark, d).filter("text_score > 0.5").select("mention_id", "entity_id").join(entity_attributes(spark, d), "entity_id").select("mention_id", "key", "value")
+    return A.single_valued(predicted(spark, d), good, ["ocr"])
 
 
 @query("f35_values_of_candidates", WITH + " SELECT DISTINCT p.mention_id, p.extractor, p.key, p.value FROM predicted p JOIN scores s USING (mention_id) JOIN entity_attributes a ON a.entity_id = s.entity_id AND a.key = p.key AND a.value = p.value WHERE s.text_score > 0.5")

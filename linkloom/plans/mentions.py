@@ -54,14 +54,14 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
 
 
 FIELD = {"fused_score": "coalesce(text_score, -1) * 0.6 + coalesce(image_score, -1) * 0.4", "image_score": "coalesce(image_score, -1)", "bi_score": "coalesce(text_score, -1)"}
-RUNS = [("both", True, True, None), ("image", True, False, None), ("text", False, True, None), ("forced", True, True, "bi_score")]
+RUNS = [("both", ("image", "text"), None), ("image", ("image",), None), ("text", ("text",), None), ("forced", ("image", "text"), "bi_score")]
 
 
-@query("p24_retrieval_fields", f"WITH {SCORES}, s AS (SELECT mention_id, entity_id, pos, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in FIELD.items()) + " FROM scores) " + " UNION ALL ".join(f"SELECT '{run}' AS run, mention_id, arg_max(entity_id, ({fusion.retrieval_fields(use_image=i, use_text=t, override=o)[0]}, -pos, -entity_id)) AS best FROM s GROUP BY 2" for run, i, t, o in RUNS))
+@query("p24_retrieval_fields", f"WITH {SCORES}, s AS (SELECT mention_id, entity_id, pos, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in FIELD.items()) + " FROM scores) " + " UNION ALL ".join(f"SELECT '{run}' AS run, mention_id, arg_max(entity_id, ({fusion.ranked_by(*used, override=o)}, -pos, -entity_id)) AS best FROM s GROUP BY 2" for run, used, o in RUNS))
 def p24(spark: SparkSession, d: str) -> DataFrame:
     """The best candidate by the score column that a run's settings choose."""
     s = scores(spark, d).select("mention_id", "entity_id", "pos", two(0.6).alias("fused_score"), F.coalesce("image_score", F.lit(-1.0)).alias("image_score"), F.coalesce("text_score", F.lit(-1.0)).alias("bi_score"))
-    best = [F.max(F.struct(fusion.retrieval_fields(use_image=i, use_text=t, override=o)[0], (-F.col("pos")).alias("p"), (-F.col("entity_id")).alias("e"))).alias(run) for run, i, t, o in RUNS]
+    best = [F.max(F.struct(fusion.ranked_by(*used, override=o), (-F.col("pos")).alias("p"), (-F.col("entity_id")).alias("e"))).alias(run) for run, used, o in RUNS]
     each = s.groupBy("mention_id").agg(*best)
     runs = F.array(*[F.struct(F.lit(run).alias("run"), (-F.col(f"{run}.e")).alias("best")) for run, *_ in RUNS])
     return each.select("mention_id", F.explode(runs).alias("r")).select("r.run", "mention_id", "r.best")

@@ -222,6 +222,23 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return fusion.first_unfiltered(ranked(spark, d).join(e, "entity_id"), "out").select("mention_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "w06_filtered_predictions",
+    RANKED
+    + f""", {ENTITIES}, c AS (SELECT mention_id AS query_id, entity_id, rank, row_number() OVER (PARTITION BY mention_id ORDER BY pos, entity_id) - 1 AS place, count(*) OVER (PARTITION BY mention_id) AS n, max(fused) OVER (PARTITION BY mention_id) AS best FROM ranked)
+ SELECT query_id, CASE WHEN any_value(best) < 0.1 THEN 8 ELSE CAST(coalesce(arg_min(place, rank) FILTER (WHERE NOT (category = 'ECONOMY' OR size < 10)), arg_min(place, rank)) AS INT) END AS position FROM c JOIN entities USING (entity_id) GROUP BY 1""",
+)
+def w06(spark: SparkSession, d: str) -> DataFrame:
+    """Stored predictions after a filter: the first candidate in their order that passes; no answer (8, seven candidates at most) stays."""
+    r = ranked(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("mention_id").orderBy("pos", "entity_id")) - 1)
+    stored = r.groupBy(F.col("mention_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("place", "entity_id"))).alias("x"), F.array_sort(F.collect_list(F.struct("rank", "place"))).alias("o"), F.max("fused").alias("best"))
+    names = lambda x, f: F.transform(x, lambda e: e[f].cast("string"))
+    stored = stored.select("query_id", names("x", "entity_id").alias("entity_ids"), names("o", "place").alias("order"), F.when(F.col("best") < 0.1, 8).otherwise(0).alias("predicted"))
+    out = entities(spark, d).filter("category = 'ECONOMY' OR size < 10").select("entity_id")
+    filtered = r.select(F.col("mention_id").alias("query_id"), "entity_id").join(out, "entity_id", "left_semi")
+    return fusion.passed_predictions(stored, filtered, 8).select("query_id", "position")
+
+
 @query("w07_top_candidates", RANKED + " SELECT mention_id, entity_id, rank FROM ranked WHERE rank <= 2")
 def w07(spark: SparkSession, d: str) -> DataFrame:
     return fusion.top_k(scores(spark, d).withColumn("fused", two(0.6)), "fused", 2).select("mention_id", "entity_id", F.col("rank").cast("long").alias("rank"))

@@ -188,6 +188,12 @@ def a43(spark: SparkSession, d: str) -> DataFrame:
     return S.fleiss_kappa(ratings(spark, d), "doc_id", "rating")
 
 
+@query("a43_kappa_of_subset", "WITH l AS (SELECT labels.* FROM labels SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id)), r AS (SELECT doc_id, quality AS rating FROM l UNION ALL SELECT doc_id, 1 - toxic FROM l), c AS (SELECT doc_id, rating, count(*) AS n FROM r GROUP BY 1, 2), i AS (SELECT doc_id, sum(n) AS m, sum(n * n) AS s FROM c GROUP BY 1), o AS (SELECT avg((s - m) / (m * (m - 1))) AS p, sum(m) AS total FROM i), e AS (SELECT sum((n / total) * (n / total)) AS e FROM (SELECT rating, sum(n) AS n FROM c GROUP BY 1), o) SELECT round((p - e) / (1 - e), 6) AS kappa FROM o, e")
+def a43_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The same over documents of one language."""
+    return S.fleiss_kappa(ratings(spark, d), "doc_id", "rating", table(spark, d, "documents").filter("lang = 'en'"))
+
+
 @query("a44_both_right", "SELECT round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0 END), 6) AS accuracy FROM labels")
 def a44(spark: SparkSession, d: str) -> DataFrame:
     return ratings(spark, d).groupBy("doc_id").agg(F.min("rating").alias("r")).agg(F.round(F.avg(F.col("r").cast("double")), 6).alias("accuracy"))

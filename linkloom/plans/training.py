@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import batching
 from .attributes import GOLD, gold
 from .registry import query
-from .retrieval import RANKED, ranked
+from .retrieval import RANKED, ranked, with_gold
 from .tables import ATTRIBUTES, ENTITIES, MENTIONS, PREDICTED, SCORES, draw, draw_sql, entities, entity_attributes, mentions, predicted, scores, table
 
 NEG = RANKED + ", neg AS (SELECT r.mention_id, r.entity_id, gold_id, rank FROM ranked r JOIN mentions m USING (mention_id) WHERE r.entity_id <> gold_id)"
@@ -117,17 +117,29 @@ def j35(spark: SparkSession, d: str) -> DataFrame:
 SAMPLE, FIRST = 5000, 50
 
 
+def other_category(spark: SparkSession, d: str) -> DataFrame:
+    """(g, entity_id, k): for each category the first entities of a fixed sample that are of another one. A category takes no more than
+    FIRST of the first places of a list with FIRST of each category, so the 2 x FIRST first rows of that list are enough for all."""
+    e = entities(spark, d).select("entity_id", "category")
+    sample = e.withColumn("h", draw("entity_id", seed=23)).orderBy("h").limit(SAMPLE)
+    firsts = sample.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("h"))).filter(F.col("n") <= FIRST)
+    few = firsts.orderBy("h").limit(2 * FIRST).agg(F.array_sort(F.collect_list(F.struct("h", "entity_id", "category")))).scalar()  # 2 x FIRST rows
+    kinds = e.select(F.col("category").alias("g")).distinct()
+    others = kinds.withColumn("few", few).withColumn("x", F.slice(F.filter("few", lambda r: r["category"] != F.col("g")), 1, FIRST))
+    return others.select("g", F.posexplode("x").alias("k", "r")).select("g", "k", "r.entity_id")
+
+
+def mentions_with(spark: SparkSession, d: str, lists: DataFrame) -> DataFrame:
+    gold_of = mentions(spark, d).join(entities(spark, d).select(F.col("entity_id").alias("gold_id"), F.col("category").alias("g")), "gold_id")
+    return gold_of.join(lists, "g")
+
+
 @query("j23_first_of_other_category", f"WITH {MENTIONS}, {ENTITIES}, p AS (SELECT entity_id, category, row_number() OVER (ORDER BY {draw_sql('entity_id', seed=23)}) AS n FROM entities), s AS (SELECT * FROM p WHERE n <= {SAMPLE}), x AS (SELECT mention_id, s.entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY n) AS k FROM mentions JOIN entities g ON g.entity_id = gold_id JOIN s ON s.category <> g.category) SELECT mention_id, entity_id FROM x WHERE k <= {FIRST}")
 def j23(spark: SparkSession, d: str) -> DataFrame:
     """A fixed sample of entities; for each mention its first ones of another category. The lists depend on the category
     alone, so they are made once for each."""
-    e = entities(spark, d).select("entity_id", "category")
-    sample = e.withColumn("h", draw("entity_id", seed=23)).orderBy("h").limit(SAMPLE)
-    kinds = e.select(F.col("category").alias("g")).distinct()
-    lists = kinds.join(F.broadcast(sample), F.col("category") != F.col("g"))  # SAMPLE rows against one for each category
-    lists = lists.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("k") <= FIRST).select("g", "entity_id")
-    gold_of = mentions(spark, d).join(e.select(F.col("entity_id").alias("gold_id"), F.col("category").alias("g")), "gold_id")
-    return gold_of.join(lists, "g").select("mention_id", "entity_id")
+    return mentions_with(spark, d, other_category(spark, d)).select("mention_id", "entity_id")
+
 
 
 @query("g04_no_repeat_batches")
@@ -137,3 +149,20 @@ def g04(spark: SparkSession, d: str) -> DataFrame:
     answers = turns.filter("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = turns.filter("role = 'user'").join(answers, ["conv_id", "turn"]).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     return batching.without_repeats(pairs, "id", ["text", "answer"], 64).select("conv_id", "turn", "batch")
+
+
+LEAST = 2
+
+
+@query(
+    "j24_margin_or_other_category",
+    f"WITH {SCORES}, {MENTIONS}, {ENTITIES}, g AS (SELECT m.mention_id, gold_id, text_score AS gold_score FROM mentions m JOIN scores s ON s.mention_id = m.mention_id AND s.entity_id = gold_id), n AS (SELECT mention_id, entity_id FROM scores JOIN g USING (mention_id) WHERE entity_id <> gold_id AND round(gold_score - text_score, 6) > 0.2), "
+    + f"enough AS (SELECT mention_id FROM n GROUP BY 1 HAVING count(*) >= {LEAST}), p AS (SELECT entity_id, category, row_number() OVER (ORDER BY {draw_sql('entity_id', seed=23)}) AS n FROM entities), s AS (SELECT * FROM p WHERE n <= {SAMPLE}), "
+    + f"x AS (SELECT mention_id, s.entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY n) AS k FROM mentions JOIN entities g ON g.entity_id = gold_id JOIN s ON s.category <> g.category WHERE mention_id NOT IN (SELECT mention_id FROM enough)) SELECT mention_id, entity_id FROM n WHERE mention_id IN (SELECT mention_id FROM enough) UNION ALL SELECT mention_id, entity_id FROM x WHERE k <= {FIRST}",
+)
+def j24_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that the gold one beats by a margin; where they are too few, the first sampled entities of another category."""
+    beaten = with_gold(spark, d).filter((F.col("entity_id") != F.col("gold_id")) & (F.round(F.col("gold_score") - F.col("text_score"), 6) > 0.2)).select("mention_id", "entity_id")
+    enough = beaten.groupBy("mention_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("mention_id")
+    rest = mentions_with(spark, d, other_category(spark, d)).join(enough, "mention_id", "left_anti").select("mention_id", "entity_id")
+    return beaten.join(enough, "mention_id", "left_semi").unionByName(rest)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
-from linkloom.operators import attributes, cleaning, fusion, scorers, similarity, statistics
+from linkloom.operators import attributes, cleaning, fusion, ranks, scorers, similarity, statistics
 from linkloom.sources import readers, schemas, sinks
 
 
@@ -397,3 +397,22 @@ def test_answers_are_parsed_in_a_cascade(spark):
     df = spark.createDataFrame([(a,) for a in answers], "a string")
     got = df.select("a", X.parsed_answer(F.col("a"), F.array(F.lit("red"), F.lit("blue")), F.lit("lamp"), F.lit("Color")).alias("p")).collect()
     assert {r["a"]: (list(r["p"]["found"]), list(r["p"]["beyond"])) for r in got} == answers
+
+
+def test_stored_predictions_pass_a_filter(spark):
+    stored = spark.createDataFrame([(1, 0, ["10", "11.0", "12"], ["2", "0", "1"]), (2, 5, ["10"], ["0"]), (3, 0, ["11", "10"], ["1", "0"]), (4, 0, ["10"], ["0"])], "query_id long, predicted int, entity_ids array<string>, order array<string>")
+    out = spark.createDataFrame([(1, 12), (1, 12), (3, 10), (3, 11), (9, 10)], "query_id long, entity_id long")
+    assert rows(fusion.passed_predictions(stored, out, 5), "query_id", "position") == [(1, 0), (2, 5), (3, 1), (4, 0)]
+
+
+def test_single_values_and_forced_ones(spark):
+    p = spark.createDataFrame([(1, "a", "K", "x"), (1, "a", "K", "x"), (1, "b", "K", "x"), (1, "b", "K", "y"), (1, "a", "L", "z"), (2, "a", "K", "x")], "mention_id long, extractor string, key string, value string")
+    c = spark.createDataFrame([(1, "K", "c"), (1, "K", "c"), (1, "M", "m"), (1, "M", "n"), (2, "M", "o")], "mention_id long, key string, value string")
+    assert rows(attributes.single_valued(p, c, ["b"]), "mention_id", "extractor", "key", "value") == [(1, "a", "K", "x"), (1, "b", "K", "c"), (2, "b", "M", "o")]
+
+
+def test_places_within_groups(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice("ab"), k * 3_000) for k in range(60)]
+    got = ranks.places(spark.createDataFrame(data, "g string, x long").repartition(3), [ranks.leading("x")], [F.col("x")], within=["g"])
+    assert {(r["g"], r["x"]): r["place"] for r in got.collect()} == {(g, x): sum(h == g and y <= x for h, y in data) for g, x in data}
