@@ -396,14 +396,14 @@ def v05(spark: SparkSession, d: str) -> DataFrame:
  c AS (SELECT mention_id, key, value, row_number() OVER (PARTITION BY mention_id, key ORDER BY rank) AS n FROM ranked JOIN entity_attributes USING (entity_id)),
  f AS (SELECT *, contains(t, {PADDED.format('value')}) AS hit, list_distinct(list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: x <> '')) AS v FROM c JOIN t USING (mention_id))
  SELECT mention_id, key, coalesce(string_agg(value, '|' ORDER BY n) FILTER (WHERE hit AND n <= 3), '') AS found, coalesce(string_agg(value, '|' ORDER BY n) FILTER (WHERE hit AND n > 3), '') AS beyond,
- coalesce(sum(round(len(list_intersect(v, x)) / len(v), 6)) FILTER (WHERE hit AND n <= 3), 0) AS total FROM f GROUP BY 1, 2""",
+ round(coalesce(sum(round(len(list_intersect(v, x)) / len(v), 6)) FILTER (WHERE hit AND n <= 3), 0), 6) AS total FROM f GROUP BY 1, 2""",
 )
 def y01(spark: SparkSession, d: str) -> DataFrame:
     """What an extractor finds of the first three candidates' values and of the others', with scores."""
     c = ranked(spark, d).join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
     c = c.withColumn("values", F.transform("x", lambda e: e["value"])).join(said(spark, d, "ocr"), "mention_id")
     out = scorers.extract_all(c, "text", "values", "exact", limit=3)
-    return out.select("mention_id", "key", F.array_join("found", "|").alias("found"), F.array_join("beyond", "|").alias("beyond"), F.aggregate("scores", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return out.select("mention_id", "key", F.array_join("found", "|").alias("found"), F.array_join("beyond", "|").alias("beyond"), F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 #: A free answer in five shapes: a letter, the value alone, a sentence, none, and loosely.
@@ -430,6 +430,38 @@ def x18(spark: SparkSession, d: str) -> DataFrame:
     return p.select("mention_id", "key", F.array_join("p.found", "|").alias("found"), F.array_join("p.beyond", "|").alias("beyond"))
 
 
+CANDIDATE_VALUES = "c AS (SELECT mention_id, key, value, rank FROM ranked JOIN entity_attributes USING (entity_id) WHERE rank <= 10)"
+
+
+def candidate_values(spark: SparkSession, d: str, extractor: str) -> DataFrame:
+    """(mention_id, key, values, text): the values of a mention's first ten candidates, in order, and what the mention says."""
+    c = ranked(spark, d).filter("rank <= 10").join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    return c.select("mention_id", "key", F.transform("x", lambda e: e["value"]).alias("values")).join(said(spark, d, extractor), "mention_id")
+
+
+@query("x11_value_in_sources", RANKED + f", {PREDICTED}, " + SAID.format("chatgpt") + f", {CANDIDATE_VALUES} SELECT mention_id, key, string_agg(value, '|' ORDER BY rank) AS found FROM c JOIN said USING (mention_id) WHERE contains(lower(upper(text)), lower(value)) GROUP BY 1, 2")
+def x11(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates' values that occur in a text in any case."""
+    c = candidate_values(spark, d, "chatgpt").withColumn("text", F.upper("text"))
+    out = scorers.extract(c, "text", "values", "model_version").filter(F.size("extracted") > 0)
+    return out.select("mention_id", "key", F.array_join("extracted", "|").alias("found"))
+
+
+@query("x24_first_match", RANKED + f", {PREDICTED}, " + SAID.format("exact") + f", {CANDIDATE_VALUES} SELECT mention_id, arg_min(value, (rank, key)) AS hit FROM c JOIN said USING (mention_id) WHERE contains(' ' || text || ' ', ' ' || value || ' ') GROUP BY 1")
+def x24_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first value of the candidates, in their order, that stands between spaces in a mention's text."""
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    c = candidate_values(spark, d, "exact").select("mention_id", "key", "text", F.posexplode("values").alias("place", "value")).filter(F.contains(spaced(F.col("text")), spaced(F.col("value"))))
+    return c.groupBy("mention_id").agg(F.min(F.struct("place", "key", "value"))["value"].alias("hit"))
+
+
+@query("x24_longest_match", RANKED + f", {PREDICTED}, " + SAID.format("exact") + f", {CANDIDATE_VALUES} SELECT mention_id, arg_max(value, (length(value), -rank, key)) AS found FROM c JOIN said USING (mention_id) WHERE contains(text, value) GROUP BY 1")
+def x24(spark: SparkSession, d: str) -> DataFrame:
+    """The longest value of any candidate in a mention's text, the first of several."""
+    c = candidate_values(spark, d, "exact").select("mention_id", "key", "text", F.posexplode("values").alias("place", "value")).filter(F.contains("text", F.col("value")))
+    return c.groupBy("mention_id").agg(F.max(F.struct(F.length("value").alias("n"), (-F.col("place")).alias("p"), "key", "value"))["value"].alias("found"))
+
+
 @query("w24_score_vector_by_key", WITH + ", k AS (SELECT DISTINCT key FROM entity_attributes), v AS (SELECT m.mention_id, k.key, coalesce(2.0 * max(CASE WHEN p.key = k.key AND extractor = 'ocr' AND p.key <> 'Size' THEN 0.4 END), 0.5) AS s FROM mentions m CROSS JOIN k LEFT JOIN predicted p ON p.mention_id = m.mention_id GROUP BY 1, 2) SELECT mention_id, string_agg(CAST(CAST(round(s * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY key) AS vector FROM v GROUP BY 1")
 def w24(spark: SparkSession, d: str) -> DataFrame:
     """A mention's score for each key in the global key order, doubled; 0.25 (doubled) where it has none."""

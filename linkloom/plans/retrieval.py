@@ -388,6 +388,14 @@ def j24(spark: SparkSession, d: str) -> DataFrame:
     return with_gold(spark, d).filter((F.col("entity_id") != F.col("gold_id")) & (F.round(F.col("gold_score") - F.col("text_score"), 6) > 0.2)).select("mention_id", "entity_id")
 
 
+@query("m06_contrastive_labels", GOLD_RANKS + ", n AS (SELECT mention_id, rank, row_number() OVER (ORDER BY mention_id) - 1 AS i FROM gold) SELECT mention_id, i * 10 + rank - 1 AS label FROM n WHERE rank <= 10")
+def m06(spark: SparkSession, d: str) -> DataFrame:
+    """Where each mention's gold candidate stands when the first ten candidates of all mentions lie in one line."""
+    g = fusion.gold_ranks(scores(spark, d), mentions(spark, d), {"r": two(0.6)})
+    placed = ranks.places(g, [ranks.leading("mention_id")], [F.col("mention_id")])
+    return placed.filter("r <= 10").select("mention_id", ((F.col("place") - 1) * 10 + F.col("r") - 1).alias("label"))
+
+
 @query("f25_gold_among_top", RANKED + " SELECT m.mention_id FROM mentions m JOIN ranked r ON r.mention_id = m.mention_id AND r.entity_id = m.gold_id WHERE rank <= 2")
 def f25(spark: SparkSession, d: str) -> DataFrame:
     return fusion.gold_ranks(scores(spark, d), mentions(spark, d), {"r": two(0.6)}).filter("r <= 2").select("mention_id")

@@ -80,13 +80,6 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", F.try_element_at(F.map_keys(F.map_filter(flags, lambda k, v: v == "yes")), F.lit(1)).alias("value"))
 
 
-@query("x11_value_in_sources", "SELECT c.conv_id, c.turn FROM conversations c WHERE contains(lower(text), 'hello') OR contains(lower(role), 'ass') OR contains(lower(text), 'the ')")
-def x11(spark: SparkSession, d: str) -> DataFrame:
-    sources = F.array("text", "role")
-    hit = F.exists(sources, lambda s: F.contains(F.lower(s), F.lit("hello")) | F.contains(F.lower(s), F.lit("the "))) | F.contains(F.lower("role"), F.lit("ass"))
-    return table(spark, d, "conversations").filter(hit).select("conv_id", "turn")
-
-
 @query("x12_strip_max_height", "SELECT page_id, url AS url FROM pages")
 def x12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.strip_max_height(F.concat("url", F.lit(";maxHeight=640"))).alias("url"))
@@ -147,12 +140,6 @@ def x22(spark: SparkSession, d: str) -> DataFrame:
     return K.shared_runs(turns, before, ["conv_id", "turn"], "text", "other")
 
 
-@query("x24_first_match", "SELECT doc_id, CASE WHEN contains(text, ' thth ') THEN 'thth' WHEN contains(text, ' la ') THEN 'la' WHEN contains(text, ' of ') THEN 'of' END AS hit FROM documents")
-def x24(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array(*[F.lit(w) for w in ("thth", "la", "of")])
-    return docs(spark, d).select("doc_id", F.try_element_at(F.filter(words, lambda w: F.contains("text", F.concat(F.lit(" "), w, F.lit(" ")))), F.lit(1)).alias("hit"))
-
-
 @query("x25_html_fields", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS n_items FROM pages")
 def x25(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("n_items"))
@@ -228,12 +215,6 @@ def m04(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round((0.5 * n + e) / (c + n + e), 6).alias("s"))
 
 
-@query("m06_contrastive_labels", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 10 + turn % 10 AS label FROM conversations")
-def m06(spark: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return table(spark, d, "conversations").select("conv_id", "turn", (i * 10 + F.col("turn") % 10).cast("long").alias("label"))
-
-
 @query("m08_round_scores", f"WITH {SCORES} SELECT mention_id, string_agg(CAST(CAST(round(text_score * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY entity_id) AS s FROM scores GROUP BY 1")
 def m08(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of scores rounded to hundredths."""
