@@ -94,3 +94,13 @@ def test_trees_bound_every_range():
     few = search.search(trees, every, best, np.arange(n), np.ones(n, bool))
     assert [(-s, d) for s, _, d in best.rows] == sorted(((int(t), d) for d, t in enumerate(total)), key=lambda x: (-x[0], x[1]))[:5]
     assert few < 1 + n // search.FAN  # not all ranges are opened
+
+
+def test_texts_longer_than_a_chunk(spark):
+    rnd = random.Random(8)
+    long = " ".join(rnd.choice(["ba", "koREL", "lu", "x", "yy"]) for _ in range(400_000))
+    rows = [(1, long), (2, "ba lu"), (3, long + " sta"), (4, None)]
+    df = spark.createDataFrame([(i, t, 0, "t") for i, t in rows], "doc_id long, text string, n int, terms string")
+    queries = [(1, "lu korel"), (2, "sta"), (3, long)]
+    found = search.ranked_search(search.build_index(df), spark.createDataFrame(queries, "item_id long, text string"))
+    assert got(found) == brute(rows, queries)

@@ -121,3 +121,14 @@ def test_without_labels(spark, docs, empty):
     one = toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")).filter("doc_id is not null"))
     assert toxicity.score_toxicity(empty, one).count() == 0
     assert min(r["score"] for r in toxicity.score_toxicity(docs, one).collect()) > 0.99
+
+
+def test_texts_longer_than_a_chunk(spark):
+    texts, labels = labelled(spark)
+    model = toxicity.fit(texts, labels)
+    long = "plain words " * 60_000
+    at = 2 * 30_000
+    bad = long[: 12 * 30_000] + "zorkish zorkful zorkish " + long[12 * 30_000 :]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(spark.createDataFrame([(1, bad), (2, long)], "doc_id long, text string"), model).collect()}
+    assert [(p["first"], p["last"]) for p in got[1]["passages"]] == [(at, at + 3)] and got[1]["n_words"] == 120_003
+    assert got[2]["passages"] == [] and got[1]["score"] > got[2]["score"]
