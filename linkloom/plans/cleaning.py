@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from ..operators import cleaning as K
 from ..operators import ranks
 from ..session import place
@@ -106,12 +107,19 @@ def f07(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter(F.length(F.trim(F.split_part("text", F.lit("\n"), F.lit(2)))) > 0).select("doc_id")
 
 
-@query("f08_mention_occurs", "SELECT c.conv_id, c.turn FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE contains(lower(p.text), lower(split_part(c.text, ' ', 1)))")
+@query(
+    "f08_mention_occurs",
+    f"""WITH c AS (SELECT conv_id, turn, lower(text) AS about, lower(split_part(text, ' ', 1)) AS mention FROM conversations)
+ SELECT c.conv_id, c.turn, contains(p.about, c.mention) AS as_it_is FROM c JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+ WHERE contains(p.about, c.mention) OR list_contains(list_transform(list_filter(regexp_split_to_array(p.about, '[^a-z]+'), lambda w: w <> ''), lambda w: {X.lemma_sql('w')}), {X.lemma_sql('c.mention')})""",
+)
 def f08(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose mention occurs in the text that it is about."""
-    c = table(spark, d, "conversations")
-    p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower("text").alias("about"))
-    return c.join(p, ["conv_id", "turn"]).filter(F.contains("about", F.lower(F.split_part("text", F.lit(" "), F.lit(1))))).select("conv_id", "turn")
+    """Rows whose mention occurs in the text that it is about, as it is or with the same base form as one of its words."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("mention"))
+    p = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower("text").alias("about"))
+    words = F.filter(F.split("about", "[^a-z]+"), lambda w: w != "")
+    both = c.join(p, ["conv_id", "turn"]).withColumn("as_it_is", F.contains("about", F.col("mention")))
+    return both.filter(F.col("as_it_is") | F.array_contains(X.lemmas(words), X.lemma(F.col("mention")))).select("conv_id", "turn", "as_it_is")
 
 
 SIMILAR = "sim AS (SELECT p.p_partkey, s.p_partkey AS similar_id FROM part p JOIN part s ON s.p_partkey IN (p.p_partkey + 1, p.p_partkey + 2, p.p_partkey + 3))"
