@@ -6,7 +6,7 @@ Scores live in long tables (mention_id, entity_id, score). A missing score count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import partial, reduce
 
@@ -217,3 +217,21 @@ def passed_predictions(predictions: DataFrame, filtered: DataFrame, no_answer: i
     first = marked.groupBy("query_id").agg(F.coalesce(F.min_by("place", F.when(F.col("out").isNull(), F.col("k"))), F.min_by("place", "k")).alias("__first"))
     joined = predictions.join(first, "query_id", "left")
     return joined.withColumn("position", F.when(F.col("predicted") == no_answer, F.col("predicted")).otherwise(F.col("__first"))).drop("__first")
+
+
+#: How negatives are chosen of candidates besides the gold one, by the name of the mode: by their rank, their place among all such
+#: candidates (`any_place`) or among those of the gold category or the others (`own_place`), and whether they share its category (`same`).
+CHOOSERS: dict[str, Callable[[], Column]] = {
+    "standard": lambda: F.col("any_place") <= 3,
+    "end2end": lambda: F.col("rank") <= 3,  # the gold candidate takes a place
+    "10hard9easy": lambda: F.col("own_place") <= 1,
+    "easy": lambda: ~F.col("same") & (F.col("own_place") <= 2),
+}
+
+
+def with_modes(negatives: DataFrame) -> DataFrame:
+    """negatives (mention_id, entity_id, rank, same) with `modes`, the names of the modes that choose each: one ranking for all."""
+    one, own = (Window.partitionBy("mention_id", *c).orderBy("rank") for c in ((), ("same",)))
+    placed = negatives.withColumns({"any_place": F.row_number().over(one), "own_place": F.row_number().over(own)})
+    modes = F.array_compact(F.array(*[F.when(f(), F.lit(name)) for name, f in CHOOSERS.items()]))
+    return placed.withColumn("modes", modes).drop("any_place", "own_place")

@@ -13,7 +13,7 @@ from ..session import place
 from ..sources import readers, sinks
 from .attributes import SAID, n05, said
 from .registry import query
-from .retrieval import GOLD_RANKS, RANKED, QUOTA, ranked, two, w09, w10, w11, w12
+from .retrieval import GOLD_RANKS, QUOTA, RANKED, negatives_by_category, ranked, two
 from .tables import PREDICTED, SCORES, draw, draw_sql, entity_attributes, mentions, predicted, scores, table
 
 
@@ -295,16 +295,9 @@ def v12(spark: SparkSession, d: str) -> DataFrame:
     return x.filter("NOT fit").select("doc_id", "quality", best["k"].alias("predicted"))
 
 
-#: How negatives are chosen, by the name of the mode.
-CHOOSERS = {"standard": w09, "end2end": w10, "10hard9easy": w11, "easy": w12}
-
-
 @query("y04_candidate_modes", QUOTA + """, s AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY rank) AS a, row_number() OVER (PARTITION BY mention_id, same ORDER BY rank) AS b FROM n)
  SELECT 'standard' AS mode, count(*) AS n FROM s WHERE a <= 3 UNION ALL SELECT 'end2end', count(*) FROM n WHERE rank <= 3 UNION ALL SELECT '10hard9easy', count(*) FROM s WHERE b <= 1 UNION ALL SELECT 'easy', count(*) FROM s WHERE NOT same AND b <= 2""")
 def y04(spark: SparkSession, d: str) -> DataFrame:
     """The number of negatives that each mode chooses."""
-    each = [f(spark, d).agg(F.lit(mode).alias("mode"), F.count("*").alias("n")) for mode, f in CHOOSERS.items()]
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out
+    chosen = fusion.with_modes(negatives_by_category(spark, d)).select(F.explode("modes").alias("mode"))
+    return chosen.groupBy("mode").agg(F.count("*").alias("n"))

@@ -416,3 +416,14 @@ def test_places_within_groups(spark):
     data = [(rnd.choice("ab"), k * 3_000) for k in range(60)]
     got = ranks.places(spark.createDataFrame(data, "g string, x long").repartition(3), [ranks.leading("x")], [F.col("x")], within=["g"])
     assert {(r["g"], r["x"]): r["place"] for r in got.collect()} == {(g, x): sum(h == g and y <= x for h, y in data) for g, x in data}
+
+
+def test_modes_choose_like_single_rankings(spark):
+    rnd = random.Random(6)
+    data = [(m, 100 * m + k, k, rnd.random() < 0.4) for m in range(12) for k in range(1, rnd.randint(2, 9)) if k != 2]
+    got = {(r["mention_id"], r["entity_id"]): set(r["modes"]) for r in fusion.with_modes(spark.createDataFrame(data, "mention_id long, entity_id long, rank int, same boolean")).collect()}
+    for m, e, k, same in data:
+        before = [x for x in data if x[0] == m and x[2] < k]
+        own = sum(x[3] == same for x in before)
+        want = {n for n, ok in {"standard": len(before) < 3, "end2end": k <= 3, "10hard9easy": own < 1, "easy": not same and own < 2}.items() if ok}
+        assert got[m, e] == want
