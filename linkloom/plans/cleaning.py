@@ -502,9 +502,9 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     """A folder of shard files, written first, merged by id; the last file's row wins."""
     x = docs(spark, d).select("doc_id", "n_chars")
     folder = place(spark, "s12")
-    sinks.json_rows(x.filter("doc_id % 3 <> 1"), f"{folder}/shard=0")
-    sinks.json_rows(x.filter("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + 1), f"{folder}/shard=1")
-    return readers.merged_shards(spark, folder, "doc_id long, n_chars long", "doc_id")
+    sinks.record_arrays(x.filter("doc_id % 3 <> 1"), f"{folder}/shard-0")
+    sinks.record_arrays(x.filter("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + 1), f"{folder}/shard-1")
+    return readers.last_shard(spark, folder, "doc_id long, n_chars long", "doc_id")
 
 
 @query("p13_flatten_with_id", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS review_id FROM conversations WHERE role = 'user'")

@@ -136,45 +136,44 @@ def x31(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as gold records; some without images, several for one region."""
-    n = table(spark, d, "nation")
-    images = F.when(F.col("n_nationkey") % 4 != 0, F.array(F.concat("n_name", F.lit(".jpg"))))
-    return n.select(F.col("n_nationkey").cast("long").alias("review_id"), images.alias("review_image_path"), F.col("n_name").alias("product_category"), F.struct(F.concat(F.lit("about "), "n_name").alias("description")).alias("overview_section"), F.struct(F.col("n_regionkey").cast("long").alias("id")).alias("gold_entity_info"))
+    """Parts as gold records of their size; some without images, several for one size."""
+    p = table(spark, d, "part")
+    images = F.when(F.col("p_partkey") % 4 != 0, F.array(F.concat("p_name", F.lit(".jpg"))))
+    return p.select(F.col("p_partkey").alias("review_id"), images.alias("review_image_path"), F.col("p_type").alias("product_category"), F.struct(F.concat(F.lit("about "), "p_name").alias("description")).alias("overview_section"), F.struct(F.col("p_size").cast("long").alias("id")).alias("gold_entity_info"))
 
 
-@query("s04_gold_entities", "SELECT n_regionkey AS id, 'img/' || arg_max(n_name, n_nationkey) || '.jpg' AS image, 'about ' || arg_max(n_name, n_nationkey) AS text, arg_max(n_name, n_nationkey) AS category FROM nation WHERE n_nationkey % 4 <> 0 GROUP BY 1")
+@query("s04_gold_entities", "SELECT CAST(p_size AS BIGINT) AS id, 'img/' || arg_max(p_name, p_partkey) || '.jpg' AS image, 'about ' || arg_max(p_name, p_partkey) AS text, arg_max(p_type, p_partkey) AS category FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1")
 def s04(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "s04")
-    sinks.json_array_file(records(spark, d), path)
+    sinks.record_arrays(records(spark, d), path)
     g = readers.gold_entities(spark, path, image_dir="img/")
-    return g.select(F.col("id").cast("int").alias("id"), F.col("images")[0].alias("image"), "text", "category")
+    return g.select("id", F.col("images")[0].alias("image"), "text", "category")
 
 
-@query("s01_json_array", "SELECT n_nationkey, n_name FROM nation")
+@query("s01_json_array", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s01(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one JSON array each, written by all tasks and read."""
     path = place(spark, "s01")
-    sinks.json_array_file(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
-    return readers.json_array(spark, path, "n_nationkey int, n_name string")
+    sinks.record_arrays(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    return readers.json_array(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double")
 
 
-@query("s20_paired_records", "SELECT n_nationkey AS review_id, n_name || '. of ' || r_name AS text, r_name AS title FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("s20_paired_records", "SELECT o_orderkey AS review_id, o_orderpriority || '. of ' || o_orderstatus AS text, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey")
 def s20(spark: SparkSession, d: str) -> DataFrame:
     """Mentions and entities read as a pair, and each mention with its gold entity; s03 is the scan of the mentions."""
     one, two_ = place(spark, "s20"), place(spark, "s20")
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    named = n.join(r, F.col("r_regionkey") == F.col("n_regionkey"))
-    sinks.json_array_file(named.select(F.col("n_nationkey").cast("long").alias("review_id"), F.col("n_name").alias("header"), F.concat(F.lit("of "), "r_name").alias("body"), F.struct(F.col("n_regionkey").cast("long").alias("id")).alias("gold_entity_info")), one)
-    sinks.json_array_file(r.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("product_name"), F.array(F.lit("a.jpg")).alias("image_path")), two_)
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    sinks.record_arrays(o.select(F.col("o_orderkey").alias("review_id"), F.col("o_orderpriority").alias("header"), F.concat(F.lit("of "), "o_orderstatus").alias("body"), F.struct(F.col("o_custkey").alias("id")).alias("gold_entity_info")), one)
+    sinks.record_arrays(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("product_name"), F.array(F.lit("a.jpg")).alias("image_path")), two_)
     m, e = readers.paired(spark, one, two_)
-    return m.select("review_id", "text", F.col("gold_entity_info.id").alias("id")).join(e.select("id", F.col("text").alias("title")), "id").select(F.col("review_id").cast("int").alias("review_id"), "text", "title")
+    return m.select("review_id", "text", F.col("gold_entity_info.id").alias("id")).join(e.select("id", F.col("text").alias("title")), "id").select("review_id", "text", "title")
 
 
-@query("s09_tuple_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS mention FROM nation")
+@query("s09_tuple_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS mention FROM orders")
 def s09(spark: SparkSession, d: str) -> DataFrame:
     """Records that are arrays; their positions get names."""
     path = place(spark, "s09")
-    rows = table(spark, d, "nation").select(F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r"))
-    rows.agg(F.to_json(F.collect_list("r")).alias("value")).write.text(path)  # 25 rows
+    sinks.json_arrays(table(spark, d, "orders").select(F.to_json(F.array(F.col("o_orderkey").cast("string"), "o_orderpriority")).alias("value")), path)
     return readers.tuple_rows(spark, path, ["id", "mention"])
 
 

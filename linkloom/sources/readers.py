@@ -79,29 +79,20 @@ def literal_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> Data
 
 
 def tuple_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A JSON array of arrays; the positions get names. Positions that hold arrays stay JSON text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    """A JSON array of arrays in each file; the positions get names. Positions that hold arrays stay JSON text."""
+    whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
     return rows.select(*[F.col("r")[k].alias(n) for k, n in enumerate(names)])
 
 
 def last_shard(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """A folder of shards; of rows with one key that of the last file by name, and of several there the greatest one."""
-    x = spark.read.schema(schema).option("multiLine", True).json(path)
+    x = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     row = F.struct(*x.columns)
     ordered = x.select(F.col(key), F.struct(F.input_file_name().alias("file"), F.to_json(row).alias("text"), row.alias("r")).alias("__row"))
     return ordered.groupBy(key).agg(F.max("__row").alias("m")).select("m.r.*")
 
 
-def merged_shards(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
-    """Rows of all shard files (JSON lines) below a folder, one for each key: that of the last file by path, and of its last row."""
-    x = spark.read.schema(schema).option("recursiveFileLookup", True).json(folder)
-    x = x.withColumn("__at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
-    names = [c for c in x.columns if c not in (key, "__at")]
-    last = x.groupBy(key).agg(F.max_by(F.struct(*names), "__at").alias("r"))
-    return last.select(key, *[F.col(f"r.{c}").alias(c) for c in names])
-
-
 def block_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of comma-separated lines."""
     return spark.read.text(path).select(F.explode(F.split("value", ",")).alias("word")).select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct()

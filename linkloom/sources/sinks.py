@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranks
+from ..session import ship
 
 
 def json_rows(df: DataFrame, path: str, *, gzip: bool = False) -> None:
@@ -48,6 +52,25 @@ def score_table(rows: DataFrame, path: str) -> None:
     rows.select("guid", "label", "pred_scores").write.mode("overwrite").parquet(path)
 
 
-def json_array_file(rows: DataFrame, path: str) -> None:
-    """One JSON array in one file, the form of the record files. A whole file is one value, so this is for small tables."""
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array of all values of a task; the last value is held back, as only it has no comma behind it."""
+    line = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["value"])
+    yield line(["["])
+    held: str | None = None
+    for batch in batches:
+        values = batch["value"].to_pylist()
+        if values:
+            yield line([f"{v}," for v in [*([] if held is None else [held]), *values[:-1]]])
+            held = values[-1]
+    yield line([*([] if held is None else [held]), "]"])
+
+
+def json_arrays(values: DataFrame, path: str) -> None:
+    """JSON texts (one column, `value`) as files of one JSON array each, a file for each task, streamed."""
+    ship(values.sparkSession)
+    values.select("value").mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+
+
+def record_arrays(rows: DataFrame, path: str) -> None:
+    """Records as files of one JSON array each: the form of the record files."""
+    json_arrays(rows.select(F.to_json(F.struct("*")).alias("value")), path)

@@ -427,3 +427,14 @@ def test_modes_choose_like_single_rankings(spark):
         own = sum(x[3] == same for x in before)
         want = {n for n, ok in {"standard": len(before) < 3, "end2end": k <= 3, "10hard9easy": own < 1, "easy": not same and own < 2}.items() if ok}
         assert got[m, e] == want
+
+
+def test_record_arrays_are_one_json_array_a_file(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"t,{k}\n]") for k in range(25)] + [(None, None)], "id long, t string").repartition(4)
+    sinks.record_arrays(df, str(tmp_path / "out"))
+    sinks.record_arrays(df.limit(0), str(tmp_path / "none"))
+    found = [r for f in (tmp_path / "out").glob("part-*") for r in json.loads(f.read_text())]
+    assert len(found) == 26 and all(f.read_text() in ("", "[\n]\n") for f in (tmp_path / "none").glob("part-*"))
+    back = readers.json_array(spark, str(tmp_path / "out"), "id long, t string")
+    assert rows(back.filter("id is not null"), "id", "t") == [(k, f"t,{k}\n]") for k in range(25)] and back.count() == 26
+    assert readers.json_array(spark, str(tmp_path / "none"), "id long, t string").count() == 0
