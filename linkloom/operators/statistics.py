@@ -27,7 +27,9 @@ def micro_prf(rows: DataFrame, true: str, predicted: str, labels: Column) -> Dat
 def fleiss_kappa(ratings: DataFrame, item: str, rating: str, subset: DataFrame | None = None) -> DataFrame:
     """Fleiss' kappa of items that all have the same number of ratings: (kappa); of those of a subset (item), if it is given."""
     if subset is not None:
-        ratings = ratings.join(subset.select(item), item, "left_semi")
+        # no semi join: Spark moves that into both sides of a union of raters and then counts them without a shuffle, though the
+        # sides may be dealt out in two ways
+        ratings = ratings.join(subset.select(item).distinct(), item)
     cells = ratings.groupBy(item, rating).agg(F.count("*").alias("n"))
     items = cells.groupBy(item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
     observed = items.agg(F.avg((F.col("s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)))).scalar()

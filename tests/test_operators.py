@@ -438,3 +438,23 @@ def test_record_arrays_are_one_json_array_a_file(spark, tmp_path):
     back = readers.json_array(spark, str(tmp_path / "out"), "id long, t string")
     assert rows(back.filter("id is not null"), "id", "t") == [(k, f"t,{k}\n]") for k in range(25)] and back.count() == 26
     assert readers.json_array(spark, str(tmp_path / "none"), "id long, t string").count() == 0
+
+
+def test_kappa_of_a_subset_from_files(spark, tmp_path):
+    """Ratings of two raters are a union; joins of its sides must not leave it dealt out in two ways."""
+    n = 3000
+    spark.range(n).select(F.col("id").alias("doc"), (F.col("id") % 3 == 0).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b")).write.parquet(f"{tmp_path}/ratings")
+    spark.range(0, 2 * n, 1, 4).select(F.col("id").alias("doc")).write.parquet(f"{tmp_path}/docs")
+    both = spark.read.parquet(f"{tmp_path}/ratings")
+    ratings = both.select("doc", F.col("a").alias("rating")).unionByName(both.select("doc", (1 - F.col("b")).alias("rating")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = statistics.fleiss_kappa(ratings, "doc", "rating", spark.read.parquet(f"{tmp_path}/docs").filter("doc % 2 = 0")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    items = [(int(d % 3 == 0), 1 - d % 2) for d in range(0, n, 2)]
+    p = sum(a == b for a, b in items) / len(items)
+    ones = sum(a + b for a, b in items) / (2 * len(items))
+    e = ones**2 + (1 - ones) ** 2
+    assert got[0]["kappa"] == pytest.approx((p - e) / (1 - e), abs=1e-6)
