@@ -11,7 +11,7 @@ from ..operators import attributes as A
 from ..operators import patterns, ranks, scorers
 from .registry import query
 from .retrieval import RANKED, ranked
-from .tables import ATTRIBUTES, ENTITIES, EXTRACTORS, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores, table
+from .tables import ATTRIBUTES, ENTITIES, EXTRACTORS, MENTIONS, PREDICTED, SCORES, entities, entity_attributes, mentions, predicted, scores, table, with_attributes
 
 WITH = f"WITH {SCORES}, {MENTIONS}, {PREDICTED}"
 GOLD = ", gold AS (SELECT mention_id, key, value FROM mentions JOIN entity_attributes ON entity_id = gold_id)"
@@ -21,7 +21,7 @@ BAD = """, wanted AS (SELECT * FROM predicted WHERE {where}),
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark, d).withColumnRenamed("gold_id", "entity_id").join(entity_attributes(spark, d), "entity_id").select("mention_id", "key", "value")
+    return with_attributes(mentions(spark, d).withColumnRenamed("gold_id", "entity_id"), spark, d)
 
 
 def of(spark: SparkSession, d: str, extractor: str) -> DataFrame:
@@ -237,21 +237,21 @@ def a55(spark: SparkSession, d: str) -> DataFrame:
 )
 def f36(spark: SparkSession, d: str) -> DataFrame:
     """Each extractor's keys with a single value; one of them also gets the sole values of good candidates."""
-    good = scores(spark, d).filter("text_score > 0.5").select("mention_id", "entity_id").join(entity_attributes(spark, d), "entity_id").select("mention_id", "key", "value")
+    good = with_attributes(scores(spark, d).filter("text_score > 0.5").select("mention_id", "entity_id"), spark, d)
     return A.single_valued(predicted(spark, d), good, ["ocr"])
 
 
 @query("f35_values_of_candidates", WITH + " SELECT DISTINCT p.mention_id, p.extractor, p.key, p.value FROM predicted p JOIN scores s USING (mention_id) JOIN entity_attributes a ON a.entity_id = s.entity_id AND a.key = p.key AND a.value = p.value WHERE s.text_score > 0.5")
 def f35(spark: SparkSession, d: str) -> DataFrame:
     """Predicted values that some good candidate has."""
-    have = scores(spark, d).filter("text_score > 0.5").select("mention_id", "entity_id").join(entity_attributes(spark, d), "entity_id").select("mention_id", "key", "value").distinct()
+    have = with_attributes(scores(spark, d).filter("text_score > 0.5").select("mention_id", "entity_id"), spark, d).distinct()
     return predicted(spark, d).select("mention_id", "extractor", "key", "value").distinct().join(have, ["mention_id", "key", "value"], "left_semi")
 
 
 @query("j28_candidate_attributes", RANKED + f", {ATTRIBUTES} SELECT mention_id, key, string_agg(DISTINCT value, ',' ORDER BY value) AS vals FROM ranked JOIN entity_attributes USING (entity_id) WHERE rank <= 3 GROUP BY 1, 2")
 def j28(spark: SparkSession, d: str) -> DataFrame:
     """All values of the first candidates, by key."""
-    top = ranked(spark, d).filter("rank <= 3").select("mention_id", "entity_id").join(entity_attributes(spark, d), "entity_id")
+    top = with_attributes(ranked(spark, d).filter("rank <= 3").select("mention_id", "entity_id"), spark, d)
     return top.groupBy("mention_id", "key").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("vals"))
 
 
@@ -400,7 +400,7 @@ def v05(spark: SparkSession, d: str) -> DataFrame:
 )
 def y01(spark: SparkSession, d: str) -> DataFrame:
     """What an extractor finds of the first three candidates' values and of the others', with scores."""
-    c = ranked(spark, d).join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    c = with_attributes(ranked(spark, d).select("mention_id", "entity_id", "rank"), spark, d).groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
     c = c.withColumn("values", F.transform("x", lambda e: e["value"])).join(said(spark, d, "ocr"), "mention_id")
     out = scorers.extract_all(c, "text", "values", "exact", limit=3)
     return out.select("mention_id", "key", F.array_join("found", "|").alias("found"), F.array_join("beyond", "|").alias("beyond"), F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
@@ -424,7 +424,7 @@ def x18(spark: SparkSession, d: str) -> DataFrame:
     """Free answers about a mention's attributes, parsed against the values of its first three candidates."""
     shapes = F.expr(ANSWER)
     a = of(spark, d, "chatgpt").select("mention_id", "key", shapes.alias("answer"))
-    v = ranked(spark, d).filter("rank <= 3").join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    v = with_attributes(ranked(spark, d).filter("rank <= 3").select("mention_id", "entity_id", "rank"), spark, d).groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
     both = a.join(v.select("mention_id", "key", F.transform("x", lambda e: e["value"]).alias("vals")), ["mention_id", "key"])
     p = both.select("mention_id", "key", X.parsed_answer(F.col("answer"), F.col("vals"), F.lit("item"), F.col("key")).alias("p"))
     return p.select("mention_id", "key", F.array_join("p.found", "|").alias("found"), F.array_join("p.beyond", "|").alias("beyond"))
@@ -435,7 +435,7 @@ CANDIDATE_VALUES = "c AS (SELECT mention_id, key, value, rank FROM ranked JOIN e
 
 def candidate_values(spark: SparkSession, d: str, extractor: str) -> DataFrame:
     """(mention_id, key, values, text): the values of a mention's first ten candidates, in order, and what the mention says."""
-    c = ranked(spark, d).filter("rank <= 10").join(entity_attributes(spark, d), "entity_id").groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
+    c = with_attributes(ranked(spark, d).filter("rank <= 10").select("mention_id", "entity_id", "rank"), spark, d).groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x"))
     return c.select("mention_id", "key", F.transform("x", lambda e: e["value"]).alias("values")).join(said(spark, d, extractor), "mention_id")
 
 

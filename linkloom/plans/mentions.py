@@ -14,7 +14,7 @@ from ..sources import readers, sinks
 from .attributes import SAID, n05, said
 from .registry import query
 from .retrieval import GOLD_RANKS, QUOTA, RANKED, negatives_by_category, ranked, two
-from .tables import PREDICTED, SCORES, draw, draw_sql, entity_attributes, mentions, predicted, scores, table
+from .tables import PREDICTED, SCORES, draw, draw_sql, entity_attributes, mentions, predicted, scores, table, with_attributes
 
 
 def values_of(p: DataFrame, extractor: str, name: str, *, several: bool = False) -> Column:
@@ -126,7 +126,7 @@ def x20(spark: SparkSession, d: str) -> DataFrame:
 @query("x31_first_contained", RANKED + f", {PREDICTED}, " + SAID.format("chatgpt") + " SELECT mention_id, key, arg_min(value, rank) AS found FROM ranked JOIN entity_attributes USING (entity_id) JOIN said USING (mention_id) WHERE rank <= 10 AND (contains(lower(text), value) OR contains(text, value)) GROUP BY 1, 2")
 def x31(spark: SparkSession, d: str) -> DataFrame:
     """For each attribute the first value, in order of the candidates, that a free answer holds."""
-    top = ranked(spark, d).filter("rank <= 10").join(entity_attributes(spark, d), "entity_id")
+    top = with_attributes(ranked(spark, d).filter("rank <= 10").select("mention_id", "entity_id", "rank"), spark, d)
     c = top.groupBy("mention_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x")).join(said(spark, d, "chatgpt"), "mention_id")
     found = scorers.extract(c.withColumn("values", F.transform("x", lambda e: e["value"])), "text", "values", "first_contained")
     return found.filter(F.size("extracted") > 0).select("mention_id", "key", F.try_element_at("extracted", F.lit(1)).alias("found"))

@@ -458,3 +458,16 @@ def test_kappa_of_a_subset_from_files(spark, tmp_path):
     ones = sum(a + b for a, b in items) / (2 * len(items))
     e = ones**2 + (1 - ones) ** 2
     assert got[0]["kappa"] == pytest.approx((p - e) / (1 - e), abs=1e-6)
+
+
+def test_entities_are_never_broadcast(spark):
+    """Their files are small, but they grow with the input."""
+    from linkloom.plans import attributes as plans, tables
+
+    sf = "/root/testdata/sf0.001"
+    some = tables.mentions(spark, sf).withColumnRenamed("gold_id", "entity_id")
+    for df in (tables.predicted(spark, sf), plans.gold(spark, sf), some.join(tables.entity_attributes(spark, sf), "entity_id"), tables.with_attributes(some, spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    want = rows(some.join(tables.entity_attributes(spark, sf), "entity_id"), "mention_id", "key", "value")
+    assert rows(tables.with_attributes(some, spark, sf), "mention_id", "key", "value") == want
