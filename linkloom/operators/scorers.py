@@ -65,13 +65,18 @@ def words(text: str | None) -> list[str]:
 
 @batch_scorer("jaccard")
 def load_jaccard() -> BatchScorer:
-    """Shared distinct tokens over all distinct tokens; 0 of two empty texts."""
+    """Shared distinct tokens over all distinct tokens; 0 of two empty texts. Equal texts are read once."""
+
+    def sets(texts: pa.Array) -> Iterator[set[str]]:
+        coded = texts.dictionary_encode(null_encoding="encode")
+        known = [set(words(t)) for t in coded.dictionary.to_pylist()]
+        return (known[k] for k in coded.indices.to_pylist())
 
     def score(a: pa.Array, b: pa.Array) -> np.ndarray:
         out = np.zeros(len(a))
-        for k, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-            x, y = set(words(x)), set(words(y))
-            out[k] = len(x & y) / (len(x | y) or 1)
+        for k, (x, y) in enumerate(zip(sets(a), sets(b))):
+            n = len(x & y)
+            out[k] = n / (len(x) + len(y) - n or 1)
         return out
 
     return score
@@ -109,11 +114,16 @@ def load_hashed_encoder() -> BatchScorer:
     return lambda a, b: (encode(a) * encode(b)).sum(1)
 
 
-def _scored(name: str, load: Callable[[], BatchScorer], a: str, b: str, drop: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def loaded(name: str, load: Callable[[], BatchScorer]) -> BatchScorer:
+    """The scorer that this worker has loaded under the name."""
     if name not in _LOADED:
         _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def _scored(name: str, load: Callable[[], BatchScorer], a: str, b: str, drop: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score = np.round(_LOADED[name](batch[a], batch[b]), 6)
+        score = np.round(loaded(name, load)(batch[a], batch[b]), 6)
         rest = [c for c in batch.schema.names if c not in drop]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(score, pa.float64())], [*rest, "new_score"])
 

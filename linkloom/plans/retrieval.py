@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import fusion, ranks, scorers, similarity
+from ..operators import fusion, ranks, similarity
 from ..session import place
 from ..sources import sinks
 from .registry import query
@@ -72,7 +72,8 @@ def j14_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The 1,000 nearest vectors, scored again by the titles of both and cut to ten."""
     v = vectors(spark, d)
     titles = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    best = scorers.rerank(similarity.top_k_similar(v, v, 1000), titles, titles, "jaccard", 10)
+    known = v.join(titles, "id")
+    best = similarity.top_k_reranked(known, v, known.select("id", "text"), 10, "jaccard")
     return best.withColumn("rank", F.col("rank").cast("long"))
 
 
