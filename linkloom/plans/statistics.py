@@ -50,7 +50,8 @@ INDEXES = f"""exact AS (SELECT {FORM} AS alias, lang AS category, doc_id AS prod
 
 def first_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions (mention_id, form, base_form), and aliases (alias, category, product_id) as they are and by base form."""
-    form = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
+    # no split: Spark moves the base form into filters, where it stands for each of its rules
+    form = F.lower(F.substring_index("text", " ", 1))
     exact = table(spark, d, "documents").select(form.alias("alias"), F.col("lang").alias("category"), F.col("doc_id").alias("product_id"))
     m = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("mention_id"), form.alias("form"))
     return m.withColumn("base_form", X.lemma(F.col("form"))), exact, exact.withColumn("alias", X.lemma(F.col("alias")))

@@ -360,6 +360,21 @@ def test_candidates_by_prior_equal_plain_python(spark, few, cap):
     assert rows(got, "mention_id", "product_id", "place") == sorted(want)
 
 
+def test_alias_lookups_cut_texts_at_the_first_space(spark):
+    from linkloom.plans import registry
+
+    registry.load()
+    for name in ("j25_alias_lookup", "j26_candidates_by_prior", "a22_alias_products"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "split" not in plan
+
+
+def test_first_words_of_odd_texts(spark):
+    texts = ["", " ", " a", "a", "Ab cd", "x\ny z", "é  b", None]
+    rows_ = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows_.filter(~F.substring_index("t", " ", 1).eqNullSafe(F.split_part("t", F.lit(" "), F.lit(1)))).count() == 0
+
+
 def test_fusion_gate_and_witnesses(spark):
     p = spark.createDataFrame([(1, "a", "K", "x", 0), (1, "b", "K", "y", 1), (1, "c", "K", "y", 2), (2, "a", "K", "x", 0), (3, "b", "K", "z", 1), (1, "a", "T", "t", 0), (2, "b", "T", "t", 1)], "mention_id long, extractor string, key string, value string, pos int")
     precision = spark.createDataFrame([("a", "K", 0.9, 5), ("b", "K", 0.2, 5), ("a", "T", 0.9, 5), ("b", "T", 0.9, 1)], "extractor string, key string, precision double, n int")
