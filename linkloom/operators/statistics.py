@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,26 +62,61 @@ def two_indexes(mentions: DataFrame, exact: DataFrame, base: DataFrame) -> DataF
     return one.unionByName(two)
 
 
-def candidates_by_prior(mentions: DataFrame, exact: DataFrame, base: DataFrame, entities: DataFrame, draw: Column, *, few: int = 10, cap: int = 100) -> DataFrame:
+#: Mentions of the same forms are dealt out to so many tasks that none has more than this part of all mentions.
+PARTS = 256
+
+
+def candidates_by_prior(mentions: DataFrame, exact: DataFrame, base: DataFrame | Callable[[Column], Column], entities: DataFrame, draw: Column, *, few: int = 10, cap: int = 100) -> DataFrame:
     """(mention_id, product_id, place): the candidates of mentions (mention_id, form, base_form) by the two tables of aliases (alias,
-    category, product_id). A mention with `few` products or less keeps all of them, in the order of the indexes; another the first
-    `cap` of the most frequent category of its alias; one without any gets the first `cap` entities (product_id) of a drawn order.
-
-    An alias may stand for a large part of all products, so only `cap` rows of each (alias, category) are kept before mentions meet them."""
-
-    def index(aliases: DataFrame) -> DataFrame:
-        counted = alias_index(aliases)
-        best = counted.groupBy("alias").agg(F.max(F.struct("n", "category"))["category"].alias("top"), F.sum("n").alias("n"))
-        first = F.row_number().over(Window.partitionBy("alias", "category").orderBy("product_id"))
-        return aliases.withColumn("k", first).filter(F.col("k") <= cap).join(best, "alias")
-
-    met = two_indexes(mentions.select("mention_id", "form", "base_form"), index(exact), index(base))
-    # each index counts once for a mention, with all its products
-    whole = met.select("mention_id", "which", "n", "top").distinct().groupBy("mention_id").agg(F.sum("n").alias("total"), F.min(F.struct("which", "top"))["top"].alias("best"))
-    some = met.join(whole, "mention_id").filter((F.col("total") <= few) | (F.col("category") == F.col("best")))
-    order = Window.partitionBy("mention_id").orderBy("which", "product_id")
-    listed = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).select("mention_id", "product_id", "place")
-    drawn = entities.select("product_id", draw.alias("__d")).orderBy("__d", "product_id").limit(cap)
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__d", "product_id"))).select("product_id", "place", F.lit(0).alias("__k"))
-    none = mentions.join(whole, "mention_id", "left_anti").select("mention_id", F.lit(0).alias("__k"))
-    return listed.unionByName(none.join(F.broadcast(drawn), "__k").drop("__k"))  # `cap` rows
+    category, product_id); instead of the second, what makes a base form of an alias may be given, for base forms of the first. A
+    mention with `few` products or less keeps all of them, in the order of the indexes; another the first `cap` of the most frequent
+    category of its alias; one without any gets the first `cap` entities (product_id) of a drawn order. Rows of one mention_id are one
+    mention with several forms, rows without one are left out. A category may be null, but null is never the most frequent.
+
+    An alias may stand for a large part of all products, so only `cap` products of each (alias, category) are kept before forms meet
+    them. Lists are made once for all mentions of the same forms, and unfolded only behind the join with mentions."""
+    item = F.struct(F.col("product_id").isNull().alias("none"), "product_id").alias("item")  # null comes last
+    keys = ["which", "alias", "category"]
+
+    def first(rows: DataFrame, *of: str) -> DataFrame:
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy("item"))).filter(F.col("k") <= cap).drop("k")
+
+    def index(aliases: DataFrame, *names: Column) -> tuple[DataFrame, DataFrame]:
+        """How often each alias stands for each category, and its first products there, under its names (which, alias)."""
+        kept = first(aliases.select("alias", "category", item), "alias", "category")
+        return alias_index(aliases).select(F.inline(F.array(*names)), "category", "n"), kept.select(F.inline(F.array(*names)), "category", "item")
+
+    def name(which: int, alias: Column) -> Column:
+        return F.struct(F.lit(which).alias("which"), alias.alias("alias"))
+
+    alias = F.col("alias")
+    if isinstance(base, DataFrame):
+        counts, kept = (a.unionByName(b) for a, b in zip(index(exact, name(0, alias)), index(base, name(1, alias)), strict=True))
+    else:
+        counts, kept = index(exact, name(0, alias), name(1, base(alias)))
+    counts = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("items", F.lit(None).cast(kept.select(F.array("item").alias("x")).schema["x"].dataType))
+    kept = first(kept, *keys).groupBy(*keys).agg(F.lit(0).cast("long").alias("n"), F.collect_list("item").alias("items"))
+
+    named = mentions.filter(F.col("mention_id").isNotNull()).groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("form", "base_form"))).alias("forms"))
+    kinds = named.groupBy("forms").agg(F.count("*").alias("mentions"))
+    looked_up = kinds.select("forms", F.explode("forms").alias("f")).select("forms", F.inline(F.array(name(0, F.col("f.form")), name(1, F.col("f.base_form")))))
+    # each index counts once for each form, with all its products
+    met = looked_up.join(counts.unionByName(kept), ["which", "alias"]).withColumn("c", F.sum("n").over(Window.partitionBy("forms", "which", "category")))
+    every = Window.partitionBy("forms")
+    top = F.max(F.when(F.col("category").isNotNull(), F.struct((-F.col("which")).alias("which"), "c", "category"))).over(every)
+    met = met.select("forms", "which", "category", "items", F.sum("n").over(every).alias("total"), top["category"].alias("best"))
+    some = F.when((F.col("total") <= few) | (F.col("category") == F.col("best")), F.transform("items", lambda e: F.struct(F.col("which"), e["none"], e["product_id"].alias("product_id"))))
+    listed = met.groupBy("forms").agg(F.slice(F.sort_array(F.flatten(F.collect_list(some))), 1, cap)["product_id"].alias("products"))
+
+    shares = kinds.withColumn("all", kinds.agg(F.sum("mentions")).scalar()).filter(F.col("mentions") * PARTS > F.col("all"))
+    shares = F.broadcast(shares.select("forms", F.ceil(F.col("mentions") * PARTS / F.col("all")).alias("parts")))  # fewer than PARTS rows
+    dealt = named.join(shares, "forms", "left").select("mention_id", "forms", F.coalesce(F.pmod(F.xxhash64("mention_id"), "parts"), F.lit(0)).alias("part"))
+    listed = listed.join(shares, "forms", "left").select("forms", "products", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+
+    drawn = entities.select(draw.alias("__d"), item).orderBy("__d", "item").limit(cap)
+    drawn = drawn.agg(F.sort_array(F.collect_list(F.struct("__d", "item")))["item"]["product_id"].alias("drawn"))  # one row of `cap` products
+    found = dealt.join(listed, ["forms", "part"], "left").crossJoin(F.broadcast(drawn))
+    # a list belongs to the mention, drawn ones to each of its rows
+    times = F.when(F.col("products").isNull(), F.size("forms")).otherwise(1)
+    found = found.select("mention_id", F.coalesce("products", "drawn").alias("products"), F.explode(F.sequence(F.lit(1), times)).alias("__t"))
+    return found.select("mention_id", F.posexplode("products").alias("place", "product_id")).select("mention_id", "product_id", (F.col("place") + 1).alias("place"))

@@ -76,9 +76,9 @@ def j25(spark: SparkSession, d: str) -> DataFrame:
 )
 def j26(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of a mention by its alias: all of few, else a hundred of the top category, else a hundred drawn ones."""
-    m, exact, base = first_words(spark, d)
+    m, exact, _ = first_words(spark, d)
     entities = table(spark, d, "documents").select(F.col("doc_id").alias("product_id"))
-    out = S.candidates_by_prior(m, exact, base, entities, draw("product_id", seed=26))
+    out = S.candidates_by_prior(m, exact, X.lemma, entities, draw("product_id", seed=26))
     return out.withColumn("place", F.col("place").cast("long"))
 
 

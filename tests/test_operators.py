@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +370,36 @@ def test_alias_lookups_cut_texts_at_the_first_space(spark):
         assert "split" not in plan
 
 
+def test_candidates_by_prior_of_odd_tables_equal_sql(spark, tmp_path):
+    """Null languages, more of them than others; turns past 1,000, so that conversations share a mention; more forms than one, or the
+    same one twice, in a mention; a form that most mentions have."""
+    from oracle import of_spark, of_sql
+
+    from linkloom.plans import registry
+
+    registry.load()
+    rnd = random.Random(3)
+    words = ["cup", "Cups", "went", "go", "box", "boxes", "", None]
+    documents = [(k, w and f"{w} {k}", rnd.choice([None, None, None, "de", "en"])) for k in range(400) for w in rnd.choices(words)] + [(400 + k, "lone x", None) for k in range(12)] + [(500 + k, "few x", rnd.choice([None, "fr"])) for k in range(4)]
+    turns = [(c, t, rnd.choice([*words, "lone", "few", "bird", "cup"])) for c in range(3) for t in [*range(40), *range(980, 1040)]] + [(9, t, "cup of tea") for t in range(300)]
+    con = duckdb.connect()
+    for name, schema, of in (("documents", "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT", documents), ("conversations", "conv_id BIGINT, turn BIGINT, text VARCHAR, role VARCHAR", turns)):
+        con.execute(f"CREATE TABLE {name} ({schema})")
+        con.executemany(f"INSERT INTO {name} BY POSITION ({', '.join(c.split()[0] for c in schema.split(', ')[:3])}) VALUES (?, ?, ?)", of)
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    assert of_spark(registry.QUERIES["j26_candidates_by_prior"](spark, str(tmp_path))) == of_sql(con, registry.ORACLE_SQL["j26_candidates_by_prior"])
+
+
+def test_candidates_by_prior_read_aliases_once_for_both_indexes(spark):
+    from linkloom.plans import registry
+
+    registry.load()
+    plan = registry.QUERIES["j26_candidates_by_prior"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id#") == 3  # counts, first products, drawn ones
+    # lists are unfolded behind the last join
+    assert plan.index("posexplode") < plan.index("Join ")
+
+
 def test_first_words_of_odd_texts(spark):
     texts = ["", " ", " a", "a", "Ab cd", "x\ny z", "é  b", None]
     rows_ = spark.createDataFrame([(t,) for t in texts], "t string")
